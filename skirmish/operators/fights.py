@@ -21,6 +21,8 @@ from skirmish.sources.staging import cut
 OPEN_END = (1 << 63) - 1
 OPEN_POLICIES = ("close", "drop", "include")
 FIGHT = ("log_id", "target", "open_ord")
+#: Event type of a row that stands for a fight carried over from an earlier batch of a stream.
+CARRY = "carry"
 
 
 def _heal_neighbours(rows: DataFrame, heals: DataFrame, gap_seconds: int) -> tuple[DataFrame, DataFrame]:
@@ -91,13 +93,8 @@ def tag_fights(
     The second result holds the heal sessions when heals extend fights.
     """
     kind = F.col("event_type")
-    rows = events.where(kind.isin("melee_hit", "spell_damage", "melee_miss", "death"))
-    keep = [
-        c
-        for c in (
-            "actor", "amount", "verb", "spell", "damage_type", "outcome", "modifiers",
-        )
-    ]
+    rows = events.where(kind.isin("melee_hit", "spell_damage", "melee_miss", "death", CARRY))
+    keep = ["actor", "amount", "verb", "spell", "damage_type", "outcome", "modifiers"]
     rows = rows.select(
         "log_id",
         "target",
@@ -178,7 +175,7 @@ def tag_fights(
     )
 
 
-def _bounds(tagged: DataFrame, sessions: DataFrame | None, gap_seconds: int) -> DataFrame:
+def fight_bounds(tagged: DataFrame, sessions: DataFrame | None, gap_seconds: int) -> DataFrame:
     """One row per fight: start, end, close position and close time."""
     acts = ~F.col("is_death")
     last_state = ["t"] + (["heal_after"] if sessions is not None else [])
@@ -348,7 +345,7 @@ def detect_fights(
     """
     if open_policy not in OPEN_POLICIES:
         raise ValueError(f"open_policy must be one of {OPEN_POLICIES}")
-    fights = cut(_bounds(tagged, sessions, gap_seconds), "fight_bounds")
+    fights = cut(fight_bounds(tagged, sessions, gap_seconds), "fight_bounds")
     late = tagged.where(F.col("is_death") & F.col("open_ord").isNull())
     kills = late_kills(fights, late, gap_seconds).withColumn("_late", F.lit(True))
     fights = fights.join(kills, list(FIGHT), "left").withColumn(

@@ -340,7 +340,7 @@ def _(w: Workspace) -> DataFrame:
 @query("single_target_fight", sql(f"""
 WITH_MINE SELECT log_id, 'a MARSH rat' AS target, {_stamp('min(t)')} AS start,
   {_stamp('coalesce(max(death_t), arg_max(t, ord))')} AS "end", max(death_t) IS NOT NULL AS fight_complete,
-  {_sum('amount')} AS total_damage, count(*) FILTER (event_type <> 'melee_miss') AS hits,
+  CAST(coalesce(sum(amount), 0) AS BIGINT) AS total_damage, count(*) FILTER (event_type <> 'melee_miss') AS hits,
   count(*) FILTER (event_type = 'melee_miss') AS misses
 FROM mine LEFT JOIN died USING (log_id) WHERE death_ord IS NULL OR ord < death_ord GROUP BY ALL
 """.replace("WITH_MINE ", ""),
@@ -513,8 +513,8 @@ OVER (PARTITION BY log_id ORDER BY fight_id ROWS UNBOUNDED PRECEDING) AS gid FRO
     "al": """SELECT log_id, fight_id, FALSE AS man, CAST(gid AS BIGINT) AS gid, start_t FROM au UNION ALL
 SELECT f.log_id, f.fight_id, TRUE, c.group_no, f.start_t FROM ft f JOIN cl c USING (log_id, fight_id)""",
     "gr": """SELECT log_id, man, gid, row_number() OVER (PARTITION BY log_id ORDER BY min(start_t), man, min(fight_id)) AS encounter_id
-FROM al GROUP BY ALL""",
-    "mb": """SELECT f.*, g.encounter_id, CASE WHEN man AND gid % 2 = 0 THEN 'Phase ' || gid END AS manual_name
+FROM al GROUP BY log_id, man, gid""",
+    "mb": """SELECT f.*, g.encounter_id, CASE WHEN g.man AND g.gid % 2 = 0 THEN 'Phase ' || g.gid END AS manual_name
 FROM ft f JOIN al a USING (log_id, fight_id) JOIN gr g ON g.log_id = a.log_id AND g.man = a.man AND g.gid = a.gid""",
 }
 
@@ -525,11 +525,12 @@ def _(w: Workspace) -> DataFrame:
 
 
 @query("encounters_is_manual", sql("""
-SELECT m.log_id, m.encounter_id, count(DISTINCT m.fight_key) = count(DISTINCT g.fight_key)
-    AND count(DISTINCT g.group_no) = 1 AND any_value(k.n) = count(DISTINCT m.fight_key) AS is_manual
-FROM mb m LEFT JOIN mg g USING (log_id, fight_key)
-LEFT JOIN (SELECT log_id, group_no, count(DISTINCT fight_key) AS n FROM mg GROUP BY ALL) k ON k.log_id = g.log_id AND k.group_no = g.group_no
-GROUP BY ALL""".replace("any_value(k.n)", "coalesce(max(k.n), 0)").replace("GROUP BY ALL\"\"\"", ""), **_MANUAL))
+SELECT e.log_id, e.encounter_id, e.encounter_id IN (SELECT eq.encounter_id FROM eq WHERE eq.log_id = e.log_id) AS is_manual FROM eb e""",
+    **_MANUAL,
+    eq="""SELECT m.log_id, m.encounter_id, g.group_no FROM mb m JOIN mg g USING (log_id, fight_key)
+GROUP BY m.log_id, m.encounter_id, g.group_no
+HAVING count(DISTINCT m.fight_key) = (SELECT count(DISTINCT x.fight_key) FROM mg x WHERE x.log_id = m.log_id AND x.group_no = g.group_no)
+AND count(DISTINCT m.fight_key) = (SELECT count(DISTINCT y.fight_key) FROM mb y WHERE y.log_id = m.log_id AND y.encounter_id = m.encounter_id)"""))
 def _(w: Workspace) -> DataFrame:
     return encounters.manual_flags(w.manual.members, w.manual_groups)
 

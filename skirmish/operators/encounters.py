@@ -9,7 +9,7 @@ from skirmish.functions import scalars as S
 from skirmish.functions.sliced import numbered, running, time_slice
 
 ENCOUNTER = ("log_id", "encounter_id")
-#: Bin width of the interval join between heals and encounters.
+#: Default bin width of the interval join between heals and encounters.
 BIN_SECONDS = 60
 
 
@@ -208,20 +208,21 @@ def own_spans(members: DataFrame) -> DataFrame:
     ).drop("_ended")
 
 
-def _bin(c: Column) -> Column:
-    return F.floor(c / BIN_SECONDS)
-
-
-def assign_heals(heals: DataFrame, members: DataFrame) -> DataFrame:
+def assign_heals(heals: DataFrame, members: DataFrame, bin_seconds: int = BIN_SECONDS) -> DataFrame:
     """Heals with the lowest encounter whose closed time span holds them; others are left out.
 
-    The spans are disjoint, so a heal meets at most one, and a log's spans fill no more one-minute
-    bins than the log has minutes: an equi-join on (log, bin), which Spark can split when skewed.
+    The spans are disjoint, so a heal meets at most one, and a log's spans fill no more bins than
+    its time holds: an equi-join on (log, bin), which Spark can split when skewed. Bins about as
+    long as an encounter keep both the bin rows and the candidates per heal few.
     """
+
+    def bin_of(c: Column) -> Column:
+        return F.floor(c / bin_seconds)
+
     spans = own_spans(members).withColumn(
-        "_bin", F.explode(F.sequence(_bin(F.col("own_start_t")), _bin(F.col("enc_end_t"))))
+        "_bin", F.explode(F.sequence(bin_of(F.col("own_start_t")), bin_of(F.col("enc_end_t"))))
     )
-    h = heals.withColumn("_bin", _bin(F.col("t")))
+    h = heals.withColumn("_bin", bin_of(F.col("t")))
     return (
         h.join(spans, ["log_id", "_bin"])
         .where(F.col("t").between(F.col("own_start_t"), F.col("enc_end_t")))

@@ -18,9 +18,12 @@ SEP = "\ue000"
 FLAGS = "(?Ud)"
 
 # --- fixed values: log line formats -----------------------------------------
+#: White space of Latin-1, cut off at the end of a line.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 ENVELOPE = (
-    r"^\[(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) ([A-Z][a-z]{2}) +(\d{1,2}) "
-    r"(\d{2}:\d{2}:\d{2}) (\d{4})\] (.*)$"
+    r"^\[(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) ([A-Z][a-z]{2}) +([0-9]{1,2}) "
+    r"([0-9]{2}):([0-9]{2}):([0-9]{2}) ([0-9]{4})\] (.*)$"
 )
 VERBS_3RD = (
     "slashes", "crushes", "punches", "pierces", "claws", "kicks", "bites", "hits", "gores",
@@ -138,26 +141,29 @@ def stamped(lines: DataFrame, keep_unstamped: bool = False) -> DataFrame:
     A line without a valid time stamp is left out, or kept with both null. The generator drops the
     unmatched lines itself, so no filter repeats the envelope regex below the projection.
     """
-    raw = F.regexp_replace(F.col("raw"), F.lit(r"(?U)\s+$"), F.lit(""))
-    once = F.regexp_replace(
-        raw, F.lit(FLAGS + ENVELOPE), F.lit(SEP + "$1 $2 $3 $4" + SEP + "$5")
-    )
-    matches = F.filter(F.array(once), lambda x: F.startswith(x, F.lit(SEP)))
+    raw = F.rtrim("raw", F.lit(BLANKS))
+    slots = "".join(f"{SEP}${i}" for i in range(1, 8))
+    parts = F.split(F.regexp_replace(raw, F.lit(FLAGS + ENVELOPE), F.lit(slots)), SEP)
+    found = F.filter(F.array(parts), lambda p: F.size(p) == 8)
     generate = F.explode_outer if keep_unstamped else F.explode
-    out = (
-        lines.select("log_id", "ord", raw.alias("raw"), generate(matches).alias("_env"))
-        .withColumn("_env", F.split("_env", SEP))
-        .withColumn(
-            "ts",
-            F.try_to_timestamp(F.get("_env", F.lit(1)), F.lit("MMM d HH:mm:ss yyyy")).cast(
-                "timestamp_ntz"
-            ),
-        )
+    out = lines.select("log_id", "ord", raw.alias("raw"), generate(found).alias("_p"))
+
+    def part(i: int) -> Column:
+        return F.get("_p", F.lit(i))
+
+    month = F.instr(F.lit(MONTHS), part(1))
+    ts = F.try_make_timestamp_ntz(
+        part(6).cast("int"),
+        F.floor((month + 2) / 3).cast("int"),
+        part(2).cast("int"),
+        part(3).cast("int"),
+        part(4).cast("int"),
+        part(5).cast("decimal(16,6)"),
     )
-    if not keep_unstamped:
-        out = out.where(F.col("ts").isNotNull())
-    body = F.when(F.col("ts").isNotNull(), F.get("_env", F.lit(2)))
-    return out.select("log_id", "ord", "raw", "ts", body.alias("body"))
+    out = out.select("log_id", "ord", "raw", ts.alias("ts"), part(7).alias("body"))
+    if keep_unstamped:
+        return out.withColumn("body", F.when(F.col("ts").isNotNull(), F.col("body")))
+    return out.where(F.col("ts").isNotNull())
 
 
 def parse_lines(lines: DataFrame, keep_unstamped: bool = False) -> DataFrame:

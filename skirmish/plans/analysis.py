@@ -96,7 +96,9 @@ def group(
     heal_rows = found.events.where(F.col("event_type") == "heal").select(
         "log_id", "ord", "ts", S.epoch("ts").alias("t"), "actor", "target", "amount", "spell", "modifiers",
     )
-    heals = cut(E.assign_heals(V.apply_pet_owners(heal_rows, pet_owners), members), "heals")
+    # Encounters last some gaps, so the bins of the heal join scale with the gap.
+    width = max(E.BIN_SECONDS, 4 * options.gap_seconds)
+    heals = cut(E.assign_heals(V.apply_pet_owners(heal_rows, pet_owners), members, width), "heals")
     return Analysis(options, members, acts, heals, cut(E.encounters(members, acts, heals), "encounters"))
 
 

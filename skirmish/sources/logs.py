@@ -42,32 +42,34 @@ def read_lines(spark: SparkSession, paths: str | list[str], glob: str | None = N
 def stream_lines(
     spark: SparkSession, path: str, glob: str | None = None, max_files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Lines of log chunks as they arrive in a directory.
+    """Lines of log chunks as they arrive in a directory, not yet ordered (see ``ordered_chunks``).
 
     The file source takes in whole new files, so a growing log has to be rotated into chunks named
-    ``<log name>.<chunk number>``. ``ord`` puts the chunk number in front of the line's place.
+    ``<log name>.<chunk number>``.
     """
     reader = spark.readStream.option("lineSep", "\n")
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return chunk_lines(_as_lines(reader.text(path)))
+    return reader.text(path).select(
+        F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("raw"),
+    )
 
 
-def chunk_lines(lines: DataFrame) -> DataFrame:
-    """Lines of rotated chunks: the chunk number moves from the file name into ``ord``.
+def ordered_chunks(batch: DataFrame) -> DataFrame:
+    """``lines`` of one micro-batch: ``ord`` is (chunk number, block offset in MiB, row in task).
 
-    A chunk may hold 2**40 line places and a log 2**22 chunks.
+    Room for 2**22 chunks per log of up to 8 GiB each, and 2**27 lines per task.
     """
-    chunk = F.regexp_extract("log_id", r"\.(\d+)$", 1).try_cast("long")
-    return lines.select(
-        F.regexp_replace("log_id", r"\.\d+$", "").alias("log_id"),
-        (
-            F.shiftleft(F.coalesce(chunk, F.lit(0)).cast("long"), 40)
-            + F.shiftleft(F.shiftright(F.col("ord"), ROW_BITS), 27)
-            + F.col("ord").bitwiseAND(F.lit((1 << 27) - 1))
-        ).alias("ord"),
+    chunk = F.coalesce(F.regexp_extract("file_name", r"\.(\d+)$", 1).try_cast("long"), F.lit(0))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 27) - 1))
+    block = F.shiftright("block_start", BLOCK_BITS)
+    return batch.select(
+        F.regexp_replace("file_name", r"\.\d+$", "").alias("log_id"),
+        (F.shiftleft(chunk, 40) + F.shiftleft(block, 27) + row).alias("ord"),
         "raw",
     )
 

@@ -22,6 +22,8 @@ from skirmish.operators import encounters as E
 from skirmish.operators import fights as D
 from skirmish.operators import overrides as V
 from skirmish.operators import player
+from skirmish.operators.parse import parse_lines
+from skirmish.sources.logs import ordered_chunks
 from skirmish.sources.staging import cut, staging_dir
 
 BOUNDS = (
@@ -212,9 +214,21 @@ class FightStream:
         ).drop("_done")
         return D.late_kills(cut(near, "stream_near"), deaths, self.gap_seconds).select(*D.FIGHT)
 
-    def start(self, events: DataFrame, checkpoint: str, available_now: bool = False, every: str = "250 milliseconds"):
-        """Run the sink on a streaming events table."""
-        writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(self.process)
+    def process_lines(self, lines: DataFrame, batch_id: int) -> None:
+        """Take in one micro-batch of ``stream_lines``: put them in order, parse, detect."""
+        self.process(parse_lines(ordered_chunks(lines)), batch_id)
+
+    def start(
+        self,
+        stream: DataFrame,
+        checkpoint: str,
+        available_now: bool = False,
+        every: str = "250 milliseconds",
+        from_lines: bool = False,
+    ):
+        """Run the sink on a streaming events table, or on ``stream_lines`` with ``from_lines``."""
+        take = self.process_lines if from_lines else self.process
+        writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(take)
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
         return writer.start()
 

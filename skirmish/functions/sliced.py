@@ -68,7 +68,8 @@ def running(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
 
-    position = F.struct(*[F.col(c) for c in order])
+    # A single LONG keeps the summary a hash aggregation; a struct would make it sort.
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     pick = F.min_by if descending else F.max_by
     aggs = []
     for n in last:

@@ -26,17 +26,27 @@ def type_counts(parsed: DataFrame) -> DataFrame:
 
 
 def unknown_shapes(events: DataFrame) -> DataFrame:
-    """Per log and digit-free shape: how often, and its first line."""
+    """Per log and digit-free shape of the unknown lines: how often, and where first."""
     return (
         events.where(F.col("event_type") == "unknown")
         .groupBy("log_id", S.body_shape("body").alias("shape"))
-        .agg(F.count("*").alias("lines"), F.min_by("body", "ord").alias("example"), F.min("ord").alias("first_ord"))
+        .agg(F.count("*").alias("lines"), F.min("ord").alias("first_ord"))
     )
 
 
-def top_shapes(shapes: DataFrame, limit: int = 200) -> DataFrame:
+def top_shapes(events: DataFrame, limit: int = 200) -> DataFrame:
+    """The most frequent shapes of each log with their first line as the example.
+
+    Counting carries numbers only; the examples of the listed shapes are looked up afterwards.
+    """
     order = Window.partitionBy("log_id").orderBy(F.col("lines").desc(), "first_ord")
-    return shapes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    top = unknown_shapes(events).withColumn("place", F.row_number().over(order)).where(
+        F.col("place") <= limit
+    )
+    lines = events.where(F.col("event_type") == "unknown").select(
+        "log_id", F.col("ord").alias("first_ord"), F.col("body").alias("example")
+    )
+    return top.join(lines, ["log_id", "first_ord"])
 
 
 def shape_totals(shapes: DataFrame) -> DataFrame:

@@ -42,31 +42,29 @@ def _heal_neighbours(rows: DataFrame, heals: DataFrame, gap_seconds: int) -> tup
     ).select("log_id", "ord", "t", F.coalesce("_new", "_open").alias("heal_session"))
     h = cut(h, "heal_sessions")
     sessions = h.groupBy("log_id", "heal_session").agg(F.max_by("t", "ord").alias("session_last_t"))
-    opening = h.where(F.col("ord") == F.col("heal_session")).select(
-        "log_id", "heal_session", F.struct("heal_session", "t").alias("_o")
-    )
+    opening = h.where(F.col("ord") == F.col("heal_session")).select("log_id", "heal_session", "t")
     opening = running(
-        opening, ["log_id"], ord_slice("heal_session"), ["heal_session"], last={"next_open": F.col("_o")}, descending=True
-    )
-    sessions = sessions.join(
-        opening.select(
-            "log_id",
-            "heal_session",
-            F.col("next_open.heal_session").alias("next_session_ord"),
-            F.col("next_open.t").alias("next_session_t"),
-        ),
-        ["log_id", "heal_session"],
+        opening,
+        ["log_id"],
+        ord_slice("heal_session"),
+        ["heal_session"],
+        last={"next_session_ord": F.col("heal_session"), "next_session_t": F.col("t")},
+        descending=True,
     )
-    mark = F.struct("ord", "t", "heal_session")
-    both = rows.withColumn("_heal", F.lit(None).cast("struct<ord:bigint,t:bigint,heal_session:bigint>")).unionByName(
-        h.select("log_id", "ord", "t", mark.alias("_heal")), allowMissingColumns=True
+    sessions = sessions.join(opening.drop("t"), ["log_id", "heal_session"])
+    both = rows.withColumn("_session", F.lit(None).cast("long")).unionByName(
+        h.select("log_id", "ord", "t", F.col("heal_session").alias("_session")), allowMissingColumns=True
     )
     both = cut(both, "combat_and_heals")
-    both = running(both, ["log_id"], ord_slice("ord"), ["ord"], last={"heal_before": F.col("_heal")})
-    both = running(
-        both, ["log_id"], ord_slice("ord"), ["ord"], last={"heal_after": F.col("_heal")}, descending=True
-    )
-    rows = both.where(F.col("_heal").isNull()).drop("_heal")
+    is_heal = F.col("_session").isNotNull()
+    for side, falling in (("heal_before", False), ("heal_after", True)):
+        values = {f"_{c}": F.when(is_heal, F.col(c)) for c in ("ord", "t", "_session")}
+        both = running(both, ["log_id"], ord_slice("ord"), ["ord"], last=values, descending=falling)
+        near = F.struct(
+            F.col("_ord").alias("ord"), F.col("_t").alias("t"), F.col("__session").alias("heal_session")
+        )
+        both = both.withColumn(side, F.when(F.col("_ord").isNotNull(), near)).drop(*values)
+    rows = both.where(~is_heal).drop("_session")
     return cut(rows, "heal_neighbours"), cut(sessions, "heal_spans")
 
 
@@ -177,14 +175,20 @@ def tag_fights(
 
 def fight_bounds(tagged: DataFrame, sessions: DataFrame | None, gap_seconds: int) -> DataFrame:
     """One row per fight: start, end, close position and close time."""
-    acts = ~F.col("is_death")
-    last_state = ["t"] + (["heal_after"] if sessions is not None else [])
+    act_ord = F.when(~F.col("is_death"), F.col("ord"))
+    heard = []
+    if sessions is not None:
+        heard = [
+            F.max_by(F.col(f"heal_after.{c}"), act_ord).alias(f"_after_{c}")
+            for c in ("ord", "t", "heal_session")
+        ]
     fights = (
         tagged.where(F.col("open_ord").isNotNull())
         .groupBy(*FIGHT)
         .agg(
             F.min_by("t", "ord").alias("start_t"),
-            F.max_by(F.struct(*last_state), F.when(acts, F.col("ord"))).alias("_last"),
+            F.max_by("t", act_ord).alias("_last_t"),
+            *heard,
             F.max(F.when(F.col("is_death"), F.col("ord"))).alias("_death_ord"),
             F.max(F.when(F.col("is_death"), F.col("t"))).alias("_death_t"),
             F.coalesce(F.sum("amount"), F.lit(0)).alias("total_damage"),
@@ -197,27 +201,23 @@ def fight_bounds(tagged: DataFrame, sessions: DataFrame | None, gap_seconds: int
         ["log_id", "target"],
         ord_slice("open_ord"),
         ["open_ord"],
-        last={"_next": F.struct("open_ord", "start_t")},
+        last={"_next_open": F.col("open_ord"), "_next_t": F.col("start_t")},
         descending=True,
     )
-    last_t = F.col("_last.t")
-    close_ord, close_t, idle_end = F.col("_next.open_ord"), F.col("_next.start_t"), last_t
+    last_t, next_open = F.col("_last_t"), F.col("_next_open")
+    close_ord, close_t, idle_end = next_open, F.col("_next_t"), last_t
     if sessions is not None:
-        after = F.col("_last.heal_after")
-        fights = fights.withColumn("heal_session", after["heal_session"]).join(
+        after_ord, after_t = F.col("_after_ord"), F.col("_after_t")
+        fights = fights.withColumnRenamed("_after_heal_session", "heal_session").join(
             sessions, ["log_id", "heal_session"], "left"
         )
         # A heal before the next fight counts; the fight runs on through that heal's session.
-        heard = after.isNotNull() & (
-            F.col("_next").isNull() | (after["ord"] < F.col("_next.open_ord"))
-        )
-        in_time = heard & (after["t"] - last_t <= gap_seconds)
+        counts = after_ord.isNotNull() & (next_open.isNull() | (after_ord < next_open))
+        in_time = counts & (after_t - last_t <= gap_seconds)
         idle_end = F.when(in_time, F.greatest(last_t, F.col("session_last_t"))).otherwise(last_t)
-        heal_ord = F.when(in_time, F.col("next_session_ord")).when(heard, after["ord"])
-        heal_t = F.when(in_time, F.col("next_session_t")).when(heard, after["t"])
-        heal_first = heal_ord.isNotNull() & (
-            F.col("_next").isNull() | (heal_ord < F.col("_next.open_ord"))
-        )
+        heal_ord = F.when(in_time, F.col("next_session_ord")).when(counts, after_ord)
+        heal_t = F.when(in_time, F.col("next_session_t")).when(counts, after_t)
+        heal_first = heal_ord.isNotNull() & (next_open.isNull() | (heal_ord < next_open))
         close_ord = F.when(heal_first, heal_ord).otherwise(close_ord)
         close_t = F.when(heal_first, heal_t).otherwise(close_t)
     killed = F.col("_death_ord").isNotNull()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skirmish.functions import scalars as S
 from skirmish.functions.sliced import numbered, time_slice
+from skirmish.operators.stats import heals_by_name
 from skirmish.operators.timeline import packed
 
 ENCOUNTER = ("log_id", "encounter_id")
@@ -33,10 +34,10 @@ def damage_values(attackers: DataFrame) -> DataFrame:
 
 
 def healing_values(heals: DataFrame) -> DataFrame:
-    return heals.groupBy(*ENCOUNTER, S.fold("actor").alias("name_key")).agg(
-        F.min_by("actor", "ord").alias("name"),
+    return heals_by_name(heals).groupBy(*ENCOUNTER, S.fold("actor").alias("name_key")).agg(
+        F.min_by("actor", "first_ord").alias("name"),
         F.sum("amount").alias("value"),
-        F.max("amount").alias("biggest"),
+        F.max("biggest").alias("biggest"),
     )
 
 

@@ -25,21 +25,33 @@ def _sum(c="amount"):
     return F.coalesce(F.sum(c), F.lit(0))
 
 
-def _place():
-    """Order in which names are first met: by fight, then by position in the log."""
-    return F.struct("fight_id", "ord")
+def _merged(per_fight: DataFrame, by: Sequence[str], keys: Sequence[str], peak: str) -> DataFrame:
+    """Per-fight rows merged into ``by``: sums, the peak's maximum, and the earliest place.
+
+    Names count as met by fight, then by position. Rows are reduced per fight first, where all
+    buffers are plain numbers and the aggregation hashes; the struct is left to the few rows here.
+    """
+    sums = [c for c in per_fight.columns if c not in {*by, *keys, peak, "fight_id", "first_ord"}]
+    return per_fight.groupBy(*by, *keys).agg(
+        *[F.sum(c).alias(c) for c in sums],
+        F.max(peak).alias(peak),
+        F.min(F.struct("fight_id", "first_ord")).alias("first_seen"),
+    )
 
 
 def attackers(acts: DataFrame, by: Sequence[str] = FIGHT_ID, who: str = "actor") -> DataFrame:
     """Per attacker: damage, hits, misses, crits, biggest hit; miss-only attackers keep a row."""
-    return acts.groupBy(*by, who).agg(
+    rows = acts.groupBy(*dict.fromkeys([*by, "fight_id", who])).agg(
         _sum().alias("damage"),
         F.count_if(_hit()).alias("hits"),
         F.count_if(~_hit()).alias("misses"),
         F.count_if(_hit() & S.is_crit("modifiers")).alias("crits"),
         F.coalesce(F.max("amount"), F.lit(0)).alias("biggest"),
-        F.min(_place()).alias("first_seen"),
+        F.min("ord").alias("first_ord"),
     )
+    if "fight_id" in by:
+        return rows.withColumn("first_seen", F.struct("fight_id", "first_ord")).drop("first_ord")
+    return _merged(rows, by, [who], "biggest")
 
 
 def attacker_shares(rows: DataFrame, totals: DataFrame, by: Sequence[str] = FIGHT_ID) -> DataFrame:
@@ -85,16 +97,18 @@ def defense_pairs(acts: DataFrame, by: Sequence[str] = FIGHT_ID) -> DataFrame:
     avoided = [
         F.count_if(~_hit() & (F.col("outcome") == o)).alias(f"avoided_{o}") for o in S.OUTCOMES
     ]
-    out = acts.groupBy(*by, "actor", "target").agg(
+    rows = acts.groupBy(*dict.fromkeys([*by, "fight_id", "actor", "target"])).agg(
         _sum().alias("damage_taken"),
         F.count_if(_hit()).alias("hits_landed"),
         F.coalesce(F.max("amount"), F.lit(0)).alias("biggest_taken"),
         *avoided,
         F.count_if(~_hit()).alias("total_avoided"),
         F.count("*").alias("total_swings"),
-        F.min(_place()).alias("first_seen"),
+        F.min("ord").alias("first_ord"),
     )
-    return out
+    if "fight_id" in by:
+        return rows.withColumn("first_seen", F.struct("fight_id", "first_ord")).drop("first_ord")
+    return _merged(rows, by, ["actor", "target"], "biggest_taken")
 
 
 def session_totals(encounters: DataFrame) -> DataFrame:
@@ -106,16 +120,27 @@ def session_totals(encounters: DataFrame) -> DataFrame:
     )
 
 
-def healers(heals: DataFrame) -> DataFrame:
-    """Per encounter and healer (any casing): amount, casts, crits, biggest, rate and share."""
-    per = heals.groupBy(*ENCOUNTER, S.fold("actor").alias("healer_key")).agg(
-        F.min_by("actor", "ord").alias("healer"),
+def heals_by_name(heals: DataFrame) -> DataFrame:
+    """Per encounter and exact healer name."""
+    return heals.groupBy(*ENCOUNTER, "actor").agg(
         F.sum("amount").alias("amount"),
         F.count("*").alias("casts"),
         F.count_if(S.is_heal_crit("modifiers")).alias("crits"),
         F.max("amount").alias("biggest"),
-        F.first("enc_start_t").alias("_s"),
-        F.first("enc_end_t").alias("_e"),
+        F.min("ord").alias("first_ord"),
+        F.first(F.col("enc_end_t") - F.col("enc_start_t")).alias("duration_seconds"),
+    )
+
+
+def healers(heals: DataFrame) -> DataFrame:
+    """Per encounter and healer (any casing): amount, casts, crits, biggest, rate and share."""
+    per = heals_by_name(heals).groupBy(*ENCOUNTER, S.fold("actor").alias("healer_key")).agg(
+        F.min_by("actor", "first_ord").alias("healer"),
+        F.sum("amount").alias("amount"),
+        F.sum("casts").alias("casts"),
+        F.sum("crits").alias("crits"),
+        F.max("biggest").alias("biggest"),
+        F.first("duration_seconds").alias("_d"),
     )
     total = per.groupBy(*ENCOUNTER).agg(F.sum("amount").alias("_total"))
     per = per.join(total, list(ENCOUNTER))
@@ -127,7 +152,7 @@ def healers(heals: DataFrame) -> DataFrame:
         "casts",
         "crits",
         "biggest",
-        S.whole(S.actor_rate("amount", F.col("_e") - F.col("_s"))).alias("hps"),
+        S.whole(S.actor_rate("amount", "_d")).alias("hps"),
         S.pct_of("amount", "_total").alias("pct_of_total"),
     )
 
@@ -140,7 +165,10 @@ def healer_spells(heals: DataFrame) -> DataFrame:
 
 def canonical_names(acts: DataFrame) -> DataFrame:
     """First spelling of every name met in the non-corpse hits of an encounter."""
-    names = _matrix_hits(acts).select(
+    pairs = _matrix_hits(acts).groupBy(*ENCOUNTER, "fight_id", "actor", "target").agg(
+        F.min("ord").alias("ord")
+    )
+    names = pairs.select(
         *ENCOUNTER,
         F.explode(
             F.array(

@@ -193,12 +193,12 @@ _CONV = "SELECT role AS log_id, conv_id * 1000000 + turn AS ord, text AS body FR
 
 @query("unknown_shapes_documents", sql(_TOP_SHAPES, txt=_DOCS, shp=_SHAPES))
 def _(w: Workspace) -> DataFrame:
-    return coverage.top_shapes(coverage.unknown_shapes(tables.text_events(w.spark, w.sf_dir, "documents")))
+    return coverage.top_shapes(tables.text_events(w.spark, w.sf_dir, "documents"))
 
 
 @query("unknown_shapes_conversations", sql(_TOP_SHAPES, txt=_CONV, shp=_SHAPES))
 def _(w: Workspace) -> DataFrame:
-    return coverage.top_shapes(coverage.unknown_shapes(tables.text_events(w.spark, w.sf_dir, "conversations")))
+    return coverage.top_shapes(tables.text_events(w.spark, w.sf_dir, "conversations"))
 
 
 @query("unknown_shape_totals", sql(

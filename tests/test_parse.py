@@ -112,8 +112,9 @@ def test_long_body_with_quotes_is_linear(spark):
 def test_shapes(spark):
     bodies = ["hit 12 of 3", "other", "hit 4 of 55", "hit x"]
     df = spark.createDataFrame([("l", i, STAMP + b) for i, b in enumerate(bodies)], "log_id string, ord long, raw string")
-    shapes = unknown_shapes(parse_lines(df))
-    top = [(r.place, r["shape"], r.lines, r.example) for r in top_shapes(shapes, 2).orderBy("place").collect()]
+    events = parse_lines(df)
+    shapes = unknown_shapes(events)
+    top = [(r.place, r["shape"], r.lines, r.example) for r in top_shapes(events, 2).orderBy("place").collect()]
     assert top == [(1, "hit N of N", 2, "hit 12 of 3"), (2, "other", 1, "other")]
     assert shape_totals(shapes).first()[1:] == (3, 4)
 

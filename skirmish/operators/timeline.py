@@ -81,7 +81,11 @@ def packed_timeline(
     start: str = "fight_start_t",
     end: str = "fight_end_t",
 ) -> DataFrame:
-    keys = [*by, "actor"]
+    return _packed_by(acts, [*by, "actor"], width, start, end)
+
+
+def _packed_by(acts: DataFrame, keys: Sequence[str], width: int, start: str, end: str) -> DataFrame:
+    """Dense damage series per key; only as many zeros as the keys themselves span."""
     spine = acts.groupBy(*keys).agg(
         F.first(S.bucket_count(F.col(end) - F.col(start), width)).alias("n_buckets")
     )
@@ -89,26 +93,41 @@ def packed_timeline(
     return packed(bucketed(hits, keys, start, end, width), spine, keys, "amount")
 
 
-def raid_series(series: DataFrame, width: int = 5, by: Sequence[str] = ("log_id", "fight_id")) -> DataFrame:
+def raid_series(
+    acts: DataFrame,
+    width: int = 5,
+    by: Sequence[str] = ("log_id", "fight_id"),
+    start: str = "fight_start_t",
+    end: str = "fight_end_t",
+) -> DataFrame:
     """All attackers together per bucket, and the rate of each bucket."""
-    return series.groupBy(*by, "bucket").agg(F.sum("amount").alias("amount")).withColumn(
-        "dps", F.col("amount") / F.lit(width)
-    )
+    series = long_form(_packed_by(acts, by, width, start, end), by, "amount")
+    return series.withColumn("dps", F.col("amount") / F.lit(width))
 
 
 def top_and_other(
-    series: DataFrame, width: int = 5, top: int = 8, by: Sequence[str] = ("log_id", "fight_id")
+    acts: DataFrame,
+    width: int = 5,
+    top: int = 8,
+    by: Sequence[str] = ("log_id", "fight_id"),
+    start: str = "fight_start_t",
+    end: str = "fight_end_t",
 ) -> DataFrame:
-    """Per-second series of the ``top`` actors, the rest summed as ``Other``."""
-    totals = series.groupBy(*by, "actor").agg(F.sum("amount").alias("_total"))
+    """Per-second series of the ``top`` actors, the rest summed as ``Other``.
+
+    Actors are relabeled before bucketing, so only the shown lines are filled with zeros.
+    """
+    totals = acts.groupBy(*by, "actor").agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("_total"))
     order = Window.partitionBy(*by).orderBy(F.col("_total").desc(), "actor")
     best = totals.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= top)
-    label = F.when(F.col("_place").isNotNull(), F.col("actor")).otherwise("Other")
-    return (
-        series.join(best.drop("_total"), [*by, "actor"], "left")
-        .groupBy(*by, label.alias("label"), F.col("_place").isNull().alias("is_other"), "bucket")
-        .agg((F.sum("amount") / F.lit(width)).alias("rate"))
-    )
+    rest = F.col("_place").isNull()
+    lines = acts.join(best.drop("_total"), [*by, "actor"], "left").select(
+        *by, F.when(rest, "Other").otherwise(F.col("actor")).alias("label"), rest.alias("is_other"),
+        "event_type", "t", "amount", start, end,
+    )
+    keys = [*by, "label", "is_other"]
+    series = long_form(_packed_by(lines, keys, width, start, end), keys, "amount")
+    return series.select(*keys, "bucket", (F.col("amount") / F.lit(width)).alias("rate"))
 
 
 def visible_rows(totals: DataFrame, min_dps: int = 100) -> DataFrame:

@@ -441,7 +441,7 @@ def _(w: Workspace) -> DataFrame:
 SELECT log_id, fight_id, bucket, {_sum('amount')} AS amount, sum(amount) / {WIDTH} AS dps FROM tl GROUP BY log_id, fight_id, bucket""",
     grid=_GRID, tl=_TL))
 def _(w: Workspace) -> DataFrame:
-    return timeline.raid_series(timeline.timeline(w.main.acts, WIDTH), WIDTH)
+    return timeline.raid_series(w.main.acts, WIDTH)
 
 
 @query("timeline_top_and_other", sql(f"""
@@ -451,7 +451,7 @@ FROM tl t JOIN (SELECT log_id, fight_id, actor, row_number() OVER (PARTITION BY
   FROM tl GROUP BY log_id, fight_id, actor) p USING (log_id, fight_id, actor)
 GROUP BY t.log_id, t.fight_id, label, is_other, bucket""", grid=_GRID, tl=_TL))
 def _(w: Workspace) -> DataFrame:
-    return timeline.top_and_other(timeline.timeline(w.main.acts, WIDTH), WIDTH, top=2)
+    return timeline.top_and_other(w.main.acts, WIDTH, top=2)
 
 
 @query("timeline_visible_rows", sql(f"""
@@ -1214,8 +1214,28 @@ def _(w: Workspace) -> DataFrame:
     return _fight_rows(replay(w.events, GAP, MIN_DAMAGE))
 
 
-@query("encounter_document_rows", None)
+def _document_sql() -> str:
+    sections = {
+        "header": "eb", "member": "mb", "attacker": f"(SELECT * FROM atk WHERE NOT {corpse('actor')})",
+        "special": "(SELECT DISTINCT log_id, encounter_id, actor, unnest(specials) FROM act WHERE hit)",
+        "timeline": f"(SELECT log_id, encounter_id, actor, unnest(range(CAST(greatest(1, any_value(ee - es) // {WIDTH} + 1) + 255 AS BIGINT) // 256)) FROM act GROUP BY log_id, encounter_id, actor)",
+        "biggest_hit": "(SELECT *, row_number() OVER (PARTITION BY log_id, encounter_id ORDER BY amount DESC) AS p FROM act WHERE hit QUALIFY p <= 10)",
+        "damage_pair": "mx", "damage_series": "ps", "hit": "mh",
+        "healer": "(SELECT DISTINCT log_id, encounter_id, lower(actor) FROM hl)", "heal_pair": "hm", "heal": "hl",
+        "biggest_heal": "(SELECT *, row_number() OVER (PARTITION BY log_id, encounter_id ORDER BY amount DESC) AS p FROM hl QUALIFY p <= 10)",
+        "defender": "(SELECT DISTINCT log_id, encounter_id, defender_key FROM df)", "defender_pair": "df",
+        "heals_received": "(SELECT DISTINCT log_id, encounter_id, lower(target) FROM hl)", "raw_attacker": "raw_a",
+    }
+    parts = [
+        f"SELECT log_id, encounter_id, '{name}' AS section, count(*) AS payloads FROM {src} GROUP BY log_id, encounter_id"
+        for name, src in sections.items()
+    ]
+    return sql(" UNION ALL ".join(parts), ps=_PS, df=_DF, raw_a=_RAW, hm=_HEAL_MATRIX)
+
+
+@query("encounter_documents", _document_sql())
 def _(w: Workspace) -> DataFrame:
+    """The rows of every encounter's document, counted by section."""
     from skirmish.sources.sinks import encounter_documents
 
-    return encounter_documents(w.main)
+    return encounter_documents(w.main, WIDTH).groupBy(*ENC, "section").agg(F.count("payload").alias("payloads"))

@@ -320,7 +320,37 @@ def _(w: Workspace) -> DataFrame:
     )
 
 
-@query("fights_heals_extend", None)
+_HEALS_EXTEND = {
+    "hp": "SELECT log_id, ord, t, lag(t) OVER (PARTITION BY log_id ORDER BY ord) AS p FROM ev WHERE event_type = 'heal'",
+    "hs": f"""SELECT log_id, ord, t, max(CASE WHEN p IS NULL OR t - p > {GAP} THEN ord END)
+OVER (PARTITION BY log_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS ses FROM hp""",
+    "hx": """SELECT log_id, ses, arg_max(t, ord) AS last_t, lead(ses) OVER (PARTITION BY log_id ORDER BY ses) AS next_ord
+FROM hs GROUP BY log_id, ses""",
+    "ah": """SELECT a.* EXCLUDE (pt, pd), b.t AS bt, b.ses AS bs, f.ord AS fo, f.t AS ft_, f.ses AS fs
+FROM ad a ASOF LEFT JOIN hs b ON a.log_id = b.log_id AND a.ord >= b.ord
+ASOF LEFT JOIN hs f ON a.log_id = f.log_id AND a.ord <= f.ord""",
+    "pv": """SELECT *, lag(t) OVER w AS pt, lag(is_death) OVER w AS pd, lag(fo) OVER w AS pfo, lag(ft_) OVER w AS pft, lag(fs) OVER w AS pfs
+FROM ah WINDOW w AS (PARTITION BY log_id, target ORDER BY ord)""",
+    "br": f"""SELECT *, pt IS NULL OR pd OR CASE WHEN pfo < ord
+  THEN NOT (pft - pt <= {GAP} AND pfs = bs AND (is_death OR t - bt <= {GAP})) ELSE NOT is_death AND t - pt > {GAP} END AS fresh FROM pv""",
+    "tg": """SELECT *, is_death AND fresh AS late, max(CASE WHEN NOT is_death AND fresh THEN ord END)
+OVER (PARTITION BY log_id, target ORDER BY ord ROWS UNBOUNDED PRECEDING) AS open_ord FROM br""",
+    "fb": """SELECT log_id, target, open_ord, arg_min(t, ord) AS start_t, max(CASE WHEN is_death THEN t END) AS death_t,
+  max(CASE WHEN is_death THEN ord END) AS death_ord, max(CASE WHEN NOT is_death THEN ord END) AS last_ord,
+  CAST(coalesce(sum(amount), 0) AS BIGINT) AS total_damage, count(*) FILTER (event_type IN ('melee_hit', 'spell_damage')) AS hits,
+  count(*) FILTER (event_type = 'melee_miss') AS misses FROM tg WHERE NOT late GROUP BY ALL""",
+    "fn": """SELECT *, lead(open_ord) OVER (PARTITION BY log_id, target ORDER BY open_ord) AS nx FROM fb""",
+    "fh": f"""SELECT f.*, l.t AS last_t, l.fo, x.last_t AS ses_t, x.next_ord,
+  l.fo IS NOT NULL AND (nx IS NULL OR l.fo < nx) AS counts, coalesce(l.ft_ - l.t <= {GAP}, FALSE) AS in_time
+FROM fn f JOIN pv l ON l.log_id = f.log_id AND l.ord = f.last_ord LEFT JOIN hx x ON x.log_id = f.log_id AND x.ses = l.fs""",
+    "fc": """SELECT log_id, target, open_ord, start_t, death_ord, total_damage, hits, misses,
+  coalesce(death_t, CASE WHEN counts AND in_time THEN greatest(last_t, ses_t) ELSE last_t END) AS end_t,
+  coalesce(death_ord, least(CASE WHEN counts THEN CASE WHEN in_time THEN next_ord ELSE fo END END, nx), 9223372036854775807) AS close_ord
+FROM fh""",
+}
+
+
+@query("fights_heals_extend", sql(FIGHT_SELECT + " FROM ft", **_HEALS_EXTEND))
 def _(w: Workspace) -> DataFrame:
     tagged, sessions = fights.tag_fights(w.events, GAP, heals_extend_fights=True)
     found = fights.detect_fights(

@@ -46,7 +46,7 @@ def top_shapes(events: DataFrame, limit: int = 200) -> DataFrame:
     lines = events.where(F.col("event_type") == "unknown").select(
         "log_id", F.col("ord").alias("first_ord"), F.col("body").alias("example")
     )
-    return top.join(lines, ["log_id", "first_ord"])
+    return top.withColumn("place", F.col("place").cast("long")).join(lines, ["log_id", "first_ord"])
 
 
 def shape_totals(shapes: DataFrame) -> DataFrame:

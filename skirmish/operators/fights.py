@@ -274,7 +274,8 @@ def late_kills(fights: DataFrame, deaths: DataFrame, gap_seconds: int) -> DataFr
             F.min_by("death_t", "death_ord").alias("death_t"),
         )
     span = F.sequence(F.floor(F.col("close_t") / width), F.floor(F.col("death_t") / width))
-    barrier = closed.select(
+    # Only fights that ended well before they were closed can block; kills never do.
+    barrier = closed.where(F.col("end_t") < (F.col("_bin") + 2) * width - grace).select(
         "log_id",
         "_bin",
         F.struct("close_ord", "open_ord").alias("b_key"),

@@ -73,7 +73,7 @@ def top_damage(
         .where(F.col("place") <= n)
         .select(
             *by,
-            "place",
+            F.col("place").cast("long").alias("place"),
             F.col("actor").alias("name"),
             "damage",
             "duration_seconds",
@@ -97,7 +97,7 @@ def top_healing(heals: DataFrame, spans: DataFrame, by: list[str], n: int = 5) -
         .join(spans.select(*by, "duration_seconds"), by)
         .select(
             *by,
-            "place",
+            F.col("place").cast("long").alias("place"),
             "name",
             "healing",
             S.is_you("name").alias("is_you"),
@@ -132,7 +132,7 @@ def combine_pets(rows: DataFrame, by: list[str]) -> DataFrame:
         "pct", F.when(mine, up(F.col("_damage") / F.col("_all") * 1000) / 10).otherwise(F.col("pct"))
     )
     again = Window.partitionBy(*by).orderBy(F.col("_damage").desc(), "place")
-    return out.withColumn("place", F.row_number().over(again)).select(
+    return out.withColumn("place", F.row_number().over(again).cast("long")).select(
         *by, "place", "name", F.col("_damage").alias("damage"), "dps", "pct", "is_you"
     )
 

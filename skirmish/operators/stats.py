@@ -363,7 +363,7 @@ def biggest_hits(acts: DataFrame, by: Sequence[str] = FIGHT_ID, k: int = 10) ->
         F.col("place") <= k
     )
     return hits.select(
-        *by, "place", (F.col("t") - F.col(start)).alias("offset_s"), "actor", "target",
+        *by, F.col("place").cast("long").alias("place"), (F.col("t") - F.col(start)).alias("offset_s"), "actor", "target",
         F.col("amount").alias("damage"), "specials",
     )
 
@@ -372,6 +372,6 @@ def biggest_heals(heals: DataFrame, k: int = 10) -> DataFrame:
     order = Window.partitionBy(*ENCOUNTER).orderBy(F.col("amount").desc(), "ord")
     top = heals.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     return top.select(
-        *ENCOUNTER, "place", (F.col("t") - F.col("enc_start_t")).alias("offset_s"), "actor", "target",
+        *ENCOUNTER, F.col("place").cast("long").alias("place"), (F.col("t") - F.col("enc_start_t")).alias("offset_s"), "actor", "target",
         F.col("amount").alias("damage"), "spell",
     )

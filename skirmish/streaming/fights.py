@@ -32,7 +32,6 @@ BOUNDS = (
 )
 OPEN = BOUNDS + ", last_ord bigint"
 ACTORS = "log_id string, target string, open_ord bigint, actor string, amount bigint"
-DEATHS = "log_id string, target string, ord bigint, t bigint"
 HEALS = "log_id string, ord bigint, t bigint, actor string, target string, amount bigint"
 KILLS = "log_id string, target string, open_ord bigint"
 TOUCHED = "log_id string"
@@ -166,8 +165,7 @@ class FightStream:
         late = tagged.where(F.col("is_death") & F.col("open_ord").isNull()).select(
             "log_id", "target", "ord", "t"
         )
-        self._write(late, "late_deaths", batch_id)
-        self._write(self._late_kills(batch_id), "kills", batch_id)
+        self._settle_late_deaths(now.where(~is_open), late, events, batch_id)
 
         live = now.where(is_open).select("log_id", "target", "_tag", "open_ord")
         fresh = (
@@ -183,36 +181,48 @@ class FightStream:
             F.coalesce(F.sum("amount"), F.lit(0)).alias("amount")
         )
         self._write(actors, "open_actors", batch_id)
-        heals = events.where(F.col("event_type") == "heal").select(
-            "log_id", "ord", S.epoch("ts").alias("t"), "actor", "target", "amount"
+        # Heals are kept as long as a fight that was running at their time is open.
+        since = now.where(is_open).groupBy("log_id").agg(F.min("start_t").alias("_since"))
+        heals = (
+            events.where(F.col("event_type") == "heal")
+            .select("log_id", "ord", S.epoch("ts").alias("t"), "actor", "target", "amount")
+            .unionByName(self._latest("open_heals", HEALS, batch_id - 1))
         )
-        self._write(heals, "heals", batch_id)
+        heals = heals.join(since, "log_id").where(F.col("t") >= F.col("_since")).drop("_since")
+        self._write(heals, "open_heals", batch_id)
         touched = events.select("log_id").distinct()
         if self.encounter_gap_seconds is not None:
             mine = self.fights(min_damage=0, upto=batch_id).join(touched, "log_id", "left_semi")
             self._write(E.group_fights(mine, self.encounter_gap_seconds), "members", batch_id)
         self._write(touched, "touched", batch_id)
 
-    def _late_kills(self, batch_id: int) -> DataFrame:
-        """Fights completed by a death that found no open fight, now or one batch ago.
+    def _settle_late_deaths(
+        self, closed: DataFrame, deaths: DataFrame, events: DataFrame, batch_id: int
+    ) -> None:
+        """Write the fights completed by a death that found no open fight.
 
-        Both tables are narrowed to the fights closed shortly before one of the batch's deaths.
+        Such a death concerns fights closed less than ten seconds before, so only the fights closed
+        at the end of each log are carried from batch to batch (``recent``).
         """
-        deaths = self._latest("late_deaths", DEATHS, batch_id)
-        bins = deaths.select(
-            "log_id", F.explode(F.sequence(F.floor(F.col("t") / 10) - 2, F.floor(F.col("t") / 10))).alias("_b")
-        ).distinct()
-        closed = self._read("closed", BOUNDS).where(F.col("batch") <= batch_id).drop("batch")
-        near = closed.withColumn("_b", F.floor(F.col("close_t") / 10)).join(
-            bins, ["log_id", "_b"], "left_semi"
-        ).drop("_b")
-        flipped = self._read("kills", KILLS).where(F.col("batch") < batch_id).drop("batch").withColumn(
-            "_done", F.lit(True)
+        columns = [c.split()[0] for c in BOUNDS.split(", ")]
+        near = closed.select(*columns).unionByName(
+            self._latest("recent", BOUNDS, batch_id - 1).select(*columns)
         )
-        near = near.join(flipped, list(D.FIGHT), "left").withColumn(
-            "fight_complete", F.col("fight_complete") | F.coalesce("_done", F.lit(False))
-        ).drop("_done")
-        return D.late_kills(cut(near, "stream_near"), deaths, self.gap_seconds).select(*D.FIGHT)
+        near = cut(near, "stream_recent")
+        kills = D.late_kills(near, deaths, self.gap_seconds).select(*D.FIGHT)
+        self._write(kills, "kills", batch_id)
+        settled = self._latest("kills", KILLS, batch_id).withColumn("_late", F.lit(True))
+        ends = events.groupBy("log_id").agg(F.max(S.epoch("ts")).alias("_end_t"))
+        recent = (
+            near.join(settled, list(D.FIGHT), "left")
+            .withColumn("fight_complete", F.col("fight_complete") | F.coalesce("_late", F.lit(False)))
+            .join(ends, "log_id", "left")
+            .where(
+                F.col("_end_t").isNull()
+                | (F.col("close_t") >= F.col("_end_t") - 2 * S.LATE_DEATH_SLACK_SECONDS)
+            )
+        )
+        self._write(recent.select(*columns), "recent", batch_id)
 
     def process_lines(self, lines: DataFrame, batch_id: int) -> None:
         """Take in one micro-batch of ``stream_lines``: put them in order, parse, detect."""
@@ -269,7 +279,7 @@ class FightStream:
         batch = self._last_batch()
         live = self._latest("open", OPEN, batch)
         acts = V.apply_pet_owners(self._latest("open_actors", ACTORS, batch), self.pet_owners)
-        heals = V.apply_pet_owners(self._read("heals", HEALS).drop("batch"), self.pet_owners)
+        heals = V.apply_pet_owners(self._latest("open_heals", HEALS, batch), self.pet_owners)
         return player.active_view(live, acts, heals)
 
 

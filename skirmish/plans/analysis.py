@@ -109,3 +109,28 @@ def analyze(
     manual_groups: DataFrame | None = None,
 ) -> Analysis:
     return group(detect(events, options), pet_owners, manual_groups)
+
+
+def analyze_target(
+    events: DataFrame,
+    target: str,
+    pet_owners: DataFrame | None = None,
+    specials: Sequence[str] = S.DEFAULT_SPECIALS,
+) -> DataFrame:
+    """The rows of one named target's fight per log, in the layout of ``Analysis.acts``.
+
+    Feeds the per-fight statistics, series and top hits; each log has one fight, number 1.
+    """
+    rows = D.single_target(events, target)
+    spans = D.analyze_fight(events, target).select(
+        "log_id",
+        S.epoch("start").alias("fight_start_t"),
+        S.epoch("end").alias("fight_end_t"),
+    )
+    rows = V.apply_pet_owners(rows.join(spans, "log_id"), pet_owners)
+    return rows.select(
+        "log_id", F.lit(1).cast("long").alias("fight_id"), "ord", "ts", S.epoch("ts").alias("t"), "event_type", "actor",
+        "raw_actor", "pet_origin", "target", "amount", "verb", "spell", "damage_type", "outcome", "modifiers",
+        F.when(F.col("event_type") != "melee_miss", S.specials("modifiers", specials)).alias("specials"),
+        "fight_start_t", "fight_end_t",
+    )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skirmish.functions import scalars as S
 from skirmish.operators import compare, coverage, encounters, fights, overrides, parse, player, session, sides, stats, timeline
-from skirmish.plans.analysis import Analysis, Detected, Options, analyze, detect, group
+from skirmish.plans.analysis import Analysis, Detected, Options, analyze_target, detect, group
 from skirmish.plans.oracles import CTE, GAP, MIN_DAMAGE, WIDTH, _fights, corpse, sql
 from skirmish.functions.scalars import OUTCOMES
 from skirmish.sources import logs, tables
@@ -383,6 +383,32 @@ def _(w: Workspace) -> DataFrame:
     )
 
 
+_TARGET = {
+    "mine": "SELECT *, event_type <> 'melee_miss' AS hit FROM ev WHERE lower(target) = 'varn, last warden' AND event_type IN ('melee_hit', 'spell_damage', 'melee_miss')",
+    "died": "SELECT log_id, min(ord) AS death_ord, arg_min(t, ord) AS death_t FROM ev WHERE lower(target) = 'varn, last warden' AND event_type = 'death' GROUP BY ALL",
+    "one": """SELECT m.*, min(t) OVER w AS fs, coalesce(death_t, max(t) OVER w) AS fe FROM mine m LEFT JOIN died USING (log_id)
+WHERE death_ord IS NULL OR ord < death_ord WINDOW w AS (PARTITION BY log_id)""",
+}
+
+
+@query("single_target_attackers", sql(f"""
+SELECT log_id, CAST(1 AS BIGINT) AS fight_id, actor, CAST(coalesce(sum(amount), 0) AS BIGINT) AS damage, count(*) FILTER (hit) AS hits,
+  count(*) FILTER (NOT hit) AS misses,
+  count(*) FILTER (hit AND len([m for m in modifiers if contains(m, 'Critical') OR contains(m, 'Crippling Blow')]) > 0) AS crits,
+  coalesce(max(amount), 0) AS biggest FROM one GROUP BY ALL""", **_TARGET))
+def _(w: Workspace) -> DataFrame:
+    return stats.attackers(analyze_target(w.events, "Varn, Last Warden")).drop("first_seen")
+
+
+@query("single_target_timeline", sql(f"""
+SELECT g.log_id, CAST(1 AS BIGINT) AS fight_id, g.actor, g.bucket, CAST(coalesce(v.amount, 0) AS BIGINT) AS amount
+FROM (SELECT log_id, actor, unnest(range(CAST(any_value(fe - fs) // {WIDTH} + 1 AS BIGINT))) AS bucket FROM one GROUP BY log_id, actor) g
+LEFT JOIN (SELECT log_id, actor, (t - fs) // {WIDTH} AS bucket, sum(amount) AS amount FROM one WHERE hit GROUP BY ALL) v
+USING (log_id, actor, bucket)""", **_TARGET))
+def _(w: Workspace) -> DataFrame:
+    return timeline.timeline(analyze_target(w.events, "Varn, Last Warden"), WIDTH)
+
+
 @query("fight_summary", sql(f"""
 SELECT f.log_id, f.fight_id, f.target, f.duration_seconds, f.total_damage, f.fight_complete, count(DISTINCT a.actor) AS attacker_count,
   {_whole('any_value(CASE WHEN f.duration_seconds > 0 THEN f.total_damage / f.duration_seconds ELSE 0.0 END)')} AS raid_dps

@@ -10,12 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 KEY = "spark.checkpoint.dir"
 
 
+_local: dict[str, str] = {}
+
+
 def staging_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where nothing is set."""
-    folder = spark.conf.get(KEY, None)
+    """The folder named by ``spark.checkpoint.dir``, or the one set on the context.
+
+    Only a local session without either gets a folder of its own.
+    """
+    folder = spark.conf.get(KEY, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set(KEY, folder)
+        app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {KEY} to a folder that all executors share")
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        folder = _local[app]
     return folder.rstrip("/")
 
 

@@ -52,9 +52,8 @@ def running(
     """
     last, total, largest = dict(last or {}), dict(total or {}), dict(largest or {})
     names = [*last, *total, *largest]
-    src = df.withColumn("_slice", slice_col)
-    for n, c in {**last, **total, **largest}.items():
-        src = src.withColumn(f"_v_{n}", c)
+    values = [c.alias(f"_v_{n}") for n, c in {**last, **total, **largest}.items()]
+    src = df.select("*", slice_col.alias("_slice"), *values)
 
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     local = (
@@ -83,13 +82,10 @@ def running(
     carried += [F.max(f"_s_{n}").over(across).alias(f"_c_{n}") for n in largest]
     summary = summary.select(*keys, "_slice", *carried)
 
-    out = src
-    for n in last:
-        out = out.withColumn(f"_l_{n}", F.last(f"_v_{n}", ignorenulls=True).over(local))
-    for n in total:
-        out = out.withColumn(f"_l_{n}", F.sum(f"_v_{n}").over(local))
-    for n in largest:
-        out = out.withColumn(f"_l_{n}", F.max(f"_v_{n}").over(local))
+    before = [F.last(f"_v_{n}", ignorenulls=True).over(local).alias(f"_l_{n}") for n in last]
+    before += [F.sum(f"_v_{n}").over(local).alias(f"_l_{n}") for n in total]
+    before += [F.max(f"_v_{n}").over(local).alias(f"_l_{n}") for n in largest]
+    out = src.select("*", *before)
     out = out.join(summary, [*keys, "_slice"])
     final = [F.col(c) for c in df.columns]
     for n in names:

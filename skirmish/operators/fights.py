@@ -107,9 +107,7 @@ def tag_fights(
     if heals_extend_fights:
         rows, sessions = _heal_neighbours(rows, events.where(kind == "heal"), gap_seconds)
     state_cols = ["t", "is_death"] + (["heal_before", "heal_after"] if heals_extend_fights else [])
-    rows = rows.withColumn("_slice", ord_slice("ord")).withColumn(
-        "_row", F.struct("ord", *state_cols)
-    )
+    rows = rows.select("*", ord_slice("ord").alias("_slice"), F.struct("ord", *state_cols).alias("_row"))
 
     keys = ["log_id", "target"]
     in_slice = Window.partitionBy(*keys, "_slice").orderBy("ord")

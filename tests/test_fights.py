@@ -39,63 +39,53 @@ def heal(o, at, **k):
     return event(o, at, "heal", actor="Cleric", target="Ann", amount=10, **k)
 
 
-def test_kill(spark):
-    assert rows_of(detect(spark, [hit(0, 0), hit(1, 1, amount=60_000), death(2, 2)])) == [
-        (1, "Boss", 0, 2, True, 110_000)
-    ]
-
-
-def test_log_ends_open(spark):
-    assert rows_of(detect(spark, [hit(0, 0), hit(1, 1)])) == [(1, "Boss", 0, 1, False, 100_000)]
-
-
-def test_gap_equal_stays_and_greater_splits(spark):
-    rows = [hit(0, 0), hit(1, 15), hit(2, 31)]
-    assert rows_of(detect(spark, rows)) == [
-        (1, "Boss", 0, 15, False, 100_000),
-        (2, "Boss", 31, 31, False, 50_000),
-    ]
-
-
-def test_misses_open_and_extend(spark):
-    rows = [miss(0, 0), hit(1, 50), miss(2, 100), hit(3, 150), death(4, 151)]
-    assert rows_of(detect(spark, rows, gap=60)) == [(1, "Boss", 0, 151, True, 100_000)]
-
-
-def test_death_has_no_gap_test(spark):
-    assert rows_of(detect(spark, [hit(0, 0), death(1, 500)])) == [(1, "Boss", 0, 500, True, 50_000)]
-
-
-def test_concurrent_targets_numbered_by_start(spark):
-    rows = [hit(0, 0), hit(1, 1, target="Add", amount=20_000), death(2, 2, target="Add"), death(3, 5)]
-    assert rows_of(detect(spark, rows)) == [
-        (1, "Boss", 0, 5, True, 50_000),
-        (2, "Add", 1, 2, True, 20_000),
-    ]
-
-
-def test_admission(spark):
-    rows = [
-        hit(0, 0, target="rat", amount=5),
-        hit(1, 0, target="You"),
-        hit(2, 0, target="Bo`s pet"),
-        hit(3, 0, target="YOU"),
-    ]
-    assert [r[1] for r in rows_of(detect(spark, rows))] == ["YOU"]
-    assert rows_of(detect(spark, [hit(0, 0), death(1, 5)], min_duration_seconds=10)) == []
-
-
-def test_casing_makes_two_fights(spark):
-    rows = [hit(0, 0, target="A rat"), hit(1, 1, target="a rat")]
-    assert len(rows_of(detect(spark, rows))) == 2
-
-
-def test_late_death_within_and_beyond_grace(spark):
+CASES = {
+    "kill": ([hit(0, 0), hit(1, 1, amount=60_000), death(2, 2)], [("Boss", 0, 2, True, 110_000)]),
+    "log ends open": ([hit(0, 0), hit(1, 1)], [("Boss", 0, 1, False, 100_000)]),
+    "equal gap stays, greater splits": (
+        [hit(0, 0), hit(1, 15), hit(2, 31)],
+        [("Boss", 0, 15, False, 100_000), ("Boss", 31, 31, False, 50_000)],
+    ),
+    "misses open and extend": (
+        [miss(0, 0), hit(1, 12), miss(2, 24), hit(3, 36), death(4, 37)],
+        [("Boss", 0, 37, True, 100_000)],
+    ),
+    "death has no gap test": ([hit(0, 0), death(1, 500)], [("Boss", 0, 500, True, 50_000)]),
+    "targets at the same time, by start": (
+        [hit(0, 0), hit(1, 1, target="Add", amount=20_000), death(2, 2, target="Add"), death(3, 5)],
+        [("Boss", 0, 5, True, 50_000), ("Add", 1, 2, True, 20_000)],
+    ),
+    "casing makes two fights": (
+        [hit(0, 0, target="A rat"), hit(1, 1, target="a rat")],
+        [("A rat", 0, 0, False, 50_000), ("a rat", 1, 1, False, 50_000)],
+    ),
+    "small, own and pet targets are not listed": (
+        [hit(0, 0, target="rat", amount=5), hit(1, 0, target="You"), hit(2, 0, target="Bo`s pet"), hit(3, 0, target="YOU")],
+        [("YOU", 0, 0, False, 50_000)],
+    ),
     # fight 1 runs out, fight 2 is killed, and a second death completes fight 1
-    rows = [hit(0, 0), hit(1, 16), death(2, 17), death(3, 25)]
-    assert [r[4] for r in rows_of(detect(spark, rows))] == [True, True]
-    rows = [hit(0, 0), hit(1, 16), death(2, 17), death(3, 26)]
-    assert [r[4] for r in rows_of(detect(spark, rows))] == [False, True]
+    "late death in time": (
+        [hit(0, 0), hit(1, 16), death(2, 17), death(3, 25)],
+        [("Boss", 0, 0, True, 50_000), ("Boss", 16, 17, True, 50_000)],
+    ),
+    "late death too late": (
+        [hit(0, 0), hit(1, 16), death(2, 17), death(3, 26)],
+        [("Boss", 0, 0, False, 50_000), ("Boss", 16, 17, True, 50_000)],
+    ),
+}
+
+
+def test_cases(spark):
+    rows = [(log, *r[1:]) for log, (case, _) in CASES.items() for r in case]
+    got = {log: [] for log in CASES}
+    for r in detect(spark, rows).orderBy("log_id", "fight_id").collect():
+        got[r.log_id].append((r.fight_id, r.target, seconds(r.start), seconds(r.end), r.fight_complete, r.total_damage))
+    for log, (_, want) in CASES.items():
+        assert got[log] == [(i, *w) for i, w in enumerate(want, 1)], log
+
+
+def test_min_duration(spark):
+    assert rows_of(detect(spark, [hit(0, 0), death(1, 5)], min_duration_seconds=10)) == []
 
 
 def test_open_policies(spark):
@@ -165,13 +155,14 @@ def fold(rows, gap, heals_extend, min_damage=0):
     return [(f["target"], f["start"], f["end"], f["killed"], f["damage"]) for f in kept]
 
 
-@pytest.mark.parametrize("gap,heals_extend", [(3, False), (12, False), (3, True), (12, True)])
-@pytest.mark.parametrize("slice_bits", [2, 20])
+@pytest.mark.parametrize(
+    "gap,heals_extend,slice_bits", [(3, False, 2), (12, False, 20), (3, True, 20), (12, True, 2), (12, False, 2)]
+)
 def test_random_logs_match_the_fold(spark, monkeypatch, gap, heals_extend, slice_bits):
     monkeypatch.setattr("skirmish.functions.sliced.SLICE_BITS", slice_bits)
     rng = random.Random(f"{gap}{heals_extend}")
     rows, want = [], {}
-    for n in range(250):
+    for n in range(400):
         log, at, plain = f"log{n:04d}", 0, []
         for o in range(rng.randint(5, 40)):
             at += rng.choice([0, 0, 1, 1, 2, 3, 4, 5, 8, 13])

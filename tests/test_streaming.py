@@ -33,12 +33,12 @@ def random_rows(seed, n, logs=("x", "y")):
 def test_batches_give_the_fights_of_one_batch(spark, tmp_path):
     rows = random_rows(7, 90)
     sink = FightStream(spark, str(tmp_path / "t"), 15, encounter_gap_seconds=0)
-    for i in range(3):
-        sink.process(frame(spark, [r for r in rows if i * 30 <= r[1] < (i + 1) * 30]), i)
+    sink.process(frame(spark, [r for r in rows if r[1] < 45]), 0)
+    sink.process(frame(spark, [r for r in rows if r[1] >= 45]), 1)
     want = detect(frame(spark, rows), Options(min_damage=0)).fights
     assert listed(sink.fights(min_damage=0)) == listed(want)
     # a repeated batch changes nothing
-    sink.process(frame(spark, [r for r in rows if r[1] >= 60]), 2)
+    sink.process(frame(spark, [r for r in rows if r[1] >= 45]), 1)
     assert listed(sink.fights(min_damage=0)) == listed(want)
     assert sink.members().count() == want.count()
     open_now = sink.fights(min_damage=0).where("in_progress")

@@ -32,7 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, blocks, ranges
+from . import packing
+from .packing import pack
+from .words import Words, blocks, mix, ranges
 
 #: Occurrences from which an anchor is split by window.
 FREQUENT = 2000
@@ -115,19 +117,19 @@ def _occurrences(window: int, gram: int, count: bool):
             parts = []
             for low, _, data, offsets in blocks(batch.column("text")):
                 words = Words(data, offsets)
-                row, anchor, first, n = _anchors(words, window, gram)
+                row, anchor, first, _ = _anchors(words, window, gram)
                 keep = known[low + row]
-                parts.append((anchor[keep], ids[low + row[keep]], (first - words.first[row])[keep], n[keep]))
+                parts.append((anchor[keep], ids[low + row[keep]], (first - words.first[row])[keep]))
             if not parts:
                 continue
-            anchor, doc, first, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            anchor, doc, first = (np.concatenate(x) for x in zip(*parts, strict=True))
             if count:
                 anchor, times = np.unique(anchor, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(times)], ["anchor", "times"])
             else:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(doc), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    ["anchor", "doc_id", "first", "n"],
+                    [pa.array(anchor.view(np.int64)), pa.array(doc), pa.array(first.astype(np.int32))],
+                    ["anchor", "doc_id", "first"],
                 )
 
     return run
@@ -150,33 +152,38 @@ def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nd
 SENT = "key long, doc_id long, first int, stop int, text binary"
 
 
-def _passages(window: int):
-    """Documents with their repeated anchors to passages; passages that repeat in the batch are decided here."""
+def _passages(window: int, gram: int):
+    """Documents with the places of their repeated anchors (2 * first window, plus 1 if split) to passages.
+
+    Passages that repeat in the batch are decided here.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, _ = _ids(batch)
             places = batch.column("places")
             begin = np.asarray(places.offsets)
-            flat = places.values
-            p_first, p_n = (np.asarray(flat.field(k)).astype(np.int64) for k in ("first", "n"))
-            p_key, p_split = np.asarray(flat.field("anchor")).view(np.uint64), np.asarray(flat.field("split"))
+            flat = np.asarray(places.values)
             parts, texts = [], []
-            for low, high, data, offsets in blocks(batch.column("text")):
+            for low, high, data, offsets in packing.blocks(batch.column("text")):
                 words = Words(data, offsets)
                 owner, i = ranges(begin[low:high], begin[low + 1 : high + 1])
-                first, n, key, split = p_first[i], p_n[i], p_key[i], p_split[i]
+                asked = words.first[owner] + (flat[i] >> 1)
+                row, anchors, heads, runs = _anchors(words, window, gram)
+                # a place without a run here belongs to another text with the same doc_id
+                at = np.searchsorted(heads, asked)
+                fits = at < len(heads)
+                fits[fits] = (heads[at[fits]] == asked[fits]) & (row[at[fits]] == owner[fits])
+                at, owner, split = at[fits], owner[fits], (flat[i] & 1).astype(bool)[fits]
+                key, first, n = anchors[at], heads[at] - words.first[owner], runs[at]
                 # windows of split anchors, passages of the others
                 once = ~split
                 single, at = ranges(first[split], first[split] + n[split])
                 owner = np.concatenate([owner[once], owner[split][single]])
                 first = np.concatenate([first[once], at])
                 n = np.concatenate([n[once], np.ones(len(at), np.int64)])
-                size = words.first[1:] - words.first[:-1]
-                fits = first + n + window - 1 <= size[owner]  # not so only where a doc_id has two texts
-                key = np.concatenate([key[once], np.zeros(len(at), np.uint64)])[fits]
-                split = np.concatenate([np.zeros(int(once.sum()), bool), np.ones(len(at), bool)])[fits]
-                owner, first, n = owner[fits], first[fits], n[fits]
+                key = np.concatenate([key[once], np.zeros(len(at), np.uint64)])
+                split = np.concatenate([np.zeros(int(once.sum()), bool), np.ones(len(at), bool)])
                 begin_word = words.first[owner] + first
                 digest = words.windows(begin_word, begin_word + n + window - 1)
                 key = np.where(split, digest, key)
@@ -204,19 +211,13 @@ def _passages(window: int):
             d, a, b = _merged(doc[again], first[again], (first + n)[again] + window - 1)
             if len(d):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mix_ids(d)), pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.nulls(len(d), pa.binary())],
+                    [pa.array(mix(d.view(np.uint64)).view(np.int64)), pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.nulls(len(d), pa.binary())],
                     ["key", "doc_id", "first", "stop", "text"],
                 )
 
     return run
 
 
-def mix_ids(ids: np.ndarray) -> np.ndarray:
-    from .words import mix
-
-    return mix(ids.view(np.uint64)).view(np.int64)
-
-
 def _repeats_itself(words: list, n: int, window: int) -> bool:
     return any(words[i : i + window] == words[j : j + window] for j in range(1, n) for i in range(j) if words[i] == words[j])
 
@@ -269,15 +270,15 @@ def _match(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 6, frequent: int = FREQUENT) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, start, stop): words of windows that start earlier too, as half-open word spans; they may overlap."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     counted = texts.mapInArrow(_occurrences(window, gram, True), "anchor long, times long")
     repeated = counted.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1")
-    places = texts.mapInArrow(_occurrences(window, gram, False), "anchor long, doc_id long, first int, n int")
-    places = places.join(repeated.select("anchor", (F.col("times") > frequent).alias("split")), "anchor")
-    listed = places.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "anchor", "split")).alias("places"))
-    sent = texts.join(listed, "doc_id").select("doc_id", "text", "places").mapInArrow(_passages(window), SENT)
+    places = texts.mapInArrow(_occurrences(window, gram, False), "anchor long, doc_id long, first int")
+    places = places.join(repeated.select("anchor", (F.col("times") > frequent).cast("int").alias("split")), "anchor")
+    listed = places.groupBy("doc_id").agg(F.collect_list(F.col("first").cast("long") * 2 + F.col("split")).alias("places"))
+    sent = pack(texts).join(listed, "doc_id").select("doc_id", "text", "places").mapInArrow(_passages(window, gram), SENT)
     dealt = sent.repartition("key").sortWithinPartitions("key", "doc_id", "first")
     return dealt.mapInArrow(_match(window), "doc_id long, start int, stop int")
 
@@ -288,7 +289,7 @@ def _kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = np.asarray(spans.offsets)
         s, e = (np.asarray(spans.values.field(k)).astype(np.int64) for k in ("start", "stop"))
         total, gone, kept = [], [], []
-        for low, high, data, offsets in blocks(batch.column("text")):
+        for low, high, data, offsets in packing.blocks(batch.column("text")):
             words = Words(data, offsets)
             size = words.first[1:] - words.first[:-1]
             owner, i = ranges(begin[low:high], begin[low + 1 : high + 1])
@@ -314,12 +315,12 @@ def _kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6, frequent: int = FREQUENT) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of every row."""
     spans = repeated_spans(docs, window, gram, frequent).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     empty = F.array().cast("array<struct<start:int,stop:int>>")
-    joined = texts.join(spans, "doc_id", "left").select("doc_id", "text", F.coalesce("spans", empty).alias("spans"))
+    joined = pack(texts).join(spans, "doc_id", "left").select("doc_id", "text", F.coalesce("spans", empty).alias("spans"))
     return joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string")
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ LEAD = b"~" * 96 + b" "
 COMMON = 500
 TYPICAL = 24
 TIMES = 4.0
+#: Share of the toxic sample that a typical string occurs in, so that strings of one group of copies stay out.
+SUPPORT = 0.03
 THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
 #: Bounds of the labelled sample: rows of each class, and code points of each text.
 SAMPLE = 2500
@@ -89,7 +91,7 @@ def _strings(text: bytes) -> set[bytes]:
 
 
 def train(sample: list[tuple[int, str]]) -> Model | None:
-    texts = {y: [t.encode() for label, t in sample if label == y] for y in (0, 1)}
+    texts = {y: [t.encode() for t in dict.fromkeys(t for label, t in sample if label == y)] for y in (0, 1)}
     if not texts[0] or not texts[1]:
         return None
     df = {y: Counter(s for t in texts[y] for s in _strings(t)) for y in (0, 1)}
@@ -99,7 +101,7 @@ def train(sample: list[tuple[int, str]]) -> Model | None:
     def gain(s: bytes) -> float:
         return math.log((df[1][s] + 0.5) / n[1]) - math.log((df[0][s] + 0.5) / n[0])
 
-    least = max(3, n[1] // 120)
+    least = max(3, math.ceil(SUPPORT * n[1]))
     found = [s for s, k in df[1].items() if k >= least and len(s) >= LEAST_MATCH and gain(s) > math.log(TIMES)]
     typical: list[bytes] = []
     for s in sorted(found, key=lambda s: (-df[1][s] * gain(s) * len(s) ** 0.25, s)):
@@ -138,7 +140,14 @@ def _score(model: Model | None):
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, chars: int = CHARS) -> Model | None:
-    return train(labelled(docs, labels, "toxic", most, chars))
+    """The model, its constant set for the classes' shares among all labelled rows."""
+    model = train(sample := labelled(docs, labels, "toxic", most, chars))
+    if model is None:
+        return None
+    rows = labels.where(~held_out(F.col("doc_id"))).agg(*[F.sum((F.col("toxic") == y).cast("long")) for y in (0, 1)]).first()
+    drawn = [sum(y == k for y, _ in sample) for k in (0, 1)]
+    shift = math.log(rows[1] / rows[0]) - math.log(drawn[1] / drawn[0])
+    return replace(model, weights=(*model.weights[:-1], model.weights[-1] + shift))
 
 
 def scores(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -160,7 +169,7 @@ def _keep(model: Model | None, limit: float):
     return run
 
 
-def reject(docs: DataFrame, model: Model | None, limit: float = 0.8) -> DataFrame:
+def reject(docs: DataFrame, model: Model | None, limit: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below ``limit``."""
     return docs.mapInArrow(_keep(model, limit), docs.schema)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, jaccard, licenses, mixing, outliers, substring, toxicity
+from . import crf, jaccard, licenses, mixing, outliers, pii, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +46,6 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op4_ngram_jaccard, op5_quality_outliers, op7_line_crf, op8_toxicity, op9_mix_sources, op10_license_diagonals)
+    f.__name__: f for f in (op1_substring_dedup, op4_ngram_jaccard, op5_quality_outliers, op6_pii, op7_line_crf, op8_toxicity, op9_mix_sources, op10_license_diagonals)
 }
 ORACLES: dict[str, str] = {"op9_mix_sources": mixing.SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, jaccard, licenses, lines, mixing, outliers, pii, substring, toxicity
+from . import crf, decontam, jaccard, licenses, lines, mixing, outliers, pii, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,10 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op3_line_dedup, op4_ngram_jaccard, op5_quality_outliers, op6_pii, op7_line_crf, op8_toxicity, op9_mix_sources, op10_license_diagonals)
-}
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_decontamination, op3_line_dedup, op4_ngram_jaccard, op5_quality_outliers,
+        op6_pii, op7_line_crf, op8_toxicity, op9_mix_sources, op10_license_diagonals,
+    )
+}
 ORACLES: dict[str, str] = {"op9_mix_sources": mixing.SQL}

@@ -4,21 +4,25 @@ A document's tokens are its distinct 5-word shingles (64-bit hashes, A-Z lower-c
 have one token, their whole word sequence. Documents with equal token sets are one *class*,
 represented by its smallest doc_id; only representatives are joined.
 
-Candidates. Tokens are ordered by hash, the same order for all documents. Two sets of size s with a
-similarity of at least t differ in at most d = floor(s (1 - t) / t) tokens of their union.
-
-* *Single tokens*: the first d + 1 tokens of both contain a common one. Of these prefixes at most
-  ``SINGLE`` tokens are indexed; the chance that none of the first SINGLE tokens of the union is
-  common is (1 - t)**SINGLE, 1e-28.
-* A token in at most ``RARE`` prefixes links directly. For more *frequent* ones, the prefix is
-  extended to 2d + 2 tokens, which must hold two neighbouring common tokens, and combinations of two
-  neighbouring tokens are indexed; of at most ``PAIRED`` tokens, which misses a linked pair with a
-  chance under 1e-18 (0.512**64), the order of a collision of the hashes themselves.
-
-Verification. Each key's documents are compared with its first; links become components. A key whose
-documents are then in one component needs no more. Otherwise the pairs of its documents that lie in
-different components are compared as well, so no link that matters for a component is left out, and
-a large group of near copies costs one comparison per member and key leader, not all pairs.
+Candidates. Tokens are ordered by hash, the same order for all documents. Two linked sets of size s
+differ in at most d = floor(s (1 - t) / t) tokens, so the first d + 1 tokens of both contain a common
+one. Of these prefixes at most ``PREFIX`` tokens are indexed; where that cuts a prefix short, the chance
+that fewer than ``LEAST`` + ``LEAST`` - 1 of its tokens are common is under 1e-13.
+
+* A token in at most ``RARE`` prefixes is *rare* and indexed by itself. Documents with a cut prefix must share
+  ``LEAST`` rare tokens, others one.
+* A pair that shares fewer rare tokens shares frequent ones. Documents with ``LEAST`` frequent prefix tokens
+  (one, if the prefix is not cut) get the prefix extended to all their tokens, ordered anew by each of
+  ``ORDERS`` multiplicative hashes; the first tokens in ``TOGETHER`` orders are one combination key.
+  All combinations of a linked pair differ with a chance of (1 - t**4)**64 = 2e-15. Two documents that only
+  share a passage hardly ever share a combination.
+
+Verification. Each key's documents are first compared with its smallest; links become components. A key
+whose documents are then in one component needs no more, so a group of near copies costs one
+comparison per member and key. Otherwise its pairs across components are candidates, unless their
+sizes differ too much or, for combinations, two bits of each of the ORDERS first tokens agree less often
+than a linked pair's do with a chance of 1 - 1e-12. What is left is compared in full, so no link that
+matters for a component is left out.
 
 A null text or one without words has no tokens and no links. A null doc_id gets no component and
 links nothing. Rows that repeat a doc_id with equal text are one document.
@@ -41,9 +45,13 @@ from .words import STEP, Words, blocks, mix
 
 SHINGLE = 5
 PERCENT = 80
-SINGLE = 40
-PAIRED = 64
+PREFIX = 40
 RARE = 32
+LEAST = 6
+ORDERS = 256
+TOGETHER = 4
+#: Symbols of two bits that may differ between linked documents: 0.15 of ORDERS and seven deviations.
+DIFFER = 79
 #: Members that are compared with one leader in a row; a larger group is spread over several tasks.
 CHUNK = 512
 
@@ -74,7 +82,7 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums = np.zeros(len(h) + 1, np.uint64)
                 np.cumsum(mix(h ^ salt), out=sums[1:])
                 out.append(sums[begin[1:]] - sums[begin[:-1]])
-            head.extend(h[a : min(b, a + PAIRED)].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True))
+            head.extend(h[a : min(b, a + PREFIX)].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True))
         if size:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.concatenate(size)), *(pa.array(np.concatenate(x).view(np.int64)) for x in (one, two)), pa.array(head, pa.binary())],
@@ -86,32 +94,81 @@ def _differ(n: int, percent: int) -> int:
     return n * (100 - percent) // percent
 
 
-def _keys(percent: int, pairs: bool):
+def _prefixes(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, key = [], []
+            doc, key, full = [], [], []
             for d, n, head in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_shingles", "head")), strict=True):
-                tokens = np.frombuffer(head, np.uint64)
-                if pairs:
-                    tokens = tokens[: min(2 * _differ(n, percent) + 2, PAIRED)]
-                    # a set of one token is linked with equal sets only
-                    tokens = mix(tokens[:-1] ^ mix(tokens[1:] ^ STEP))
-                else:
-                    tokens = tokens[: min(_differ(n, percent) + 1, SINGLE)]
+                own = _differ(n, percent) + 1
+                tokens = np.frombuffer(head, np.uint64)[:own]
                 doc.append(np.full(len(tokens), d, np.int64))
+                full.append(np.full(len(tokens), own <= PREFIX))
                 key.append(tokens)
             if doc:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(doc))], ["key", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(full))], ["key", "doc", "whole"])
 
     return run
 
 
+SIGNS = [f"s{i}" for i in range(2 * ORDERS // 64)]
+
+
+def _combinations(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Combination keys, and two bits of the first token in each order."""
+    factors = mix(np.arange(1, ORDERS + 1, dtype=np.uint64)) | np.uint64(1)
+    salts = mix(np.arange(TOGETHER, dtype=np.uint64) + np.uint64(7))
+    for batch in batches:
+        ids = np.asarray(batch.column("doc_id"))
+        for low, high, data, offsets in packing.blocks(batch.column("text")):
+            h, begin = shingles(Words(data, offsets, lower=True))
+            some = np.flatnonzero(np.diff(begin) > 0)
+            if not len(some):
+                continue
+            first = np.stack([np.minimum.reduceat(h * f, begin[:-1][some]) for f in factors], 1)
+            groups = first.reshape(len(some), -1, TOGETHER)
+            keys = mix((mix(groups ^ salts)).sum(2, dtype=np.uint64) + np.arange(groups.shape[1], dtype=np.uint64))
+            symbols = (mix(first) & np.uint64(3)).reshape(len(some), len(SIGNS), 32)
+            signs = (symbols << (2 * np.arange(32, dtype=np.uint64))).sum(2, dtype=np.uint64).view(np.int64)
+            bounds = pa.array(np.arange(len(some) + 1, dtype=np.int32) * keys.shape[1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[low + some]), pa.ListArray.from_arrays(bounds, pa.array(keys.reshape(-1).view(np.int64))), *(pa.array(signs[:, i].copy()) for i in range(len(SIGNS)))],
+                ["doc", "keys", *SIGNS],
+            )
+
+
 def _shared(keys: DataFrame, name: str) -> DataFrame:
     """Rows of keys that several documents have, with their number and the smallest document."""
     many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("doc").alias("lead")).where("df > 1")
     return cut(keys.join(many, "key"), name)
 
 
+def _mixed(rows: DataFrame, component: DataFrame) -> DataFrame:
+    """Rows (with their component) of those keys that documents of several components have."""
+    placed = cut(rows.join(component, "doc", "left").withColumn("component", F.coalesce("component", "doc")), "placed")
+    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    return cut(placed.join(split, "key"), "mixed")
+
+
+def _across(rows: DataFrame, percent: int, more: list[str], near=None) -> DataFrame:
+    """Pairs (lead, doc) of rows with one key and different components, of sizes that may be similar."""
+    other = rows.select("key", *[F.col(c).alias(f"{c}_") for c in ("doc", "component", "n_shingles", *more)])
+    fits = (F.col("component") != F.col("component_")) & (F.col("doc") < F.col("doc_"))
+    fits &= (F.col("n_shingles") * 100 >= F.col("n_shingles_") * percent) & (F.col("n_shingles_") * 100 >= F.col("n_shingles") * percent)
+    if near is not None:
+        fits &= near
+    joined = rows.alias("x").join(other.alias("y"), (F.col("x.key") == F.col("y.key")) & fits)
+    return joined.select(F.col("doc").alias("lead"), F.col("doc_").alias("doc"), *[F.col(c) for c in ("whole", "whole_") if c in joined.columns])
+
+
+def _close():
+    """Whether the two-bit symbols of two rows differ in at most DIFFER places."""
+    total = F.lit(0)
+    for s in SIGNS:
+        x = F.col(s).bitwiseXOR(F.col(f"{s}_"))
+        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return total <= DIFFER
+
+
 def _verify(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, own = None, None
@@ -160,22 +217,28 @@ def classes(docs: DataFrame, percent: int = PERCENT, rare: int = RARE) -> DataFr
     members = cut(full.select("doc_id", "n_shingles", "one", "two").join(same, ["n_shingles", "one", "two"]).select("doc_id", "n_shingles", "rep"), "members")
     reps = full.join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
     reps = cut(reps.select("doc_id", "n_shingles", "head").dropDuplicates(["doc_id"]), "reps")
-    singles = _shared(reps.mapInArrow(_keys(percent, False), "key long, doc long"), "singles")
-    frequent = singles.where(F.col("df") > rare).select(F.col("doc").alias("doc_id")).distinct()
-    combined = _shared(reps.join(frequent, "doc_id", "left_semi").mapInArrow(_keys(percent, True), "key long, doc long"), "pairs")
-    hits = singles.where(F.col("df") <= rare).unionByName(combined)
+    size = reps.select(F.col("doc_id").alias("doc"), "n_shingles")
+    prefixes = _shared(reps.mapInArrow(_prefixes(percent), "key long, doc long, whole boolean"), "prefixes")
+    frequent = prefixes.where(F.col("df") > rare).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.max("whole").alias("whole"))
+    frequent = frequent.where(F.col("whole") | (F.col("n") >= LEAST)).select(F.col("doc").alias("doc_id"))
     packed = packing.pack(texts.where("doc_id IS NOT NULL"))
-    tested = cut(hits.where("doc <> lead").select("lead", "doc").distinct(), "tested")
+    signed = ", ".join(f"{s} long" for s in SIGNS)
+    sketch = cut(packed.join(frequent, "doc_id", "left_semi").mapInArrow(_combinations, f"doc long, keys array<long>, {signed}"), "sketches")
+    combined = _shared(sketch.select(F.explode("keys").alias("key"), "doc").distinct(), "combinations")
+    single = prefixes.where(F.col("df") <= rare)
+    # a first round against the smallest document of each key; what it misses is left to the second
+    star = single.where("doc <> lead").groupBy("lead", "doc").agg(F.count(F.lit(1)).alias("n"), F.max("whole").alias("whole"))
+    star = star.where(F.col("whole") | (F.col("n") >= LEAST)).select("lead", "doc")
+    tested = cut(star.unionByName(combined.where("doc <> lead").select("lead", "doc")).distinct(), "tested")
     links = cut(verified(packed, tested, percent), "verified")
     comp = components(links)
-    # keys whose documents are in several components: the pairs across them
-    placed = hits.select("key", "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-    placed = cut(placed, "placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    left = placed.join(split, "key")
-    right = left.select("key", F.col("doc").alias("other"), F.col("component").alias("elsewhere"))
-    across = left.join(right, "key").where("component <> elsewhere AND doc < other").select(F.col("doc").alias("lead"), F.col("other").alias("doc")).distinct()
-    open_ = cut(across.join(tested, ["lead", "doc"], "left_anti"), "across")
+    place = comp.withColumnRenamed("node", "doc")
+    left = _mixed(single.select("key", "doc", "whole").join(size, "doc"), place)
+    pairs = _across(left, percent, ["whole"]).groupBy("lead", "doc").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("whole") | F.col("whole_")).alias("whole"))
+    pairs = pairs.where(F.col("whole") | (F.col("n") >= LEAST)).select("lead", "doc")
+    right = _mixed(combined.select("key", "doc").join(size, "doc"), place).join(sketch.drop("keys").distinct(), "doc")
+    pairs = pairs.unionByName(_across(right, percent, SIGNS, _close())).distinct()
+    open_ = cut(pairs.join(tested, ["lead", "doc"], "left_anti"), "across")
     if not open_.isEmpty():
         more = cut(verified(packed, open_, percent), "verified")
         comp = components(links.unionByName(more))
@@ -185,6 +248,12 @@ def classes(docs: DataFrame, percent: int = PERCENT, rare: int = RARE) -> DataFr
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with all columns, of each component the document with the smallest doc_id."""
+    gone = classes(docs, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
 def brute(docs: dict[int, str | None], percent: int = PERCENT) -> dict[int, tuple[int, int]]:
     """The rule itself, for tests: all pairs that share a shingle."""
     sets, index = {}, {}

@@ -167,7 +167,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` with all columns, without the documents that hold a benchmark item."""
     bad = matches(docs, benchmark, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long") == bad["_bad"], "left_anti")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

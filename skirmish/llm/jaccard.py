@@ -251,7 +251,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, rare: int = RARE) -> DataFr
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with all columns, of each component the document with the smallest doc_id."""
     gone = classes(docs, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
 
 
 def brute(docs: dict[int, str | None], percent: int = PERCENT) -> dict[int, tuple[int, int]]:

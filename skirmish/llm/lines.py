@@ -301,24 +301,34 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, near:
     return copies.unionByName(later).distinct()
 
 
-def _drop(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, gone in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
-            if text is not None and gone:
-                drop = set(gone)
-                text = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in drop)
-            out.append(text)
-        at = batch.schema.get_field_index("text")
-        names = [n for n in batch.schema.names if n != "_gone"]
-        yield pa.RecordBatch.from_arrays([pa.array(out, batch.column("text").type) if i == at else batch.column(n) for i, n in enumerate(names)], names)
+def _drop(at: int):
+    """Takes the lines listed in the last column out of the texts in column ``at``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at)
+            out = []
+            for text, gone in zip(texts.to_pylist(), batch.columns[-1].to_pylist(), strict=True):
+                if text is not None and gone:
+                    drop = set(gone)
+                    text = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in drop)
+                out.append(text)
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(out, texts.type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return run
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with all columns, the redundant lines taken out of ``text``."""
-    gone = removed_lines(docs, **how).groupBy("doc_id").agg(F.collect_list("line").alias("_gone")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "_gone").mapInArrow(_drop, docs.schema)
+    gone = removed_lines(docs, **how).groupBy("doc_id").agg(F.collect_list("line").alias("gone")).select(F.col("doc_id").alias("doc"), "gone")
+    # columns by number, so that no name of a caller's column can clash
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    key = f"c{docs.columns.index('doc_id')}"
+    joined = named.join(gone, F.col(key).cast("long") == F.col("doc"), "left").drop("doc")
+    kept = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+    return joined.mapInArrow(_drop(docs.columns.index("text")), kept).toDF(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def plan_mix(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
-    """The documents, each as often as the mix takes it; all columns stay, ``copy`` counts from 0."""
+    """The documents, each as often as the mix takes it; all columns stay, ``copy`` counts from 0 (in place of a column of that name)."""
     per = cut(rates(docs.select("source", size_of(F.col("text")).alias("size")), **how), "rates")
     named = docs.withColumnsRenamed({c: f"_doc_{c}" for c in docs.columns})
     keyed = named.withColumns({"source": F.col("_doc_source"), "doc_id": F.col("_doc_doc_id")})

@@ -1,4 +1,4 @@
-"""Scalar column functions. Everything stays a built-in expression, so it runs inside codegen."""
+"""Scalar column functions, built-in expressions without lambdas, which would leave whole-stage codegen."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ DEFAULT_SPECIALS = (
     "Slay Undead",
     "Decapitate",
     "Double Bow Shot",
-    "Flurry",
+    "Flurry",  # the game's word for this modifier, as it stands in its logs
     "Twincast",
     "Rampage",
 )
@@ -78,33 +78,28 @@ def miss_outcome(tail) -> Column:
     return chain.otherwise("miss")
 
 
+def _joined(modifiers) -> Column:
+    """All modifiers of a line in one string, empty without any; no mark holds a line end."""
+    return F.concat_ws("\n", _c(modifiers))
+
+
 def is_crit(modifiers) -> Column:
-    return F.coalesce(
-        F.exists(
-            _c(modifiers),
-            lambda m: F.contains(m, F.lit(CRIT_MARKS[0])) | F.contains(m, F.lit(CRIT_MARKS[1])),
-        ),
-        F.lit(False),
-    )
+    joined = _joined(modifiers)
+    return F.contains(joined, F.lit(CRIT_MARKS[0])) | F.contains(joined, F.lit(CRIT_MARKS[1]))
 
 
 def is_heal_crit(modifiers) -> Column:
-    return F.coalesce(
-        F.exists(_c(modifiers), lambda m: F.contains(F.lower(m), F.lit("critical"))), F.lit(False)
-    )
+    return F.contains(F.lower(_joined(modifiers)), F.lit("critical"))
 
 
 def is_pair_crit(modifiers) -> Column:
-    return F.coalesce(
-        F.exists(_c(modifiers), lambda m: F.rlike(m, F.lit("(?i)critical|crippling"))), F.lit(False)
-    )
+    return F.rlike(_joined(modifiers), F.lit("(?i)critical|crippling"))
 
 
 def specials(modifiers, names: Sequence[str] = DEFAULT_SPECIALS) -> Column:
     """Names from ``names`` (in that order) contained in any modifier."""
-    joined = F.concat_ws("\n", _c(modifiers))
-    wanted = F.array(*[F.lit(n) for n in names])
-    return F.filter(wanted, lambda s: F.contains(joined, s))
+    joined = _joined(modifiers)
+    return F.array_compact(F.array(*[F.when(F.contains(joined, F.lit(n)), F.lit(n)) for n in names]))
 
 
 def hit_source(pet_origin="pet_origin", spell="spell", special_list="specials", verb="verb") -> Column:

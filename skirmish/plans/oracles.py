@@ -7,9 +7,20 @@ from __future__ import annotations
 
 import re
 
-from skirmish.operators.parse import VERBS_1ST, VERBS_3RD
-from skirmish.functions.scalars import DEFAULT_SPECIALS, OUTCOMES
-from skirmish.sources.tables import MOBS, TYPED_DAMAGE
+# Fixed values, written out here so that the SQL does not share the code's constants.
+VERBS_3RD = (
+    "slashes", "crushes", "punches", "pierces", "claws", "kicks", "bites", "hits", "gores",
+    "strikes", "mauls", "smashes", "stings", "backstabs", "frenzies on", "maims", "slices",
+    "bashes", "shoots", "rends", "stabs",
+)
+VERBS_1ST = (
+    "slash", "crush", "punch", "pierce", "claw", "kick", "bite", "hit", "gore", "strike", "maul",
+    "smash", "sting", "backstab", "frenzy on", "maim", "slice", "bash", "shoot", "rend", "stab",
+)
+SPECIALS_SEEN = ("Headshot", "Twincast", "Rampage")
+OUTCOMES = ("miss", "riposte", "parry", "block", "dodge", "rune", "invulnerable")
+MOBS = ("a marsh rat", "A marsh rat", "Varn, Last Warden", "Grix Thule-Bane")
+TYPED_DAMAGE = ("fire", "cold", "magic")
 
 GAP = 10800
 MIN_DAMAGE = 1000
@@ -78,7 +89,7 @@ SELECT log_id, char_name, e AS ord, ts, epoch_ms(ts) // 1000 AS t,
        CASE WHEN form IN ('nonmelee', 'bleed') THEN CAST([] AS VARCHAR[]) ELSE
          list_concat(
            CASE WHEN e % 5 = 0 THEN ['Critical'] WHEN e % 7 = 0 THEN ['Lucky Critical Headshot'] ELSE [] END,
-           CASE WHEN e % 11 = 0 THEN ['Flurry'] WHEN e % 13 = 0 THEN ['Crippling Blow Rampage'] ELSE [] END)
+           CASE WHEN e % 11 = 0 THEN ['Twincast'] WHEN e % 13 = 0 THEN ['Crippling Blow Rampage'] ELSE [] END)
        END END AS modifiers,
   CASE WHEN form = 'death' THEN target = 'You' END AS you_died,
   CASE WHEN form = 'zone' THEN 'Zone ' || k END AS zone,
@@ -152,7 +163,7 @@ SELECT g.log_id, m.fight_id, m.encounter_id, g.ord, g.t, g.event_type,
   coalesce(o.owner, g.actor) AS actor, g.actor AS raw_actor,
   CASE WHEN o.owner IS NOT NULL THEN g.actor END AS pet_origin, g.target, g.amount, g.verb, g.spell,
   g.outcome, g.modifiers, m.start_t AS fs, m.end_t AS fe, b.s AS es, b.x AS ee, b.dur,
-  [s for s in {_list(DEFAULT_SPECIALS)} if contains(array_to_string(g.modifiers, chr(10)), s)] AS specials,
+  [s for s in {_list(SPECIALS_SEEN)} if contains(array_to_string(g.modifiers, chr(10)), s)] AS specials,
   g.event_type <> 'melee_miss' AS hit
 FROM tg g JOIN mb m USING (log_id, target, open_ord) JOIN eb b ON b.log_id = m.log_id AND b.encounter_id = m.encounter_id
 LEFT JOIN own o ON o.log_id = g.log_id AND o.who = lower(g.actor)

@@ -1267,7 +1267,7 @@ def _(w: Workspace) -> DataFrame:
     """What a stream reports after taking the events in by parts: the same fights as in batch."""
     from skirmish.streaming.fights import replay
 
-    return _fight_rows(replay(w.events, GAP, MIN_DAMAGE))
+    return _fight_rows(replay(w.events, GAP, MIN_DAMAGE).fights(min_damage=MIN_DAMAGE))
 
 
 def _document_sql() -> str:

@@ -9,7 +9,16 @@ from skirmish.functions import scalars as S
 
 #: A scan task starts at a block offset; blocks of one file lie at least this far apart.
 BLOCK_BITS = 20
+#: Spark's row ids count the rows of a task in their lower 33 bits.
 ROW_BITS = 33
+#: Of a chunk's ``ord``: chunk number, block in MiB, row in its task.
+CHUNK_ORD, BLOCK_ORD, CHUNK_ROW_ORD = 20, 17, 26
+
+
+def _checked(value, bits: int, what: str):
+    """``value``, or an error where it does not fit: a key that wraps would put lines out of order."""
+    fits = value.between(0, (1 << bits) - 1)
+    return F.when(fits, value).otherwise(F.raise_error(F.lit(f"{what} needs more than {bits} bits")).cast("long"))
 
 
 def _as_lines(text: DataFrame) -> DataFrame:
@@ -62,14 +71,16 @@ def stream_lines(
 def ordered_chunks(batch: DataFrame) -> DataFrame:
     """``lines`` of one micro-batch: ``ord`` is (chunk number, block offset in MiB, row in task).
 
-    Room for 2**22 chunks per log of up to 8 GiB each, and 2**27 lines per task.
+    Room for 2**20 chunks per log of up to 128 GiB each, and 2**26 lines per task; anything larger is an error.
     """
-    chunk = F.coalesce(F.regexp_extract("file_name", r"\.(\d+)$", 1).try_cast("long"), F.lit(0))
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 27) - 1))
-    block = F.shiftright("block_start", BLOCK_BITS)
-    return batch.select(
+    chunk = F.coalesce(F.regexp_extract("file_name", r"\.(\d+)$", 1).try_cast("long"), F.lit(0).cast("long"))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    rows = batch.select("*", chunk.alias("_chunk"), F.shiftright("block_start", BLOCK_BITS).alias("_block"), row.alias("_row"))
+    high = F.shiftleft(_checked(F.col("_chunk"), CHUNK_ORD, "a chunk number"), BLOCK_ORD + CHUNK_ROW_ORD)
+    middle = F.shiftleft(_checked(F.col("_block"), BLOCK_ORD, "a block's place in its chunk"), CHUNK_ROW_ORD)
+    return rows.select(
         F.regexp_replace("file_name", r"\.\d+$", "").alias("log_id"),
-        (F.shiftleft(chunk, 40) + F.shiftleft(block, 27) + row).alias("ord"),
+        (high + middle + _checked(F.col("_row"), CHUNK_ROW_ORD, "a row of a task")).alias("ord"),
         "raw",
     )
 

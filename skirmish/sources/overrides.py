@@ -20,22 +20,36 @@ def _log_of(path_col: str):
     return F.url_decode(F.regexp_replace(name, r"(\.[^.]+)?\.json$", ""))
 
 
+def _found(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob, in order."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    statuses = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(str(s.getPath().toString()) for s in statuses or [])
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of complete saves, oldest first: only a finished write leaves its success marker."""
+    return [x.rsplit("/", 1)[0] for x in _found(spark, f"{path.rstrip('/')}/v=*/_SUCCESS")]
+
+
 def load_overrides(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(pet_owners, manual_groups)`` of the override files under ``path`` (one per log).
+    """``(pet_owners, manual_groups)`` of the override files under ``path`` (one per log), or of the
+    newest save where ``path`` is a folder written by ``save_overrides``.
 
     A missing folder, a broken file and a file that holds no object count as empty.
     """
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
-    if found is None or len(found) == 0:
+    saved = _versions(spark, path) if not path.endswith(".json") else []
+    if not saved and not _found(spark, path):
         return spark.createDataFrame([], PET_OWNERS), spark.createDataFrame([], MANUAL_GROUPS)
+    if saved:
+        reader, path, log_id = spark.read.schema("log_id STRING, " + FILE_SCHEMA), saved[-1], F.col("log_id")
+    else:
+        reader, log_id = spark.read.schema(FILE_SCHEMA).option("multiLine", True), _log_of("_metadata.file_path")
     files = (
-        spark.read.schema(FILE_SCHEMA)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
+        reader.option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_bad")
         .json(path)
-        .withColumn("log_id", _log_of("_metadata.file_path"))
+        .withColumn("log_id", log_id)
         .where(F.col("_bad").isNull())
     )
     owners = files.select(
@@ -80,24 +94,11 @@ def override_documents(pet_owners: DataFrame, manual_groups: DataFrame) -> DataF
 
 
 def save_overrides(pet_owners: DataFrame, manual_groups: DataFrame, path: str) -> None:
-    """Write the documents as JSON lines with their ``log_id``; the committer makes it one step."""
-    override_documents(pet_owners, manual_groups).write.mode("overwrite").option(
-        "ignoreNullFields", False
-    ).json(path)
-
-
-def load_saved(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Read back what ``save_overrides`` wrote."""
-    files = spark.read.schema("log_id STRING, " + FILE_SCHEMA).option(
-        "columnNameOfCorruptRecord", "_bad"
-    ).json(path).where(F.col("_bad").isNull())
-    owners = files.select("log_id", F.posexplode(F.map_entries("pet_owners")).alias("pos", "o")).select(
-        "log_id", F.col("pos").cast("long").alias("pos"), F.col("o.key").alias("actor"), F.col("o.value").alias("owner")
-    )
-    groups = files.select("log_id", F.posexplode("manual_encounters").alias("group_no", "g")).select(
-        "log_id",
-        F.col("group_no").cast("long").alias("group_no"),
-        "g.name",
-        F.posexplode("g.fight_keys").alias("pos", "fight_key"),
-    )
-    return owners, groups.select("log_id", "group_no", "name", F.col("pos").cast("long").alias("pos"), "fight_key")
+    """Write the documents as JSON lines with their ``log_id`` to a new version folder under ``path``.
+
+    Readers take the newest version with a success marker, so a save that breaks off changes nothing.
+    """
+    spark = pet_owners.sparkSession
+    taken = [int(x.rsplit("=", 1)[1]) for x in _found(spark, f"{path.rstrip('/')}/v=*")]
+    folder = f"{path.rstrip('/')}/v={max(taken, default=0) + 1:08d}"
+    override_documents(pet_owners, manual_groups).write.option("ignoreNullFields", False).json(folder)

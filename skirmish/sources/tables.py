@@ -125,7 +125,7 @@ def combat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     damage = form.isin("typed", "dot", "shield", "nonmelee", "bare", "falling", "bleed")
     first = F.when(e % 5 == 0, "Critical").when(e % 7 == 0, "Lucky Critical Headshot")
-    second = F.when(e % 11 == 0, "Flurry").when(e % 13 == 0, "Crippling Blow Rampage")
+    second = F.when(e % 11 == 0, "Twincast").when(e % 13 == 0, "Crippling Blow Rampage")
     modifiers = F.when(
         melee | damage | (form == "heal"),
         F.when(form.isin("nonmelee", "bleed"), F.array().cast("array<string>")).otherwise(

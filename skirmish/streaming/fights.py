@@ -6,8 +6,8 @@ the state is one row per open fight and a busy target is spread over tasks like
 tables are written per batch id and overwritten when a batch is repeated, so a restart from the
 query's checkpoint gives the same result.
 
-Rows of one log must arrive in ``ord`` order from batch to batch (inside a batch any order will do).
-Heals do not extend fights here.
+Rows of one log must arrive in ``ord`` order from batch to batch (inside a batch any order will do); a
+batch that begins before the end of the one before is an error. Heals do not extend fights here.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ ACTORS = "log_id string, target string, open_ord bigint, actor string, amount bi
 HEALS = "log_id string, ord bigint, t bigint, actor string, target string, amount bigint"
 KILLS = "log_id string, target string, open_ord bigint"
 TOUCHED = "log_id string"
+ENDS = "log_id string, last_ord bigint"
 
 
 def gap_sessions(events: DataFrame, gap_seconds: int = 15) -> DataFrame:
@@ -61,13 +62,19 @@ class FightStream:
         expire_idle: bool = False,
         pet_owners: DataFrame | None = None,
         encounter_gap_seconds: int | None = None,
+        manual_groups: DataFrame | None = None,
+        min_damage: int = 10_000,
+        min_duration_seconds: int = 0,
     ):
         """``expire_idle`` closes fights as soon as their log has moved on by more than the gap,
-        instead of at the target's next row. ``encounter_gap_seconds`` also regroups the touched
-        logs after every batch."""
+        instead of at the target's next row. With ``encounter_gap_seconds`` the touched logs are
+        regrouped after every batch, from the completed fights that ``min_damage`` and
+        ``min_duration_seconds`` list, with the manual groups, as a batch job does."""
         self.spark, self.folder = spark, folder.rstrip("/")
         self.gap_seconds, self.expire_idle = gap_seconds, expire_idle
         self.pet_owners, self.encounter_gap_seconds = pet_owners, encounter_gap_seconds
+        self.manual_groups = manual_groups
+        self.min_damage, self.min_duration_seconds = min_damage, min_duration_seconds
 
     # -- tables ------------------------------------------------------------
 
@@ -102,6 +109,7 @@ class FightStream:
     def process(self, events: DataFrame, batch_id: int) -> None:
         """Take in one micro-batch of events."""
         events = cut(events, "stream_batch")
+        self._check_order(events, batch_id)
         before = self._latest("open", OPEN, batch_id - 1)
         carry = before.select(
             "log_id",
@@ -192,10 +200,21 @@ class FightStream:
         self._write(heals, "open_heals", batch_id)
         touched = events.select("log_id").distinct()
         if self.encounter_gap_seconds is not None:
-            mine = self.fights(min_damage=0, upto=batch_id).join(touched, "log_id", "left_semi")
-            self._write(E.group_fights(mine, self.encounter_gap_seconds), "members", batch_id)
+            listed = self.fights(self.min_damage, self.min_duration_seconds, in_progress=False, upto=batch_id)
+            mine = listed.join(touched, "log_id", "left_semi")
+            self._write(E.group_fights(mine, self.encounter_gap_seconds, self.manual_groups), "members", batch_id)
         self._write(touched, "touched", batch_id)
 
+    def _check_order(self, events: DataFrame, batch_id: int) -> None:
+        """Compare each log's first row with the last one of all batches before."""
+        before = self._latest("ends", ENDS, batch_id - 1)
+        span = events.groupBy("log_id").agg(F.min("ord").alias("_first"), F.max("ord").alias("_last"))
+        both = span.join(before, "log_id", "full_outer")
+        late = both.where(F.col("_first") <= F.col("last_ord")).select("log_id").first()
+        if late is not None:
+            raise ValueError(f"batch {batch_id} holds rows of {late.log_id} from before the end of an earlier batch")
+        self._write(both.select("log_id", F.greatest("_last", "last_ord").alias("last_ord")), "ends", batch_id)
+
     def _settle_late_deaths(
         self, closed: DataFrame, deaths: DataFrame, events: DataFrame, batch_id: int
     ) -> None:
@@ -283,18 +302,24 @@ class FightStream:
         return player.active_view(live, acts, heals)
 
 
-def replay(events: DataFrame, gap_seconds: int, min_damage: int, parts: int = 4) -> DataFrame:
-    """The fights a stream reports after taking in a whole event table in ``parts`` files by ``ord``."""
+def replay(events: DataFrame, gap_seconds: int, min_damage: int, parts: int = 4, **how) -> FightStream:
+    """A stream that has taken in a whole event table in ``parts`` batches by ``ord``.
+
+    The parts arrive one after the other, each in as many files as its partitions, and the query is
+    started again for each from its checkpoint.
+    """
     spark = events.sparkSession
     folder = f"{staging_dir(spark)}/skirmish/replay-{uuid.uuid4().hex}"
     span = events.agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).first()
+    sink = FightStream(spark, f"{folder}/tables", gap_seconds, min_damage=min_damage, **how)
+    if span.lo is None:
+        return sink
     step = (span.hi - span.lo) // parts + 1
     for i in range(parts):
         part = events.where(
             (F.col("ord") >= span.lo + i * step) & (F.col("ord") < span.lo + (i + 1) * step)
         )
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    sink = FightStream(spark, f"{folder}/tables", gap_seconds)
-    sink.start(stream, f"{folder}/checkpoint", available_now=True).awaitTermination()
-    return sink.fights(min_damage=min_damage)
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        sink.start(stream, f"{folder}/checkpoint", available_now=True).awaitTermination()
+    return sink

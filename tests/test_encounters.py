@@ -175,9 +175,16 @@ def test_override_files(spark, tmp_path):
     none = files.load_overrides(spark, str(tmp_path / "nothing" / "*.json"))
     assert none[0].count() == none[1].count() == 0
     files.save_overrides(owners, groups, str(tmp_path / "saved"))
-    again = files.load_saved(spark, str(tmp_path / "saved"))
+    again = files.load_overrides(spark, str(tmp_path / "saved"))
     assert owner_rows(again[0]) == owner_rows(owners)
     assert sorted(map(tuple, again[1].collect())) == sorted(map(tuple, groups.collect()))
+    # a save that broke off leaves no marker and changes nothing; the next one counts
+    (tmp_path / "saved" / "v=00000002").mkdir()
+    (tmp_path / "saved" / "v=00000002" / "part-0.json").write_text('{"log_id": "z", "pet_owners": {"A": "B"}}')
+    assert owner_rows(files.load_overrides(spark, str(tmp_path / "saved"))[0]) == owner_rows(owners)
+    files.save_overrides(owners.where("false"), groups, str(tmp_path / "saved"))
+    newest = files.load_overrides(spark, str(tmp_path / "saved"))
+    assert newest[0].count() == 0 and newest[1].count() == groups.count()
 
 
 def test_documents(spark, battle, tmp_path):

@@ -41,8 +41,8 @@ CASES = [
     ("A Vale Sentry  punches Rim for 3 points of damage.", hit("A Vale Sentry", "punches", "Rim", 3)),
     ("Tol, Last Word hits Rowan for 31158 points of damage. (Riposte Strikethrough)",
      hit("Tol, Last Word", "hits", "Rowan", 31158, "Riposte Strikethrough")),
-    ("a lava crab frenzies on Rowan for 7 points of damage. (Lucky Critical) (Flurry)",
-     hit("a lava crab", "frenzies on", "Rowan", 7, "Lucky Critical", "Flurry")),
+    ("a lava crab frenzies on Rowan for 7 points of damage. (Lucky Critical) (Twincast)",
+     hit("a lava crab", "frenzies on", "Rowan", 7, "Lucky Critical", "Twincast")),
     ("Rowan`s pet slashes Old Grizzle for 54 points of damage.", hit("Rowan`s pet", "slashes", "Old Grizzle", 54)),
     ("Cor-Thul backstabs D'Vinn for 9 points of damage.", hit("Cor-Thul", "backstabs", "D'Vinn", 9)),
     ("You try to slash a rat, but miss!", miss("You", "slash", "a rat", "miss")),

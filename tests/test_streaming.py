@@ -1,9 +1,12 @@
 import random
 
+import pytest
 from helpers import BASE, event, frame, seconds
 
+from skirmish.operators.encounters import group_fights
 from skirmish.plans.analysis import Options, detect
-from skirmish.sources.logs import stream_lines
+from skirmish.schema import MANUAL_GROUPS
+from skirmish.sources.logs import ordered_chunks, stream_lines
 from skirmish.streaming.fights import FightStream, gap_sessions
 
 STAMP = "%a %b %d %H:%M:%S %Y"
@@ -32,7 +35,7 @@ def random_rows(seed, n, logs=("x", "y")):
 
 def test_batches_give_the_fights_of_one_batch(spark, tmp_path):
     rows = random_rows(7, 90)
-    sink = FightStream(spark, str(tmp_path / "t"), 15, encounter_gap_seconds=0)
+    sink = FightStream(spark, str(tmp_path / "t"), 15, encounter_gap_seconds=0, min_damage=0)
     sink.process(frame(spark, [r for r in rows if r[1] < 45]), 0)
     sink.process(frame(spark, [r for r in rows if r[1] >= 45]), 1)
     want = detect(frame(spark, rows), Options(min_damage=0)).fights
@@ -40,12 +43,54 @@ def test_batches_give_the_fights_of_one_batch(spark, tmp_path):
     # a repeated batch changes nothing
     sink.process(frame(spark, [r for r in rows if r[1] >= 45]), 1)
     assert listed(sink.fights(min_damage=0)) == listed(want)
-    assert sink.members().count() == want.count()
+    assert sink.members().count() == sink.fights(min_damage=0, in_progress=False).count()
     open_now = sink.fights(min_damage=0).where("in_progress")
     ends = detect(frame(spark, rows), Options(min_damage=0, open_policy="include")).fights.where("in_progress")
     assert open_now.count() >= ends.count()
 
 
+def test_regrouping_is_that_of_a_batch_job(spark, tmp_path):
+    rows = [
+        event(0, 0, "melee_hit", actor="A", target="rat", amount=5),
+        event(1, 1, "death", actor="A", target="rat"),
+        event(2, 2, "melee_hit", actor="A", target="Boss", amount=50_000),
+        event(3, 9, "death", actor="A", target="Boss"),
+        event(4, 60, "melee_hit", actor="A", target="Add", amount=20_000),
+        event(5, 70, "death", actor="A", target="Add"),
+        event(6, 75, "melee_hit", actor="A", target="Late", amount=90_000),
+    ]
+    groups = None
+    for manual in (False, True):
+        batch = detect(frame(spark, [r for r in rows if r[1] < 6]), Options()).fights
+        if manual:
+            keys = [r.fight_key for r in batch.orderBy("fight_id").collect()]
+            groups = spark.createDataFrame([("l", 0, "both", i, k) for i, k in enumerate(keys)], MANUAL_GROUPS)
+        sink = FightStream(spark, str(tmp_path / f"t{manual}"), 15, encounter_gap_seconds=0, manual_groups=groups)
+        sink.process(frame(spark, rows[:3]), 0)
+        sink.process(frame(spark, rows[3:]), 1)
+        want = group_fights(batch, 0, groups)
+        view = lambda df: sorted((r.target, r.fight_id, r.encounter_id, r.manual_name) for r in df.collect())
+        assert view(sink.members()) == view(want)
+        assert [t for t, *_ in view(want)] == ["Add", "Boss"]
+
+
+def test_batches_out_of_order_are_an_error(spark, tmp_path):
+    sink = FightStream(spark, str(tmp_path / "t"), 15)
+    sink.process(frame(spark, [event(5, 0, "melee_hit", actor="A", target="B", amount=9)]), 0)
+    with pytest.raises(ValueError, match="before the end"):
+        sink.process(frame(spark, [event(4, 1, "melee_hit", actor="A", target="B", amount=9)]), 1)
+
+
+def test_order_of_chunks_does_not_wrap(spark):
+    schema = "file_name string, block_start long, raw string"
+    places = [("x.txt.0", 0), ("x.txt.0", 9 << 30), ("x.txt.0", 100 << 30), ("x.txt.1", 0), ("x.txt.900000", 0)]
+    got = [ordered_chunks(spark.createDataFrame([(f, b, "x")], schema).coalesce(1)).first().ord for f, b in places]
+    assert got == sorted(set(got)) and min(got) >= 0
+    for f, b in (("x.txt.0", 200 << 30), ("x.txt.2000000", 0)):
+        with pytest.raises(Exception, match="needs more than"):
+            ordered_chunks(spark.createDataFrame([(f, b, "x")], schema)).collect()
+
+
 def test_late_death_reaches_an_earlier_batch(spark, tmp_path):
     first = [event(0, 0, "melee_hit", actor="A", target="B", amount=9), event(1, 16, "melee_hit", actor="A", target="B", amount=9)]
     second = [event(2, 17, "death", actor="A", target="B"), event(3, 25, "death", actor="A", target="B")]

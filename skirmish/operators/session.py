@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish.functions import scalars as S
 from skirmish.functions.sliced import numbered, time_slice
+from skirmish.operators.sides import pooled_sides
 from skirmish.operators.stats import heals_by_name
 from skirmish.operators.timeline import packed
 
@@ -24,6 +27,38 @@ def within(rows: DataFrame, encounters: DataFrame) -> DataFrame:
     return rows.join(encounters.select(*ENCOUNTER), list(ENCOUNTER), "left_semi")
 
 
+@dataclass(frozen=True)
+class Summary:
+    """The session page of a selection: every part is computed over the chosen encounters only."""
+
+    encounters: DataFrame
+    sides: DataFrame
+    damage: DataFrame
+    healing: DataFrame
+    tanking: DataFrame
+
+    @property
+    def header(self) -> DataFrame:
+        return session_header(self.encounters, self.tanking)
+
+
+def summary(
+    encounters: DataFrame,
+    attackers: DataFrame,
+    pairs: DataFrame,
+    members: DataFrame,
+    heals: DataFrame,
+    killed_only: bool = False,
+    chosen: DataFrame | None = None,
+) -> Summary:
+    """Rollups and sides over kills only if asked, then over the chosen (log_id, encounter_id)."""
+    mine = choose(encounters, killed_only, chosen)
+    attackers, pairs, members, heals = (within(x, mine) for x in (attackers, pairs, members, heals))
+    side = pooled_sides(attackers, members, heals, ["log_id"])
+    values = (damage_values(attackers), healing_values(heals), tanking_values(pairs))
+    return Summary(mine, side, *(actor_rollup(v, mine, side) for v in values))
+
+
 def damage_values(attackers: DataFrame) -> DataFrame:
     """Per actor and encounter: damage dealt. Spellings of one name are summed."""
     return attackers.groupBy(*ENCOUNTER, S.fold("actor").alias("name_key")).agg(

@@ -6,6 +6,7 @@ a user's reports would.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -18,7 +19,8 @@ from skirmish.plans.analysis import Analysis, Detected, Options, analyze_target,
 from skirmish.plans.oracles import CTE, GAP, MIN_DAMAGE, WIDTH, _fights, corpse, sql
 from skirmish.functions.scalars import OUTCOMES
 from skirmish.sources import logs, tables
-from skirmish.sources.staging import cut
+from skirmish.sources import overrides as override_files
+from skirmish.sources.staging import cut, staging_dir
 
 ENC = ("log_id", "encounter_id")
 SCALED = Options(gap_seconds=GAP, min_damage=MIN_DAMAGE)
@@ -910,10 +912,36 @@ def _rollup(w: Workspace, values: DataFrame) -> DataFrame:
     return session.actor_rollup(values, w.main.encounters, w.log_sides)
 
 
-def _rollup_sql(mode: int) -> str:
+def _rollup_sql(mode: int, **extra: str) -> str:
     return sql(f"""
 SELECT log_id, name_key, name, total, biggest, encounters_present, avg_rate, median_rate, p95_rate, best_rate, side
-FROM rs WHERE mode = {mode}""")
+FROM rs WHERE mode = {mode}""", **extra)
+
+
+def _selected(which: str) -> dict[str, str]:
+    """The fights of the encounters that were killed and fulfil ``which``, in place of all."""
+    kept = f"SELECT log_id, encounter_id FROM mb0 WHERE {which} GROUP BY log_id, encounter_id HAVING bool_or(fight_complete)"
+    return {"mb0": CTE["mb"], "mb": f"SELECT * FROM mb0 WHERE (log_id, encounter_id) IN ({kept})"}
+
+
+def _summary(w: Workspace, chosen: DataFrame | None = None) -> session.Summary:
+    m = w.main
+    return session.summary(m.encounters, w.attackers, w.pairs, m.members, m.heals, killed_only=True, chosen=chosen)
+
+
+@query("session_damage_killed_only", _rollup_sql(0, **_selected("TRUE")))
+def _(w: Workspace) -> DataFrame:
+    return _summary(w).damage
+
+
+@query("session_sides_killed_only", sql("SELECT log_id, name_key, side FROM s4", **_selected("TRUE")))
+def _(w: Workspace) -> DataFrame:
+    return _summary(w).sides
+
+
+@query("session_tanking_chosen", _rollup_sql(1, **_selected("encounter_id % 3 = 1")))
+def _(w: Workspace) -> DataFrame:
+    return _summary(w, w.main.encounters.where("encounter_id % 3 = 1").select("log_id", "encounter_id")).tanking
 
 
 @query("session_damage", _rollup_sql(0))
@@ -1295,3 +1323,20 @@ def _(w: Workspace) -> DataFrame:
     from skirmish.sources.sinks import encounter_documents
 
     return encounter_documents(w.main, WIDTH).groupBy(*ENC, "section").agg(F.count("payload").alias("payloads"))
+
+
+@query("stream_encounters", sql("SELECT log_id, fight_id, target, encounter_id FROM mb", ft=_fights("close_ord <> 9223372036854775807")))
+def _(w: Workspace) -> DataFrame:
+    from skirmish.streaming.fights import replay
+
+    return replay(w.events, GAP, MIN_DAMAGE, encounter_gap_seconds=0).members().select("log_id", "fight_id", "target", "encounter_id")
+
+
+@query("overrides_round_trip", sql("SELECT log_id, who, owner FROM own"))
+def _(w: Workspace) -> DataFrame:
+    """Saved twice, read back: the newest save counts."""
+    path = f"{staging_dir(w.spark)}/skirmish/overrides-{uuid.uuid4().hex}"
+    override_files.save_overrides(w.owners.limit(0), w.manual_groups, path)
+    override_files.save_overrides(w.owners, w.manual_groups, path)
+    owners, _groups = override_files.load_overrides(w.spark, path)
+    return owners.select("log_id", F.lower("actor").alias("who"), "owner")

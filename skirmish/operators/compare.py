@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish.functions import scalars as S
@@ -98,7 +98,7 @@ def diff_actors(
 
 
 def visible_actors(diff: DataFrame, measure: str = "damage", show_enemies: bool = False) -> DataFrame:
-    """Rows with the measure on either side, largest together first; enemies only if asked."""
+    """Rows with the measure on either side, ``place`` 1 for the largest together; enemies only if asked."""
     both = F.col(f"a_{measure}") + F.col(f"b_{measure}")
     rows = diff if show_enemies else diff.where(F.col("side") != "enemy")
     delta = F.col(f"b_{measure}") - F.col(f"a_{measure}")
@@ -108,7 +108,7 @@ def visible_actors(diff: DataFrame, measure: str = "damage", show_enemies: bool
         .withColumn("delta", delta)
         .withColumn("pct_change", S.one_decimal(S.pct_change(f"a_{measure}", f"b_{measure}")))
         .withColumn("trend", S.trend_class("delta", HIGHER_IS_BETTER[measure]))
-        .orderBy("pair_id", F.col("combined").desc(), "name_key")
+        .withColumn("place", F.row_number().over(Window.partitionBy("pair_id").orderBy(F.col("combined").desc(), "name_key")))
     )
 
 

@@ -115,18 +115,28 @@ def top_and_other(
 ) -> DataFrame:
     """Per-second series of the ``top`` actors, the rest summed as ``Other``.
 
-    Actors are relabeled before bucketing, so only the shown lines are filled with zeros.
+    Rows are summed by actor and bucket before the top list is joined, so the join moves cells, not rows,
+    and actors are relabeled before filling, so only the shown lines are filled with zeros.
     """
-    totals = acts.groupBy(*by, "actor").agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("_total"))
+    own = [*by, "actor"]
+    hits = acts.where(F.col("event_type") != "melee_miss")
+    cells = bucketed(hits, own, start, end, width)
+    actors = acts.groupBy(*own).agg(
+        F.coalesce(F.sum("amount"), F.lit(0)).alias("_total"),
+        F.first(S.bucket_count(F.col(end) - F.col(start), width)).alias("n_buckets"),
+    )
     order = Window.partitionBy(*by).orderBy(F.col("_total").desc(), "actor")
-    best = totals.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= top)
-    rest = F.col("_place").isNull()
-    lines = acts.join(best.drop("_total"), [*by, "actor"], "left").select(
-        *by, F.when(rest, "Other").otherwise(F.col("actor")).alias("label"), rest.alias("is_other"),
-        "event_type", "t", "amount", start, end,
-    )
+    best = actors.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= top).select(*own, "_place")
     keys = [*by, "label", "is_other"]
-    series = long_form(_packed_by(lines, keys, width, start, end), keys, "amount")
+
+    def labeled(rows: DataFrame) -> DataFrame:
+        rest = F.col("_place").isNull()
+        label = F.when(rest, "Other").otherwise(F.col("actor"))
+        return rows.join(best, own, "left").withColumn("label", label).withColumn("is_other", rest)
+
+    spine = labeled(actors).groupBy(*keys).agg(F.first("n_buckets").alias("n_buckets"))
+    sparse = labeled(cells).groupBy(*keys, "bucket").agg(F.sum("amount").alias("amount"))
+    series = long_form(packed(sparse, spine, keys, "amount"), keys, "amount")
     return series.select(*keys, "bucket", (F.col("amount") / F.lit(width)).alias("rate"))
 
 

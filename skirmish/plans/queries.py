@@ -1101,11 +1101,12 @@ def _(w: Workspace) -> DataFrame:
 @query("diff_visible_tanking", sql("""
 SELECT pair_id, name_key, a_damage_taken + b_damage_taken AS combined, b_damage_taken - a_damage_taken AS delta,
   CASE WHEN a_damage_taken <> 0 THEN round_even((b_damage_taken - a_damage_taken) / a_damage_taken * 100, 1) END AS pct_change,
-  CASE WHEN b_damage_taken = a_damage_taken THEN 'flat' WHEN b_damage_taken > a_damage_taken THEN 'worse' ELSE 'better' END AS trend
+  CASE WHEN b_damage_taken = a_damage_taken THEN 'flat' WHEN b_damage_taken > a_damage_taken THEN 'worse' ELSE 'better' END AS trend,
+  CAST(row_number() OVER (PARTITION BY pair_id ORDER BY a_damage_taken + b_damage_taken DESC, name_key) AS INTEGER) AS place
 FROM dx WHERE side <> 'enemy' AND a_damage_taken + b_damage_taken > 0""", **_diff_steps(False)))
 def _(w: Workspace) -> DataFrame:
     return compare.visible_actors(_diff(w, False), "damage_taken").select(
-        "pair_id", "name_key", "combined", "delta", "pct_change", "trend"
+        "pair_id", "name_key", "combined", "delta", "pct_change", "trend", "place"
     )
 
 

@@ -26,10 +26,13 @@ def type_counts(parsed: DataFrame) -> DataFrame:
 
 
 def unknown_shapes(events: DataFrame) -> DataFrame:
-    """Per log and digit-free shape of the unknown lines: how often, and where first."""
+    """Per log and digit-free shape of the unknown lines: how often, and where first.
+
+    A shape may be a long text, so rows are grouped by its SHA-256 digest.
+    """
     return (
         events.where(F.col("event_type") == "unknown")
-        .groupBy("log_id", S.body_shape("body").alias("shape"))
+        .groupBy("log_id", F.unhex(F.sha2(S.body_shape("body").cast("binary"), 256)).alias("digest"))
         .agg(F.count("*").alias("lines"), F.min("ord").alias("first_ord"))
     )
 
@@ -37,7 +40,8 @@ def unknown_shapes(events: DataFrame) -> DataFrame:
 def top_shapes(events: DataFrame, limit: int = 200) -> DataFrame:
     """The most frequent shapes of each log with their first line as the example.
 
-    Counting carries numbers only; the examples of the listed shapes are looked up afterwards.
+    Counting carries digests and numbers only; shape and example of the listed rows are looked up
+    afterwards.
     """
     order = Window.partitionBy("log_id").orderBy(F.col("lines").desc(), "first_ord")
     top = unknown_shapes(events).withColumn("place", F.row_number().over(order)).where(
@@ -46,7 +50,8 @@ def top_shapes(events: DataFrame, limit: int = 200) -> DataFrame:
     lines = events.where(F.col("event_type") == "unknown").select(
         "log_id", F.col("ord").alias("first_ord"), F.col("body").alias("example")
     )
-    return top.withColumn("place", F.col("place").cast("long")).join(lines, ["log_id", "first_ord"])
+    listed = top.withColumn("place", F.col("place").cast("long")).drop("digest").join(lines, ["log_id", "first_ord"])
+    return listed.withColumn("shape", S.body_shape("example"))
 
 
 def shape_totals(shapes: DataFrame) -> DataFrame:

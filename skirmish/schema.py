@@ -4,28 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-EVENT_TYPES = (
-    "melee_hit",
-    "melee_miss",
-    "spell_damage",
-    "heal",
-    "resist",
-    "death",
-    "zone",
-    "unknown",
-)
-
-HIT_TYPES = ("melee_hit", "spell_damage")
-
-#: Raw log lines, one row per line, ordered by ``ord`` within ``log_id``.
-LINES = T.StructType(
-    [
-        T.StructField("log_id", T.StringType(), False),
-        T.StructField("ord", T.LongType(), False),
-        T.StructField("raw", T.StringType(), True),
-    ]
-)
-
 #: Typed events; ``event_type`` tells which of the nullable columns are filled.
 EVENTS = T.StructType(
     [

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,26 @@ def staging_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths of the tables cut inside each open ``owned`` block.
+_owners: list[list[str]] = []
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables cut inside the block at its end, also after an error.
+
+    For jobs that write their result themselves: a DataFrame that still reads a cut table must not
+    leave the block.
+    """
+    _owners.append([])
+    try:
+        yield
+    finally:
+        for path in _owners.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table and go on from the files.
 
@@ -37,5 +59,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/skirmish/{name}-{uuid.uuid4().hex}"
+    if _owners:
+        _owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -24,7 +24,7 @@ from skirmish.operators import overrides as V
 from skirmish.operators import player
 from skirmish.operators.parse import parse_lines
 from skirmish.sources.logs import ordered_chunks
-from skirmish.sources.staging import cut, staging_dir
+from skirmish.sources.staging import cut, owned, staging_dir
 
 BOUNDS = (
     "log_id string, target string, open_ord bigint, start_t bigint, end_t bigint, fight_complete boolean, "
@@ -107,7 +107,11 @@ class FightStream:
     # -- sink --------------------------------------------------------------
 
     def process(self, events: DataFrame, batch_id: int) -> None:
-        """Take in one micro-batch of events."""
+        """Take in one micro-batch of events; its intermediate tables go when its state is written."""
+        with owned(self.spark):
+            self._take_in(events, batch_id)
+
+    def _take_in(self, events: DataFrame, batch_id: int) -> None:
         events = cut(events, "stream_batch")
         self._check_order(events, batch_id)
         before = self._latest("open", OPEN, batch_id - 1)

@@ -11,7 +11,8 @@ instances over all occurrences of the pattern in the corpus (for L and R, of the
 ``SMOOTH``; an instance's confidence is the noisy-or of its patterns, and 1 for seeds. Candidates whose
 confidence reaches ``SURE`` become spans of kind ``id``.
 
-The graph holds seeds, candidates and their words, no other text; a pattern or an instance with a third
+Word counts are filtered inside the scan while there are at most ``BOUND`` words to count, and by a join
+otherwise. The graph holds seeds, candidates and their words, no other text; a pattern or an instance with a third
 of all rows is an ordinary aggregation key. A null text is empty. Rows that repeat a doc_id are
 reported row by row.
 """
@@ -36,6 +37,8 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 SMOOTH = 2.0
 SURE = 0.5
+#: Words beside seeds and candidates up to which the count of words is filtered inside the scan.
+BOUND = 2_000_000
 
 # Names of secrets, and a public shape of access keys.
 SEED_KEYS = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "access_key")
@@ -91,8 +94,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _hash(kind: str, word: str) -> int:
-    return xxhash.xxh64_intdigest(f"{kind}:{word}".encode(), 0) - (1 << 63)
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+
+
+#: The last two bits of a pattern tell its kind: a word before, a word behind, an own key.
+BEFORE, BEHIND, KEY = 1, 2, 3
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """Hashes of single words with ASCII letters in lower case, the last two bits free."""
+    data = "\n".join(words).encode()
+    return Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), lower=True).hash.view(np.int64) & ~3
 
 
 def _key(token: str) -> str:
@@ -100,21 +113,19 @@ def _key(token: str) -> str:
     return token[:cut_at] if cut_at else re.match(r"[^0-9]*", token)[0]
 
 
-def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool, int, list[int]]]:
-    """(start, end, instance, seed, base kind or -1, patterns) of the seeds and candidates of a text."""
+def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool, int, tuple[str, str, str]]]:
+    """(start, end, instance, seed, base kind or -1, word before, word behind and key) of the seeds and candidates."""
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
     ends = [b for _, b in tokens]
     out = []
 
-    def context(a: int, b: int, key: str) -> list[int]:
+    def context(a: int, b: int, key: str) -> tuple[str, str, str]:
         i = int(np.searchsorted(ends, a, "right"))
         j = int(np.searchsorted(ends, b, "left"))
-        before = text[slice(*tokens[i - 1])].lower() if i > 0 else ""
-        behind = text[slice(*tokens[j + 1])].lower() if j + 1 < len(tokens) else ""
-        return [_hash(k, w) for k, w in (("L", before), ("R", behind), ("K", key)) if w]
+        return text[slice(*tokens[i - 1])] if i > 0 else "", text[slice(*tokens[j + 1])] if j + 1 < len(tokens) else "", key
 
     for a, kind, b in base:
-        out.append((a, b, _hash("I", text[a:b]), True, kind, context(a, b, "")))
+        out.append((a, b, _hash(text[a:b]), True, kind, context(a, b, "")))
     taken = 0
     for i, (a, b) in enumerate(tokens):
         while b - a and text[a] in "\"'([{<":
@@ -132,7 +143,7 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
         keyed = any(lead.startswith((f"{k}=", f"{k}:")) for k in SEED_KEYS)
         if i >= 2 and text[slice(*tokens[i - 1])] in ("=", ":"):
             keyed |= text[slice(*tokens[i - 2])].lower() in SEED_KEYS
-        out.append((a, b, _hash("I", token), keyed or bool(SEED_SHAPE.match(token)), -1, context(a, b, _key(token))))
+        out.append((a, b, _hash(token), keyed or bool(SEED_SHAPE.match(token)), -1, context(a, b, _key(token))))
     return out
 
 
@@ -149,33 +160,39 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = base_spans(text) if DIGITS.search(text) or "@" in text else []
             counts.append([sum(k == i for _, k, _ in spans) for i in range(4)])
             base.append(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans))
-            keys = ("start", "stop", "instance", "seed", "kind", "patterns")
-            found.append([dict(zip(keys, n, strict=True)) for n in nodes(text, spans)] if spans or DIGITS.search(text) else [])
+            found.append(nodes(text, spans) if spans or DIGITS.search(text) else [])
+        around = sorted({w for own in found for n in own for w in n[5][:2] if w})
+        known = dict(zip(around, word_hashes(around).tolist(), strict=True)) if around else {}
+        keys = ("start", "stop", "instance", "seed", "kind", "patterns")
+
+        def patterns(before: str, behind: str, key: str) -> list[int]:
+            parts = ((before and known[before], BEFORE), (behind and known[behind], BEHIND), (key and _hash(key) & ~3, KEY))
+            return [h | kind for h, kind in parts if h != ""]
+
+        found = [[dict(zip(keys, (*n[:5], patterns(*n[5])), strict=True)) for n in own] for own in found]
         yield pa.RecordBatch.from_arrays(
             [batch.column("row"), batch.column("doc_id"), pa.array(counts, pa.list_(pa.int64())), pa.array(base, pa.string()), pa.array(found, node)],
             ["row", "doc_id", "counts", "base", "nodes"],
         )
 
 
-def _frequency(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words by hash with their number, each batch summed."""
-    for batch in batches:
-        held, words_of = [], {}
-        for _, _, data, offsets in blocks(batch.column("text")):
-            words = Words(data, offsets)
-            h, at, n = np.unique(words.hash, return_index=True, return_counts=True)
-            held.append((h, n))
-            for x, i in zip(h.tolist(), at.tolist(), strict=True):
-                if x not in words_of:
-                    words_of[x] = data[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace").lower()
-        if not held:
-            continue
-        h, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        h, inverse = np.unique(h, return_inverse=True)
-        n = np.bincount(inverse, n).astype(np.int64)
-        names = [words_of[x] for x in h.tolist()]
-        for kind in ("L", "R"):
-            yield pa.RecordBatch.from_arrays([pa.array([_hash(kind, w) for w in names], pa.int64()), pa.array(n)], ["pattern", "times"])
+def _frequency(wanted: np.ndarray | None):
+    """Words by hash with their number, summed over a batch; only those of ``wanted`` if given."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for _, _, data, offsets in blocks(batch.column("text")):
+                h = Words(data, offsets, lower=True).hash.view(np.int64) & ~3
+                if wanted is not None:
+                    at = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
+                    h = h[wanted[at] == h] if len(wanted) else h[:0]
+                held.append(h)
+            if held:
+                h, n = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["word", "times"])
+
+    return run
 
 
 def patterns_of(spans: DataFrame, docs: DataFrame, rounds: int = ROUNDS, smooth: float = SMOOTH) -> DataFrame:
@@ -183,9 +200,16 @@ def patterns_of(spans: DataFrame, docs: DataFrame, rounds: int = ROUNDS, smooth:
     flat = spans.select(F.explode("nodes").alias("n")).select("n.instance", "n.seed", F.explode("n.patterns").alias("pattern"))
     edges = cut(flat.groupBy("instance", "pattern").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "edges")
     used = edges.groupBy("pattern").agg(F.sum("n").alias("own"))
-    words = docs.select("text").mapInArrow(_frequency, "pattern long, times long").join(used.select("pattern"), "pattern", "left_semi")
-    times = words.groupBy("pattern").agg(F.sum("times").alias("times"))
-    total = cut(used.join(times, "pattern", "left").select("pattern", F.greatest("own", F.coalesce("times", F.lit(0))).alias("total")), "patterns")
+    used = cut(used.withColumn("word", F.col("pattern").bitwiseAND(F.lit(~3))), "patterns")
+    asked = used.where(F.col("pattern").bitwiseAND(F.lit(3)) != KEY).select("word").distinct()
+    wanted = None
+    if asked.limit(BOUND + 1).count() <= BOUND:
+        wanted = np.sort(np.array([r.word for r in asked.toLocalIterator()], np.int64))
+    words = docs.select("text").mapInArrow(_frequency(wanted), "word long, times long")
+    times = words.groupBy("word").agg(F.sum("times").alias("times")).join(asked, "word", "left_semi")
+    often = F.when(F.col("pattern").bitwiseAND(F.lit(3)) != KEY, F.col("times"))
+    total = used.join(times, "word", "left").select("pattern", F.greatest("own", F.coalesce(often, F.lit(0))).alias("total"))
+    total = cut(total, "patterns")
     instances = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
     score = instances.select("instance", "seed", F.col("seed").cast("double").alias("confidence"))
     for _ in range(rounds):

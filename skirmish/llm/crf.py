@@ -138,11 +138,12 @@ def _mean(p: np.ndarray, chars: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def train(sample: list[tuple[int, str]], steps: int = STEPS) -> Model | None:
-    raw = [t.encode() for _, t in sample]
     y = np.array([label for label, _ in sample], float)
     if len(set(y.tolist())) < 2:
         return None
-    x, chars, first = lines(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    parts = [lines(data, offsets) for _, _, data, offsets in blocks(pa.array([t for _, t in sample], pa.string()))]
+    x, chars = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    first = np.append(0, np.cumsum(np.concatenate([np.diff(p[2]) for p in parts])))
     label = np.repeat(y, np.diff(first))
     inner = np.ones(len(x), bool)
     inner[first[:-1]] = False

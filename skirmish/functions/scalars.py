@@ -20,6 +20,14 @@ DEFAULT_SPECIALS = (
 )
 CRIT_MARKS = ("Critical", "Crippling Blow")
 OUTCOMES = ("miss", "riposte", "parry", "block", "dodge", "rune", "invulnerable")
+MISS_MARKS = (
+    ("magical skin", "rune"),
+    ("INVULNERABLE", "invulnerable"),
+    ("riposte", "riposte"),
+    ("parr", "parry"),
+    ("block", "block"),
+    ("dodge", "dodge"),
+)
 UNATTRIBUTED = "(unattributed)"
 FALLING = "(falling)"
 UNCONSCIOUS = "(unconscious)"
@@ -63,16 +71,8 @@ def line_modifiers(rest) -> Column:
 
 def miss_outcome(tail) -> Column:
     tail = _c(tail)
-    marks = (
-        ("magical skin", "rune"),
-        ("INVULNERABLE", "invulnerable"),
-        ("riposte", "riposte"),
-        ("parr", "parry"),
-        ("block", "block"),
-        ("dodge", "dodge"),
-    )
     chain = None
-    for mark, label in marks:
+    for mark, label in MISS_MARKS:
         hit = tail.contains(mark)
         chain = F.when(hit, label) if chain is None else chain.when(hit, label)
     return chain.otherwise("miss")

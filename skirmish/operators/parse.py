@@ -34,6 +34,7 @@ VERBS_1ST = (
     "slash", "crush", "punch", "pierce", "claw", "kick", "bite", "hit", "gore", "strike", "maul",
     "smash", "sting", "backstab", "frenzy on", "maim", "slice", "bash", "shoot", "rend", "stab",
 )
+# Names: words joined by single separators, written so that no separator can match in two ways.
 _WORDS = r"[\w'`-]*(?:(?: |, )[\w'`-]+)*"
 NAME = "[A-Z]" + _WORDS
 BODY_NAME = "[A-Za-z]" + _WORDS

@@ -138,12 +138,11 @@ def fold(rows, gap, heals_extend, min_damage=0):
             if target in live:
                 shut(target, at, True)
             else:
-                for f in done[::-1]:
-                    if at - f["end"] > gap + 10:
-                        break
-                    if f["target"] == target and not f["killed"]:
-                        f["killed"] = True
-                        break
+                # the newest incomplete fight of the target behind all that ended too long ago
+                barrier = max((i for i, f in enumerate(done) if at - f["end"] > gap + 10), default=-1)
+                waiting = [f for f in done[barrier + 1 :] if f["target"] == target and not f["killed"]]
+                if waiting:
+                    waiting[-1]["killed"] = True
         elif heals_extend:
             for t in list(live):
                 check(t, at)

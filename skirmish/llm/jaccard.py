@@ -13,14 +13,14 @@ that fewer than ``LEAST`` + ``LEAST`` - 1 of its tokens are common is under 1e-1
   ``LEAST`` rare tokens, others one.
 * A pair that shares fewer rare tokens shares frequent ones. Documents with ``LEAST`` frequent prefix tokens
   (one, if the prefix is not cut) get the prefix extended to all their tokens, ordered anew by each of
-  ``ORDERS`` multiplicative hashes; the first tokens in ``TOGETHER`` orders are one combination key.
+  ``KEYED`` multiplicative hashes; the first tokens in ``TOGETHER`` orders are one combination key.
   All combinations of a linked pair differ with a chance of (1 - t**4)**64 = 2e-15. Two documents that only
   share a passage hardly ever share a combination.
 
 Verification. Each key's documents are first compared with its smallest; links become components. A key
 whose documents are then in one component needs no more, so a group of near copies costs one
 comparison per member and key. Otherwise its pairs across components are candidates, unless their
-sizes differ too much or, for combinations, two bits of each of the ORDERS first tokens agree less often
+sizes differ too much or, for combinations, two bits of the first token in each of ``ORDERS`` orders agree less often
 than a linked pair's do with a chance of 1 - 1e-12. What is left is compared in full, so no link that
 matters for a component is left out.
 
@@ -48,10 +48,12 @@ PERCENT = 80
 PREFIX = 40
 RARE = 32
 LEAST = 6
-ORDERS = 256
+#: Orders of the tokens: the first KEYED make the combinations, all of them the symbols.
+ORDERS = 1024
+KEYED = 256
 TOGETHER = 4
 #: Symbols of two bits that may differ between linked documents: 0.15 of ORDERS and seven deviations.
-DIFFER = 79
+DIFFER = 233
 #: Members that are compared with one leader in a row; a larger group is spread over several tasks.
 CHUNK = 512
 
@@ -125,7 +127,7 @@ def _combinations(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if not len(some):
                 continue
             first = np.stack([np.minimum.reduceat(h * f, begin[:-1][some]) for f in factors], 1)
-            groups = first.reshape(len(some), -1, TOGETHER)
+            groups = first[:, :KEYED].reshape(len(some), -1, TOGETHER)
             keys = mix((mix(groups ^ salts)).sum(2, dtype=np.uint64) + np.arange(groups.shape[1], dtype=np.uint64))
             symbols = (mix(first) & np.uint64(3)).reshape(len(some), len(SIGNS), 32)
             signs = (symbols << (2 * np.arange(32, dtype=np.uint64))).sum(2, dtype=np.uint64).view(np.int64)

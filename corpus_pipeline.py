@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skirmish.llm import decontam, jaccard, lines, mixing, toxicity
-from skirmish.sources.staging import staging_dir
+from skirmish.sources.staging import owned, staging_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -65,8 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; the stages before it are written to the shared checkpoint folder."""
     docs = _table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
         path = f"{staging_dir(spark)}/skirmish/pipeline-{uuid.uuid4().hex}/{i}-{name}"
-        out.write.parquet(path)
+        with owned(spark):  # a stage's own intermediate tables go once its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

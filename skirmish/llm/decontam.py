@@ -100,7 +100,7 @@ def _windows(window: int, literal: int, short: tuple[int, ...], wanted: np.ndarr
                 if not len(words):
                     continue
                 template, plain, kind = templates.of(words)
-                words._hash = template
+                words.replaced(template)
                 literals = np.append(0, np.cumsum(kind == PLAIN))
                 for width in (window, *short):
                     at, h = words.grams(width)

@@ -60,4 +60,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_pii, op7_line_crf, op8_toxicity, op9_mix_sources, op10_license_diagonals,
     )
 }
-ORACLES: dict[str, str] = {"op9_mix_sources": mixing.SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": substring.SQL, "op9_mix_sources": mixing.SQL}

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skirmish.sources.staging import cut
+
 from . import packing
 from .packing import pack
 from .words import Words, blocks, mix, ranges
@@ -274,7 +276,8 @@ def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5, frequent: i
     """(doc_id, start, stop): words of windows that start earlier too, as half-open word spans; they may overlap."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     counted = texts.mapInArrow(_occurrences(window, gram, True), "anchor long, times long")
-    repeated = counted.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1")
+    # as a table of its own, so that both sides of the join are plain exchanges and a frequent anchor can be split
+    repeated = cut(counted.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1"), "anchors")
     places = texts.mapInArrow(_occurrences(window, gram, False), "anchor long, doc_id long, first int")
     places = places.join(repeated.select("anchor", (F.col("times") > frequent).cast("int").alias("split")), "anchor")
     listed = places.groupBy("doc_id").agg(F.collect_list(F.col("first").cast("long") * 2 + F.col("split")).alias("places"))
@@ -344,3 +347,17 @@ def brute(docs: dict[int, str], window: int = 20) -> dict[int, tuple[int, int, s
         kept = b" ".join(w for i, w in enumerate(words) if i not in drop)
         out[doc] = (len(words), len(drop), hashlib.sha256(kept).hexdigest())
     return out
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
+g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) AS nth FROM p),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM g WHERE nth > 1),
+one AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
+kept AS (
+  SELECT one.doc_id, string_agg(word, ' ' ORDER BY one.k) AS t, count(*) AS n
+  FROM one LEFT JOIN gone ON one.doc_id = gone.doc_id AND one.k = gone.k WHERE gone.k IS NULL GROUP BY one.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id"""

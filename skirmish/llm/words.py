@@ -124,6 +124,11 @@ class Words:
             self._hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
         return self._hash
 
+    def replaced(self, hashes: np.ndarray) -> Words:
+        """These words under other hashes, for windows over classes of words."""
+        self._hash, self._sums = hashes, None
+        return self
+
     def windows(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """A 64-bit hash of the word sequence start..stop of each pair."""
         if self._sums is None:

@@ -55,6 +55,24 @@ def test_jaccard_components(spark, rare):
     assert got == jaccard.brute(docs)
 
 
+def test_jaccard_in_a_loose_group_of_near_copies(spark):
+    """Copies around the limit: many are not linked with the first, some with no other."""
+    import random
+
+    rnd = random.Random(12)
+    base = corpus.words(rnd, 170, 10_000)
+    docs = {}
+    for d in range(70):
+        words = list(base)
+        for _ in range(rnd.randint(0, 7)):
+            words[rnd.randrange(len(words))] = f"n{rnd.random()}"
+        docs[d] = " ".join(words)
+    want = jaccard.brute(docs)
+    assert 1 < len({c for _, c in want.values()}) < 70
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(corpus.table(spark, docs)).collect()}
+    assert got == want
+
+
 def test_jaccard_keeps_one_of_each_group(spark):
     docs = corpus.texts(5, 40)
     df = corpus.table(spark, docs, corpus.awkward_rows(docs)[:1])

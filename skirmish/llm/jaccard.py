@@ -20,7 +20,7 @@ that fewer than ``LEAST`` + ``LEAST`` - 1 of its tokens are common is under 1e-1
 Verification. Each key's documents are first compared with its smallest; links become components. A key
 whose documents are then in one component needs no more, so a group of near copies costs one
 comparison per member and key. Otherwise its pairs across components are candidates, unless their
-sizes differ too much or, for combinations, two bits of the first token in each of ``ORDERS`` orders agree less often
+sizes differ too much or, for combinations (a pair is taken at its first common one), two bits of the first token in each of ``ORDERS`` orders agree less often
 than a linked pair's do with a chance of 1 - 1e-12. What is left is compared in full, so no link that
 matters for a component is left out.
 
@@ -162,6 +162,12 @@ def _across(rows: DataFrame, percent: int, more: list[str], near=None) -> DataFr
     return joined.select(F.col("doc").alias("lead"), F.col("doc_").alias("doc"), *[F.col(c) for c in ("whole", "whole_") if c in joined.columns])
 
 
+def _first_common():
+    """Whether the rows' documents share no combination before this one, so that a pair comes once."""
+    before = F.zip_with(F.slice("keys", 1, F.col("place")), F.slice("keys_", 1, F.col("place")), lambda a, b: a == b)
+    return ~F.exists(before, lambda same: same)
+
+
 def _close():
     """Whether the two-bit symbols of two rows differ in at most DIFFER places."""
     total = F.lit(0)
@@ -226,7 +232,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, rare: int = RARE) -> DataFr
     packed = packing.pack(texts.where("doc_id IS NOT NULL"))
     signed = ", ".join(f"{s} long" for s in SIGNS)
     sketch = cut(packed.join(frequent, "doc_id", "left_semi").mapInArrow(_combinations, f"doc long, keys array<long>, {signed}"), "sketches")
-    combined = _shared(sketch.select(F.explode("keys").alias("key"), "doc").distinct(), "combinations")
+    combined = _shared(sketch.select(F.posexplode("keys").alias("place", "key"), "doc").distinct(), "combinations")
     single = prefixes.where(F.col("df") <= rare)
     # a first round against the smallest document of each key; what it misses is left to the second
     star = single.where("doc <> lead").groupBy("lead", "doc").agg(F.count(F.lit(1)).alias("n"), F.max("whole").alias("whole"))
@@ -238,8 +244,8 @@ def classes(docs: DataFrame, percent: int = PERCENT, rare: int = RARE) -> DataFr
     left = _mixed(single.select("key", "doc", "whole").join(size, "doc"), place)
     pairs = _across(left, percent, ["whole"]).groupBy("lead", "doc").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("whole") | F.col("whole_")).alias("whole"))
     pairs = pairs.where(F.col("whole") | (F.col("n") >= LEAST)).select("lead", "doc")
-    right = _mixed(combined.select("key", "doc").join(size, "doc"), place).join(sketch.drop("keys").distinct(), "doc")
-    pairs = pairs.unionByName(_across(right, percent, SIGNS, _close())).distinct()
+    right = _mixed(combined.select("key", "doc", "place").join(size, "doc"), place).join(sketch.distinct(), "doc")
+    pairs = pairs.unionByName(_across(right, percent, ["keys", *SIGNS], _close() & _first_common())).distinct()
     open_ = cut(pairs.join(tested, ["lead", "doc"], "left_anti"), "across")
     if not open_.isEmpty():
         more = cut(verified(packed, open_, percent), "verified")

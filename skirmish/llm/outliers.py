@@ -4,19 +4,24 @@ Base statistics are counted per document. The rest of the verdict comes from a m
 determinant estimate per language and source: the statistics are transformed to four shares
 (``FEATURES``); from the coordinatewise medians on, concentration steps take mean and covariance of
 the ``inner`` share of rows with the smallest distances, which never raises the determinant.
-Distances are then rescaled so that their median is that of the chi-square law, and documents
-beyond ``limit`` are rejected. A variance floor (``FLOOR``) keeps groups of equal rows regular, so
-the spread below which a difference means nothing is stated rather than estimated.
+The covariance of the inner share is raised by the factor that makes it consistent for normal rows.
+Distances are then rescaled so that their median is at most that of the chi-square law, and documents
+beyond ``limit``, its 0.999 quantile, are rejected. A variance below ``FLOOR`` squared counts as this
+one, which keeps groups of equal rows regular: the spread below which a difference means nothing is
+stated there; larger spreads are the estimated ones.
 
 Medians and cut-offs are read from counted histograms, so each group costs rows per bucket, not rows
-per document, and no group meets in one task. Groups under ``least`` documents, and documents that
-fail the base rules, get no outlier verdict and take no part in the estimates.
+per document, and no group meets in one task. Groups under ``least`` sound documents are judged by
+the estimate of their language (of all its sources), and by that of all rows where the language has fewer,
+too. Documents that fail the base rules get no outlier verdict and take no part in the estimates.
 
 Null language or source is a group of its own; a null text has no words and fails the base rules.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +32,12 @@ from .mixing import WORD
 SPACE = r"[\x20\x09-\x0D]"
 FEATURES = ("x0", "x1", "x2", "x3")
 #: Standard deviations of the features below which a spread counts as this one.
-FLOOR = (0.12, 0.15, 0.08, 0.08)
-#: Median of the chi-square law with four degrees of freedom.
+FLOOR = (0.04, 0.15, 0.08, 0.08)
+#: Median and 0.999 quantile of the chi-square law with four degrees of freedom.
 CHI_MEDIAN = 3.3567
-GROUP = ("lang", "source")
+CHI_LIMIT = 18.4668
+#: The rows of an estimate: 0 for those of a language and source, 1 of a language, 2 all; language and source are null where they are pooled.
+GROUP = ("pool", "of_lang", "of_source")
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
@@ -93,7 +100,7 @@ def _same(a: str) -> Column:
 
 def _attach(rows: DataFrame, per: DataFrame) -> DataFrame:
     """Rows with the columns of their group's row, or nulls."""
-    out = rows.alias("a").join(per.alias("b"), _same("lang") & _same("source"), "left")
+    out = rows.alias("a").join(per.alias("b"), (F.col("a.pool") == F.col("b.pool")) & _same("of_lang") & _same("of_source"), "left")
     return out.select("a.*", *[f"b.{c}" for c in per.columns if c not in GROUP])
 
 
@@ -134,41 +141,75 @@ def _log_bucket(d: Column) -> Column:
     return F.floor(F.log(d + 1e-6) * 16).cast("long")
 
 
-def _estimate(rows: DataFrame) -> DataFrame:
+def _consistency(inner: float) -> float:
+    """What the covariance of the ``inner`` nearest share of normal rows is to be multiplied by; the laws have four and six degrees of freedom."""
+    if inner >= 1:
+        return 1.0
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        half = (low + high) / 4
+        low, high = (2 * half, high) if 1 - math.exp(-half) * (1 + half) < inner else (low, 2 * half)
+    half = low / 2
+    return inner / (1 - math.exp(-half) * (1 + half + half * half / 2))
+
+
+def _estimate(rows: DataFrame, inner: float) -> DataFrame:
     """Mean and factored covariance per group."""
     p = range(len(FEATURES))
     moments = rows.groupBy(*GROUP).agg(
         *[F.avg(f"x{i}").alias(f"m{i}") for i in p],
         *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i in p for j in range(i + 1)],
     )
-    cov = [[F.col(f"c{max(i, j)}{min(i, j)}") + (F.lit(FLOOR[i] ** 2) if i == j else F.lit(0.0)) for j in p] for i in p]
+    cov = [[F.col(f"c{max(i, j)}{min(i, j)}") * _consistency(inner) for j in p] for i in p]
+    for i in p:
+        cov[i][i] = F.greatest(cov[i][i], F.lit(FLOOR[i] ** 2))
     return moments.select(*GROUP, *[c.alias(n) for n, c in _factor([F.col(f"m{i}") for i in p], cov).items()])
 
 
-def verdicts(docs: DataFrame, inner: float = 0.75, steps: int = 3, limit: float = 80.0, least: int = 30) -> DataFrame:
+def _of(pool: Column) -> list[Column]:
+    """The columns of GROUP for a row's own language and source."""
+    return [pool.alias("pool"), F.when(pool < 2, F.col("lang")).alias("of_lang"), F.when(pool < 1, F.col("source")).alias("of_source")]
+
+
+def _pools(sound: DataFrame, least: int) -> DataFrame:
+    """Per language and source: the estimate that judges it (pool) and those that its rows take part in (feeds)."""
+    groups = cut(sound.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "mcd")
+    langs = groups.groupBy("lang").agg(F.sum("n").alias("of_lang"), F.min("n").alias("smallest"))
+    pool = F.when(F.col("n") >= least, 0).when(F.col("of_lang") >= least, 1).otherwise(2)
+    by_lang = (F.col("smallest") < least) & (F.col("of_lang") >= least)
+    every = langs.agg(F.coalesce(F.min("of_lang") < least, F.lit(False)).alias("all"))
+    out = groups.alias("a").join(langs.alias("b"), _same("lang")).select("a.*", "b.of_lang", "b.smallest").crossJoin(every)
+    feeds = F.array_compact(F.array(F.when(F.col("n") >= least, 0), F.when(by_lang, 1), F.when(F.col("all"), 2)))
+    return cut(out.select("lang", "source", pool.alias("pool"), feeds.alias("feeds")), "mcd")
+
+
+def verdicts(docs: DataFrame, inner: float = 0.75, steps: int = 3, limit: float = CHI_LIMIT, least: int = 30) -> DataFrame:
     """Base statistics of every row with base_failed, distance and kept."""
     stats = base_columns(docs).withColumn("base_failed", base_failed())
     stats = cut(features(stats), "quality")
-    sound = stats.where(~F.col("base_failed"))
+    pools = _pools(stats.where(~F.col("base_failed")), least)
+    judged = stats.alias("a").join(pools.alias("b"), _same("lang") & _same("source"), "left").select("a.*", "b.pool", "b.feeds")
+    sound = judged.where(~F.col("base_failed")).withColumn("pool", F.explode("feeds")).select(*FEATURES, *_of(F.col("pool")))
     # medians of the features on a grid
     long = sound.select(*GROUP, F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.round(F.col(x) * 128).cast("long").alias("v")) for i, x in enumerate(FEATURES)])).alias("e"))
     counted = long.groupBy(*GROUP, "e.dim", "e.v").count()
     run = Window.partitionBy(*GROUP, "dim").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     half = counted.withColumn("upto", F.sum("count").over(run)).withColumn("all", F.sum("count").over(Window.partitionBy(*GROUP, "dim")))
     middle = half.where(F.col("upto") * 2 >= F.col("all")).groupBy(*GROUP).agg(
-        *[F.min(F.when(F.col("dim") == i, F.col("v") / 128)).alias(f"m{i}") for i in range(len(FEATURES))], F.max("all").alias("n")
+        *[F.min(F.when(F.col("dim") == i, F.col("v") / 128)).alias(f"m{i}") for i in range(len(FEATURES))]
     )
     spread = {f"l{i}{j}": F.lit(FLOOR[i] if i == j else 0.0) for i in range(len(FEATURES)) for j in range(i + 1)}
-    start = middle.where(F.col("n") >= least).select(*GROUP, *[f"m{i}" for i in range(len(FEATURES))], *[c.alias(n) for n, c in spread.items()])
+    start = middle.select(*GROUP, *[f"m{i}" for i in range(len(FEATURES))], *[c.alias(n) for n, c in spread.items()])
     per = cut(start, "mcd")
     for _ in range(steps):
-        near = _attach(sound, per).where(F.col("m0").isNotNull()).withColumn("bucket", _log_bucket(_distance()))
+        near = _attach(sound, per).withColumn("bucket", _log_bucket(_distance()))
         edge = _quantile(near, F.col("bucket"), inner, "edge")
-        per = cut(_estimate(_attach(near, edge).where(F.col("bucket") <= F.col("edge"))), "mcd")
-    near = _attach(sound, per).where(F.col("m0").isNotNull()).withColumn("bucket", _log_bucket(_distance()))
+        per = cut(_estimate(_attach(near, edge).where(F.col("bucket") <= F.col("edge")), inner), "mcd")
+    near = _attach(sound, per).withColumn("bucket", _log_bucket(_distance()))
     scale = _quantile(near, F.col("bucket"), 0.5, "middle").select(*GROUP, (F.exp((F.col("middle") + 0.5) / 16) / CHI_MEDIAN).alias("scale"))
     # floors above the real spread make distances small; they are never scaled up
-    scaled = _attach(_attach(stats, per), scale).withColumn("distance", _distance() / F.greatest(F.col("scale"), F.lit(1.0)))
+    own = judged.select(*stats.columns, *_of(F.col("pool")))
+    scaled = _attach(_attach(own, per), scale).withColumn("distance", _distance() / F.greatest(F.col("scale"), F.lit(1.0)))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit)
     return scaled.select(*stats.columns, F.when(~F.col("base_failed"), F.col("distance")).alias("distance"), kept.alias("kept"))
 

@@ -177,6 +177,30 @@ def test_outliers_go_and_the_rest_stays(spark):
     assert {r.doc_id for r in outliers.digest(df).collect() if not r.kept} == set(range(150, 156))
 
 
+def test_repetition_alone_is_an_outlier(spark):
+    """A document of ordinary words, extreme in repeated lines and words only."""
+    import random
+
+    rnd = random.Random(10)
+    docs = {d: "\n".join(" ".join(corpus.words(rnd, 6, 5000)) for _ in range(20)) for d in range(150)}
+    lines = docs[0].split("\n")
+    docs[150] = "\n".join(lines[:15] + lines[:5])
+    df = spark.createDataFrame([(d, t, "en", "s") for d, t in docs.items()], "doc_id long, text string, lang string, source string")
+    got = rows(outliers.digest(df))
+    assert not got[150].base_failed and {d for d, r in got.items() if not r.kept} == {150}
+
+
+def test_small_groups_are_judged_by_their_language_or_all_rows(spark):
+    import random
+
+    rnd = random.Random(11)
+    told = [(d, " ".join(corpus.words(rnd, 120, 5000)), "en", f"s{d % 40}") for d in range(200)]
+    told += [(d, " ".join(corpus.words(rnd, 120, 5000)), ("xx", None)[d % 2], None) for d in range(200, 206)]
+    told += [(d, " ".join(f"{w}$$$" for w in corpus.words(rnd, 120, 5000)), *of) for d, of in ((300, ("en", "s3")), (301, ("xx", None)), (302, (None, "new")))]
+    got = rows(outliers.digest(spark.createDataFrame(told, "doc_id long, text string, lang string, source string")))
+    assert {d for d, r in got.items() if not r.kept} == {300, 301, 302} and all(r.distance is not None for r in got.values())
+
+
 def test_base_spans_are_the_patterns(spark):
     import random
 

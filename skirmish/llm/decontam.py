@@ -3,12 +3,14 @@
 Words are reduced to a template: numbers (digits or number words), names (capitalised inside a
 sentence) and units become typed placeholders, other words lose case and outer punctuation. Windows of
 ``WINDOW`` template words are joined by hash with the windows of the benchmark items; items shorter
-than that match as a whole. Windows with fewer than ``LITERAL`` plain words are not specific and do
+than that match as a whole, and items under three windows have windows of ``NARROW`` words as well, as
+one changed word could break all the wider ones. Windows with fewer than ``LITERAL`` plain words are not specific and do
 not count, on either side.
 
-Hits of a document and an item on one diagonal (place in the document minus place in the item) are one
-occurrence. It counts when its windows are at least ``NEED`` of the item's, and its slots are consistent:
-wherever the item repeats a value, the document repeats its own value, so 3 ... 3 may become 7 ... 7
+Hits of a document and an item on one diagonal (place in the document minus place in the item), or on
+diagonals that follow each other by at most ``SHIFT`` words (inserted or removed ones), are one occurrence. It
+counts when they cover at least ``NEED`` of the item's words (those in specific windows), or a run of ``RUN`` of
+them or of half of them if that is less, but not under ``WINDOW``; and its slots must be consistent: wherever the item repeats a value, the document repeats its own value, so 3 ... 3 may become 7 ... 7
 but not 7 ... 8. ``changed`` tells how many of the item's values were replaced: 0 is a verbatim copy, more a
 re-parameterised question.
 
@@ -27,7 +29,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish.sources.staging import cut
@@ -37,6 +39,12 @@ from .words import Words, blocks, mix, ranges
 WINDOW = 8
 LITERAL = 3
 NEED = 0.6
+#: Width of the windows that items under three wide ones have besides.
+NARROW = 5
+#: Words between neighbouring diagonals of one occurrence.
+SHIFT = 4
+#: Words on end that make an occurrence by themselves.
+RUN = 13
 BOUND = 2_000_000
 
 # Number words and units.
@@ -90,6 +98,12 @@ class Templates:
 
 def _windows(window: int, literal: int, short: tuple[int, ...], wanted: np.ndarray | None, ids: str):
     """Windows of each text: id, place, width, hash, and the slots inside as (offset, value)."""
+    narrow = min(NARROW, window)
+    widths = sorted({window, narrow, *short}, reverse=True)
+    seen = np.zeros(0, bool)
+    if wanted is not None:  # most windows end at this table of the hashes' last bits
+        seen = np.zeros(1 << max(16, min(26, int(len(wanted) * 16).bit_length())), bool)
+        seen[(wanted & np.uint64(len(seen) - 1)).astype(np.int64)] = True
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
@@ -102,15 +116,18 @@ def _windows(window: int, literal: int, short: tuple[int, ...], wanted: np.ndarr
                 template, plain, kind = templates.of(words)
                 words.replaced(template)
                 literals = np.append(0, np.cumsum(kind == PLAIN))
-                for width in (window, *short):
+                for width in widths:
                     at, h = words.grams(width)
-                    if ids == "item_id" and width < window:  # whole short items only
-                        whole = np.diff(words.first)[words.row[at]] == width
-                        at, h = at[whole], h[whole]
+                    if ids == "item_id" and width < window:  # whole short items, and narrow windows of items under three wide ones
+                        n = np.diff(words.first)[words.row[at]]
+                        keep = (n == width) | ((n >= window) & (n < 3 * window) & (width == narrow))
+                        at, h = at[keep], h[keep]
                     keep = literals[at + width] - literals[at] >= min(literal, width)
                     if wanted is not None:
+                        keep &= seen[(h & np.uint64(len(seen) - 1)).astype(np.int64)]
+                        at, h = at[keep], h[keep]
                         slot = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
-                        keep &= (wanted[slot] == h) if len(wanted) else False
+                        keep = (wanted[slot] == h) if len(wanted) else np.zeros(len(h), bool)
                     at, h = at[keep], h[keep]
                     if not len(at):
                         continue
@@ -132,7 +149,7 @@ def _schema(ids: str) -> str:
     return f"{ids} long, place int, width int, hash long, offset array<int>, value array<long>"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL, need: float = NEED, bound: int = BOUND) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL, need: float = NEED, bound: int = BOUND, shift: int = SHIFT, enough: int = RUN) -> DataFrame:
     """(doc_id, item_id, place, share, slots, changed): the occurrences of items in documents."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["item_id"])
     n = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
@@ -144,16 +161,33 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
         wanted = np.sort(np.array([r.hash for r in hashes.toLocalIterator()], np.int64).view(np.uint64))
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
     found = texts.mapInArrow(_windows(window, literal, short, wanted, "doc_id"), _schema("doc_id"))
-    theirs = own.select("item_id", F.col("place").alias("item_place"), "hash")
-    hits = found.join(theirs, "hash").withColumn("diagonal", F.col("place") - F.col("item_place"))
-    hits = cut(hits.select("doc_id", "item_id", "diagonal", "item_place", "offset", "value"), "hits")
-    key = ["doc_id", "item_id", "diagonal"]
-    total = own.groupBy("item_id").agg(F.countDistinct("place").alias("windows"))
-    covered = hits.groupBy(*key).agg(F.countDistinct("item_place").alias("covered")).join(total, "item_id")
-    covered = covered.withColumn("share", F.col("covered") / F.col("windows")).where(F.col("share") >= need)
+    theirs = own.select("item_id", F.col("place").alias("item_place"), "width", "hash")
+    hits = found.drop("width").join(theirs, "hash").withColumn("diagonal", F.col("place") - F.col("item_place"))
+    hits = cut(hits.select("doc_id", "item_id", "diagonal", "item_place", "width", "offset", "value"), "hits")
+    pair = ["doc_id", "item_id"]
+    # neighbouring diagonals get one number
+    along = Window.partitionBy(*pair).orderBy("diagonal")
+    ahead = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > shift).cast("int"), F.lit(0))
+    diagonals = hits.groupBy(*pair, "diagonal").agg(F.countDistinct("item_place").alias("n")).withColumn("ahead", ahead)
+    diagonals = diagonals.withColumn("occurrence", F.sum("ahead").over(along)).drop("ahead")
+    # where diagonals overlap, the one with more windows counts
+    diagonals = diagonals.withColumn("rank", F.col("n") * (1 << 32) - F.col("diagonal"))
+    hits = cut(hits.join(diagonals, [*pair, "diagonal"]), "hits")
+    key = [*pair, "occurrence"]
+    inside = F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("i")
+    total = own.select("item_id", "place", inside).groupBy("item_id").agg(F.countDistinct(F.col("place") + F.col("i")).alias("words"))
+    places = hits.select(*key, "item_place", inside).select(*key, (F.col("item_place") + F.col("i")).alias("at")).distinct()
+    island = F.col("at") - F.row_number().over(Window.partitionBy(*key).orderBy("at"))
+    runs = places.withColumn("island", island).groupBy(*key, "island").count()
+    covered = runs.groupBy(*key).agg(F.sum("count").alias("covered"), F.max("count").alias("run")).join(total, "item_id")
+    covered = covered.withColumn("share", F.col("covered") / F.col("words"))
+    long = F.col("run") >= F.least(F.lit(enough), F.greatest(F.lit(window), F.floor(F.col("words") / 2)))
+    covered = covered.where((F.col("share") >= need) | long)
+    covered = covered.join(hits.groupBy(*key).agg(F.max_by("diagonal", "rank").alias("diagonal")), key)
     slot = F.explode(F.arrays_zip("offset", "value")).alias("s")
     asked = own.select("item_id", "place", slot).select("item_id", (F.col("place") + F.col("s.offset")).alias("at"), F.col("s.value").alias("said")).distinct()
-    given = hits.select(*key, "item_place", slot).select(*key, (F.col("item_place") + F.col("s.offset")).alias("at"), F.col("s.value").alias("value")).distinct()
+    given = hits.select(*key, "item_place", "rank", slot).select(*key, "rank", (F.col("item_place") + F.col("s.offset")).alias("at"), F.col("s.value").alias("value"))
+    given = given.groupBy(*key, "at").agg(F.max_by("value", "rank").alias("value"))
     filled = given.join(asked, ["item_id", "at"])
     by_value = filled.groupBy(*key, "said").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("n"))
     slots = by_value.groupBy(*key).agg(

@@ -135,6 +135,26 @@ def test_templates(spark):
     assert {r.doc_id for r in decontam.decontaminate(a, b).collect()} == {3, 5, 6}
 
 
+def test_edited_and_partial_copies(spark):
+    """A changed word in a short item, an inserted and a removed one, two changed ones, a number in two words, the first half."""
+    import random
+
+    rnd = random.Random(12)
+    long, short = corpus.words(rnd, 37, 5000), corpus.words(rnd, 15, 5000)
+    said = [*(f"q{w}" for w in long[:20]), "25", *(f"q{w}" for w in long[20:])]
+    table = [w + " xx 7 yy" for w in "abcdef"]  # its template repeats, so that neighbouring diagonals hit as well
+    items = {1: " ".join(long), 2: " ".join(short), 3: " ".join(said), 4: " ".join(["3 aa bb cc", "5 aa bb cc", "7 aa bb cc", "9 aa bb cc"])}
+    docs = {
+        1: [*long[:18], "more", *long[18:]], 2: [*long[:18], *long[19:]], 3: [*long[:12], "other", *long[13:24], "other", *long[25:]], 4: long[:18],
+        5: [*short[:7], "other", *short[8:]], 6: [*said[:20], "twenty", "five", *said[21:]], 7: items[4].split(), 8: long[:6] + table, 9: short[:6],
+    }
+    texts = {d: "go on " + " ".join(x) + " and on" for d, x in docs.items()}
+    df, b = corpus.table(spark, texts), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.digest(df, b).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (6, 3), (7, 4)} and got[7, 4].changed == 0
+    assert all(r.occurrences == 1 for r in got.values()) and got[1, 1].share == 1.0
+
+
 def test_mix(spark):
     docs = corpus.texts(6, 80)
     df = corpus.table(spark, docs)

@@ -7,6 +7,11 @@ than that match as a whole, and items under three windows have windows of ``NARR
 one changed word could break all the wider ones. Windows with fewer than ``LITERAL`` plain words are not specific and do
 not count, on either side.
 
+A window with capitals is indexed in up to three forms on both sides, so that neither layout nor case decides: with
+NAME for capitalised words inside a sentence only; for all capitalised words, as a name may begin a sentence;
+and for none. Where a capital begins a sentence it may be no name, so other values there are counted as
+changed, but need not be consistent. Other names in a text without capitals are not recognised as names.
+
 Hits of a document and an item on one diagonal (place in the document minus place in the item), or on
 diagonals that follow each other by at most ``SHIFT`` words (inserted or removed ones), are one occurrence. It
 counts when they cover at least ``NEED`` of the item's words (those in specific windows), or a run of ``RUN`` of
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +83,7 @@ class Templates:
         return xxhash.xxh64_intdigest(low.encode()), kind, 2 * capital + ends
 
     def of(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By word: hash of the template word, hash of the plain form, kind."""
+        """By word: hash of the plain form, kind, and whether a capital says nothing there."""
         unique, at, back = np.unique(words.hash, return_index=True, return_inverse=True)
         if len(self.known) > self.most:
             self.known.clear()
@@ -92,8 +98,17 @@ class Templates:
         broken = np.append(0, np.cumsum(words.data == 10))
         opens = np.ones(len(words), bool)
         opens[1:] = (words.row[1:] != words.row[:-1]) | (flags[:-1] & 1 == 1) | (broken[words.start[1:]] > broken[words.end[:-1]])
-        kind = np.where((kind == PLAIN) & (flags >= 2) & ~opens, NAME, kind)
-        return np.where(kind == PLAIN, plain, mix(kind.astype(np.uint64))), plain, kind
+        capital = (kind == PLAIN) & (flags >= 2)
+        return plain, np.where(capital & ~opens, NAME, kind), capital & opens
+
+
+def _forms(kind: np.ndarray, soft: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Kinds of the words in each form, and the words at which the form differs from the first."""
+    yield kind, None
+    if soft.any():
+        yield np.where(soft, NAME, kind), soft
+    if (name := kind == NAME).any():
+        yield np.where(name, PLAIN, kind), name
 
 
 def _windows(window: int, literal: int, short: tuple[int, ...], wanted: np.ndarray | None, ids: str):
@@ -113,11 +128,15 @@ def _windows(window: int, literal: int, short: tuple[int, ...], wanted: np.ndarr
                 words = Words(data, offsets)
                 if not len(words):
                     continue
-                template, plain, kind = templates.of(words)
-                words.replaced(template)
-                literals = np.append(0, np.cumsum(kind == PLAIN))
-                for width in widths:
+                plain, first, soft = templates.of(words)
+                for (kind, other), width in product(_forms(first, soft), widths):
+                    words.replaced(np.where(kind == PLAIN, plain, mix(kind.astype(np.uint64))))
+                    literals = np.append(0, np.cumsum(kind == PLAIN))
                     at, h = words.grams(width)
+                    if other is not None:
+                        others = np.append(0, np.cumsum(other))
+                        keep = others[at + width] > others[at]
+                        at, h = at[keep], h[keep]
                     if ids == "item_id" and width < window:  # whole short items, and narrow windows of items under three wide ones
                         n = np.diff(words.first)[words.row[at]]
                         keep = (n == width) | ((n >= window) & (n < 3 * window) & (width == narrow))
@@ -135,18 +154,18 @@ def _windows(window: int, literal: int, short: tuple[int, ...], wanted: np.ndarr
                     is_slot = kind[i] != PLAIN
                     owner, i = owner[is_slot], i[is_slot]
                     bounds = pa.array(np.searchsorted(owner, np.arange(len(at) + 1)).astype(np.int32))
-                    slots = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in ((i - at[owner]).astype(np.int32), plain[i].view(np.int64))]
+                    slots = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in ((i - at[owner]).astype(np.int32), plain[i].view(np.int64), soft[i])]
                     row = words.row[at]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(names[low + row]), pa.array((at - words.first[row]).astype(np.int32)), pa.array(np.full(len(at), width, np.int32)), pa.array(h.view(np.int64)), *slots],
-                        [ids, "place", "width", "hash", "offset", "value"],
+                        [ids, "place", "width", "hash", "offset", "value", "soft"],
                     )
 
     return run
 
 
 def _schema(ids: str) -> str:
-    return f"{ids} long, place int, width int, hash long, offset array<int>, value array<long>"
+    return f"{ids} long, place int, width int, hash long, offset array<int>, value array<long>, soft array<boolean>"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL, need: float = NEED, bound: int = BOUND, shift: int = SHIFT, enough: int = RUN) -> DataFrame:
@@ -163,7 +182,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
     found = texts.mapInArrow(_windows(window, literal, short, wanted, "doc_id"), _schema("doc_id"))
     theirs = own.select("item_id", F.col("place").alias("item_place"), "width", "hash")
     hits = found.drop("width").join(theirs, "hash").withColumn("diagonal", F.col("place") - F.col("item_place"))
-    hits = cut(hits.select("doc_id", "item_id", "diagonal", "item_place", "width", "offset", "value"), "hits")
+    hits = cut(hits.select("doc_id", "item_id", "diagonal", "item_place", "width", "offset", "value", "soft"), "hits")
     pair = ["doc_id", "item_id"]
     # neighbouring diagonals get one number
     along = Window.partitionBy(*pair).orderBy("diagonal")
@@ -184,14 +203,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
     long = F.col("run") >= F.least(F.lit(enough), F.greatest(F.lit(window), F.floor(F.col("words") / 2)))
     covered = covered.where((F.col("share") >= need) | long)
     covered = covered.join(hits.groupBy(*key).agg(F.max_by("diagonal", "rank").alias("diagonal")), key)
-    slot = F.explode(F.arrays_zip("offset", "value")).alias("s")
-    asked = own.select("item_id", "place", slot).select("item_id", (F.col("place") + F.col("s.offset")).alias("at"), F.col("s.value").alias("said")).distinct()
-    given = hits.select(*key, "item_place", "rank", slot).select(*key, "rank", (F.col("item_place") + F.col("s.offset")).alias("at"), F.col("s.value").alias("value"))
-    given = given.groupBy(*key, "at").agg(F.max_by("value", "rank").alias("value"))
-    filled = given.join(asked, ["item_id", "at"])
-    by_value = filled.groupBy(*key, "said").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("n"))
+    slot = F.explode(F.arrays_zip("offset", "value", "soft")).alias("s")
+    asked = own.select("item_id", "place", slot).select("item_id", (F.col("place") + F.col("s.offset")).alias("at"), F.col("s.value").alias("said"), F.col("s.soft").alias("loose")).distinct()
+    given = hits.select(*key, "item_place", "rank", slot).select(*key, "rank", (F.col("item_place") + F.col("s.offset")).alias("at"), F.col("s.value").alias("value"), "s.soft")
+    given = given.groupBy(*key, "at").agg(F.max_by("value", "rank").alias("value"), F.max_by("soft", "rank").alias("soft"))
+    filled = given.join(asked, ["item_id", "at"]).withColumn("firm", F.when(~F.col("soft") & ~F.col("loose"), F.col("value")))
+    by_value = filled.groupBy(*key, "said").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.min("firm").alias("least"), F.max("firm").alias("most"), F.count(F.lit(1)).alias("n"))
     slots = by_value.groupBy(*key).agg(
-        F.sum("n").alias("slots"), F.sum((F.col("low") != F.col("said")).cast("long")).alias("changed"), F.max((F.col("low") != F.col("high")).cast("int")).alias("clash")
+        F.sum("n").alias("slots"), F.sum(((F.col("low") != F.col("said")) | (F.col("high") != F.col("said"))).cast("long")).alias("changed"), F.max((F.col("least") != F.col("most")).cast("int")).alias("clash")
     )
     out = covered.join(slots, key, "left").where("coalesce(clash, 0) = 0")
     zero = F.lit(0).cast("long")

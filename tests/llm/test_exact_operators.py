@@ -155,6 +155,21 @@ def test_edited_and_partial_copies(spark):
     assert all(r.occurrences == 1 for r in got.values()) and got[1, 1].share == 1.0
 
 
+def test_names_at_sentence_starts_and_other_layouts(spark):
+    item = "Natalia sold clips to most friends during that trip early . Natalia then asked Tom about more of these clips ."
+    items = {1: item, 2: "after that long walk everybody wanted Alice near Berlin with Carol under Dora by Erika"}
+    docs = {
+        1: "x . " + item.replace("Natalia", "Maria"),
+        2: "x " + item.lower(),
+        3: "x y " + items[2].replace(" ", "\n"),
+        4: "x . " + item.replace("Natalia", "Maria").replace("clips ", "shells ").replace("trip", "stay").replace("asked", "told").replace("more", "less"),
+        5: "x . " + item.replace("Natalia", "Maria").replace(" ", "\n"),
+    }
+    df, b = corpus.table(spark, docs), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.changed for r in decontam.digest(df, b).collect()}
+    assert got == {(1, 1): 1, (2, 1): 0, (3, 2): 0, (5, 1): 1}
+
+
 def test_mix(spark):
     docs = corpus.texts(6, 80)
     df = corpus.table(spark, docs)

@@ -1,8 +1,10 @@
 """Operator 6: personal data by base patterns and bootstrapped contextual extraction.
 
 Base spans (``KINDS``) follow the given patterns and stay as they are. They and keyed secrets
-(``SEED_KEYS``, ``SEED_SHAPE``) are the seeds. Candidates are whitespace tokens that look like an
-identifier (eight characters at least, one digit at least) outside the base spans. Every seed and
+(``SEED_KEYS``, ``SEED_SHAPE``) are the seeds; a secret in one token with its key (pwd=ab1) may have any value.
+Candidates are whitespace tokens outside the base spans that look like an identifier (eight characters at
+least, one digit at least), and any token that stands behind the key of a secret (password: hunter2): such a
+value is a seed if it looks like an identifier, and left to its patterns otherwise. Every seed and
 candidate induces lexical patterns: the word before it (L), the word behind it (R), and its own key, the
 part up to the last "=" or ":" or its leading letters (K).
 
@@ -42,6 +44,9 @@ BOUND = 2_000_000
 
 # Names of secrets, and a public shape of access keys.
 SEED_KEYS = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "access_key")
+KEYED = re.compile(rf"(?:{'|'.join(SEED_KEYS)})[=:](?=.)", re.I | re.S)
+KEY_ALONE = re.compile(rf"[\"'(\[{{<]*(?:{'|'.join(SEED_KEYS)})[\"']?[=:]\Z", re.I)
+ANY_KEY = re.compile(rf"(?:{'|'.join(SEED_KEYS)})[\"']?[\x20\x09-\x0D]*[=:]", re.I)
 SEED_SHAPE = re.compile(r"AKIA[0-9A-Z]{12,}\Z")
 
 # The contract's patterns; possessive, anchored at the start of a run, so that long runs cost linear time.
@@ -117,6 +122,7 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
     """(start, end, instance, seed, base kind or -1, word before, word behind and key) of the seeds and candidates."""
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
     ends = [b for _, b in tokens]
+    keys = bool(ANY_KEY.search(text))
     out = []
 
     def context(a: int, b: int, key: str) -> tuple[str, str, str]:
@@ -133,16 +139,22 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
         while b - a and text[b - 1] in "\"')]}>.,;:!?#*$%&|":
             b -= 1
         token = text[a:b]
-        if len(token) < 8 or not DIGITS.search(token):
+        if not token:
+            continue
+        looks = len(token) >= 8 and bool(DIGITS.search(token))
+        glued = keys and bool(KEYED.match(token))
+        behind = False
+        if keys and i >= 1 and not glued:
+            last = text[slice(*tokens[i - 1])]
+            behind = bool(KEY_ALONE.match(last)) or (last in ("=", ":") and i >= 2 and text[slice(*tokens[i - 2])].lower() in SEED_KEYS)
+            behind &= token not in ("=", ":")
+        if not (looks or glued or behind):
             continue
         while taken < len(base) and base[taken][2] <= a:
             taken += 1
         if any(x < b and a < y for x, _, y in base[taken : taken + 8]):
             continue
-        lead = token.lower()
-        keyed = any(lead.startswith((f"{k}=", f"{k}:")) for k in SEED_KEYS)
-        if i >= 2 and text[slice(*tokens[i - 1])] in ("=", ":"):
-            keyed |= text[slice(*tokens[i - 2])].lower() in SEED_KEYS
+        keyed = glued or (behind and looks)
         out.append((a, b, _hash(token), keyed or bool(SEED_SHAPE.match(token)), -1, context(a, b, _key(token))))
     return out
 
@@ -160,7 +172,7 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = base_spans(text) if DIGITS.search(text) or "@" in text else []
             counts.append([sum(k == i for _, k, _ in spans) for i in range(4)])
             base.append(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans))
-            found.append(nodes(text, spans) if spans or DIGITS.search(text) else [])
+            found.append(nodes(text, spans) if spans or DIGITS.search(text) or ANY_KEY.search(text) else [])
         around = sorted({w for own in found for n in own for w in n[5][:2] if w})
         known = dict(zip(around, word_hashes(around).tolist(), strict=True)) if around else {}
         keys = ("start", "stop", "instance", "seed", "kind", "patterns")

@@ -257,6 +257,15 @@ def test_contexts_find_new_identifiers(spark):
     assert got[100].spans == f"id:{text.index('zz81')}:{text.index('zz81') + 10}" and got[101].spans == ""
 
 
+def test_keyed_secrets_of_any_value(spark):
+    """Values without digits or under eight characters, glued to their key or behind one that other secrets share."""
+    docs = {1: "login password=correcthorse and go", 2: "so pwd=ab1, then", 3: "a secret=abcdefghij here", 4: "no password at all", 5: "the token= is empty"}
+    docs |= {d: f"set password: zz{d}yy{d}xx now" for d in range(10, 40)} | {50: "set password: hunter2 now"}
+    got = {d: [docs[d][int(a) : int(b)] for _, a, b in (x.split(":") for x in r.spans.split(",") if x)] for d, r in rows(pii.digest(corpus.table(spark, docs))).items()}
+    want = {1: ["password=correcthorse"], 2: ["pwd=ab1"], 3: ["secret=abcdefghij"], 4: [], 50: ["hunter2"]}
+    assert {d: got[d] for d in want} == want and got[10] == ["zz10yy10xx"]
+
+
 def test_license_phrases_and_diagonals(spark):
     gpl = "This work is licensed under the GNU General Public License, version 3."
     docs = {

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, decontam, jaccard, licenses, lines, mixing, outliers, pii, substring, toxicity
+from . import crf, decontam, jaccard, licenses, lines, mixing, outliers, pii, secret_scan, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +53,15 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_decontamination, op3_line_dedup, op4_ngram_jaccard, op5_quality_outliers,
-        op6_pii, op7_line_crf, op8_toxicity, op9_mix_sources, op10_license_diagonals,
+        op6_pii, op7_line_crf, op8_toxicity, op9_mix_sources, op10_license_diagonals, op13_secret_scan,
     )
 }
 ORACLES: dict[str, str] = {"op1_substring_dedup": substring.SQL, "op9_mix_sources": mixing.SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, decontam, jaccard, licenses, lines, mixing, outliers, pii, secret_scan, substring, toxicity, whitening
+from . import crf, decontam, jaccard, licenses, lines, mixing, outliers, pii, secret_scan, shared_search, substring, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -65,7 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_decontamination, op3_line_dedup, op4_ngram_jaccard, op5_quality_outliers,
-        op6_pii, op7_line_crf, op8_toxicity, op9_mix_sources, op10_license_diagonals, op12_embedding_whitening, op13_secret_scan,
+        op6_pii, op7_line_crf, op8_toxicity, op9_mix_sources, op10_license_diagonals, op11_shared_search,
+        op12_embedding_whitening, op13_secret_scan,
     )
 }
-ORACLES: dict[str, str] = {"op1_substring_dedup": substring.SQL, "op9_mix_sources": mixing.SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": substring.SQL, "op9_mix_sources": mixing.SQL, "op11_shared_search": shared_search.SQL}

@@ -15,10 +15,11 @@ meet under one anchor. A run of neighbouring windows with one anchor is a *passa
 4. The spans go back to the documents.
 
 Instead of sending every document through the automaton of every shard of the corpus (quadratic in
-the corpus), only passages with a common anchor meet. Hashes route; the automaton compares words.
+the corpus), only passages with a common anchor meet. Passages that are equal in one batch meet by a 64-bit hash of their
+words and are decided there; all others meet by hashes as well, and the automaton decides on words.
 
 Documents are compared by (doc_id, start of the window). Rows with one doc_id and equal texts are one
-document. A null text has no words; a document with a null doc_id keeps all words and removes
+document; different texts under one doc_id are compared in the order of their hashes (``shared_ids``). A null text has no words; a document with a null doc_id keeps all words and removes
 nothing elsewhere.
 """
 
@@ -36,6 +37,8 @@ from skirmish.sources.staging import cut
 
 from . import packing
 from .packing import pack
+from .shared_ids import bases, with_base
+from .shared_ids import words as word_count
 from .words import Words, blocks, mix, ranges
 
 #: Occurrences from which an anchor is split by window.
@@ -116,12 +119,13 @@ def _occurrences(window: int, gram: int, count: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, known = _ids(batch)
+            base = np.asarray(batch.column("base")).astype(np.int64)
             parts = []
             for low, _, data, offsets in blocks(batch.column("text")):
                 words = Words(data, offsets)
                 row, anchor, first, _ = _anchors(words, window, gram)
                 keep = known[low + row]
-                parts.append((anchor[keep], ids[low + row[keep]], (first - words.first[row])[keep]))
+                parts.append((anchor[keep], ids[low + row[keep]], (first - words.first[row] + base[low + row])[keep]))
             if not parts:
                 continue
             anchor, doc, first = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -163,6 +167,7 @@ def _passages(window: int, gram: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, _ = _ids(batch)
+            base = np.asarray(batch.column("base")).astype(np.int64)
             places = batch.column("places")
             begin = np.asarray(places.offsets)
             flat = np.asarray(places.values)
@@ -170,7 +175,7 @@ def _passages(window: int, gram: int):
             for low, high, data, offsets in packing.blocks(batch.column("text")):
                 words = Words(data, offsets)
                 owner, i = ranges(begin[low:high], begin[low + 1 : high + 1])
-                asked = words.first[owner] + (flat[i] >> 1)
+                asked = words.first[owner] + (flat[i] >> 1) - base[low + owner]
                 row, anchors, heads, runs = _anchors(words, window, gram)
                 # a place without a run here belongs to another text with the same doc_id
                 at = np.searchsorted(heads, asked)
@@ -190,6 +195,7 @@ def _passages(window: int, gram: int):
                 digest = words.windows(begin_word, begin_word + n + window - 1)
                 key = np.where(split, digest, key)
                 doc = ids[low + owner]
+                first = first + base[low + owner]
                 order = np.lexsort((first, doc, digest, key))
                 key, digest, doc, first, n, begin_word = (x[order] for x in (key, digest, doc, first, n, begin_word))
                 parts.append((key, digest, doc, first, n))
@@ -272,16 +278,28 @@ def _match(window: int):
     return run
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, base)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    return with_base(texts, bases(texts, word_count), "doc_id", "text")
+
+
 def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 5, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, start, stop): words of windows that start earlier too, as half-open word spans; they may overlap."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text"))
+    """(doc_id, start, stop): words of windows that start earlier too, as half-open word spans; they may overlap.
+
+    Words count from the base of their text.
+    """
+    return _spans(_placed(docs), window, gram, frequent)
+
+
+def _spans(texts: DataFrame, window: int, gram: int, frequent: int) -> DataFrame:
     counted = texts.mapInArrow(_occurrences(window, gram, True), "anchor long, times long")
     # as a table of its own, so that both sides of the join are plain exchanges and a frequent anchor can be split
     repeated = cut(counted.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1"), "anchors")
     places = texts.mapInArrow(_occurrences(window, gram, False), "anchor long, doc_id long, first int")
     places = places.join(repeated.select("anchor", (F.col("times") > frequent).cast("int").alias("split")), "anchor")
     listed = places.groupBy("doc_id").agg(F.collect_list(F.col("first").cast("long") * 2 + F.col("split")).alias("places"))
-    sent = pack(texts).join(listed, "doc_id").select("doc_id", "text", "places").mapInArrow(_passages(window, gram), SENT)
+    sent = pack(texts).join(listed, "doc_id").select("doc_id", "base", "text", "places").mapInArrow(_passages(window, gram), SENT)
     dealt = sent.repartition("key").sortWithinPartitions("key", "doc_id", "first")
     return dealt.mapInArrow(_match(window), "doc_id long, start int, stop int")
 
@@ -290,6 +308,7 @@ def _kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans = batch.column("spans")
         begin = np.asarray(spans.offsets)
+        base = np.asarray(batch.column("base")).astype(np.int64)
         s, e = (np.asarray(spans.values.field(k)).astype(np.int64) for k in ("start", "stop"))
         total, gone, kept = [], [], []
         for low, high, data, offsets in packing.blocks(batch.column("text")):
@@ -297,8 +316,8 @@ def _kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = words.first[1:] - words.first[:-1]
             owner, i = ranges(begin[low:high], begin[low + 1 : high + 1])
             delta = np.zeros(len(words) + 1, np.int64)
-            stop = np.minimum(e[i], size[owner])
-            start = np.minimum(s[i], stop)
+            stop = np.clip(e[i] - base[low + owner], 0, size[owner])
+            start = np.clip(s[i] - base[low + owner], 0, stop)
             np.add.at(delta, words.first[owner] + start, 1)
             np.add.at(delta, words.first[owner] + stop, -1)
             drop = np.cumsum(delta[:-1]) > 0
@@ -320,10 +339,10 @@ def _kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of every row."""
-    spans = repeated_spans(docs, window, gram, frequent).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    texts = _placed(docs)
+    spans = _spans(texts, window, gram, frequent).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     empty = F.array().cast("array<struct<start:int,stop:int>>")
-    joined = pack(texts).join(spans, "doc_id", "left").select("doc_id", "text", F.coalesce("spans", empty).alias("spans"))
+    joined = pack(texts).join(spans, "doc_id", "left").select("doc_id", "base", "text", F.coalesce("spans", empty).alias("spans"))
     return joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string")
 
 

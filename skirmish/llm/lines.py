@@ -13,7 +13,9 @@ number, content). Rows of one key are streamed in sorted order with the indexed
 62-bit parity signature of character pairs, of which an edit changes four bits at most, discards most
 pairs without emitting them. The rest is verified on the texts by a banded bit-parallel automaton.
 
-Documents with a null doc_id stay as they are. A null text has no lines.
+Documents with a null doc_id stay as they are. A null text has no lines. Rows with one doc_id and equal texts are one document;
+different texts under one doc_id are judged in the order of their hashes (``shared_ids``). Lines and texts may have any length:
+a line is hashed and cut as a whole, a text goes through in one block.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skirmish.sources.staging import cut
 
 from . import packing
+from .shared_ids import bases, with_base
+from .shared_ids import lines as line_count
 from .words import BASE, STEP, blocks, mix, powers, ranges
 
 EDITS = 2
@@ -96,12 +100,13 @@ def _occurrences(least: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"))
+            base = np.asarray(batch.column("base")).astype(np.int64)
             parts = []
             for low, _, data, offsets in blocks(batch.column("text")):
                 lines = Lines(data, offsets)
                 keep = np.flatnonzero(lines.stop - lines.start >= least)
                 a, b = lines.start[keep], lines.stop[keep]
-                parts.append((lines.hashes(a, b), lines.hashes(a, b, STEP), b - a, ids[low + lines.row[keep]], lines.number[keep]))
+                parts.append((lines.hashes(a, b), lines.hashes(a, b, STEP), b - a, ids[low + lines.row[keep]], lines.number[keep] + base[low + lines.row[keep]]))
             if parts:
                 one, two, size, doc, number = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -119,11 +124,12 @@ def _keys(edits: int, near: int):
         for batch in batches:
             listed = batch.column("lines")
             begin, flat = np.asarray(listed.offsets), np.asarray(listed.values)
+            base = np.asarray(batch.column("base")).astype(np.int64)
             for low, high, data, offsets in packing.blocks(batch.column("text")):
                 lines = Lines(data, offsets)
                 owner, i = ranges(begin[low:high], begin[low + 1 : high + 1])
-                number = flat[i].astype(np.int64)
-                fits = number < np.diff(lines.first)[owner]
+                number = flat[i].astype(np.int64) - base[low + owner]
+                fits = (number >= 0) & (number < np.diff(lines.first)[owner])
                 at = np.unique(lines.first[owner[fits]] + number[fits])
                 size = lines.stop[at] - lines.start[at]
                 at, size = at[size >= near], size[size >= near]
@@ -252,12 +258,12 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lines asked for, by id."""
     for batch in batches:
         ids, found = [], []
-        for text, asked in zip(packing.unpack(batch.column("text").to_pylist()), batch.column("asked").to_pylist(), strict=True):
+        for text, asked, base in zip(packing.unpack(batch.column("text").to_pylist()), *(batch.column(c).to_pylist() for c in ("asked", "base")), strict=True):
             lines = text.decode("utf-8", "replace").split("\n")
             for x in asked:
-                if x["line"] < len(lines):
+                if 0 <= x["line"] - base < len(lines):
                     ids.append(x["id"])
-                    found.append(lines[x["line"]])
+                    found.append(lines[x["line"] - base])
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["id", "line_text"])
 
 
@@ -270,30 +276,39 @@ def _verify(edits: int):
     return run
 
 
-def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, near: int = NEAR) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All lines of ``least`` code points (doc_id, line, id), the first place of each distinct one, and its close pairs (a, b)."""
+def _bases(docs: DataFrame) -> DataFrame | None:
+    return bases(docs, line_count)
+
+
+def _placed(docs: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(doc_id, text, base) of the rows with a doc_id."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id IS NOT NULL")
+    return with_base(texts, found, "doc_id", "text")
+
+
+def near_lines(texts: DataFrame, edits: int = EDITS, least: int = LEAST, near: int = NEAR) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of texts with their bases: all lines of ``least`` code points (doc_id, line, id), the first place of each distinct one, and its close pairs (a, b)."""
     if least <= edits or near <= edits:
         raise ValueError("lines must be longer than the number of edits")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
     lines = cut(texts.mapInArrow(_occurrences(least), "one long, two long, doc_id long, line int, size int"), "lines")
     distinct = cut(lines.groupBy("one", "two").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max("size").alias("size")), "distinct")
     first = distinct.select(F.col("one").alias("id"), "first.doc_id", "first.line", "size")
     packed = packing.pack(texts)
     listed = first.where(F.col("size") >= near).groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
-    keys = packed.join(listed, "doc_id").select("text", "lines").mapInArrow(_keys(edits, near), "key long, id long, sign long")
+    keys = packed.join(listed, "doc_id").select("text", "base", "lines").mapInArrow(_keys(edits, near), "key long, id long, sign long")
     probe = F.col("sign").bitwiseAND(F.lit(1))
     dealt = keys.repartition("key").sortWithinPartitions("key", probe)
     pairs = cut(dealt.mapInArrow(_candidates(edits), "a long, b long").distinct(), "candidates")
     need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(first, "id")
     asked = need.groupBy("doc_id").agg(F.collect_list(F.struct("line", "id")).alias("asked"))
-    found = cut(packed.join(asked, "doc_id").select("text", "asked").mapInArrow(_texts, "id long, line_text string").dropDuplicates(["id"]), "texts")
-    both = pairs.join(found.select(F.col("id").alias("a"), F.col("line_text").alias("text_a")), "a").join(found.select(F.col("id").alias("b"), F.col("line_text").alias("text_b")), "b")
+    spelled = cut(packed.join(asked, "doc_id").select("text", "base", "asked").mapInArrow(_texts, "id long, line_text string").dropDuplicates(["id"]), "texts")
+    both = pairs.join(spelled.select(F.col("id").alias("a"), F.col("line_text").alias("text_a")), "a").join(spelled.select(F.col("id").alias("b"), F.col("line_text").alias("text_b")), "b")
     return lines, distinct, cut(both.mapInArrow(_verify(edits), "a long, b long"), "close")
 
 
-def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, near: int = NEAR) -> DataFrame:
-    """(doc_id, line): the lines that an earlier one makes redundant."""
-    lines, distinct, close = near_lines(docs, edits, least, near)
+def removed_lines(texts: DataFrame, edits: int = EDITS, least: int = LEAST, near: int = NEAR) -> DataFrame:
+    """(doc_id, line): the lines that an earlier one makes redundant, by number from the base of their text."""
+    lines, distinct, close = near_lines(texts, edits, least, near)
     copies = lines.join(distinct, ["one", "two"]).where(F.struct(lines.doc_id, lines.line) != F.col("first")).select(lines.doc_id, lines.line)
     where = distinct.select(F.col("one").alias("id"), "first")
     placed = close.join(where.select(F.col("id").alias("a"), F.col("first").alias("at_a")), "a").join(where.select(F.col("id").alias("b"), F.col("first").alias("at_b")), "b")
@@ -320,23 +335,31 @@ def _drop(at: int):
     return run
 
 
+def _own(gone: str) -> Column:
+    """A text's own part of the line numbers under its doc_id; numbers beyond its end are dropped with the text at hand."""
+    return F.filter(F.transform(gone, lambda x: x - F.col("_base")), lambda x: x >= 0)
+
+
 def dedup(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with all columns, the redundant lines taken out of ``text``."""
-    gone = removed_lines(docs, **how).groupBy("doc_id").agg(F.collect_list("line").alias("gone")).select(F.col("doc_id").alias("doc"), "gone")
+    found = _bases(docs)
+    gone = removed_lines(_placed(docs, found), **how).groupBy("doc_id").agg(F.collect_list("line").alias("gone")).select(F.col("doc_id").alias("doc"), "gone")
     # columns by number, so that no name of a caller's column can clash
     named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     key = f"c{docs.columns.index('doc_id')}"
-    joined = named.join(gone, F.col(key).cast("long") == F.col("doc"), "left").drop("doc")
+    named = with_base(named, found, key, f"c{docs.columns.index('text')}", "_base")
+    joined = named.join(gone, F.col(key).cast("long") == F.col("doc"), "left").withColumn("gone", _own("gone")).drop("doc", "_base")
     kept = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
     return joined.mapInArrow(_drop(docs.columns.index("text")), kept).toDF(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, removed (line numbers from 0)."""
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("removed"))
-    size = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)
-    rows = docs.select(F.col("doc_id").cast("long"), size.cast("long").alias("n_lines")).join(gone, "doc_id", "left")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    found = _bases(docs)
+    gone = removed_lines(_placed(docs, found)).groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("removed"))
+    texts = with_base(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")), found, "doc_id", "text", "_base")
+    rows = texts.select("doc_id", "_base", F.coalesce(line_count(F.col("text")), F.lit(0)).cast("long").alias("n_lines")).join(gone, "doc_id", "left")
+    removed = F.coalesce(F.filter(_own("removed"), lambda x: x < F.col("n_lines")), F.array().cast("array<int>"))
     return rows.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -126,8 +127,8 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
     out = []
 
     def context(a: int, b: int, key: str) -> tuple[str, str, str]:
-        i = int(np.searchsorted(ends, a, "right"))
-        j = int(np.searchsorted(ends, b, "left"))
+        i = bisect_right(ends, a)
+        j = bisect_left(ends, b)
         return text[slice(*tokens[i - 1])] if i > 0 else "", text[slice(*tokens[j + 1])] if j + 1 < len(tokens) else "", key
 
     for a, kind, b in base:
@@ -207,7 +208,7 @@ def _frequency(wanted: np.ndarray | None):
     return run
 
 
-def patterns_of(spans: DataFrame, docs: DataFrame, rounds: int = ROUNDS, smooth: float = SMOOTH) -> DataFrame:
+def patterns_of(spans: DataFrame, docs: DataFrame, rounds: int = ROUNDS, smooth: float = SMOOTH, bound: int = BOUND) -> DataFrame:
     """(instance, confidence) of all seeds and candidates after the rounds."""
     flat = spans.select(F.explode("nodes").alias("n")).select("n.instance", "n.seed", F.explode("n.patterns").alias("pattern"))
     edges = cut(flat.groupBy("instance", "pattern").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "edges")
@@ -215,7 +216,7 @@ def patterns_of(spans: DataFrame, docs: DataFrame, rounds: int = ROUNDS, smooth:
     used = cut(used.withColumn("word", F.col("pattern").bitwiseAND(F.lit(~3))), "patterns")
     asked = used.where(F.col("pattern").bitwiseAND(F.lit(3)) != KEY).select("word").distinct()
     wanted = None
-    if asked.limit(BOUND + 1).count() <= BOUND:
+    if asked.limit(bound + 1).count() <= bound:
         wanted = np.sort(np.array([r.word for r in asked.toLocalIterator()], np.int64))
     words = docs.select("text").mapInArrow(_frequency(wanted), "word long, times long")
     times = words.groupBy("word").agg(F.sum("times").alias("times")).join(asked, "word", "left_semi")
@@ -233,11 +234,11 @@ def patterns_of(spans: DataFrame, docs: DataFrame, rounds: int = ROUNDS, smooth:
     return score
 
 
-def find(docs: DataFrame, sure: float = SURE, rounds: int = ROUNDS) -> DataFrame:
+def find(docs: DataFrame, sure: float = SURE, rounds: int = ROUNDS, bound: int = BOUND) -> DataFrame:
     """Per row: doc_id, base counts, base spans as text, and all spans (start, order, stop, kind)."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
     spans = cut(rows.mapInArrow(_scan, SCHEMA), "pii")
-    score = patterns_of(spans, docs, rounds)
+    score = patterns_of(spans, docs, rounds, bound=bound)
     flat = spans.select("row", F.explode("nodes").alias("n")).select("row", "n.*")
     sure_of = score.where(F.col("confidence") >= sure).select("instance")
     more = flat.where("kind < 0").join(sure_of, "instance").select("row", "start", F.lit(4).alias("kind"), "stop")
@@ -247,13 +248,14 @@ def find(docs: DataFrame, sure: float = SURE, rounds: int = ROUNDS) -> DataFrame
     return spans.select("row", "doc_id", "counts", "base").join(listed, "row", "left").drop("row")
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """The query's columns."""
-    out = find(docs)
+def digest(docs: DataFrame, **options) -> DataFrame:
+    """The query's columns, and the number of all spans."""
+    out = find(docs, **options)
     return out.select(
         "doc_id", *[F.col("counts")[i].alias(f"n_{k}") for i, k in enumerate(KINDS)],
         F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
         F.coalesce(F.array_join(F.transform("all", lambda s: s["span"]), ","), F.lit("")).alias("spans"),
+        F.coalesce(F.size("all"), F.lit(0)).cast("long").alias("n_spans"),
     )
 
 

@@ -12,7 +12,8 @@ The templates are the fixed list below, so their table is bounded. Documents are
 hits leave the scan. A document that repeats a license any number of times has one row for each
 diagonal, and the windows over them lie in one document.
 
-Base labels are whole phrases; they stay whatever the method says. A null text has no words.
+Base labels are whole phrases; they stay whatever the method says. A null text has no words. Every row is a document of its
+own, also with a repeated or null doc_id.
 """
 
 from __future__ import annotations
@@ -109,44 +110,43 @@ def _hits(gram: int, wanted: np.ndarray, phrases: tuple[tuple[str, str], ...]):
                     columns[5].append((at[mine] - first[r]).tolist())
                     columns[6].append(hashes[mine].tolist())
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base", "at", "hash"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base", "at", "hash"])
 
     return run
 
 
-HITS = "doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>, at array<long>, hash array<long>"
+HITS = "row long, doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>, at array<long>, hash array<long>"
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, gram: int = GRAM, slack: int = SLACK, need: float = NEED) -> tuple[DataFrame, DataFrame]:
-    """Documents with base results, and the verified spans (row, template, label, start, stop, score)."""
+    """Documents (row, doc_id) with base results, and the verified spans (row, template, label, start, stop, score)."""
     spark = docs.sparkSession
     table = positions(templates, gram)
     wanted = np.unique(np.array([h for h, _, _ in table], np.int64).view(np.uint64))
-    rows = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_hits(gram, wanted, PHRASES), HITS), "licenses")
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(_hits(gram, wanted, PHRASES), HITS), "licenses")
     grams = [text.split() for _, text in templates]
     names = spark.createDataFrame([(i, label, max(len(grams[i]) - gram + 1, 1)) for i, (label, _) in enumerate(templates)], "template int, label string, grams int")
     where = spark.createDataFrame(table, "hash long, template int, position int")
-    one = rows.select("doc_id", F.explode(F.arrays_zip("at", "hash")).alias("x")).select("doc_id", "x.at", "x.hash")
-    # repeated rows of a document say the same: distinct positions are counted below
+    one = rows.select("row", F.explode(F.arrays_zip("at", "hash")).alias("x")).select("row", "x.at", "x.hash")
     votes = one.join(where, "hash").withColumn("diagonal", F.col("at") - F.col("position"))
-    votes = votes.groupBy("doc_id", "template", "diagonal").agg(
+    votes = votes.groupBy("row", "template", "diagonal").agg(
         F.collect_set("position").alias("covered"), F.min("at").alias("start"), (F.max("at") + gram).alias("stop")
     )
-    order = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    order = Window.partitionBy("row", "template").orderBy("diagonal")
     new = (F.col("diagonal") - F.lag("diagonal").over(order) > slack).cast("int")
     grouped = votes.withColumn("group", F.sum(F.coalesce(new, F.lit(1))).over(order))
-    merged = grouped.groupBy("doc_id", "template", "group").agg(
+    merged = grouped.groupBy("row", "template", "group").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("positions"), F.min("start").alias("start"), F.max("stop").alias("stop")
     )
     spans = merged.join(names, "template").withColumn("score", F.col("positions") / F.col("grams"))
-    return rows, spans.where(F.col("score") >= need).select("doc_id", "template", "label", "start", "stop", "score")
+    return rows, spans.where(F.col("score") >= need).select("row", "template", "label", "start", "stop", "score")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The query's columns."""
     rows, spans = scan(docs)
-    found = spans.groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("score").alias("score"))
-    out = rows.drop("at", "hash").join(found, "doc_id", "left")
+    found = spans.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("score").alias("score"))
+    out = rows.drop("at", "hash").join(found, "row", "left")
     both = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     best = F.greatest(F.coalesce("score", F.lit(0.0)), (F.size("base") > 0).cast("double"))
     return out.select(

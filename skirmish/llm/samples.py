@@ -16,10 +16,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, chars: i
     """(label, text) of at most ``most`` labelled rows of each class outside the held-out part.
 
     The rows are those with the smallest id hash, so reruns agree. Texts are cut at ``chars``; both
-    bounds hold for the fit only. The chosen ids are few by construction and so are broadcast.
+    bounds hold for the fit only. The chosen ids are few by construction and so are broadcast. A doc_id with
+    several labels has the smallest one, a doc_id with several texts the smallest text, so each gives one row.
     """
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
-    rows = rows.where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    rows = rows.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     order = F.xxhash64("doc_id")
     chosen = [r for y in (0, 1) for r in rows.where(F.col("label") == y).orderBy(order, "doc_id").limit(most).collect()]
     if not chosen:
@@ -27,7 +28,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, chars: i
     spark = docs.sparkSession
     ids = spark.createDataFrame([(int(r.doc_id), int(r.label)) for r in chosen], "doc_id long, label int")
     found = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")).join(F.broadcast(ids), "doc_id")
-    return [(r.label, r.text) for r in found.select("label", "text", "doc_id").orderBy("doc_id").collect()]
+    found = found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return [(r.label, r.text) for r in found.orderBy("doc_id").collect()]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:

@@ -295,6 +295,43 @@ def test_words_of_blocks():
     assert w.joined(0, 2) == b"a bc"
 
 
+def test_two_texts_under_one_id(spark):
+    """Every text is judged by itself; nothing of another text under its doc_id is taken for its own."""
+    p, other = " ".join(f"p{i}" for i in range(30)), " ".join(f"q{i}" for i in range(30))
+    rows = [(1, p), (2, p), (2, other), (3, None), (3, p), (2, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(df).collect())
+    assert got == Counter([(1, 30, 0, p), (2, 30, 30, ""), (2, 30, 0, other), (2, 30, 0, other), (3, 0, 0, ""), (3, 30, 30, "")])
+
+    a, b = "the first line of a text that is long enough to count", "something quite different and unique in here"
+    rows = [(1, a), (2, a), (2, b), (2, b), (4, f"{b}\n{a}\nshort"), (3, None), (3, f"x\n{a}!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter((r.doc_id, r.text) for r in lines.dedup(df).collect()) == Counter([(1, a), (2, ""), (2, b), (2, b), (4, "short"), (3, None), (3, "x")])
+    told = Counter((r.doc_id, r.n_lines, tuple(r.removed)) for r in lines.digest(df).collect())
+    assert told == Counter([(1, 1, ()), (2, 1, (0,)), (2, 1, ()), (2, 1, ()), (4, 3, (0, 1)), (3, 0, ()), (3, 2, (1,))])
+
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    rows = [(1, gpl), (1, "nothing else here"), (None, gpl), (None, None), (1, gpl)]
+    got = Counter((r.doc_id, r.labels, r.score) for r in licenses.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect())
+    assert got == Counter([(1, "gpl-3", 1.0), (1, "gpl-3", 1.0), (1, "", 0.0), (None, "gpl-3", 1.0), (None, "", 0.0)])
+
+
+def test_long_texts_of_candidates_are_linear():
+    import time
+
+    text = " ".join(f"word{i} ab{i}cd{i:05d}" for i in range(250_000))
+    began = time.time()
+    assert len(pii.nodes(text, pii.base_spans(text))) > 240_000
+    assert time.time() - began < 60
+
+
+def test_words_counted_by_a_join(spark):
+    docs = {d: f"please note token = \"{d:08x}ab12cd34\" and go on" for d in range(30)} | {100: 'badge = "zz81xk27qq" was seen'}
+    df = corpus.table(spark, docs)
+    one, two = ({r.doc_id: (r.spans, r.n_spans) for r in pii.digest(df, **how).collect()} for how in ({}, {"bound": 0}))
+    assert one == two and one[100][1] == 1
+
+
 EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
 
 

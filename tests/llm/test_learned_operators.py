@@ -67,3 +67,12 @@ def test_sample_leaves_held_out_rows_alone(spark):
     got = samples.labelled(docs, labels, "quality", 30, 5)
     assert sum(y for y, _ in got) == 30 and len(got) == 60
     assert all(zlib.crc32(t.encode()) % 5 and int(t) % 2 == y for y, t in got)
+
+
+def test_sample_is_bounded_by_ids(spark):
+    from skirmish.llm.samples import labelled
+
+    ids = [d for d in range(1, 200) if __import__("zlib").crc32(str(d).encode()) % 5][:2]
+    docs = spark.createDataFrame([(ids[0], f"text {i}") for i in range(50)] + [(ids[1], "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(ids[0], 1), (ids[0], 0), (ids[0], 1), (ids[1], 1), (None, 1)], "doc_id long, toxic int")
+    assert sorted(labelled(docs, labels, "toxic", 1, 100)) == [(0, "text 0"), (1, "other")]

@@ -14,7 +14,6 @@ DEFAULT_SPECIALS = (
     "Slay Undead",
     "Decapitate",
     "Double Bow Shot",
-    "Flurry",  # the game's word for this modifier, as it stands in its logs
     "Twincast",
     "Rampage",
 )

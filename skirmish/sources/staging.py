@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -31,22 +32,28 @@ def staging_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Paths of the tables cut inside each open ``owned`` block.
-_owners: list[list[str]] = []
+class _Owners(threading.local):
+    """Paths of the tables cut inside each open ``owned`` block of the current thread."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_owners = _Owners()
 
 
 @contextmanager
 def owned(spark: SparkSession) -> Iterator[None]:
-    """Delete the tables cut inside the block at its end, also after an error.
+    """Delete the tables cut inside the block by the same thread at its end, also after an error.
 
     For jobs that write their result themselves: a DataFrame that still reads a cut table must not
     leave the block.
     """
-    _owners.append([])
+    _owners.open.append([])
     try:
         yield
     finally:
-        for path in _owners.pop():
+        for path in _owners.open.pop():
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -59,7 +66,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/skirmish/{name}-{uuid.uuid4().hex}"
-    if _owners:
-        _owners[-1].append(path)
+    if _owners.open:
+        _owners.open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,8 @@ many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -234,96 +236,107 @@ def fight_bounds(tagged: DataFrame, sessions: DataFrame | None, gap_seconds: int
     )
 
 
+#: Closings under one block of the next level of ``_lowest_ends``, as a power of two.
+BLOCK_BITS = 5
+
+
 def late_kills(fights: DataFrame, deaths: DataFrame, gap_seconds: int) -> DataFrame:
     """Fights a late death turns into kills, as ``FIGHT`` keys.
 
-    A death without an open fight completes the newest closed, incomplete fight of its target,
-    unless a fight closed after that one ended more than ``gap + 10`` seconds before the death.
-    Time stamps must not fall along ``ord``. A fight that ran out of time was closed less than ten
-    seconds before any death that may still complete it, so both joins work on ten-second bins.
+    A death without an open fight completes the newest closed, incomplete fight of its target, unless that
+    fight or one closed after it (of any target of the log, before the death) ended more than ``gap + 10`` seconds before
+    the death. Everything goes by position, so clocks may run backwards.
+
+    Closings get a running number in their log; a death sees those up to its place. Its candidate is the last waiting fight
+    of its target, and whether anything blocks it is one comparison with the lowest end among the closings from the
+    candidate on, looked up in a few blocks. A candidate goes to its first death that is not blocked; deaths of the target behind
+    that one look for the fight before, in another round, of which there are as many as deaths in a row that
+    complete fights of one target.
     """
-    grace, width = gap_seconds + S.LATE_DEATH_SLACK_SECONDS, S.LATE_DEATH_SLACK_SECONDS
-    closed = fights.where(F.col("close_ord") != OPEN_END).withColumn(
-        "_bin", F.floor(F.col("close_t") / width)
-    )
-    d_bin = F.floor(F.col("death_t") / width)
-    d = deaths.select(
-        "log_id",
-        "target",
-        F.col("ord").alias("death_ord"),
-        F.col("t").alias("death_t"),
-    ).withColumn("_bin", F.explode(F.array(d_bin - 1, d_bin)))
-    pairs = (
-        closed.where(~F.col("fight_complete"))
-        .join(d, ["log_id", "target", "_bin"])
-        .where(
-            (F.col("close_ord") < F.col("death_ord"))
-            & (F.col("death_t") - F.col("end_t") <= grace)
-        )
-        .select(*FIGHT, "close_ord", "close_t", "end_t", "death_ord", "death_t")
-    )
-    if gap_seconds < width:
-        pairs = _newest_first(pairs)
-    else:
-        # Two fights of one target cannot both run out within ten seconds, so a death has one
-        # candidate, and the first death settles it.
-        pairs = pairs.groupBy(*FIGHT, "close_ord", "close_t", "end_t").agg(
-            F.min("death_ord").alias("death_ord"),
-            F.min_by("death_t", "death_ord").alias("death_t"),
-        )
-    span = F.sequence(F.floor(F.col("close_t") / width), F.floor(F.col("death_t") / width))
-    # Only fights that ended well before they were closed can block; kills never do.
-    barrier = closed.where(F.col("end_t") < (F.col("_bin") + 2) * width - grace).select(
-        "log_id",
-        "_bin",
-        F.struct("close_ord", "open_ord").alias("b_key"),
-        F.col("end_t").alias("b_end"),
+    grace = gap_seconds + S.LATE_DEATH_SLACK_SECONDS
+    none = F.lit(None).cast("bigint")
+    closed = fights.where(F.col("close_ord") != OPEN_END).select(
+        "log_id", "target", F.col("close_ord").alias("at"), "open_ord", "end_t",
+        (~F.col("fight_complete")).alias("waits"), none.alias("death_t"),
+    )
+    late = deaths.select(
+        "log_id", "target", F.col("ord").alias("at"), none.alias("open_ord"), none.alias("end_t"),
+        F.lit(False).alias("waits"), F.col("t").alias("death_t"),
+    )
+    is_closing = F.col("open_ord").isNotNull()
+    both = running(
+        closed.unionByName(late), ["log_id"], ord_slice("at"), ["at", "open_ord"],
+        total={"n": is_closing.cast("bigint")},
+    )
+    both = cut(both, "closings_and_deaths")
+    closings = both.where(is_closing)
+    waiting = closings.where("waits").select("log_id", "target", "at", "open_ord", "n", "end_t")
+    asking = both.where(~is_closing).select("log_id", "target", "at", F.col("n").alias("upto"), "death_t")
+    found = fights.sparkSession.createDataFrame([], "log_id string, target string, open_ord bigint")
+    levels = None
+    while True:
+        pairs = cut(_last_waiting(asking, waiting), "late_deaths")
+        if pairs.where(F.col("death_t") - F.col("end_t") <= grace).isEmpty():
+            return found
+        if levels is None:
+            top = closings.agg(F.max("n")).first()[0]
+            levels = max(1, -(-int(top + 1).bit_length() // BLOCK_BITS))
+        near = pairs.where(F.col("death_t") - F.col("end_t") <= grace)
+        free = _lowest_ends(near, closings, levels).where(F.col("lowest") >= F.col("death_t") - grace)
+        first = cut(free.groupBy(*FIGHT).agg(F.min("at").alias("first")), "late_kills")
+        if first.isEmpty():
+            return found
+        found = found.unionByName(first.select(*FIGHT))
+        asking = pairs.join(first, list(FIGHT)).where(F.col("at") > F.col("first"))
+        asking = cut(asking.select("log_id", "target", "at", "upto", "death_t"), "late_deaths")
+        if asking.isEmpty():
+            return found
+        waiting = waiting.join(first.select(*FIGHT), list(FIGHT), "left_anti")
+        waiting = waiting.join(asking.select("log_id", "target").distinct(), ["log_id", "target"], "left_semi")
+
+
+def _last_waiting(asking: DataFrame, waiting: DataFrame) -> DataFrame:
+    """Every death with the last waiting fight of its target before it, if there is one."""
+    fight = F.struct("open_ord", "n", "end_t")
+    seen = asking.unionByName(
+        waiting.select("log_id", "target", "at", fight.alias("_fight")), allowMissingColumns=True
     )
-    p = pairs.withColumn("_bin", F.explode(span))
-    blocked = (
-        p.join(barrier, ["log_id", "_bin"])
-        .where(
-            (F.col("b_key") > F.struct("close_ord", "open_ord"))
-            & (F.col("b_key.close_ord") < F.col("death_ord"))
-            & (F.col("death_t") - F.col("b_end") > grace)
-        )
-        .select(*FIGHT)
-        .distinct()
-    )
-    return pairs.select(*FIGHT).distinct().join(blocked, list(FIGHT), "left_anti")
+    seen = running(seen, ["log_id", "target"], ord_slice("at"), ["at"], last={"_last": F.col("_fight")})
+    seen = seen.where(F.col("_fight").isNull() & F.col("_last").isNotNull())
+    return seen.select("log_id", "target", "at", "upto", "death_t", "_last.open_ord", "_last.n", "_last.end_t")
+
 
+def _at_level(level: int) -> Callable[[Column], Column]:
+    return lambda block: F.struct(F.lit(level).alias("level"), block.alias("block"))
 
-def _newest_first(pairs: DataFrame) -> DataFrame:
-    """With gaps under ten seconds: match each death to the newest unmatched fight before it.
 
-    Closings and deaths nest like brackets; the bracket depth, from running counts, pairs them up.
+def _lowest_ends(pairs: DataFrame, closings: DataFrame, levels: int) -> DataFrame:
+    """``pairs`` with the lowest end of the closings ``n`` to before ``upto`` of their log.
+
+    The lowest ends of blocks of 2**5, 2**10, ... closings are summed up once; a range is made of whole blocks and less than a
+    block's closings on each side, level by level.
     """
-    keys = ["log_id", "target"]
-    fight_rows = pairs.select(
-        *keys, F.col("close_ord").alias("at"), F.lit(1).alias("step"),
-        F.struct("open_ord", "close_ord", "close_t", "end_t").alias("fight"),
-        F.lit(None).cast("bigint").alias("death_t"),
-    ).distinct()
-    death_rows = pairs.select(
-        *keys, F.col("death_ord").alias("at"), F.lit(-1).alias("step"),
-        F.lit(None).cast("struct<open_ord:bigint,close_ord:bigint,close_t:bigint,end_t:bigint>").alias("fight"),
-        "death_t",
-    ).distinct()
-    both = fight_rows.unionByName(death_rows)
-    w = Window.partitionBy(*keys).orderBy("at")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumn("_sum", F.sum("step").over(upto))
-    both = both.withColumn("_low", F.least(F.lit(0), F.min("_sum").over(upto)))
-    both = both.withColumn("_low_before", F.coalesce(F.lag("_low").over(w), F.lit(0)))
-    depth = F.col("_sum") - F.col("_low")
-    both = both.where((F.col("step") == 1) | (F.col("_low") == F.col("_low_before"))).withColumn(
-        "_level", depth + F.when(F.col("step") == -1, 1).otherwise(0)
-    )
-    by_level = Window.partitionBy(*keys, "_level").orderBy("at")
-    both = both.withColumn("_top", F.lag("fight").over(by_level))
-    return both.where((F.col("step") == -1) & F.col("_top").isNotNull()).select(
-        *keys, "_top.*", F.col("at").alias("death_ord"), "death_t"
-    )
+    each = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
+    blocks = closings.select("log_id", "n", "end_t", each.alias("level"))
+    block = F.expr(f"shiftright(n, level * {BLOCK_BITS})")
+    blocks = blocks.groupBy("log_id", "level", block.alias("block")).agg(F.min("end_t").alias("low"))
+
+    def span(low: Column, high: Column) -> Column:
+        empty = F.array().cast("array<bigint>")
+        return F.when(low < high, F.sequence(low, F.greatest(low, high - 1))).otherwise(empty)
+
+    low, high, parts = F.col("n"), F.col("upto"), []
+    for level in range(levels):
+        up, down = F.shiftright(low + ((1 << BLOCK_BITS) - 1), BLOCK_BITS), F.shiftright(high, BLOCK_BITS)
+        flat = F.lit(level == levels - 1) | (up >= down)
+        sides = F.concat(span(low, F.shiftleft(up, BLOCK_BITS)), span(F.shiftleft(down, BLOCK_BITS), high))
+        asked = F.when(flat, span(low, high)).otherwise(sides)
+        parts.append(F.transform(asked, _at_level(level)))
+        low, high = F.when(flat, F.lit(0)).otherwise(up), F.when(flat, F.lit(0)).otherwise(down)
+    keys = [*FIGHT, "at"]
+    asked = pairs.select(*keys, F.explode(F.concat(*parts)).alias("_p")).select(*keys, "_p.level", "_p.block")
+    lowest = asked.join(blocks, ["log_id", "level", "block"]).groupBy(*keys).agg(F.min("low").alias("lowest"))
+    return pairs.join(lowest, keys)
 
 
 def detect_fights(

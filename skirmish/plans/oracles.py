@@ -301,4 +301,5 @@ def sql(select: str, **extra: str) -> str:
         if n in need:
             place(n)
     head = ",\n".join(f"{n} AS ({steps[n].strip()})" for n in order)
-    return f"WITH {head}\n{select.strip()}" if head else select.strip()
+    recursive = "RECURSIVE " if any(re.search(rf"\bFROM {n}\b", steps[n]) for n in order) else ""
+    return f"WITH {recursive}{head}\n{select.strip()}" if head else select.strip()

@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skirmish.functions import scalars as S
+from skirmish.functions.sliced import numbered, ord_slice
 from skirmish.operators import compare, coverage, encounters, fights, overrides, parse, player, session, sides, stats, timeline
 from skirmish.plans.analysis import Analysis, Detected, Options, analyze_target, detect, group
 from skirmish.plans.oracles import CTE, GAP, MIN_DAMAGE, WIDTH, _fights, corpse, sql
 from skirmish.functions.scalars import OUTCOMES
-from skirmish.sources import logs, tables
+from skirmish.sources import growing, logs, tables
 from skirmish.sources import overrides as override_files
 from skirmish.sources.staging import cut, staging_dir
 
@@ -172,6 +173,40 @@ def _(w: Workspace) -> DataFrame:
     return w.parsed.select(S.stamp("ts").alias("ts"), marks.alias("modifiers"), *cols)
 
 
+_READ_BACK = sql("""
+SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY ord) AS n, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type,
+  actor, target, amount, verb, spell, damage_type, outcome, array_to_string(modifiers, '|') AS modifiers, zone, body FROM ev""")
+
+
+def _read_back(lines: DataFrame) -> DataFrame:
+    """Events of lines that came from files, by their place in the log."""
+    found = numbered(parse.parse_lines(lines), ["log_id"], ord_slice("ord"), ["ord"], "n")
+    marks = F.when(F.col("modifiers").isNotNull(), _text("modifiers"))
+    kept = ("log_id", "n", "event_type", "actor", "target", "amount", "verb", "spell", "damage_type", "outcome", "zone", "body")
+    return found.select(*kept, S.stamp("ts").alias("ts"), marks.alias("modifiers"))
+
+
+@query("scan_lines", _READ_BACK)
+def _(w: Workspace) -> DataFrame:
+    """The lines as text files, one for each log, read by the scan."""
+    folder = growing.staged_folder(staging_dir(w.spark))
+    for _ in growing.write_in_steps(tables.log_lines(w.raw), folder, 1):
+        pass
+    return _read_back(cut(logs.read_lines(w.spark, folder), "scanned"))
+
+
+@query("stream_growing_log", _READ_BACK)
+def _(w: Workspace) -> DataFrame:
+    """The same files while they grow, every step cut inside a line, followed by a stream that restarts from its checkpoint."""
+    folder = growing.staged_folder(staging_dir(w.spark))
+    out = f"{folder}-events"
+    for _ in growing.write_in_steps(cut(tables.log_lines(w.raw), "lines"), folder, 3):
+        stream = growing.follow_logs(w.spark, folder, splitBytes=1 << 16)
+        writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}-checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return _read_back(w.spark.read.schema(growing.SCHEMA).parquet(out))
+
+
 @query("parser_line_counts", sql("""
 SELECT log_id, count(*) AS total_lines, CAST(0 AS BIGINT) AS no_timestamp,
   count(*) FILTER (event_type = 'unknown') AS unknown_lines FROM ev GROUP BY ALL"""))
@@ -361,6 +396,42 @@ def _(w: Workspace) -> DataFrame:
     return _fight_rows(found)
 
 
+#: Every log's clock falls by this much half way, so a late death finds fights that ended "after" it.
+SET_BACK = 5 * GAP
+_SET_BACK = {
+    "mid": "SELECT log_id, (min(ord) + max(ord)) // 2 AS mid FROM ev GROUP BY log_id",
+    "ad": f"""
+SELECT *, event_type = 'death' AS is_death, lag(t) OVER w AS pt, lag(event_type = 'death') OVER w AS pd
+FROM (SELECT ev.* REPLACE (CASE WHEN ord > mid THEN t - {SET_BACK} ELSE t END AS t) FROM ev JOIN mid USING (log_id))
+WHERE event_type IN ('melee_hit', 'spell_damage', 'melee_miss', 'death') WINDOW w AS (PARTITION BY log_id, target ORDER BY ord)""",
+    "fb": CTE["fb"].replace("max(t)) AS end_t", "arg_max(t, ord)) AS end_t"),
+    "ld": "SELECT log_id, target, ord, t, row_number() OVER (PARTITION BY log_id, target ORDER BY ord) AS n FROM tg WHERE late",
+    "pr": f"""
+SELECT d.log_id, d.target, d.n, f.open_ord, f.close_ord, d.t - f.end_t <= {GAP} + 10 AND NOT EXISTS (
+  SELECT 1 FROM fc g WHERE g.log_id = f.log_id AND g.close_ord < d.ord AND d.t - g.end_t > {GAP} + 10
+  AND (g.close_ord > f.close_ord OR (g.close_ord = f.close_ord AND g.open_ord > f.open_ord))) AS free
+FROM ld d JOIN fc f ON f.log_id = d.log_id AND f.target = d.target AND f.death_ord IS NULL AND f.close_ord < d.ord""",
+    "st": """
+SELECT DISTINCT log_id, target, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS done FROM ld
+UNION ALL
+SELECT s.log_id, s.target, s.n + 1, CASE WHEN coalesce(arg_max(p.free, p.close_ord), FALSE)
+  THEN list_append(any_value(s.done), arg_max(p.open_ord, p.close_ord)) ELSE any_value(s.done) END
+FROM st s JOIN ld d ON d.log_id = s.log_id AND d.target = s.target AND d.n = s.n + 1
+LEFT JOIN pr p ON p.log_id = s.log_id AND p.target = s.target AND p.n = s.n + 1 AND NOT list_contains(s.done, p.open_ord)
+GROUP BY s.log_id, s.target, s.n""",
+    "flip": "SELECT DISTINCT log_id, target, unnest(done) AS open_ord FROM st",
+    "ft": _fights("end_t >= start_t"),
+}
+
+
+@query("fights_clock_set_back", sql(FIGHT_SELECT + " FROM ft", **_SET_BACK))
+def _(w: Workspace) -> DataFrame:
+    mid = w.events.groupBy("log_id").agg(F.floor((F.min("ord") + F.max("ord")) / 2).cast("long").alias("_mid"))
+    back = F.when(F.col("ord") > F.col("_mid"), F.lit(SET_BACK)).otherwise(F.lit(0))
+    falling = w.events.join(mid, "log_id").withColumn("ts", S.from_epoch(S.epoch("ts") - back)).drop("_mid")
+    return _fight_rows(detect(falling, SCALED).fights)
+
+
 @query("fights_since", sql(FIGHT_SELECT + " FROM ft", ad=CTE["ad"].replace(
     "FROM ev WHERE", "FROM ev JOIN log_end USING (log_id) WHERE t >= last_t - 240 * 3600 AND")))
 def _(w: Workspace) -> DataFrame:

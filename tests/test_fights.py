@@ -150,21 +150,26 @@ def fold(rows, gap, heals_extend, min_damage=0):
                 f["seen"] = max(f["seen"], at)
     for t in list(live):
         shut(t, live[t]["seen"], False)
-    kept = sorted((f for f in done if f["damage"] >= min_damage), key=lambda f: f["start"])
+    kept = sorted((f for f in done if f["damage"] >= min_damage and f["end"] >= f["start"]), key=lambda f: f["start"])
     return [(f["target"], f["start"], f["end"], f["killed"], f["damage"]) for f in kept]
 
 
 @pytest.mark.parametrize(
-    "gap,heals_extend,slice_bits", [(3, False, 2), (12, False, 20), (3, True, 20), (12, True, 2), (12, False, 2)]
+    "gap,heals_extend,slice_bits,falling",
+    [(3, False, 2, False), (12, False, 20, False), (3, True, 20, False), (12, True, 2, False), (3, False, 20, True), (12, False, 2, True)],
 )
-def test_random_logs_match_the_fold(spark, monkeypatch, gap, heals_extend, slice_bits):
+def test_random_logs_match_the_fold(spark, monkeypatch, gap, heals_extend, slice_bits, falling):
+    """``falling``: the clock is set back now and then, by seconds or by more than a fight."""
     monkeypatch.setattr("skirmish.functions.sliced.SLICE_BITS", slice_bits)
-    rng = random.Random(f"{gap}{heals_extend}")
+    monkeypatch.setattr("skirmish.operators.fights.BLOCK_BITS", slice_bits // 10 + 1)
+    rng = random.Random(f"{gap}{heals_extend}{falling}")
     rows, want = [], {}
     for n in range(400):
         log, at, plain = f"log{n:04d}", 0, []
         for o in range(rng.randint(5, 40)):
             at += rng.choice([0, 0, 1, 1, 2, 3, 4, 5, 8, 13])
+            if falling and rng.random() < 0.12:
+                at -= rng.choice([1, 5, 20, 60])
             kind = rng.choice(["hit", "hit", "miss", "death", "heal"])
             target = rng.choice(["a", "b", "c"])
             amount = rng.randint(1, 9) if kind == "hit" else 0

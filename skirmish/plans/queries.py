@@ -397,7 +397,7 @@ def _(w: Workspace) -> DataFrame:
 
 
 #: Every log's clock falls by this much half way, so a late death finds fights that ended "after" it.
-SET_BACK = 5 * GAP
+SET_BACK = 100 * GAP
 _SET_BACK = {
     "mid": "SELECT log_id, (min(ord) + max(ord)) // 2 AS mid FROM ev GROUP BY log_id",
     "ad": f"""

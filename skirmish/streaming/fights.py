@@ -1,18 +1,25 @@
 """Fights over a stream of events.
 
 ``FightStream`` is a ``foreachBatch`` sink. A micro-batch runs the same two-level detection as a
-batch job; fights still open come in from the state table of the batch before as one row each, so
-the state is one row per open fight and a busy target is spread over tasks like in batch. All
-tables are written per batch id and overwritten when a batch is repeated, so a restart from the
-query's checkpoint gives the same result.
+batch job; fights still open come in from the state of the batch before as one row each, so
+the state is one row per open fight and a busy target is spread over tasks like in batch. The state's tables
+are switched by one pointer at the end of a batch and merged by levels (``streaming.state``), so a restart from the
+query's checkpoint gives the same result and a batch costs the same after any number of others.
 
 Rows of one log must arrive in ``ord`` order from batch to batch (inside a batch any order will do); a
-batch that begins before the end of the one before is an error. Heals do not extend fights here.
+batch that begins before the end of the one before is an error. Clocks must not fall from batch to batch.
+
+Heals that extend fights need no chains of their own: heals since the start of the oldest open fight of a log are kept
+anyway, and come in with the carried fights.
+
+With encounters, a log's fights before its *border* keep their numbers and groups for good; a batch groups the fights behind it
+(``tail``) only. A border is the start of a group that no open fight, late kill or manual group can move.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,17 +32,25 @@ from skirmish.operators import player
 from skirmish.operators.parse import parse_lines
 from skirmish.sources.logs import ordered_chunks
 from skirmish.sources.staging import cut, owned, staging_dir
+from skirmish.streaming.state import Pointer, StateTables
 
 BOUNDS = (
     "log_id string, target string, open_ord bigint, start_t bigint, end_t bigint, fight_complete boolean, "
     "close_ord bigint, close_t bigint, total_damage bigint, hits bigint, misses bigint"
 )
-OPEN = BOUNDS + ", last_ord bigint"
+OPEN = BOUNDS + ", last_ord bigint, last_t bigint"
 ACTORS = "log_id string, target string, open_ord bigint, actor string, amount bigint"
 HEALS = "log_id string, ord bigint, t bigint, actor string, target string, amount bigint"
 KILLS = "log_id string, target string, open_ord bigint"
-TOUCHED = "log_id string"
-ENDS = "log_id string, last_ord bigint"
+ENDS = "log_id string, last_ord bigint, last_t bigint"
+MEMBERS = (
+    "log_id string, target string, open_ord bigint, fight_id bigint, start timestamp_ntz, end timestamp_ntz, start_t bigint, "
+    "end_t bigint, duration_seconds bigint, fight_complete boolean, in_progress boolean, close_ord bigint, total_damage bigint, "
+    "hits bigint, misses bigint, raid_dps double, fight_key string, encounter_id bigint, manual_name string"
+)
+SETTLED = "log_id string, fights bigint, encounters bigint, border_t bigint"
+#: Event type of the rows that keep a stream going while no log is written.
+HEARTBEAT = "heartbeat"
 
 
 def gap_sessions(events: DataFrame, gap_seconds: int = 15) -> DataFrame:
@@ -53,6 +68,29 @@ def gap_sessions(events: DataFrame, gap_seconds: int = 15) -> DataFrame:
     )
 
 
+#: Fights closed longer ago than this before the end of their log are out of reach of a late death.
+SETTLING_SECONDS = 2 * S.LATE_DEATH_SLACK_SECONDS
+
+
+def _completed(fights: DataFrame, kills: DataFrame) -> DataFrame:
+    """``fights`` with the late kills applied."""
+    late = kills.distinct().withColumn("_late", F.lit(True))
+    out = fights.join(late, list(D.FIGHT), "left")
+    return out.withColumn("fight_complete", F.col("fight_complete") | F.coalesce("_late", F.lit(False))).drop("_late")
+
+
+def _group_spans(manual_groups: DataFrame | None) -> DataFrame | None:
+    """First and last start of each manual group, from the keys of its fights, and its keys."""
+    if manual_groups is None:
+        return None
+    start = F.try_to_timestamp(F.regexp_extract("fight_key", r"\|([^|]*)$", 1), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    keys = E.valid_groups(manual_groups).withColumn("_t", F.unix_seconds(start.cast("timestamp")))
+    return keys.groupBy("log_id", "group_no").agg(
+        F.min("_t").alias("first_t"), F.max("_t").alias("last_t"),
+        F.sum(F.xxhash64("fight_key", "group_no", "name").cast("decimal(38,0)")).alias("keys"),
+    )
+
+
 class FightStream:
     def __init__(
         self,
@@ -65,45 +103,20 @@ class FightStream:
         manual_groups: DataFrame | None = None,
         min_damage: int = 10_000,
         min_duration_seconds: int = 0,
+        heals_extend_fights: bool = False,
+        clock: Callable[[], int] | None = None,
     ):
         """``expire_idle`` closes fights as soon as their log has moved on by more than the gap,
-        instead of at the target's next row. With ``encounter_gap_seconds`` the touched logs are
+        instead of at the target's next row; ``clock`` (seconds since the epoch, in the logs' time) also when a log stands
+        still. With ``encounter_gap_seconds`` the touched logs are
         regrouped after every batch, from the completed fights that ``min_damage`` and
         ``min_duration_seconds`` list, with the manual groups, as a batch job does."""
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self.gap_seconds, self.expire_idle = gap_seconds, expire_idle
+        self.spark, self.state = spark, StateTables(spark, folder)
+        self.gap_seconds, self.expire_idle, self.clock = gap_seconds, expire_idle, clock
         self.pet_owners, self.encounter_gap_seconds = pet_owners, encounter_gap_seconds
-        self.manual_groups = manual_groups
+        self.manual_groups, self.heals_extend_fights = manual_groups, heals_extend_fights
         self.min_damage, self.min_duration_seconds = min_damage, min_duration_seconds
 
-    # -- tables ------------------------------------------------------------
-
-    def _path(self, table: str, batch_id: int) -> str:
-        return f"{self.folder}/{table}/batch={batch_id}"
-
-    def _write(self, df: DataFrame, table: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(self._path(table, batch_id))
-
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
-    def _read(self, table: str, schema: str) -> DataFrame:
-        path = f"{self.folder}/{table}"
-        if not self._exists(path):
-            return self.spark.createDataFrame([], schema + ", batch int")
-        return self.spark.read.schema(schema + ", batch int").parquet(path)
-
-    def _latest(self, table: str, schema: str, batch_id: int) -> DataFrame:
-        path = self._path(table, batch_id)
-        if batch_id < 0 or not self._exists(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def _last_batch(self) -> int:
-        row = self._read("touched", TOUCHED).agg(F.max("batch")).first()
-        return -1 if row is None or row[0] is None else int(row[0])
-
     # -- sink --------------------------------------------------------------
 
     def process(self, events: DataFrame, batch_id: int) -> None:
@@ -112,22 +125,30 @@ class FightStream:
             self._take_in(events, batch_id)
 
     def _take_in(self, events: DataFrame, batch_id: int) -> None:
-        events = cut(events, "stream_batch")
-        self._check_order(events, batch_id)
-        before = self._latest("open", OPEN, batch_id - 1)
+        state, old_state = self.state, self.state.newest(batch_id)
+        new_state = Pointer(batch_id, dict(old_state.tables), old_state.note)
+        events = cut(events.where(F.col("event_type").isNull() | (F.col("event_type") != HEARTBEAT)), "stream_batch")
+        ends = self._log_ends(events, old_state, batch_id)
+        state.replace(new_state, "ends", ends)
+        ends = state.read(new_state, "ends", ENDS)
+        before = state.read(old_state, "open", OPEN)
+        kept_heals = state.read(old_state, "open_heals", HEALS)
         carry = before.select(
             "log_id",
             "target",
             F.col("last_ord").alias("ord"),
-            S.from_epoch("end_t").alias("ts"),
+            S.from_epoch("last_t").alias("ts"),
             F.lit(D.CARRY).alias("event_type"),
         )
         combat = events.unionByName(carry, allowMissingColumns=True)
-        tagged, _ = D.tag_fights(combat, self.gap_seconds)
+        if self.heals_extend_fights:
+            heals = kept_heals.select("log_id", "ord", S.from_epoch("t").alias("ts"), F.lit("heal").alias("event_type"))
+            combat = combat.unionByName(heals, allowMissingColumns=True)
+        tagged, sessions = D.tag_fights(combat, self.gap_seconds, self.heals_extend_fights)
         tagged = cut(tagged, "stream_tagged")
-        bounds = D.fight_bounds(tagged, None, self.gap_seconds)
+        bounds = D.fight_bounds(tagged, sessions, self.gap_seconds)
         last = tagged.where(F.col("open_ord").isNotNull()).groupBy(*D.FIGHT).agg(
-            F.max("ord").alias("last_ord")
+            F.max("ord").alias("last_ord"), F.max_by("t", "ord").alias("last_t")
         )
         old = before.select(
             "log_id",
@@ -154,30 +175,31 @@ class FightStream:
                 for c in ("total_damage", "hits", "misses")
             ],
             "last_ord",
+            "last_t",
             F.col("open_ord").alias("_tag"),
         )
-        if self.expire_idle:
-            ends = events.groupBy("log_id").agg(
-                F.max_by(F.struct("ord", S.epoch("ts").alias("t")), "ord").alias("_end")
-            )
-            idle = (F.col("close_ord") == D.OPEN_END) & (
-                F.col("_end.t") - F.col("end_t") > self.gap_seconds
-            )
-            now = now.join(ends, "log_id", "left")
+        if self.expire_idle or self.clock is not None:
+            reached = F.col("_end_t")
+            if self.clock is not None:
+                reached = F.greatest(reached, F.lit(int(self.clock())).cast("long"))
+            places = ends.select("log_id", F.col("last_ord").alias("_end_ord"), F.col("last_t").alias("_end_t"))
+            idle = (F.col("close_ord") == D.OPEN_END) & (reached - F.col("end_t") > self.gap_seconds)
+            now = now.join(places, "log_id", "left")
             now = (
-                now.withColumn("close_t", F.when(idle, F.col("_end.t")).otherwise(F.col("close_t")))
-                .withColumn("close_ord", F.when(idle, F.col("_end.ord")).otherwise(F.col("close_ord")))
-                .drop("_end")
+                now.withColumn("close_t", F.when(idle, reached).otherwise(F.col("close_t")))
+                .withColumn("close_ord", F.when(idle, F.col("_end_ord")).otherwise(F.col("close_ord")))
+                .drop("_end_ord", "_end_t")
             )
         now = cut(now, "stream_fights")
         is_open = F.col("close_ord") == D.OPEN_END
-        self._write(now.where(~is_open).drop("last_ord", "_tag"), "closed", batch_id)
-        self._write(now.where(is_open).drop("_tag"), "open", batch_id)
+        closed = now.where(~is_open).drop("last_ord", "last_t", "_tag")
+        state.add(new_state, "closed", closed)
+        state.replace(new_state, "open", now.where(is_open).drop("_tag"))
 
         late = tagged.where(F.col("is_death") & F.col("open_ord").isNull()).select(
             "log_id", "target", "ord", "t"
         )
-        self._settle_late_deaths(now.where(~is_open), late, events, batch_id)
+        kills = self._settle_late_deaths(closed, late, ends, old_state, new_state)
 
         live = now.where(is_open).select("log_id", "target", "_tag", "open_ord")
         fresh = (
@@ -186,70 +208,125 @@ class FightStream:
             .join(live, ["log_id", "target", "_tag"])
             .select("log_id", "target", "open_ord", "actor", "amount")
         )
-        kept = self._latest("open_actors", ACTORS, batch_id - 1).join(
+        kept = state.read(old_state, "open_actors", ACTORS).join(
             live.select(*D.FIGHT), list(D.FIGHT), "left_semi"
         )
         actors = fresh.unionByName(kept).groupBy(*D.FIGHT, "actor").agg(
             F.coalesce(F.sum("amount"), F.lit(0)).alias("amount")
         )
-        self._write(actors, "open_actors", batch_id)
+        state.replace(new_state, "open_actors", actors)
         # Heals are kept as long as a fight that was running at their time is open.
         since = now.where(is_open).groupBy("log_id").agg(F.min("start_t").alias("_since"))
         heals = (
             events.where(F.col("event_type") == "heal")
             .select("log_id", "ord", S.epoch("ts").alias("t"), "actor", "target", "amount")
-            .unionByName(self._latest("open_heals", HEALS, batch_id - 1))
+            .unionByName(kept_heals)
         )
         heals = heals.join(since, "log_id").where(F.col("t") >= F.col("_since")).drop("_since")
-        self._write(heals, "open_heals", batch_id)
-        touched = events.select("log_id").distinct()
+        state.replace(new_state, "open_heals", heals)
         if self.encounter_gap_seconds is not None:
-            listed = self.fights(self.min_damage, self.min_duration_seconds, in_progress=False, upto=batch_id)
-            mine = listed.join(touched, "log_id", "left_semi")
-            self._write(E.group_fights(mine, self.encounter_gap_seconds, self.manual_groups), "members", batch_id)
-        self._write(touched, "touched", batch_id)
-
-    def _check_order(self, events: DataFrame, batch_id: int) -> None:
-        """Compare each log's first row with the last one of all batches before."""
-        before = self._latest("ends", ENDS, batch_id - 1)
-        span = events.groupBy("log_id").agg(F.min("ord").alias("_first"), F.max("ord").alias("_last"))
-        both = span.join(before, "log_id", "full_outer")
+            self._regroup(closed, kills, now.where(is_open), ends, old_state, new_state)
+        state.commit(new_state)
+
+    def _log_ends(self, events: DataFrame, old_state: Pointer, batch_id: int) -> DataFrame:
+        """Each log's last place and time; a log's first row must lie behind the last one of all batches before."""
+        before = self.state.read(old_state, "ends", ENDS)
+        span = events.groupBy("log_id").agg(
+            F.min("ord").alias("_first"),
+            F.max("ord").alias("_last"),
+            F.max_by(S.epoch("ts"), F.when(F.col("ts").isNotNull(), F.col("ord"))).alias("_t"),
+        )
+        both = cut(span.join(before, "log_id", "full_outer"), "stream_ends")
         late = both.where(F.col("_first") <= F.col("last_ord")).select("log_id").first()
         if late is not None:
             raise ValueError(f"batch {batch_id} holds rows of {late.log_id} from before the end of an earlier batch")
-        self._write(both.select("log_id", F.greatest("_last", "last_ord").alias("last_ord")), "ends", batch_id)
+        return both.select("log_id", F.greatest("_last", "last_ord").alias("last_ord"), F.coalesce("_t", "last_t").alias("last_t"))
 
     def _settle_late_deaths(
-        self, closed: DataFrame, deaths: DataFrame, events: DataFrame, batch_id: int
-    ) -> None:
-        """Write the fights completed by a death that found no open fight.
+        self, closed: DataFrame, deaths: DataFrame, ends: DataFrame, old_state: Pointer, new_state: Pointer
+    ) -> DataFrame:
+        """Write and return the fights completed by a death that found no open fight.
 
         Such a death concerns fights closed less than ten seconds before, so only the fights closed
         at the end of each log are carried from batch to batch (``recent``).
         """
         columns = [c.split()[0] for c in BOUNDS.split(", ")]
-        near = closed.select(*columns).unionByName(
-            self._latest("recent", BOUNDS, batch_id - 1).select(*columns)
-        )
+        near = closed.select(*columns).unionByName(self.state.read(old_state, "recent", BOUNDS))
         near = cut(near, "stream_recent")
-        kills = D.late_kills(near, deaths, self.gap_seconds).select(*D.FIGHT)
-        self._write(kills, "kills", batch_id)
-        settled = self._latest("kills", KILLS, batch_id).withColumn("_late", F.lit(True))
-        ends = events.groupBy("log_id").agg(F.max(S.epoch("ts")).alias("_end_t"))
-        recent = (
-            near.join(settled, list(D.FIGHT), "left")
-            .withColumn("fight_complete", F.col("fight_complete") | F.coalesce("_late", F.lit(False)))
-            .join(ends, "log_id", "left")
-            .where(
-                F.col("_end_t").isNull()
-                | (F.col("close_t") >= F.col("_end_t") - 2 * S.LATE_DEATH_SLACK_SECONDS)
-            )
+        kills = cut(D.late_kills(near, deaths, self.gap_seconds).select(*D.FIGHT), "stream_kills")
+        self.state.add(new_state, "kills", kills, lambda rows: rows.distinct())
+        recent = _completed(near, kills).join(ends.select("log_id", F.col("last_t").alias("_end_t")), "log_id", "left")
+        recent = recent.where(F.col("_end_t").isNull() | (F.col("close_t") >= F.col("_end_t") - SETTLING_SECONDS))
+        self.state.replace(new_state, "recent", recent.select(*columns))
+        return kills
+
+    def _regroup(
+        self, closed: DataFrame, kills: DataFrame, live: DataFrame, ends: DataFrame, old_state: Pointer, new_state: Pointer
+    ) -> None:
+        """Group the fights behind each log's border, and move the border on."""
+        state, columns = self.state, [c.split()[0] for c in BOUNDS.split(", ")]
+        spans = _group_spans(self.manual_groups)
+        note = "" if spans is None else str(spans.agg(F.sum(F.xxhash64("log_id", "keys").cast("decimal(38,0)"))).first()[0])
+        if note != old_state.note:  # other manual groups: no border holds
+            new_state.note = note
+            tail = self._all_closed(new_state).select(*columns)
+            settled = self.spark.createDataFrame([], SETTLED)
+            new_state.tables.pop("members", None)
+        else:
+            tail = _completed(state.read(old_state, "tail", BOUNDS).unionByName(closed.select(*columns)), kills)
+            settled = state.read(old_state, "settled", SETTLED)
+        tail = cut(D.admit(tail, self.min_damage, self.min_duration_seconds), "stream_tail")
+        rows = D.number_fights(tail.withColumn("in_progress", F.lit(False)))
+        grouped = cut(E.group_fights(rows, self.encounter_gap_seconds, self.manual_groups), "stream_groups")
+        # A group of unclaimed fights starts behind the end of all unclaimed fights before it.
+        claimed = F.col("manual_name").isNotNull()
+        if self.manual_groups is not None:
+            claims = E.valid_groups(self.manual_groups).select("log_id", "fight_key", F.lit(True).alias("_claimed")).distinct()
+            starts = grouped.join(claims, ["log_id", "fight_key"], "left")
+            claimed = F.coalesce("_claimed", F.lit(False))
+        else:
+            starts = grouped
+        starts = starts.where(~claimed).groupBy("log_id", "encounter_id").agg(F.min("start_t").alias("border_t"))
+        bounds = live.groupBy("log_id").agg(F.min("start_t").alias("_live_t"))
+        fresh = tail.join(ends.select("log_id", F.col("last_t").alias("_end_t")), "log_id").where(
+            F.col("close_t") >= F.col("_end_t") - SETTLING_SECONDS
+        )
+        fresh = fresh.groupBy("log_id").agg(F.min("start_t").alias("_fresh_t"))
+        fit = starts.join(bounds, "log_id", "left").join(fresh, "log_id", "left").where(
+            (F.col("_live_t").isNull() | (F.col("border_t") <= F.col("_live_t")))
+            & (F.col("_fresh_t").isNull() | (F.col("border_t") <= F.col("_fresh_t")))
+        )
+        if spans is not None:
+            across = (fit["log_id"] == spans["log_id"]) & (spans["first_t"] < fit["border_t"]) & (fit["border_t"] <= spans["last_t"])
+            fit = fit.join(spans, across, "left_anti")
+        border = fit.groupBy("log_id").agg(F.max("border_t").alias("_border_t"))
+        placed = grouped.join(settled, "log_id", "left").join(border, "log_id", "left")
+        placed = placed.withColumn("_done", F.coalesce(F.col("start_t") < F.col("_border_t"), F.lit(False)))
+        for c, known in (("fight_id", "fights"), ("encounter_id", "encounters")):
+            placed = placed.withColumn(c, F.col(c) + F.coalesce(known, F.lit(0)))
+        placed = cut(placed, "stream_members")
+        names = [c.split()[0] for c in MEMBERS.split(", ")]
+        state.add(new_state, "members", placed.where("_done").select(*names))
+        state.replace(new_state, "tail_members", placed.where("NOT _done").select(*names))
+        moved = placed.groupBy("log_id").agg(
+            F.max(F.when(F.col("_done"), F.col("fight_id"))).alias("_fights"),
+            F.max(F.when(F.col("_done"), F.col("encounter_id"))).alias("_encounters"),
+            F.max("_border_t").alias("_border_t"),
         )
-        self._write(recent.select(*columns), "recent", batch_id)
+        after = settled.join(moved, "log_id", "full_outer")
+        state.replace(new_state, "settled", after.select(
+            "log_id", F.coalesce("_fights", "fights", F.lit(0)).alias("fights"),
+            F.coalesce("_encounters", "encounters", F.lit(0)).alias("encounters"),
+            F.greatest("_border_t", "border_t").alias("border_t"),
+        ))
+        left = tail.join(border, "log_id", "left").where(
+            F.col("_border_t").isNull() | (F.col("start_t") >= F.col("_border_t"))
+        )
+        state.replace(new_state, "tail", left.select(*columns))
 
     def process_lines(self, lines: DataFrame, batch_id: int) -> None:
-        """Take in one micro-batch of ``stream_lines``: put them in order, parse, detect."""
-        self.process(parse_lines(ordered_chunks(lines)), batch_id)
+        """Take in one micro-batch of lines: parse, detect; those of ``stream_lines`` are put in order first."""
+        self.process(parse_lines(lines if "ord" in lines.columns else ordered_chunks(lines)), batch_id)
 
     def start(
         self,
@@ -259,50 +336,53 @@ class FightStream:
         every: str = "250 milliseconds",
         from_lines: bool = False,
     ):
-        """Run the sink on a streaming events table, or on ``stream_lines`` with ``from_lines``."""
+        """Run the sink on a streaming events table, or on lines (``stream_lines``, ``follow_logs``) with ``from_lines``.
+
+        With a ``clock`` a beat a second joins the stream, so that batches run, and idle fights close, while no log is written.
+        """
         take = self.process_lines if from_lines else self.process
+        if self.clock is not None:
+            if from_lines:
+                raise ValueError("a stream with a clock takes events: parse the lines before")
+            beat = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+            beat = beat.select(F.lit(HEARTBEAT).alias("event_type"))
+            stream = stream.unionByName(beat, allowMissingColumns=True)
         writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(take)
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
         return writer.start()
 
     # -- views -------------------------------------------------------------
 
-    def all_fights(self, in_progress: bool = True, upto: int | None = None) -> DataFrame:
+    def _all_closed(self, pointer: Pointer) -> DataFrame:
+        closed = self.state.read(pointer, "closed", BOUNDS)
+        return _completed(closed, self.state.read(pointer, "kills", KILLS)).withColumn("in_progress", F.lit(False))
+
+    def all_fights(self, in_progress: bool = True) -> DataFrame:
         """Closed fights, late kills applied, and the open ones unless left out."""
-        batch = self._last_batch() if upto is None else upto
-        closed = self._read("closed", BOUNDS).where(F.col("batch") <= batch).drop("batch")
-        kills = self._read("kills", KILLS).where(F.col("batch") <= batch).select(*D.FIGHT).distinct()
-        closed = closed.join(kills.withColumn("_late", F.lit(True)), list(D.FIGHT), "left").withColumn(
-            "fight_complete", F.col("fight_complete") | F.coalesce("_late", F.lit(False))
-        ).drop("_late").withColumn("in_progress", F.lit(False))
+        pointer = self.state.newest()
+        closed = self._all_closed(pointer)
         if not in_progress:
             return closed
-        live = self._latest("open", OPEN, batch).drop("last_ord").withColumn("in_progress", F.lit(True))
+        live = self.state.read(pointer, "open", OPEN).drop("last_ord", "last_t").withColumn("in_progress", F.lit(True))
         return closed.unionByName(live)
 
-    def fights(
-        self,
-        min_damage: int = 10_000,
-        min_duration_seconds: int = 0,
-        in_progress: bool = True,
-        upto: int | None = None,
-    ) -> DataFrame:
+    def fights(self, min_damage: int = 10_000, min_duration_seconds: int = 0, in_progress: bool = True) -> DataFrame:
         """The listed fights so far, like ``detect_fights``."""
-        rows = D.admit(self.all_fights(in_progress, upto), min_damage, min_duration_seconds)
+        rows = D.admit(self.all_fights(in_progress), min_damage, min_duration_seconds)
         return D.number_fights(rows)
 
     def members(self) -> DataFrame:
-        """Fights with encounter ids as of the last batch that touched their log."""
-        rows = self.spark.read.parquet(f"{self.folder}/members")
-        newest = rows.groupBy("log_id").agg(F.max("batch").alias("batch"))
-        return rows.join(newest, ["log_id", "batch"], "left_semi").drop("batch")
+        """The closed fights with encounter ids."""
+        pointer = self.state.newest()
+        tail = self.state.read(pointer, "tail_members", MEMBERS)
+        return self.state.read(pointer, "members", MEMBERS).unionByName(tail)
 
     def active_view(self) -> DataFrame:
         """Per log: the enemy being fought and the player's counters, after the last batch."""
-        batch = self._last_batch()
-        live = self._latest("open", OPEN, batch)
-        acts = V.apply_pet_owners(self._latest("open_actors", ACTORS, batch), self.pet_owners)
-        heals = V.apply_pet_owners(self._latest("open_heals", HEALS, batch), self.pet_owners)
+        pointer = self.state.newest()
+        live = self.state.read(pointer, "open", OPEN)
+        acts = V.apply_pet_owners(self.state.read(pointer, "open_actors", ACTORS), self.pet_owners)
+        heals = V.apply_pet_owners(self.state.read(pointer, "open_heals", HEALS), self.pet_owners)
         return player.active_view(live, acts, heals)
 
 

@@ -22,6 +22,7 @@ from skirmish.functions.scalars import OUTCOMES
 from skirmish.sources import growing, logs, tables
 from skirmish.sources import overrides as override_files
 from skirmish.sources.staging import cut, staging_dir
+from skirmish.streaming.fights import FightStream, gap_sessions, replay
 
 ENC = ("log_id", "encounter_id")
 SCALED = Options(gap_seconds=GAP, min_damage=MIN_DAMAGE)
@@ -92,6 +93,14 @@ class Workspace:
         m = self.main
         return cut(sides.pooled_sides(self.attackers, m.members, m.heals, ["log_id"]), "log_sides")
 
+    @cached_property
+    def streamed(self) -> FightStream:
+        return replay(self.events, GAP, MIN_DAMAGE, parts=3, encounter_gap_seconds=0)
+
+    @cached_property
+    def streamed_manual(self) -> FightStream:
+        return replay(self.events, GAP, MIN_DAMAGE, parts=3, encounter_gap_seconds=0, manual_groups=self.manual_groups)
+
     @cached_property
     def parsed(self) -> DataFrame:
         lines = tables.log_lines(self.raw)
@@ -502,8 +511,6 @@ WHERE event_type IN ('melee_hit', 'spell_damage', 'melee_miss')""",
     isl=f"""SELECT *, sum(CASE WHEN p IS NULL OR t - p > {GAP} THEN 1 ELSE 0 END)
 OVER (PARTITION BY log_id, target ORDER BY t, ord ROWS UNBOUNDED PRECEDING) AS g FROM gp"""))
 def _(w: Workspace) -> DataFrame:
-    from skirmish.streaming.fights import gap_sessions
-
     return gap_sessions(w.events, GAP).select(
         "log_id", "target", S.stamp("start").alias("start"), S.stamp("end").alias("end"), "events", "damage"
     )
@@ -1365,9 +1372,48 @@ def _(w: Workspace) -> DataFrame:
 @query("stream_fights", sql(FIGHT_SELECT + " FROM ft"))
 def _(w: Workspace) -> DataFrame:
     """What a stream reports after taking the events in by parts: the same fights as in batch."""
-    from skirmish.streaming.fights import replay
+    return _fight_rows(w.streamed.fights(min_damage=MIN_DAMAGE))
+
+
+@query("stream_open_fights", sql(f"""
+SELECT log_id, target, open_ord, {_stamp('start_t')} AS start, {_stamp('end_t')} AS "end", total_damage, hits, misses
+FROM fx WHERE close_ord = 9223372036854775807"""))
+def _(w: Workspace) -> DataFrame:
+    """The fights that are still running after the last batch."""
+    live = w.streamed.all_fights().where("in_progress")
+    at = [S.stamp(S.from_epoch(f"{c}_t")).alias(c) for c in ("start", "end")]
+    return live.select("log_id", "target", "open_ord", *at, "total_damage", "hits", "misses")
+
+
+#: In two parts: what has been idle for too long at the end of the first part is closed there, so a death in the second one is late.
+_EXPIRED = {
+    "half": "SELECT min(ord) + (max(ord) - min(ord)) // 2 AS last_of_first FROM ev",
+    "bd": "SELECT log_id, max(ord) AS bo, arg_max(t, ord) AS bt FROM ev JOIN half ON ord <= last_of_first GROUP BY log_id",
+    "ad": """
+SELECT ev.*, bo, bt, event_type = 'death' AS is_death, lag(t) OVER w AS pt, lag(event_type = 'death') OVER w AS pd, lag(ord) OVER w AS po
+FROM ev LEFT JOIN bd USING (log_id) WHERE event_type IN ('melee_hit', 'spell_damage', 'melee_miss', 'death')
+WINDOW w AS (PARTITION BY log_id, target ORDER BY ord)""",
+    "tg": CTE["tg"].replace("(pt IS NULL OR pd) AS late", f"(pt IS NULL OR pd OR coalesce(po <= bo AND ord > bo AND bt - pt > {GAP}, FALSE)) AS late"),
+    "fb": CTE["fb"].replace("max(CASE WHEN is_death THEN ord END) AS death_ord,", "max(CASE WHEN is_death THEN ord END) AS death_ord, max(ord) AS last_ord,"),
+    "en": "SELECT log_id, max(ord) AS eo, arg_max(t, ord) AS et FROM ev GROUP BY log_id",
+    "fc": f"""
+SELECT fb.*, coalesce(death_ord, least(lead(open_ord) OVER (PARTITION BY log_id, target ORDER BY open_ord),
+  CASE WHEN last_ord <= bo AND bt - end_t > {GAP} THEN bo END, CASE WHEN et - end_t > {GAP} THEN eo END), 9223372036854775807) AS close_ord
+FROM fb LEFT JOIN bd USING (log_id) JOIN en USING (log_id)""",
+    **{k: _SET_BACK[k] for k in ("ld", "pr", "st", "flip")},
+}
+
 
-    return _fight_rows(replay(w.events, GAP, MIN_DAMAGE).fights(min_damage=MIN_DAMAGE))
+@query("stream_idle_expiry", sql(FIGHT_SELECT + ", close_ord = 9223372036854775807 AS in_progress FROM ft", **_EXPIRED))
+def _(w: Workspace) -> DataFrame:
+    """Fights close when their log has moved on, not at their target's next row."""
+    found = replay(w.events, GAP, MIN_DAMAGE, parts=2, expire_idle=True)
+    return _fight_rows(found.fights(min_damage=MIN_DAMAGE), "in_progress")
+
+
+@query("stream_fights_heals_extend", sql(FIGHT_SELECT + " FROM ft", **_HEALS_EXTEND))
+def _(w: Workspace) -> DataFrame:
+    return _fight_rows(replay(w.events, GAP, MIN_DAMAGE, parts=3, heals_extend_fights=True).fights(min_damage=MIN_DAMAGE))
 
 
 def _document_sql() -> str:
@@ -1399,9 +1445,21 @@ def _(w: Workspace) -> DataFrame:
 
 @query("stream_encounters", sql("SELECT log_id, fight_id, target, encounter_id FROM mb", ft=_fights("close_ord <> 9223372036854775807")))
 def _(w: Workspace) -> DataFrame:
-    from skirmish.streaming.fights import replay
+    return w.streamed.members().select("log_id", "fight_id", "target", "encounter_id")
+
+
+_MANUAL_STREAM = {
+    **_MANUAL,
+    "fall": _fights(),
+    "mg": _MANUAL["mg"].replace("FROM ft", "FROM fall"),
+    "ft": _fights("close_ord <> 9223372036854775807"),
+}
 
-    return replay(w.events, GAP, MIN_DAMAGE, encounter_gap_seconds=0).members().select("log_id", "fight_id", "target", "encounter_id")
+
+@query("stream_encounters_manual", sql("SELECT log_id, fight_id, target, encounter_id, manual_name FROM mb", **_MANUAL_STREAM))
+def _(w: Workspace) -> DataFrame:
+    """Encounters of the closed fights, kept up by regrouping the tail of each log, with manual groups."""
+    return w.streamed_manual.members().select("log_id", "fight_id", "target", "encounter_id", "manual_name")
 
 
 @query("overrides_round_trip", sql("SELECT log_id, who, owner FROM own"))

@@ -1,17 +1,24 @@
 import random
+from datetime import datetime
 
 import pytest
 from helpers import BASE, event, frame, seconds
 
+from skirmish.operators import fights as D
 from skirmish.operators.encounters import group_fights
 from skirmish.plans.analysis import Options, detect
-from skirmish.schema import MANUAL_GROUPS
+from skirmish.schema import EVENTS, MANUAL_GROUPS
 from skirmish.sources.logs import ordered_chunks, stream_lines
-from skirmish.streaming.fights import FightStream, gap_sessions
+from skirmish.streaming.fights import MEMBERS, FightStream, gap_sessions
+from skirmish.streaming.state import Pointer, StateTables
 
 STAMP = "%a %b %d %H:%M:%S %Y"
 
 
+def seconds_of(at):
+    return int((BASE - datetime(1970, 1, 1)).total_seconds()) + at
+
+
 def listed(df):
     return sorted(
         (r.log_id, r.fight_id, r.target, seconds(r.start), seconds(r.end), r.fight_complete, r.total_damage, r.hits, r.misses)
@@ -109,6 +116,90 @@ def test_idle_fights_close_when_the_log_moves_on(spark, tmp_path):
         assert sink.fights(min_damage=0).where("in_progress").count() == want
 
 
+def test_many_batches_with_heals_groups_and_lost_attempts(spark, tmp_path, monkeypatch):
+    """Merged levels, kept borders and repeated batches give what one batch job gives."""
+    rows = random_rows(21, 110)
+    whole = frame(spark, rows)
+    found = detect(whole, Options(min_damage=0, heals_extend_fights=True)).fights
+    keys = [(r.log_id, r.fight_key) for r in found.orderBy("log_id", "fight_id").collect()]
+    groups = spark.createDataFrame([(log, i // 8, f"g{i // 8}", i, k) for i, (log, k) in enumerate(keys) if i % 8 in (1, 2)], MANUAL_GROUPS)
+    sink = FightStream(spark, str(tmp_path / "t"), 15, encounter_gap_seconds=0, min_damage=0, heals_extend_fights=True, manual_groups=groups)
+    sink.state.fanout = 2
+    commit = sink.state.commit
+    folders = []
+    for b in range(5):
+        part = frame(spark, [r for r in rows if b * 22 <= r[1] < (b + 1) * 22])
+        if b in (1, 3):
+            monkeypatch.setattr(sink.state, "commit", lambda now: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                sink.process(part, b)
+            monkeypatch.setattr(sink.state, "commit", commit)
+        sink.process(part, b)
+        folders.append(sum(1 for _ in (tmp_path / "t").glob("*/*")))
+    assert listed(sink.fights(min_damage=0)) == listed(found)
+    closed = D.number_fights(found.where(f"close_ord <> {D.OPEN_END}"))
+    want = group_fights(closed, 0, groups)
+    view = lambda df: sorted((r.log_id, r.fight_id, r.target, r.encounter_id, r.manual_name or "", r.fight_complete) for r in df.collect())
+    assert view(sink.members()) == view(want)
+    pointer = sink.state.newest()
+    kept = sink.state.read(pointer, "members", MEMBERS).count()
+    assert 0 < kept < want.count() and {r.manual_name for r in want.collect()} > {None}
+    assert pointer.batch == 4 and max(len(e) for e in pointer.tables.values()) <= 3 and max(folders) < 40
+    # other groups: every log is grouped anew
+    sink.manual_groups = None
+    sink.process(frame(spark, [event(500, 5000, "unknown", log="x", body="z")]), 5)
+    assert view(sink.members()) == view(group_fights(closed, 0))
+
+
+def test_a_table_of_many_batches_has_few_folders(spark, tmp_path):
+    state = StateTables(spark, str(tmp_path / "s"), fanout=3)
+    for b in range(20):
+        now = Pointer(b, dict(state.newest(b).tables))
+        state.add(now, "rows", spark.range(b, b + 1).coalesce(1))
+        state.replace(now, "last", spark.range(b, b + 1).coalesce(1))
+        if b % 7 == 5:  # lost before its pointer, then repeated
+            now = Pointer(b, dict(state.newest(b).tables))
+            state.add(now, "rows", spark.range(b, b + 1).coalesce(1))
+            state.replace(now, "last", spark.range(b, b + 1).coalesce(1))
+        state.commit(now)
+    pointer = state.newest()
+    assert sorted(r.id for r in state.read(pointer, "rows", "id long").collect()) == list(range(20))
+    assert [r.id for r in state.read(pointer, "last", "id long").collect()] == [19]
+    assert len(pointer.tables["rows"]) <= 6 and state.newest(19).batch == 18
+    assert sum(1 for _ in (tmp_path / "s").glob("rows/*")) <= 12 and sum(1 for _ in (tmp_path / "s").glob("pointers/*.json")) == 2
+
+
+def test_idle_fights_close_by_the_wall_clock(spark, tmp_path):
+    """No line comes after the last hit; beats run the batches that close the fight."""
+    import time
+
+    clock = [seconds_of(5)]
+    sink = FightStream(spark, str(tmp_path / "t"), 15, clock=lambda: clock[0])
+    frame(spark, [event(0, 0, "melee_hit", actor="A", target="B", amount=9), event(1, 5, "zone", zone="z")]).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
+    query = sink.start(stream, str(tmp_path / "c"), every="0 seconds")
+    try:
+        def reached(wanted):
+            until = time.time() + 120
+            while time.time() < until:
+                assert query.isActive, query.exception()
+                if sink.state.newest().batch >= 0 and [r.in_progress for r in sink.fights(min_damage=0).collect()] == [wanted]:
+                    return True
+                time.sleep(0.5)
+            return False
+
+        assert reached(True)
+        clock[0] = seconds_of(30)
+        assert reached(False)
+    finally:
+        query.stop()
+    (f,) = sink.all_fights().collect()
+    assert (f.close_ord, f.fight_complete) == (1, False)
+    # a later hit opens a new fight
+    sink.process(frame(spark, [event(2, 40, "melee_hit", actor="A", target="B", amount=9)]), sink.state.newest().batch + 1)
+    assert [r[5] for r in listed(sink.fights(min_damage=0))] == [False, False]
+
+
 def test_active_view(spark, tmp_path):
     log = "eqlog_Ayla_north.txt"
     rows = [

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skirmish.functions import scalars as S
+from skirmish.functions.sliced import SLICE_SECONDS, running
 from skirmish.operators import encounters as E
 from skirmish.operators import fights as D
 from skirmish.operators import overrides as V
@@ -54,18 +55,37 @@ HEARTBEAT = "heartbeat"
 
 
 def gap_sessions(events: DataFrame, gap_seconds: int = 15) -> DataFrame:
-    """Activity sessions per target by inactivity only, for a batch or a watermarked stream."""
+    """Activity sessions per target by inactivity only, for a batch or a watermarked stream.
+
+    A batch is cut in one-hour slices: rows are summed by second before the shuffle, and a session that runs over slices is put
+    together from the slices' last seconds, so the rows of one target spread over many tasks.
+    """
     acts = events.where(F.col("event_type").isin("melee_hit", "spell_damage", "melee_miss"))
-    return (
-        acts.groupBy("log_id", "target", F.session_window("ts", f"{gap_seconds} seconds").alias("_w"))
-        .agg(
-            F.min("ts").alias("start"),
-            F.max("ts").alias("end"),
-            F.count("*").alias("events"),
-            F.sum("amount").alias("damage"),
+    if events.isStreaming:
+        return (
+            acts.groupBy("log_id", "target", F.session_window("ts", f"{gap_seconds} seconds").alias("_w"))
+            .agg(
+                F.min("ts").alias("start"),
+                F.max("ts").alias("end"),
+                F.count("*").alias("events"),
+                F.sum("amount").alias("damage"),
+            )
+            .drop("_w")
         )
-        .drop("_w")
+    keys, at = ["log_id", "target"], F.floor(F.col("_us") / (SLICE_SECONDS * 1_000_000))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = acts.where(F.col("ts").isNotNull()).groupBy(*keys, micros.alias("_us")).agg(
+        F.count("*").alias("_n"), F.sum("amount").alias("_amount")
+    )
+    rows = running(rows, keys, at, ["_us"], last={"_before": F.col("_us")})
+    fresh = F.col("_before").isNull() | (F.col("_us") - F.col("_before") > gap_seconds * 1_000_000)
+    rows = rows.withColumn("_new", F.when(fresh, F.col("_us")))
+    rows = running(rows, keys, at, ["_us"], last={"_open": F.col("_new")})
+    found = rows.groupBy(*keys, F.coalesce("_new", "_open").alias("_first")).agg(
+        F.max("_us").alias("_last"), F.sum("_n").alias("events"), F.sum("_amount").alias("damage")
     )
+    stamps = [F.timestamp_micros(F.col(c)).cast("timestamp_ntz").alias(name) for c, name in (("_first", "start"), ("_last", "end"))]
+    return found.select(*keys, *stamps, "events", "damage")
 
 
 #: Fights closed longer ago than this before the end of their log are out of reach of a late death.

@@ -49,12 +49,19 @@ LOOSE = 1e-8
 RANK = 1e-12
 #: Numbers in a block that the driver holds.
 CELLS = 1 << 25
-SHIFT = 1_000_000
 LIMIT = 1 << 62
+#: Bytes of a block of vectors before they are narrowed.
+BLOCK_BYTES = 1 << 20
+WIDTHS = (np.int8, np.int16, np.int32, np.int64)
+FITS = np.array([(1 << 7) - 1, (1 << 15) - 1, (1 << 31) - 1])
+BLOCKS = "size int, vectors int, width int, ids array<bigint>, x binary"
 
 
 def _clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with sound vectors, as integers floor(64 c)."""
+    """Sound vectors as integers floor(64 c), in blocks of one length, each as the bytes of the narrowest integers that hold it.
+
+    Every pass reads them again, so a block is one value that goes from the file to numpy as it is.
+    """
     for batch in batches:
         vectors = batch.column("vector")
         flat = pc.list_flatten(vectors)
@@ -66,13 +73,30 @@ def _clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.bincount(owner, minlength=len(batch)) if len(owner) else np.zeros(len(batch), int)
         good = (size > 0) & (np.bincount(owner, bad, minlength=len(batch)) == 0 if len(owner) else False)
         kept = scaled[good[owner]].astype(np.int64) if len(owner) else np.zeros(0, np.int64)
-        offsets = np.concatenate([[0], np.cumsum(size[good])]).astype(np.int64)
-        x = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(kept)).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id").filter(pa.array(good)), x, pa.array(size[good].astype(np.int32))], ["vec_id", "x", "size"])
-
-
-def matrix(batch: pa.RecordBatch, d: int) -> np.ndarray:
-    return pc.list_flatten(batch.column("x")).to_numpy(zero_copy_only=False).reshape(-1, d)
+        size, ids = size[good], batch.column("vec_id").filter(pa.array(good))
+        starts = np.cumsum(size) - size
+        for d in np.unique(size).tolist():
+            rows = np.flatnonzero(size == d)
+            step = max(1, BLOCK_BYTES // (8 * d))
+            blocks, names = [], []
+            for low in range(0, len(rows), step):
+                mine = rows[low : low + step]
+                x = kept[(starts[mine][:, None] + np.arange(d)).ravel()]
+                blocks.append(x.astype(WIDTHS[int(np.searchsorted(FITS, np.abs(x).max()))]))
+                names.append(ids.take(pa.array(mine)).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([d] * len(blocks), pa.int32()), pa.array([len(n) for n in names], pa.int32()), pa.array([b.itemsize for b in blocks], pa.int32()),
+                    pa.array(names, pa.list_(pa.int64())), pa.array([b.tobytes() for b in blocks], pa.binary()),
+                ],
+                ["size", "vectors", "width", "ids", "x"],
+            )
+
+
+def matrices(batch: pa.RecordBatch, d: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row of the batch, its vectors as integers)."""
+    for i, (width, x) in enumerate(zip(batch.column("width").to_pylist(), batch.column("x"), strict=True)):
+        yield i, np.frombuffer(x.as_buffer(), f"i{width}").reshape(-1, d).astype(np.int64)
 
 
 def _sums(d: int):
@@ -81,12 +105,12 @@ def _sums(d: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, one, two = 0, [0] * d, [0] * d
         for batch in batches:
-            x = matrix(batch, d)
-            n += len(x)
-            if len(x) and int(np.abs(x).max()) ** 2 * len(x) >= LIMIT:
-                x = x.astype(object)
-            one = [a + int(b) for a, b in zip(one, x.sum(axis=0), strict=True)]
-            two = [a + int(b) for a, b in zip(two, (x * x).sum(axis=0), strict=True)]
+            for _, x in matrices(batch, d):
+                n += len(x)
+                if int(np.abs(x).max()) ** 2 * len(x) >= LIMIT:
+                    x = x.astype(object)
+                one = [a + int(b) for a, b in zip(one, x.sum(axis=0), strict=True)]
+                two = [a + int(b) for a, b in zip(two, (x * x).sum(axis=0), strict=True)]
         if n:
             text = [pa.array([str(v) for v in side], pa.string()) for side in (one, two)]
             yield pa.RecordBatch.from_arrays([pa.array(range(d), pa.int32()), pa.array([n] * d, pa.int64()), *text], ["dim", "n", "one", "two"])
@@ -125,10 +149,11 @@ class Space:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(shape)
             for batch in batches:
-                out += part(matrix(batch, d))
+                for _, x in matrices(batch, d):
+                    out += part(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size, dtype=np.int32)), pa.array(out.ravel())], ["cell", "value"])
 
-        cells = self.rows.select("x").mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
+        cells = self.rows.select("width", "x").mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
         out = np.zeros(int(np.prod(shape)))
         got = cells.toArrow()
         out[got.column("cell").to_numpy()] = got.column("value").to_numpy()
@@ -138,16 +163,16 @@ class Space:
 def space(table: DataFrame, block: int = COMPONENTS + GUARD) -> Space | None:
     """The sound vectors of ``table`` (vec_id, embedding) with their moments; None if there are none."""
     vectors = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    rows = cut(vectors.where("vector IS NOT NULL").mapInArrow(_clean, "vec_id long, x array<bigint>, size int"), "vectors")
-    lengths = rows.groupBy("size").count().orderBy(F.desc("count"), F.desc("size")).head(1)
+    rows = cut(vectors.where("vector IS NOT NULL").mapInArrow(_clean, BLOCKS), "vectors")
+    lengths = rows.groupBy("size").agg(F.sum("vectors").alias("count")).orderBy(F.desc("count"), F.desc("size")).head(1)
     if not lengths:
         return None
     d = int(lengths[0]["size"])
     if d * min(d, block) > CELLS:
         raise ValueError(f"vectors of {d} entries: a block has over {CELLS} numbers")
-    rows = rows.where(F.col("size") == d).select("vec_id", "x")
+    rows = rows.where(F.col("size") == d).select("width", "ids", "x")
     wide = [F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("one", "two")]
-    told = rows.select("x").mapInArrow(_sums(d), "dim int, n long, one string, two string").groupBy("dim").agg(F.sum("n").alias("n"), *wide).collect()
+    told = rows.select("width", "x").mapInArrow(_sums(d), "dim int, n long, one string, two string").groupBy("dim").agg(F.sum("n").alias("n"), *wide).collect()
     told.sort(key=lambda r: r.dim)
     n, one, two = int(told[0].n), [int(r.one) for r in told], [int(r.two) for r in told]
     trace = sum(n * b - a * a for a, b in zip(one, two, strict=True))
@@ -250,10 +275,8 @@ def _rows(d: int, n: int, sums: list[int], mean: np.ndarray, project: np.ndarray
         k = project.shape[1]
         own = np.array(sums, object)
         for batch in batches:
-            for low in range(0, len(batch), 2048):
-                piece = batch.slice(low, 2048)
-                x = matrix(piece, d)
-                m = len(x)
+            for i, x in matrices(batch, d):
+                m, ids = len(x), batch.column("ids")[i].values
                 far = (n * int(np.abs(x).max(initial=0)) + max(abs(s) for s in sums)) ** 2 * d
                 if far < LIMIT:
                     deviation = pa.array((((n * x - own.astype(np.int64)) ** 2).sum(axis=1)))
@@ -263,7 +286,7 @@ def _rows(d: int, n: int, sums: list[int], mean: np.ndarray, project: np.ndarray
                 each = np.repeat(np.arange(m), k)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        piece.column("vec_id").take(pa.array(each)), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), m)),
+                        ids.take(pa.array(each)), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), m)),
                         pa.array(np.full(m * k, n, np.int64)), deviation.take(pa.array(each)),
                         pa.array(((x - mean) @ project).ravel()), pa.array(np.tile(explained, m)), pa.array(np.full(m * k, error)),
                     ],

@@ -47,7 +47,7 @@ def test_run_gives_the_last_stage(spark, stages):
 
 def test_registered_with_sql_where_sql_can_express_it(spark):
     names = set(entry.queries())
-    assert {"pipeline", *queries.QUERIES} <= names and len(queries.QUERIES) == 10
+    assert {"pipeline", *queries.QUERIES} <= names and len(queries.QUERIES) == 13
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
     for name, sql in queries.ORACLES.items():

@@ -365,17 +365,31 @@ def detect_fights(
     )
     fights = fights.drop("_late").withColumn("in_progress", F.lit(False))
     if open_policy != "close":
-        ends = events.groupBy("log_id").agg(F.max_by(S.epoch("ts"), "ord").alias("_log_end"))
-        alive = (F.col("close_ord") == OPEN_END) & (
-            F.col("_log_end") - F.col("end_t") <= gap_seconds
-        )
-        fights = fights.join(ends, "log_id").withColumn("in_progress", alive).drop("_log_end")
+        fights = _with_progress(fights, events, gap_seconds)
         if open_policy == "drop":
             fights = fights.where(~F.col("in_progress"))
     fights = admit(fights, min_damage, min_duration_seconds)
     return number_fights(fights)
 
 
+def _with_progress(fights: DataFrame, events: DataFrame, gap_seconds: int) -> DataFrame:
+    """``in_progress``: not closed, and their last activity no more than the gap before their log's end."""
+    ends = events.groupBy("log_id").agg(F.max_by(S.epoch("ts"), "ord").alias("_log_end"))
+    alive = (F.col("close_ord") == OPEN_END) & (F.col("_log_end") - F.col("end_t") <= gap_seconds)
+    return fights.join(ends, "log_id").withColumn("in_progress", alive).drop("_log_end")
+
+
+def open_fights(
+    events: DataFrame, tagged: DataFrame, sessions: DataFrame | None = None, gap_seconds: int = 15
+) -> DataFrame:
+    """All fights that could still go on at the end of their log, of any size and target, the player's too.
+
+    Late deaths and numbers concern closed fights only, so neither is worked out.
+    """
+    fights = fight_bounds(tagged, sessions, gap_seconds).where(F.col("close_ord") == OPEN_END)
+    return _with_progress(fights, events, gap_seconds).where("in_progress")
+
+
 def admit(fights: DataFrame, min_damage: int = 10_000, min_duration_seconds: int = 0) -> DataFrame:
     """Fights worth listing: enough damage, long enough, neither the player nor a pet as target."""
     return fights.where(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish.functions import scalars as S
+from skirmish.operators.sides import recap_enemies
 
 ENCOUNTER = ("log_id", "encounter_id")
 
@@ -145,25 +146,52 @@ def latest_encounter(encounters: DataFrame) -> DataFrame:
     return encounters.join(best, list(ENCOUNTER), "left_semi")
 
 
-def active_view(open_fights: DataFrame, open_acts: DataFrame, heals: DataFrame) -> DataFrame:
-    """Per log: the enemy being fought and the player's counters over the window of open fights.
+def recap_top_damage(
+    attackers: DataFrame, pairs: DataFrame, heals: DataFrame, encounters: DataFrame, n: int = 10
+) -> DataFrame:
+    """The ``n`` largest damage dealers of each log's latest encounter, enemies left out."""
+    last = latest_encounter(encounters)
 
-    ``open_fights`` are all fights still running, also small ones; ``open_acts`` their rows;
-    ``heals`` any heals of the log (those inside the window count).
-    """
-    window = open_fights.groupBy("log_id").agg(
+    def of_last(df: DataFrame) -> DataFrame:
+        return df.join(last.select(*ENCOUNTER), list(ENCOUNTER), "left_semi")
+
+    rows = of_last(attackers)
+    foes = recap_enemies(rows, of_last(pairs), of_last(heals))
+    return top_damage(rows, last, list(ENCOUNTER), n, excluded=foes)
+
+
+def recap_top_healing(heals: DataFrame, encounters: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` largest healers of each log's latest encounter."""
+    last = latest_encounter(encounters)
+    return top_healing(heals.join(last.select(*ENCOUNTER), list(ENCOUNTER), "left_semi"), last, list(ENCOUNTER), n)
+
+
+def open_window(open_fights: DataFrame) -> DataFrame:
+    """Per log: first start and last end of the fights still running."""
+    return open_fights.groupBy("log_id").agg(
         F.min("start_t").alias("window_start_t"), F.max("end_t").alias("window_end_t")
     )
-    inside = heals.join(window, "log_id").where(
+
+
+def heals_in_window(open_fights: DataFrame, heals: DataFrame) -> DataFrame:
+    return heals.join(open_window(open_fights), "log_id").where(
         F.col("t").between(F.col("window_start_t"), F.col("window_end_t"))
     )
+
+
+def active_target(open_fights: DataFrame, open_acts: DataFrame, heals: DataFrame) -> DataFrame:
+    """Per log: the open fight with the enemy that took the most damage; of several, the latest one."""
     dealt = open_acts.groupBy("log_id", S.fold("actor").alias("name_key")).agg(
         F.coalesce(F.sum("amount"), F.lit(0)).alias("dealt")
     )
     received = open_fights.groupBy("log_id", S.fold("target").alias("name_key")).agg(
         F.sum("total_damage").alias("received")
     )
-    healed = inside.groupBy("log_id", S.fold("actor").alias("name_key")).agg(F.sum("amount").alias("healed"))
+    healed = (
+        heals_in_window(open_fights, heals)
+        .groupBy("log_id", S.fold("actor").alias("name_key"))
+        .agg(F.sum("amount").alias("healed"))
+    )
     foes = (
         open_fights.withColumn("name_key", S.fold("target"))
         .join(received, ["log_id", "name_key"], "left")
@@ -175,13 +203,23 @@ def active_view(open_fights: DataFrame, open_acts: DataFrame, heals: DataFrame)
             & (F.col("received") > F.coalesce("dealt", F.lit(0)) + F.coalesce("healed", F.lit(0)))
         )
     )
-    main = foes.groupBy("log_id").agg(
+    return foes.groupBy("log_id").agg(
         F.max_by(
             F.struct("target", "open_ord", "start_t", "end_t", "total_damage"),
             F.struct("total_damage", "end_t", -F.col("open_ord")),
         ).alias("m")
     ).select("log_id", "m.*")
-    spans = window.withColumn("duration_seconds", F.col("window_end_t") - F.col("window_start_t"))
+
+
+def active_view(open_fights: DataFrame, open_acts: DataFrame, heals: DataFrame) -> DataFrame:
+    """Per log: the enemy being fought and the player's counters over the window of open fights.
+
+    ``open_fights`` are all fights still running, also small ones; ``open_acts`` their rows;
+    ``heals`` any heals of the log (those inside the window count).
+    """
+    main = active_target(open_fights, open_acts, heals)
+    inside = heals_in_window(open_fights, heals)
+    spans = open_window(open_fights).withColumn("duration_seconds", F.col("window_end_t") - F.col("window_start_t"))
     hits = open_acts.groupBy("log_id", "actor", "target").agg(
         F.coalesce(F.sum("amount"), F.lit(0)).alias("damage")
     )
@@ -189,3 +227,25 @@ def active_view(open_fights: DataFrame, open_acts: DataFrame, heals: DataFrame)
         hits, hits.withColumnRenamed("damage", "damage_taken"), inside, spans, ["log_id"]
     ).withColumnRenamed("duration_seconds", "window_seconds")
     return main.join(counters, "log_id")
+
+
+def active_top_damage(target: DataFrame, open_acts: DataFrame, n: int = 8) -> DataFrame:
+    """Per log: the ``n`` largest damage dealers of the open fight with the ``active_target``.
+
+    ``open_acts`` carry ``ord``, the place of a row or of the first of summed rows.
+    """
+    fight = ["log_id", "target", "open_ord"]
+    rows = (
+        open_acts.join(target.select(*fight), fight, "left_semi")
+        .groupBy("log_id", "actor")
+        .agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("damage"), F.min("ord").alias("first_seen"))
+    )
+    spans = target.withColumn("duration_seconds", F.col("end_t") - F.col("start_t"))
+    return top_damage(rows, spans, ["log_id"], n)
+
+
+def active_top_healing(open_fights: DataFrame, target: DataFrame, heals: DataFrame, n: int = 5) -> DataFrame:
+    """Per log with an ``active_target``: the ``n`` largest healers over the window of open fights."""
+    spans = open_window(open_fights).withColumn("duration_seconds", F.col("window_end_t") - F.col("window_start_t"))
+    inside = heals_in_window(open_fights, heals).join(target.select("log_id"), "log_id", "left_semi")
+    return top_healing(inside, spans, ["log_id"], n)

@@ -164,6 +164,42 @@ def aligned_series(
     return packed(sparse, spine, list(ACTOR), value)
 
 
+def by_mode(whole: Summary) -> DataFrame:
+    """The three rollups of a session as one table."""
+    parts = [getattr(whole, mode).withColumn("mode", F.lit(mode)) for mode in ("damage", "healing", "tanking")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def all_series(
+    attackers: DataFrame, heals: DataFrame, pairs: DataFrame, encounters: DataFrame, rollup: DataFrame
+) -> DataFrame:
+    """Zero-filled series of every row of ``rollup`` (``by_mode``) over the encounters in time order.
+
+    Fields: ``value`` and ``rate`` in each mode, ``heals_value`` and ``heals_rate`` of tanks; packed
+    by chunks, all in one pass.
+    """
+    got = heals.groupBy(*ENCOUNTER, S.fold("target").alias("name_key")).agg(F.sum("amount").alias("value"))
+
+    def cells(values: DataFrame, mode: str, prefix: str = "") -> DataFrame:
+        fields = [F.struct(F.lit(f"{prefix}{f}").alias("field"), F.col(f).cast("long").alias("amount")) for f in ("value", "rate")]
+        rates = encounter_rates(values.select(*ENCOUNTER, "name_key", "value"), encounters)
+        return rates.select(*ENCOUNTER, "name_key", F.lit(mode).alias("mode"), F.inline(F.array(*fields)))
+
+    sparse = (
+        cells(damage_values(attackers), "damage")
+        .unionByName(cells(healing_values(heals), "healing"))
+        .unionByName(cells(tanking_values(pairs), "tanking"))
+        .unionByName(cells(got, "tanking", "heals_"))
+    )
+    slots = numbered_encounters(encounters).select(*ENCOUNTER, F.col("slot").alias("bucket"))
+    n = encounters.groupBy("log_id").agg(F.count("*").alias("n_buckets"))
+    fields = F.array(F.lit("value"), F.lit("rate"))
+    fields = F.when(F.col("mode") == "tanking", F.concat(fields, F.array(F.lit("heals_value"), F.lit("heals_rate")))).otherwise(fields)
+    spine = rollup.select(*ACTOR, "mode", F.explode(fields).alias("field")).join(n, "log_id")
+    keys = [*ACTOR, "mode", "field"]
+    return packed(sparse.join(slots, list(ENCOUNTER)).select(*keys, "bucket", "amount"), spine, keys, "amount")
+
+
 def received_rates(
     values: DataFrame, heals: DataFrame, encounters: DataFrame, rollup: DataFrame
 ) -> DataFrame:

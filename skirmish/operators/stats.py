@@ -234,6 +234,33 @@ def heal_matrix(heals: DataFrame) -> DataFrame:
     ).agg(F.sum("amount").alias("damage"), F.count("*").alias("hits"))
 
 
+def heal_pairs(heals: DataFrame) -> DataFrame:
+    """``heal_matrix`` with the first spelling of each name among the encounter's heals."""
+    first = heals.groupBy(*ENCOUNTER, "actor", "target").agg(F.min("ord").alias("ord"))
+    met = first.select(
+        *ENCOUNTER,
+        F.explode(
+            F.array(
+                F.struct(F.col("actor").alias("name"), "ord", F.lit(0).alias("role")),
+                F.struct(F.col("target").alias("name"), "ord", F.lit(1).alias("role")),
+            )
+        ).alias("n"),
+    )
+    names = met.groupBy(*ENCOUNTER, S.fold("n.name").alias("_key")).agg(
+        F.min_by("n.name", F.struct("n.ord", "n.role")).alias("_name")
+    )
+    out = heal_matrix(heals)
+    for key, name in (("attacker_key", "healer"), ("target_key", "target")):
+        out = out.join(names.select(*ENCOUNTER, F.col("_key").alias(key), F.col("_name").alias(name)), [*ENCOUNTER, key])
+    return out
+
+
+def healed_defenders(defenders: DataFrame, heals: DataFrame) -> DataFrame:
+    """Defenders with the heals they received; those without any count 0."""
+    out = defenders.join(heals_received(heals), [*ENCOUNTER, "defender_key"], "left")
+    return out.fillna(0, ["heals_total", "heals_count"])
+
+
 def directed_breakdown(rows: DataFrame, matrix: DataFrame, names: DataFrame) -> DataFrame:
     """Matrix cells under each listed actor, as ``dealt_to`` and ``taken_from``."""
     listed = rows.select(*ENCOUNTER, "actor", S.fold("actor").alias("_who"))

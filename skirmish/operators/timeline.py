@@ -101,10 +101,20 @@ def raid_series(
     end: str = "fight_end_t",
 ) -> DataFrame:
     """All attackers together per bucket, and the rate of each bucket."""
-    series = long_form(_packed_by(acts, by, width, start, end), by, "amount")
+    series = long_form(packed_raid_series(acts, width, by, start, end), by, "amount")
     return series.withColumn("dps", F.col("amount") / F.lit(width))
 
 
+def packed_raid_series(
+    acts: DataFrame,
+    width: int = 5,
+    by: Sequence[str] = ("log_id", "fight_id"),
+    start: str = "fight_start_t",
+    end: str = "fight_end_t",
+) -> DataFrame:
+    return _packed_by(acts, by, width, start, end)
+
+
 def top_and_other(
     acts: DataFrame,
     width: int = 5,
@@ -157,6 +167,26 @@ def pair_series(acts: DataFrame, width: int = 5) -> DataFrame:
     return bucketed(hits, keys, "enc_start_t", "enc_end_t", width)
 
 
+def packed_pair_series(acts: DataFrame, width: int = 5) -> DataFrame:
+    """Dense damage series of every attacker and target; a pair whose swings were all avoided is all zeros."""
+    rows = acts.where(~S.is_corpse("actor") & ~S.is_corpse("target")).select(
+        "log_id", "encounter_id", S.fold("actor").alias("attacker_key"), S.fold("target").alias("target_key"),
+        "event_type", "t", "amount", "enc_start_t", "enc_end_t",
+    )
+    keys = ["log_id", "encounter_id", "attacker_key", "target_key"]
+    return _packed_by(rows, keys, width, "enc_start_t", "enc_end_t")
+
+
+def packed_heal_series(heals: DataFrame, width: int = 5, who: Sequence[str] = ("actor", "target")) -> DataFrame:
+    """Dense healing series per healer and receiver, or of one side: ``who`` names the sides kept."""
+    names = {"actor": "attacker_key", "target": "target_key"}
+    rows = heals.select(
+        "log_id", "encounter_id", *(S.fold(w).alias(names[w]) for w in who), F.lit("heal").alias("event_type"),
+        "t", "amount", "enc_start_t", "enc_end_t",
+    )
+    return _packed_by(rows, ["log_id", "encounter_id", *(names[w] for w in who)], width, "enc_start_t", "enc_end_t")
+
+
 def heal_series(heals: DataFrame, who: str = "actor", width: int = 5) -> DataFrame:
     """Sparse healing series per healer (``actor``) or receiver (``target``) of an encounter."""
     rows = heals.withColumn("name_key", S.fold(who))

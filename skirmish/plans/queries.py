@@ -19,7 +19,7 @@ from skirmish.operators import compare, coverage, encounters, fights, overrides,
 from skirmish.plans.analysis import Analysis, Detected, Options, analyze_target, detect, group
 from skirmish.plans.oracles import CTE, GAP, MIN_DAMAGE, WIDTH, _fights, corpse, sql
 from skirmish.functions.scalars import OUTCOMES
-from skirmish.sources import growing, logs, tables
+from skirmish.sources import growing, logs, sinks, tables
 from skirmish.sources import overrides as override_files
 from skirmish.sources.staging import cut, staging_dir
 from skirmish.streaming.fights import FightStream, gap_sessions, replay
@@ -93,10 +93,35 @@ class Workspace:
         m = self.main
         return cut(sides.pooled_sides(self.attackers, m.members, m.heals, ["log_id"]), "log_sides")
 
+    @cached_property
+    def running(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The fights still open, small ones too, their rows, and all heals."""
+        live = cut(fights.open_fights(self.events, self.found.tagged, gap_seconds=GAP), "open_fights")
+        acts = self.found.tagged.where(~F.col("is_death")).join(live.select(*fights.FIGHT), list(fights.FIGHT), "left_semi")
+        heals = self.events.where(F.col("event_type") == "heal").withColumn("t", S.epoch("ts"))
+        owned = [cut(overrides.apply_pet_owners(x, self.owners), "running") for x in (acts, heals)]
+        return live, *owned
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        return cut(sinks.encounter_documents(self.main, WIDTH, self.owners), "documents")
+
+    @cached_property
+    def session_documents(self) -> DataFrame:
+        return cut(sinks.session_documents(self.main), "session_documents")
+
+    @cached_property
+    def coverage_documents(self) -> DataFrame:
+        return cut(sinks.coverage_documents(self.parsed), "coverage_documents")
+
     @cached_property
     def streamed(self) -> FightStream:
         return replay(self.events, GAP, MIN_DAMAGE, parts=3, encounter_gap_seconds=0)
 
+    @cached_property
+    def streamed_owned(self) -> FightStream:
+        return replay(self.events, GAP, MIN_DAMAGE, parts=3, pet_owners=self.owners, expire_idle=True)
+
     @cached_property
     def streamed_manual(self) -> FightStream:
         return replay(self.events, GAP, MIN_DAMAGE, parts=3, encounter_gap_seconds=0, manual_groups=self.manual_groups)
@@ -688,11 +713,14 @@ def _(w: Workspace) -> DataFrame:
     return stats.session_totals(w.main.encounters)
 
 
-@query("encounter_attackers", sql(f"""
+_SHOWN = f"""
 SELECT a.log_id, a.encounter_id, actor, damage, hits, misses, crits, biggest,
   {_whole('damage / CASE WHEN dur = 0 THEN 1 ELSE dur END')} AS dps,
   {_pct('damage', '(sum(damage) OVER (PARTITION BY a.log_id, a.encounter_id))')} AS pct_of_total
-FROM atk a JOIN eb USING (log_id, encounter_id) WHERE NOT {corpse('actor')}"""))
+FROM atk a JOIN eb USING (log_id, encounter_id) WHERE NOT {corpse('actor')}"""
+
+
+@query("encounter_attackers", sql(_SHOWN))
 def _(w: Workspace) -> DataFrame:
     shares = stats.attacker_shares(w.attackers, w.main.encounters, ENC)
     return stats.without_corpses(shares).drop("first_seen")
@@ -760,13 +788,16 @@ def _(w: Workspace) -> DataFrame:
     return stats.heal_matrix(w.main.heals)
 
 
-@query("directed_breakdown", sql(f"""
+_BREAKDOWN = f"""
 SELECT a.log_id, a.encounter_id, a.actor, d.direction, c.name AS other, d.damage, d.hits
 FROM atk a JOIN (SELECT log_id, encounter_id, ak AS me, tk AS other, 'dealt_to' AS direction, damage, hits FROM mx
   UNION ALL SELECT log_id, encounter_id, tk, ak, 'taken_from', damage, hits FROM mx) d
   ON d.log_id = a.log_id AND d.encounter_id = a.encounter_id AND d.me = lower(a.actor)
 JOIN cn c ON c.log_id = d.log_id AND c.encounter_id = d.encounter_id AND c.name_key = d.other
-WHERE NOT {corpse('a.actor')}"""))
+WHERE NOT {corpse('a.actor')}"""
+
+
+@query("directed_breakdown", sql(_BREAKDOWN))
 def _(w: Workspace) -> DataFrame:
     rows = w.attackers.where(~S.is_corpse("actor"))
     return stats.directed_breakdown(rows, w.matrix, stats.canonical_names(w.main.acts))
@@ -837,6 +868,43 @@ def _(w: Workspace) -> DataFrame:
     return timeline.all_row(timeline.pair_series(w.main.acts, WIDTH))
 
 
+def _packed_sql(rows: str, cells: str, keys: str) -> str:
+    """Packed series in SQL: ``rows`` names each key with ``nb`` buckets, ``cells`` its sums."""
+    return f"""
+SELECT log_id, encounter_id, {keys}, bucket // 256 AS chunk, min(bucket) AS first_bucket,
+  string_agg(CAST(coalesce(amount, 0) AS VARCHAR), ',' ORDER BY bucket) AS amounts
+FROM (SELECT *, unnest(range(nb)) AS bucket FROM {rows}) LEFT JOIN {cells} USING (log_id, encounter_id, {keys}, bucket)
+GROUP BY log_id, encounter_id, {keys}, bucket // 256"""
+
+
+def _packed_rows(series: DataFrame) -> DataFrame:
+    return series.withColumn("amounts", F.concat_ws(",", F.col("amount").cast("array<string>"))).drop("amount")
+
+
+_NB = f"CAST(greatest(1, any_value(ee - es) // {WIDTH} + 1) AS BIGINT) AS nb"
+_PN = f"""SELECT log_id, encounter_id, lower(actor) AS attacker_key, lower(target) AS target_key, {_NB} FROM act
+WHERE NOT {corpse('actor')} AND NOT {corpse('target')} GROUP BY ALL"""
+_PAIR_PACKED = _packed_sql("pn", "ps", "attacker_key, target_key")
+_HEAL_CELLS = {
+    "hc": f"""SELECT log_id, encounter_id, lower(actor) AS attacker_key, lower(target) AS target_key, (t - es) // {WIDTH} AS bucket,
+{_sum('amount')} AS amount FROM hl GROUP BY ALL""",
+    "hn": f"SELECT log_id, encounter_id, lower(actor) AS attacker_key, lower(target) AS target_key, {_NB} FROM hl GROUP BY ALL",
+    "hca": f"SELECT log_id, encounter_id, attacker_key, bucket, {_sum('amount')} AS amount FROM hc GROUP BY ALL",
+    "hna": "SELECT DISTINCT log_id, encounter_id, attacker_key, nb FROM hn",
+    "hct": f"SELECT log_id, encounter_id, target_key, bucket, {_sum('amount')} AS amount FROM hc GROUP BY ALL",
+    "hnt": "SELECT DISTINCT log_id, encounter_id, target_key, nb FROM hn",
+    "hp1": _packed_sql("hn", "hc", "attacker_key, target_key"),
+    "hp2": _packed_sql("hna", "hca", "attacker_key"),
+    "hp3": _packed_sql("hnt", "hct", "target_key"),
+}
+
+
+@query("pair_series_packed", sql(_PAIR_PACKED, ps=_PS, pn=_PN))
+def _(w: Workspace) -> DataFrame:
+    """All pairs, those with avoided swings only as zeros."""
+    return _packed_rows(timeline.packed_pair_series(w.main.acts, WIDTH))
+
+
 @query("pair_stats", sql(f"""
 SELECT c.*, b.active_buckets, CAST(floor(peak / {WIDTH} + 0.5) AS BIGINT) AS peak_rate,
   CASE WHEN peak > 0 THEN peak_bucket * {WIDTH} ELSE 0 END AS peak_offset_s,
@@ -937,11 +1005,11 @@ def _(w: Workspace) -> DataFrame:
 
 
 _OPEN = {
-    "ofi": "SELECT f.* FROM fx f JOIN alive a USING (log_id, target, open_ord) WHERE f.target <> 'You' AND NOT ends_with(f.target, '`s pet')",
-    "oac": """SELECT g.log_id, g.target, g.amount, coalesce(o.owner, g.actor) AS actor FROM tg g JOIN ofi f USING (log_id, target, open_ord)
+    "ofi": "SELECT f.* FROM fx f JOIN alive a USING (log_id, target, open_ord)",
+    "oac": """SELECT g.log_id, g.target, g.open_ord, g.ord, g.amount, coalesce(o.owner, g.actor) AS actor FROM tg g JOIN ofi f USING (log_id, target, open_ord)
 LEFT JOIN own o ON o.log_id = g.log_id AND o.who = lower(g.actor) WHERE NOT g.late AND NOT g.is_death""",
     "win": "SELECT log_id, min(start_t) AS ws, max(end_t) AS we FROM ofi GROUP BY ALL",
-    "whl": """SELECT e.log_id, e.amount, e.target, coalesce(o.owner, e.actor) AS actor FROM ev e JOIN win w ON w.log_id = e.log_id AND e.t BETWEEN w.ws AND w.we
+    "whl": """SELECT e.log_id, e.ord, e.amount, e.target, coalesce(o.owner, e.actor) AS actor FROM ev e JOIN win w ON w.log_id = e.log_id AND e.t BETWEEN w.ws AND w.we
 LEFT JOIN own o ON o.log_id = e.log_id AND o.who = lower(e.actor) WHERE e.event_type = 'heal'""",
     "foe": """SELECT f.*, (SELECT coalesce(sum(total_damage), 0) FROM ofi g WHERE g.log_id = f.log_id AND lower(g.target) = lower(f.target)) AS rec,
 (SELECT coalesce(sum(amount), 0) FROM oac g WHERE g.log_id = f.log_id AND lower(g.actor) = lower(f.target)) AS dl,
@@ -968,19 +1036,34 @@ def _counter_rates(duration: str) -> str:
 SELECT p.log_id, p.target, p.open_ord, p.start_t, p.end_t, p.total_damage, wd AS window_seconds, damage_out, damage_in, healing_out,
   healing_in, {_counter_rates('wd')} FROM prim p JOIN wc USING (log_id)""", **_OPEN))
 def _(w: Workspace) -> DataFrame:
-    running = fights.detect_fights(
-        w.events, w.found.tagged, gap_seconds=GAP, min_damage=0, open_policy="include"
-    ).where("in_progress")
-    running = cut(running, "open_fights")
-    acts = w.found.tagged.where(~F.col("is_death")).join(
-        running.select(*fights.FIGHT), list(fights.FIGHT), "left_semi"
-    )
-    heals = w.events.where(F.col("event_type") == "heal").withColumn("t", S.epoch("ts"))
-    return player.active_view(
-        running,
-        overrides.apply_pet_owners(acts, w.owners),
-        overrides.apply_pet_owners(heals, w.owners),
-    )
+    return player.active_view(*w.running)
+
+
+_ACTIVE_DAMAGE = sql(f"""
+SELECT log_id, place, actor AS name, damage, duration_seconds, {_whole('damage / greatest(duration_seconds, 1)')} AS dps,
+  {_pct('damage', 'total_damage')} AS pct, lower(actor) IN ('you', 'yourself') AS is_you,
+  coalesce(lower(actor) = lower(nullif(regexp_extract(log_id, '(?i)^eqlog_([A-Za-z]+)_', 1), '')) || '`s pet', FALSE) AS is_your_pet
+FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY damage DESC, seen) AS place FROM (
+  SELECT a.log_id, a.actor, any_value(p.total_damage) AS total_damage, any_value(p.end_t - p.start_t) AS duration_seconds,
+    CAST(sum(a.amount) AS BIGINT) AS damage, min(a.ord) AS seen
+  FROM oac a JOIN prim p USING (log_id, target, open_ord) WHERE lower(a.actor) <> lower(p.target) GROUP BY a.log_id, a.actor)
+  WHERE damage > 0) WHERE place <= 8""", **_OPEN)
+_ACTIVE_HEALING = sql(f"""
+SELECT h.log_id, row_number() OVER (PARTITION BY h.log_id ORDER BY sum(amount) DESC, min(ord)) AS place, actor AS name,
+  {_sum('amount')} AS healing, lower(actor) IN ('you', 'yourself') AS is_you, {_whole('sum(amount) / greatest(any_value(we - ws), 1)')} AS hps
+FROM whl h JOIN win USING (log_id) JOIN prim p ON p.log_id = h.log_id GROUP BY h.log_id, actor QUALIFY place <= 5""", **_OPEN)
+
+
+@query("active_top_damage", _ACTIVE_DAMAGE)
+def _(w: Workspace) -> DataFrame:
+    live, acts, heals = w.running
+    return player.active_top_damage(player.active_target(live, acts, heals), acts)
+
+
+@query("active_top_healing", _ACTIVE_HEALING)
+def _(w: Workspace) -> DataFrame:
+    live, acts, heals = w.running
+    return player.active_top_healing(live, player.active_target(live, acts, heals), heals)
 
 
 # --- session -----------------------------------------------------------------------
@@ -1126,11 +1209,11 @@ def _pair_sql(cross: bool) -> str:
 b.encounter_id AS b_encounter FROM nb a JOIN nb b ON {on}"""
 
 
-_NB = """SELECT log_id, encounter_id, CAST(translate(regexp_extract(log_id, '_Hero([a-j]+)_', 1), 'abcdefghij', '0123456789') AS BIGINT) AS n FROM eb"""
+_ENC_NO = """SELECT log_id, encounter_id, CAST(translate(regexp_extract(log_id, '_Hero([a-j]+)_', 1), 'abcdefghij', '0123456789') AS BIGINT) AS n FROM eb"""
 
 
 def _diff_steps(cross: bool) -> dict[str, str]:
-    steps = {"nb": _NB, "pr": _pair_sql(cross)}
+    steps = {"nb": _ENC_NO, "pr": _pair_sql(cross)}
     for slot in ("a", "b"):
         steps[f"q{slot}"] = f"""SELECT p.pair_id, v.name_key, v.mode, v.name, v.value, v.biggest, e.dur FROM pr p
 JOIN val v ON v.log_id = p.{slot}_log AND v.encounter_id = p.{slot}_encounter
@@ -1198,7 +1281,7 @@ def _headers_sql() -> str:
     return sql(f"""
 SELECT p.*, {', '.join(cols)}, a_log <> b_log AS cross_log FROM pr p
 JOIN eh a ON a.log_id = p.a_log AND a.encounter_id = p.a_encounter JOIN eh b ON b.log_id = p.b_log AND b.encounter_id = p.b_encounter""",
-        nb=_NB, pr=_pair_sql(True),
+        nb=_ENC_NO, pr=_pair_sql(True),
         eh=f"SELECT log_id, encounter_id, name, dur AS duration_seconds, total_damage, total_healing, {_whole('raid_dps')} AS raid_dps, fight_complete FROM enc")
 
 
@@ -1301,6 +1384,25 @@ def _(w: Workspace) -> DataFrame:
     return last.join(_counters(w), list(ENC))
 
 
+_LAST = "SELECT log_id, encounter_id FROM eb QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY x DESC, encounter_id) = 1"
+
+
+@query("recap_top_damage", sql("""
+SELECT log_id, encounter_id, place, name, damage, dur AS duration_seconds, dps, pct, is_you, is_your_pet
+FROM td JOIN lst USING (log_id, encounter_id)""", lst=_LAST, **_TOPD))
+def _(w: Workspace) -> DataFrame:
+    return player.recap_top_damage(w.attackers, w.pairs, w.main.heals, w.main.encounters)
+
+
+@query("recap_top_healing", sql(f"""
+SELECT log_id, encounter_id, row_number() OVER (PARTITION BY log_id, encounter_id ORDER BY sum(amount) DESC, min(ord)) AS place,
+  actor AS name, {_sum('amount')} AS healing, lower(actor) IN ('you', 'yourself') AS is_you,
+  {_whole('sum(amount) / greatest(any_value(dur), 1)')} AS hps
+FROM hl JOIN lst USING (log_id, encounter_id) GROUP BY log_id, encounter_id, actor QUALIFY place <= 5""", lst=_LAST))
+def _(w: Workspace) -> DataFrame:
+    return player.recap_top_healing(w.main.heals, w.main.encounters)
+
+
 # --- overrides --------------------------------------------------------------------------
 
 
@@ -1416,31 +1518,212 @@ def _(w: Workspace) -> DataFrame:
     return _fight_rows(replay(w.events, GAP, MIN_DAMAGE, parts=3, heals_extend_fights=True).fights(min_damage=MIN_DAMAGE))
 
 
+_CHUNKS = "unnest(range(CAST(nb + 255 AS BIGINT) // 256))"
+
+
 def _document_sql() -> str:
     sections = {
         "header": "eb", "member": "mb", "attacker": f"(SELECT * FROM atk WHERE NOT {corpse('actor')})",
         "special": "(SELECT DISTINCT log_id, encounter_id, actor, unnest(specials) FROM act WHERE hit)",
-        "timeline": f"(SELECT log_id, encounter_id, actor, unnest(range(CAST(greatest(1, any_value(ee - es) // {WIDTH} + 1) + 255 AS BIGINT) // 256)) FROM act GROUP BY log_id, encounter_id, actor)",
+        "timeline": f"(SELECT log_id, encounter_id, actor, {_CHUNKS} FROM (SELECT log_id, encounter_id, actor, {_NB} FROM act GROUP BY ALL))",
+        "raid_series": f"(SELECT log_id, encounter_id, {_CHUNKS} FROM (SELECT log_id, encounter_id, {_NB} FROM act GROUP BY ALL))",
         "biggest_hit": "(SELECT *, row_number() OVER (PARTITION BY log_id, encounter_id ORDER BY amount DESC) AS p FROM act WHERE hit QUALIFY p <= 10)",
-        "damage_pair": "mx", "damage_series": "ps", "hit": "mh",
-        "healer": "(SELECT DISTINCT log_id, encounter_id, lower(actor) FROM hl)", "heal_pair": "hm", "heal": "hl",
+        "damage_pair": "mx", "breakdown": "bk", "damage_series": f"(SELECT *, {_CHUNKS} FROM pn)", "hit": "mh",
+        "healer": "hna", "heal_pair": "hm", "heal": "hl",
+        "heal_series": f"(SELECT *, {_CHUNKS} FROM hn)", "healer_series": f"(SELECT *, {_CHUNKS} FROM hna)",
         "biggest_heal": "(SELECT *, row_number() OVER (PARTITION BY log_id, encounter_id ORDER BY amount DESC) AS p FROM hl QUALIFY p <= 10)",
         "defender": "(SELECT DISTINCT log_id, encounter_id, defender_key FROM df)", "defender_pair": "df",
-        "heals_received": "(SELECT DISTINCT log_id, encounter_id, lower(target) FROM hl)", "raw_attacker": "raw_a",
+        "heals_received": "hnt", "heals_received_series": f"(SELECT *, {_CHUNKS} FROM hnt)", "raw_attacker": "raw_a",
     }
     parts = [
         f"SELECT log_id, encounter_id, '{name}' AS section, count(*) AS payloads FROM {src} GROUP BY log_id, encounter_id"
         for name, src in sections.items()
     ]
-    return sql(" UNION ALL ".join(parts), ps=_PS, df=_DF, raw_a=_RAW, hm=_HEAL_MATRIX)
+    return sql(" UNION ALL ".join(parts), pn=_PN, df=_DF, raw_a=_RAW, hm=_HEAL_MATRIX, bk=_BREAKDOWN, **_HEAL_CELLS)
 
 
 @query("encounter_documents", _document_sql())
 def _(w: Workspace) -> DataFrame:
     """The rows of every encounter's document, counted by section."""
-    from skirmish.sources.sinks import encounter_documents
+    return w.documents.groupBy(*ENC, "section").agg(F.count("payload").alias("payloads"))
+
 
-    return encounter_documents(w.main, WIDTH).groupBy(*ENC, "section").agg(F.count("payload").alias("payloads"))
+@query("document_members", sql("""
+SELECT m.log_id, m.encounter_id, m.fight_id, target, total_damage, duration_seconds, fight_complete, coalesce(n, 0) AS attacker_count
+FROM mb m LEFT JOIN (SELECT log_id, fight_id, count(DISTINCT actor) AS n FROM act GROUP BY ALL) USING (log_id, fight_id)"""))
+def _(w: Workspace) -> DataFrame:
+    return sinks.read_section(
+        w.documents, "member",
+        "fight_id bigint, target string, total_damage bigint, duration_seconds bigint, fight_complete boolean, attacker_count bigint",
+    )
+
+
+@query("document_attackers", sql("SELECT a.*, sd.side FROM shown a JOIN sd USING (log_id, encounter_id, actor)".replace(
+    "a.*", "a.log_id, a.encounter_id, a.actor, a.damage, a.hits, a.misses, a.crits, a.biggest, a.dps, a.pct_of_total"), shown=_SHOWN))
+def _(w: Workspace) -> DataFrame:
+    return sinks.read_section(
+        w.documents, "attacker",
+        "actor string, damage bigint, hits bigint, misses bigint, crits bigint, biggest bigint, dps bigint, pct_of_total double, side string",
+    )
+
+
+@query("document_breakdown", sql("SELECT * FROM bk", bk=_BREAKDOWN))
+def _(w: Workspace) -> DataFrame:
+    """What each listed actor dealt to and took from whom, under the first spelling of the names."""
+    return sinks.read_section(w.documents, "breakdown", "actor string, direction string, other string, damage bigint, hits bigint")
+
+
+@query("document_defenders", sql("""
+SELECT d.*, CAST(coalesce(h.amount, 0) AS BIGINT) AS heals_total, coalesce(h.n, 0) AS heals_count FROM (
+  SELECT log_id, encounter_id, defender_key, arg_min(target, seen) AS defender, CAST(sum(damage_taken) AS BIGINT) AS damage_taken,
+    floor(sum(total_avoided) / sum(total_swings) * 1000 + 0.5) / 10 AS avoid_pct FROM df GROUP BY log_id, encounter_id, defender_key) d
+LEFT JOIN (SELECT log_id, encounter_id, lower(target) AS defender_key, sum(amount) AS amount, count(*) AS n FROM hl GROUP BY ALL) h
+USING (log_id, encounter_id, defender_key)""", df=_DF))
+def _(w: Workspace) -> DataFrame:
+    return sinks.read_section(
+        w.documents, "defender",
+        "defender_key string, defender string, damage_taken bigint, avoid_pct double, heals_total bigint, heals_count bigint",
+    )
+
+
+@query("document_heal_pairs", sql("""
+SELECT m.log_id, m.encounter_id, h.name AS healer, t.name AS target, damage, hits FROM hm m
+JOIN hx h ON h.log_id = m.log_id AND h.encounter_id = m.encounter_id AND h.name_key = m.attacker_key
+JOIN hx t ON t.log_id = m.log_id AND t.encounter_id = m.encounter_id AND t.name_key = m.target_key""", hm=_HEAL_MATRIX, hx="""
+SELECT log_id, encounter_id, lower(name) AS name_key, arg_min(name, p) AS name FROM (
+  SELECT log_id, encounter_id, actor AS name, ord * 2 AS p FROM hl UNION ALL SELECT log_id, encounter_id, target, ord * 2 + 1 FROM hl)
+GROUP BY ALL"""))
+def _(w: Workspace) -> DataFrame:
+    return sinks.read_section(w.documents, "heal_pair", "healer string, target string, damage bigint, hits bigint")
+
+
+_HEAL_PACKED = {"heal_series": "hp1", "healer_series": "hp2", "heals_received_series": "hp3"}
+
+
+@query("document_heal_series", sql(" UNION ALL ".join(f"""
+SELECT '{name}' AS section, log_id, encounter_id, {'NULL' if name == 'heals_received_series' else 'attacker_key'} AS attacker_key,
+  {'NULL' if name == 'healer_series' else 'target_key'} AS target_key, chunk, first_bucket, amounts FROM {src}"""
+    for name, src in _HEAL_PACKED.items()), **_HEAL_CELLS))
+def _(w: Workspace) -> DataFrame:
+    schema = "attacker_key string, target_key string, chunk bigint, first_bucket bigint, amount array<bigint>"
+    parts = [sinks.read_section(w.documents, name, schema).withColumn("section", F.lit(name)) for name in _HEAL_PACKED]
+    return _packed_rows(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+@query("document_raid_series", sql(f"""
+SELECT log_id, encounter_id, bucket // 256 AS chunk, string_agg(CAST(coalesce(amount, 0) AS VARCHAR), ',' ORDER BY bucket) AS amounts
+FROM (SELECT *, unnest(range(nb)) AS bucket FROM (SELECT log_id, encounter_id, {_NB} FROM act GROUP BY ALL))
+LEFT JOIN (SELECT log_id, encounter_id, greatest(0, (t - es) // {WIDTH}) AS bucket, {_sum('amount')} AS amount FROM act WHERE hit GROUP BY ALL)
+USING (log_id, encounter_id, bucket) GROUP BY log_id, encounter_id, bucket // 256"""))
+def _(w: Workspace) -> DataFrame:
+    return _packed_rows(sinks.read_section(w.documents, "raid_series", "chunk bigint, amount array<bigint>"))
+
+
+@query("document_owners", sql("""
+SELECT r.log_id, r.encounter_id, r.attacker, r.damage, r.side, o.owner
+FROM raw_a r LEFT JOIN own o ON o.log_id = r.log_id AND o.who = lower(r.attacker)""", raw_a=_RAW))
+def _(w: Workspace) -> DataFrame:
+    return sinks.read_section(w.documents, "raw_attacker", "attacker string, damage bigint, side string, owner string")
+
+
+_MODES = "CASE mode WHEN 0 THEN 'damage' WHEN 1 THEN 'tanking' ELSE 'healing' END AS mode"
+
+
+@query("session_document_actors", sql(f"""
+SELECT log_id, {_MODES}, name_key, name, total, biggest, encounters_present, avg_rate, median_rate, p95_rate, best_rate, side FROM rs"""))
+def _(w: Workspace) -> DataFrame:
+    return sinks.read_section(
+        w.session_documents, "actor",
+        "mode string, name_key string, name string, total bigint, biggest bigint, encounters_present bigint, avg_rate bigint, "
+        "median_rate bigint, p95_rate bigint, best_rate bigint, side string",
+    )
+
+
+@query("session_document_header", ORACLES["session_header"])
+def _(w: Workspace) -> DataFrame:
+    return sinks.read_section(
+        w.session_documents, "header",
+        "start string, end string, duration_seconds bigint, encounter_count bigint, killed_count bigint, total_damage bigint, "
+        "total_healing bigint, total_damage_taken bigint",
+    )
+
+
+@query("session_document_encounters", sql("""
+SELECT log_id, encounter_id, row_number() OVER (PARTITION BY log_id ORDER BY s, encounter_id) - 1 AS slot, name, dur AS duration_seconds,
+  fight_complete FROM enc"""))
+def _(w: Workspace) -> DataFrame:
+    return sinks.read_section(
+        w.session_documents, "encounter",
+        "encounter_id bigint, slot bigint, name string, duration_seconds bigint, fight_complete boolean",
+    )
+
+
+@query("session_document_series", sql(f"""
+SELECT log_id, {_MODES}, field, name_key, slot // 256 AS chunk, string_agg(CAST(coalesce(amount, 0) AS VARCHAR), ',' ORDER BY slot) AS amounts
+FROM (SELECT r.mode, r.log_id, r.name_key, unnest(CASE WHEN mode = 1 THEN ['value', 'rate', 'heals_value', 'heals_rate'] ELSE ['value', 'rate'] END) AS field
+      FROM rs r) JOIN slt USING (log_id) LEFT JOIN cel USING (mode, log_id, encounter_id, name_key, field)
+GROUP BY log_id, mode, field, name_key, slot // 256""",
+    slt="SELECT log_id, encounter_id, row_number() OVER (PARTITION BY log_id ORDER BY s, encounter_id) - 1 AS slot FROM eb",
+    hr=f"""SELECT 1 AS mode, log_id, encounter_id, name_key, value, {_whole('value / CASE WHEN dur = 0 THEN 1 ELSE dur END')} AS rate FROM (
+SELECT log_id, encounter_id, lower(target) AS name_key, {_sum('amount')} AS value, any_value(dur) AS dur FROM hl GROUP BY ALL)""",
+    cel=" UNION ALL ".join(f"SELECT mode, log_id, encounter_id, name_key, '{p}{c}' AS field, {c} AS amount FROM {src}"
+                           for src, p in (("rt", ""), ("hr", "heals_")) for c in ("value", "rate"))))
+def _(w: Workspace) -> DataFrame:
+    """Values, rates and heals received per encounter in time order, of every actor row."""
+    schema = "mode string, field string, name_key string, chunk bigint, amount array<bigint>"
+    return _packed_rows(sinks.read_section(w.session_documents, "series", schema))
+
+
+@query("coverage_document", sql("""
+SELECT log_id, 'type' AS section, event_type AS name, count(*) AS lines FROM ev GROUP BY ALL
+UNION ALL SELECT log_id, 'header', 'total_lines', count(*) FROM ev GROUP BY log_id
+UNION ALL SELECT log_id, 'header', 'unknown_total_lines', count(*) FILTER (event_type = 'unknown') FROM ev GROUP BY log_id
+UNION ALL SELECT log_id, 'header', 'unknown_total_groups',
+  count(DISTINCT regexp_replace(body, '\\d+', 'N', 'g')) FILTER (event_type = 'unknown') FROM ev GROUP BY log_id
+UNION ALL SELECT log_id, 'unknown_group', regexp_replace(body, '\\d+', 'N', 'g'), count(*) FROM ev WHERE event_type = 'unknown' GROUP BY ALL"""))
+def _(w: Workspace) -> DataFrame:
+    docs = w.coverage_documents
+    head = sinks.read_section(docs, "header", "total_lines bigint, unknown_total_lines bigint, unknown_total_groups bigint")
+    counts = ("total_lines", "unknown_total_lines", "unknown_total_groups")
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("lines")) for c in counts]))
+    types = sinks.read_section(docs, "type", "event_type string, lines bigint").withColumnRenamed("event_type", "name")
+    shapes = sinks.read_section(docs, "unknown_group", "shape string, lines bigint").withColumnRenamed("shape", "name")
+    parts = {"header": head.select("log_id", pairs), "type": types, "unknown_group": shapes}
+    rows = [df.select("log_id", F.lit(name).alias("section"), "name", "lines") for name, df in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("fight_document_attackers", sql(f"""
+SELECT a.log_id, a.fight_id, actor, damage, a.hits, a.misses, crits, biggest,
+  {_whole('damage / CASE WHEN duration_seconds = 0 THEN 1 ELSE duration_seconds END')} AS dps, {_pct('damage', 'total_damage')} AS pct_of_total
+FROM atk a JOIN ft USING (log_id, fight_id)""", **_BY_FIGHT))
+def _(w: Workspace) -> DataFrame:
+    return sinks.read_section(
+        sinks.fight_documents(w.main, WIDTH), "attacker",
+        "actor string, damage bigint, hits bigint, misses bigint, crits bigint, biggest bigint, dps bigint, pct_of_total double",
+    )
+
+
+@query("diff_document_actors", ORACLES["diff_same_log"])
+def _(w: Workspace) -> DataFrame:
+    fields = _diff(w, False).drop("pair_id").schema.simpleString()
+    return sinks.read_section(sinks.diff_documents(w.main, _pairs(w, False)), "actor", fields)
+
+
+@query("stream_active_view", ORACLES["active_view"])
+def _(w: Workspace) -> DataFrame:
+    """The live view after the last batch, from the stream's state."""
+    return w.streamed_owned.active_view()
+
+
+@query("stream_active_top_damage", ORACLES["active_top_damage"])
+def _(w: Workspace) -> DataFrame:
+    return w.streamed_owned.active_top_damage()
+
+
+@query("stream_active_top_healing", ORACLES["active_top_healing"])
+def _(w: Workspace) -> DataFrame:
+    return w.streamed_owned.active_top_healing()
 
 
 @query("stream_encounters", sql("SELECT log_id, fight_id, target, encounter_id FROM mb", ft=_fights("close_ord <> 9223372036854775807")))
@@ -1462,11 +1745,26 @@ def _(w: Workspace) -> DataFrame:
     return w.streamed_manual.members().select("log_id", "fight_id", "target", "encounter_id", "manual_name")
 
 
-@query("overrides_round_trip", sql("SELECT log_id, who, owner FROM own"))
+_SAVED = """
+SELECT log_id, 'owner' AS kind, CAST(0 AS BIGINT) AS no, who AS key, owner AS value FROM own
+UNION ALL SELECT log_id, 'group', gno, fight_key, name FROM (
+  SELECT *, dense_rank() OVER (PARTITION BY log_id ORDER BY group_no) - 1 AS gno FROM mg)"""
+
+
+def _overrides(owners: DataFrame, groups: DataFrame) -> DataFrame:
+    """Both tables in one; a file's groups count from 0."""
+    rows = owners.select(
+        "log_id", F.lit("owner").alias("kind"), F.lit(0).cast("long").alias("no"), F.lower("actor").alias("key"), F.col("owner").alias("value")
+    )
+    return rows.unionByName(
+        groups.select("log_id", F.lit("group").alias("kind"), F.col("group_no").alias("no"), F.col("fight_key").alias("key"), F.col("name").alias("value"))
+    )
+
+
+@query("overrides_round_trip", sql(_SAVED, mg=_MANUAL["mg"]))
 def _(w: Workspace) -> DataFrame:
-    """Saved twice, read back: the newest save counts."""
+    """Saved twice, read back: the newest save counts, owners and groups."""
     path = f"{staging_dir(w.spark)}/skirmish/overrides-{uuid.uuid4().hex}"
     override_files.save_overrides(w.owners.limit(0), w.manual_groups, path)
     override_files.save_overrides(w.owners, w.manual_groups, path)
-    owners, _groups = override_files.load_overrides(w.spark, path)
-    return owners.select("log_id", F.lower("actor").alias("who"), "owner")
+    return _overrides(*override_files.load_overrides(w.spark, path))

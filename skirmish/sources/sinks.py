@@ -1,6 +1,6 @@
 """JSON result sinks.
 
-A document is a set of keyed rows ``(log_id, encounter_id | fight_id, section, payload)``: one JSON
+A document is a set of keyed rows ``(log_id[, encounter_id | fight_id], section, payload)``: one JSON
 object per attacker, pair, hit, bucket chunk and so on. No document is put together in one task, so
 an encounter of any size can be written; a reader picks the sections of one id.
 """
@@ -12,8 +12,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skirmish.operators import compare, sides, stats, timeline
+from skirmish.operators import compare, coverage, session, sides, stats, timeline
 from skirmish.plans.analysis import Analysis
+from skirmish.sources.staging import cut
 
 ENC = ("log_id", "encounter_id")
 
@@ -27,35 +28,97 @@ def _together(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def encounter_documents(a: Analysis, width: int = 5) -> DataFrame:
-    """All sections of every encounter: the widest report, for all encounters at once."""
-    attackers = stats.attackers(a.acts, ENC)
-    matrix = stats.damage_matrix(a.acts)
-    sided = sides.encounter_sides(attackers, matrix, a.members, a.heals)
+def read_section(documents: DataFrame, name: str, schema: str) -> DataFrame:
+    """The rows of one section again, with the payload's fields as columns."""
+    keys = [c for c in documents.columns if c not in ("section", "payload")]
+    rows = documents.where(F.col("section") == name)
+    return rows.select(*keys, F.from_json("payload", schema).alias("p")).select(*keys, "p.*")
+
+
+def encounter_documents(a: Analysis, width: int = 5, pet_owners: DataFrame | None = None) -> DataFrame:
+    """All sections of every encounter: the widest report, for all encounters at once.
+
+    What several sections share is written once. Series are packed, 256 buckets a row.
+    """
+    attackers = cut(stats.attackers(a.acts, ENC), "doc_attackers")
+    matrix = cut(stats.damage_matrix(a.acts), "doc_matrix")
+    sided = cut(sides.encounter_sides(attackers, matrix, a.members, a.heals), "doc_sides")
     names = sides.sides_by_name(sided)
     listed = stats.without_corpses(stats.attacker_shares(attackers, a.encounters, ENC)).join(
         sided.select(*ENC, "actor", "side"), [*ENC, "actor"]
     )
-    series = timeline.packed_timeline(a.acts, width, ENC, "enc_start_t", "enc_end_t")
+    counts = a.acts.groupBy("log_id", "fight_id", "actor").agg(F.lit(1)).groupBy("log_id", "fight_id").agg(
+        F.count("*").alias("attacker_count")
+    )
+    members = a.members.join(counts, ["log_id", "fight_id"], "left").fillna(0, ["attacker_count"])
+    raw = stats.owner_choices(stats.raw_attackers(a.acts, a.members), pet_owners)
+    over = (width, ENC, "enc_start_t", "enc_end_t")
     return _together(
         [
             section(a.encounters, "header"),
-            section(a.members.drop("start_t", "end_t", "close_ord"), "member"),
+            section(members.drop("start_t", "end_t", "close_ord"), "member"),
             section(listed.drop("first_seen"), "attacker"),
             section(stats.special_stats(a.acts, ENC), "special"),
-            section(series, "timeline"),
+            section(timeline.packed_timeline(a.acts, *over), "timeline"),
+            section(timeline.packed_raid_series(a.acts, *over), "raid_series"),
             section(stats.biggest_hits(a.acts, ENC), "biggest_hit"),
             section(matrix, "damage_pair"),
-            section(timeline.pair_series(a.acts, width), "damage_series"),
+            section(stats.directed_breakdown(listed, matrix, stats.canonical_names(a.acts)), "breakdown"),
+            section(timeline.packed_pair_series(a.acts, width), "damage_series"),
             section(stats.hit_details(a.acts), "hit"),
             section(sides.healer_sides(stats.healers(a.heals), sided), "healer"),
-            section(stats.heal_matrix(a.heals), "heal_pair"),
+            section(stats.heal_pairs(a.heals), "heal_pair"),
+            section(timeline.packed_heal_series(a.heals, width), "heal_series"),
+            section(timeline.packed_heal_series(a.heals, width, ("actor",)), "healer_series"),
             section(stats.heal_details(a.heals), "heal"),
             section(stats.biggest_heals(a.heals), "biggest_heal"),
-            section(stats.defenders(a.acts, names), "defender"),
+            section(stats.healed_defenders(stats.defenders(a.acts, names), a.heals), "defender"),
             section(stats.defender_pairs(a.acts, names).drop("first_seen"), "defender_pair"),
             section(stats.heals_received(a.heals), "heals_received"),
-            section(stats.raw_attackers(a.acts, a.members), "raw_attacker"),
+            section(timeline.packed_heal_series(a.heals, width, ("target",)), "heals_received_series"),
+            section(raw, "raw_attacker"),
+        ]
+    )
+
+
+def session_documents(a: Analysis, killed_only: bool = False, chosen: DataFrame | None = None) -> DataFrame:
+    """Every log's session: totals, encounters in time order, actor rows by mode, and their series.
+
+    A series row covers 256 encounters of one actor: values and rates in each mode, and for tanks
+    also the heals received.
+    """
+    attackers = cut(stats.attackers(a.acts, ENC), "doc_attackers")
+    pairs = cut(stats.defense_pairs(a.acts, ENC), "doc_pairs")
+    whole = session.summary(a.encounters, attackers, pairs, a.members, a.heals, killed_only, chosen)
+    mine = cut(whole.encounters, "doc_encounters")
+    rollup = cut(session.by_mode(whole), "doc_rollup")
+    places = session.numbered_encounters(mine).select(
+        *ENC, "slot", "name", "start", "duration_seconds", "fight_complete"
+    )
+    key = ("log_id",)
+    tanking = rollup.where(F.col("mode") == "tanking")
+    return _together(
+        [
+            section(session.session_header(mine, tanking), "header", key),
+            section(places, "encounter", key),
+            section(rollup, "actor", key),
+            section(session.all_series(attackers, a.heals, pairs, mine, rollup), "series", key),
+        ]
+    )
+
+
+def coverage_documents(parsed: DataFrame, limit: int = 200) -> DataFrame:
+    """Per log: line counts, lines by event type, and the most frequent shapes of unknown lines."""
+    totals = coverage.shape_totals(coverage.unknown_shapes(parsed))
+    head = coverage.line_counts(parsed).join(totals, "log_id", "left").fillna(
+        0, ["unknown_total_groups", "unknown_total_lines"]
+    )
+    key = ("log_id",)
+    return _together(
+        [
+            section(head, "header", key),
+            section(coverage.type_counts(parsed), "type", key),
+            section(coverage.top_shapes(parsed, limit).drop("first_ord"), "unknown_group", key),
         ]
     )
 

@@ -40,7 +40,7 @@ BOUNDS = (
     "close_ord bigint, close_t bigint, total_damage bigint, hits bigint, misses bigint"
 )
 OPEN = BOUNDS + ", last_ord bigint, last_t bigint"
-ACTORS = "log_id string, target string, open_ord bigint, actor string, amount bigint"
+ACTORS = "log_id string, target string, open_ord bigint, actor string, amount bigint, ord bigint"
 HEALS = "log_id string, ord bigint, t bigint, actor string, target string, amount bigint"
 KILLS = "log_id string, target string, open_ord bigint"
 ENDS = "log_id string, last_ord bigint, last_t bigint"
@@ -224,15 +224,15 @@ class FightStream:
         live = now.where(is_open).select("log_id", "target", "_tag", "open_ord")
         fresh = (
             tagged.where(~F.col("is_death") & (F.col("event_type") != D.CARRY))
-            .select("log_id", "target", F.col("open_ord").alias("_tag"), "actor", "amount")
+            .select("log_id", "target", F.col("open_ord").alias("_tag"), "actor", "amount", "ord")
             .join(live, ["log_id", "target", "_tag"])
-            .select("log_id", "target", "open_ord", "actor", "amount")
+            .select("log_id", "target", "open_ord", "actor", "amount", "ord")
         )
         kept = state.read(old_state, "open_actors", ACTORS).join(
             live.select(*D.FIGHT), list(D.FIGHT), "left_semi"
         )
         actors = fresh.unionByName(kept).groupBy(*D.FIGHT, "actor").agg(
-            F.coalesce(F.sum("amount"), F.lit(0)).alias("amount")
+            F.coalesce(F.sum("amount"), F.lit(0)).alias("amount"), F.min("ord").alias("ord")
         )
         state.replace(new_state, "open_actors", actors)
         # Heals are kept as long as a fight that was running at their time is open.
@@ -397,13 +397,27 @@ class FightStream:
         tail = self.state.read(pointer, "tail_members", MEMBERS)
         return self.state.read(pointer, "members", MEMBERS).unionByName(tail)
 
-    def active_view(self) -> DataFrame:
-        """Per log: the enemy being fought and the player's counters, after the last batch."""
+    def _running(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Open fights, their damage by actor, and the heals since the first of them began."""
         pointer = self.state.newest()
         live = self.state.read(pointer, "open", OPEN)
         acts = V.apply_pet_owners(self.state.read(pointer, "open_actors", ACTORS), self.pet_owners)
         heals = V.apply_pet_owners(self.state.read(pointer, "open_heals", HEALS), self.pet_owners)
-        return player.active_view(live, acts, heals)
+        return live, acts, heals
+
+    def active_view(self) -> DataFrame:
+        """Per log: the enemy being fought and the player's counters, after the last batch."""
+        return player.active_view(*self._running())
+
+    def active_top_damage(self, n: int = 8) -> DataFrame:
+        """Per log: the largest damage dealers of the fight that ``active_view`` shows."""
+        live, acts, heals = self._running()
+        return player.active_top_damage(player.active_target(live, acts, heals), acts, n)
+
+    def active_top_healing(self, n: int = 5) -> DataFrame:
+        """Per log: the largest healers over the window of ``active_view``."""
+        live, acts, heals = self._running()
+        return player.active_top_healing(live, player.active_target(live, acts, heals), heals, n)
 
 
 def replay(events: DataFrame, gap_seconds: int, min_damage: int, parts: int = 4, **how) -> FightStream:

@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 
 from skirmish.operators import encounters as E
 from skirmish.operators import overrides as V
-from skirmish.operators import sides, stats, timeline
+from skirmish.operators import player, sides, stats, timeline
 from skirmish.plans.analysis import Options, analyze, detect, group
 from skirmish.schema import MANUAL_GROUPS, PET_OWNERS
 from skirmish.sources import overrides as files
-from skirmish.sources.sinks import diff_documents, encounter_documents, fight_documents, write_documents
+from skirmish.sources.sinks import (
+    coverage_documents, diff_documents, encounter_documents, fight_documents, read_section, session_documents, write_documents,
+)
 
 ENC = ("log_id", "encounter_id")
 
@@ -198,3 +200,67 @@ def test_documents(spark, battle, tmp_path):
     pairs = spark.createDataFrame([("p", "l", 1, "l", 2)], "pair_id string, a_log string, a_encounter long, b_log string, b_encounter long")
     actors = diff_documents(battle, pairs).where("section = 'actor'")
     assert actors.count() == 9
+
+
+def test_series_of_avoided_swings_and_heals(spark):
+    """A pair that only avoids is all zeros; long series go over several rows; heals by pair and by side."""
+    rows = [
+        event(0, 0, "melee_hit", actor="You", target="Boss", amount=20_000),
+        event(1, 1, "melee_miss", actor="Boss", target="Tank", outcome="parry"),
+        event(2, 2, "heal", actor="Cleric", target="tank", amount=7),
+        event(3, 3, "heal", actor="cleric", target="You", amount=5),
+        *(event(4 + i, 10 * i, "melee_hit", actor="You", target="Boss", amount=1) for i in range(1, 140)),
+    ]
+    a = analyze(frame(spark, rows), Options(gap_seconds=15, min_damage=0))
+    got = {(r.attacker_key, r.target_key, r.first_bucket): r.amount for r in timeline.packed_pair_series(a.acts).collect()}
+    assert len(got[("you", "boss", 0)]) == 256 and got[("you", "boss", 0)][:3] == [20_000, 0, 1]
+    assert len(got[("you", "boss", 256)]) == 23 and sum(got[("you", "boss", 256)]) == 12
+    assert set(got[("boss", "tank", 0)]) == {0} and len(got) == 4
+    heals = {(r.attacker_key, r.target_key, r.first_bucket): sum(r.amount) for r in timeline.packed_heal_series(a.heals).collect()}
+    assert heals == {("cleric", "tank", 0): 7, ("cleric", "you", 0): 5, ("cleric", "tank", 256): 0, ("cleric", "you", 256): 0}
+    by_healer = timeline.packed_heal_series(a.heals, who=("actor",)).where("first_bucket = 0").collect()
+    assert [(r.attacker_key, r.amount[0]) for r in by_healer] == [("cleric", 12)]
+    docs = encounter_documents(a)
+    pairs = read_section(docs, "heal_pair", "healer string, target string, damage bigint")
+    assert sorted((r.healer, r.target, r.damage) for r in pairs.collect()) == [("Cleric", "You", 5), ("Cleric", "tank", 7)]
+    members = read_section(docs, "member", "target string, attacker_count bigint").collect()
+    assert sorted((r.target, r.attacker_count) for r in members) == [("Boss", 1), ("Tank", 1)]
+    tank = read_section(docs, "defender", "defender string, heals_total bigint").where("defender = 'Tank'").collect()
+    assert [r.heals_total for r in tank] == [7]
+
+
+def test_session_documents(spark, battle):
+    docs = session_documents(battle)
+    (head,) = read_section(docs, "header", "encounter_count bigint, total_damage bigint").collect()
+    totals = [r.total_damage for r in battle.encounters.collect()]
+    assert (head.encounter_count, head.total_damage) == (len(totals), sum(totals))
+    series = read_section(docs, "series", "mode string, field string, name_key string, amount array<bigint>").collect()
+    assert series and all(len(r.amount) == len(totals) for r in series)
+    rows = read_section(docs, "actor", "mode string, name_key string, total bigint").collect()
+    for r in rows:
+        (values,) = [x.amount for x in series if (x.mode, x.field, x.name_key) == (r.mode, "value", r.name_key)]
+        assert sum(values) == r.total
+    assert {x.field for x in series if x.mode == "tanking"} == {"value", "rate", "heals_value", "heals_rate"}
+    none = session_documents(battle, chosen=battle.encounters.where("false").select("log_id", "encounter_id"))
+    assert none.count() == 0
+
+
+def test_recap_lists(spark, battle):
+    last = battle.encounters.orderBy("end", ascending=False).first()
+    rows = player.recap_top_damage(
+        stats.attackers(battle.acts, ENC), stats.defense_pairs(battle.acts, ENC), battle.heals, battle.encounters
+    ).collect()
+    assert rows and {r.encounter_id for r in rows} == {last.encounter_id}
+    assert [r.place for r in rows] == list(range(1, len(rows) + 1))
+
+
+def test_coverage_documents(spark):
+    parsed = spark.createDataFrame(
+        [("l", 0, "unknown", "Note 1 of 2"), ("l", 1, "unknown", "Note 33 of 4"), ("l", 2, "zone", None), ("l", 3, None, None), ("m", 0, "zone", None)],
+        "log_id string, ord bigint, event_type string, body string",
+    )
+    docs = coverage_documents(parsed)
+    head = read_section(docs, "header", "total_lines bigint, no_timestamp bigint, unknown_lines bigint, unknown_total_groups bigint")
+    assert sorted(map(tuple, head.collect())) == [("l", 4, 1, 2, 1), ("m", 1, 0, 0, 0)]
+    groups = read_section(docs, "unknown_group", "place bigint, shape string, lines bigint, example string")
+    assert [tuple(r) for r in groups.collect()] == [("l", 1, "Note N of N", 2, "Note 1 of 2")]

@@ -204,6 +204,9 @@ def test_active_view(spark, tmp_path):
     (v,) = sink.active_view().collect()
     assert (v.target, v.total_damage, v.window_seconds) == ("Boss", 150, 4)
     assert (v.damage_out, v.damage_in, v.healing_in, v.hp_delta_per_sec) == (160, 30, 20, -2)
+    top = [(r.place, r.name, r.damage, r.pct, r.is_your_pet) for r in sink.active_top_damage().collect()]
+    assert sorted(top) == [(1, "You", 100, 66.7, False), (2, "Ayla`s pet", 50, 33.3, True)]
+    assert [(r.place, r.name, r.healing, r.hps) for r in sink.active_top_healing().collect()] == [(1, "Cleric", 20, 5)]
 
 
 def test_text_chunks_through_structured_streaming(spark, tmp_path):

@@ -22,6 +22,9 @@ re-parameterised question.
 The benchmark's hashes filter the documents inside the scan while there are at most ``BOUND`` of them;
 a larger benchmark takes an ordinary join of all windows instead. Both ways give the same rows.
 
+Different texts under one item_id are all searched for, each by itself; equal rows count once. Different
+texts under one doc_id are searched as one document's, equal rows change nothing.
+
 A null text has no words; items with a null item_id or without a specific window match nothing; documents
 with a null doc_id are never flagged.
 """
@@ -170,10 +173,12 @@ def _schema(ids: str) -> str:
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL, need: float = NEED, bound: int = BOUND, shift: int = SHIFT, enough: int = RUN) -> DataFrame:
     """(doc_id, item_id, place, share, slots, changed): the occurrences of items in documents."""
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["item_id"])
+    texts = benchmark.select(F.col("item_id").cast("long").alias("named"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    # each text of an item is searched by itself, under a number of its own
+    items = cut(texts.withColumn("item_id", F.monotonically_increasing_id()), "items")
     n = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
     short = tuple(sorted(r.n for r in items.select(n.alias("n")).where(f"n > 0 AND n < {window}").distinct().collect()))  # under ``window`` values
-    own = cut(items.mapInArrow(_windows(window, literal, short, None, "item_id"), _schema("item_id")), "templates")
+    own = cut(items.select("item_id", "text").mapInArrow(_windows(window, literal, short, None, "item_id"), _schema("item_id")), "templates")
     hashes = own.select("hash").distinct()
     wanted = None
     if hashes.limit(bound + 1).count() <= bound:
@@ -212,9 +217,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
     slots = by_value.groupBy(*key).agg(
         F.sum("n").alias("slots"), F.sum(((F.col("low") != F.col("said")) | (F.col("high") != F.col("said"))).cast("long")).alias("changed"), F.max((F.col("least") != F.col("most")).cast("int")).alias("clash")
     )
-    out = covered.join(slots, key, "left").where("coalesce(clash, 0) = 0")
+    out = covered.join(slots, key, "left").where("coalesce(clash, 0) = 0").join(items.select("item_id", "named"), "item_id")
     zero = F.lit(0).cast("long")
-    return out.select("doc_id", "item_id", F.col("diagonal").cast("long").alias("place"), "share", F.coalesce("slots", zero).alias("slots"), F.coalesce("changed", zero).alias("changed"))
+    return out.select("doc_id", F.col("named").alias("item_id"), F.col("diagonal").cast("long").alias("place"), "share", F.coalesce("slots", zero).alias("slots"), F.coalesce("changed", zero).alias("changed"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -170,6 +170,31 @@ def test_names_at_sentence_starts_and_other_layouts(spark):
     assert got == {(1, 1): 1, (2, 1): 0, (3, 2): 0, (5, 1): 1}
 
 
+def test_two_texts_of_an_item(spark):
+    """Both are searched for, whatever they share; equal rows of items and documents count once, empty tables give nothing."""
+    import random
+
+    rnd = random.Random(5)
+    one, two = (" ".join(corpus.words(rnd, 30, 5000)) for _ in range(2))
+    b = spark.createDataFrame([(7, one), (7, two), (7, two), (8, None), (None, one), (9, "")], "item_id long, text string")
+    df = corpus.table(spark, {1: "a " + one, 2: "a " + two + " b", 3: one + " x y z " + two, 4: "", 5: None})
+    for how in ({}, {"bound": 0}):
+        got = sorted((r.doc_id, r.item_id, r.place) for r in decontam.matches(df.union(df), b, **how).collect())
+        assert got == [(1, 7, 1), (2, 7, 1), (3, 7, 0), (3, 7, 33)]
+    assert {r.doc_id: r.occurrences for r in decontam.digest(df, b).collect()} == {1: 1, 2: 1, 3: 2}
+    assert {r.doc_id for r in decontam.decontaminate(df, b).collect()} == {4, 5}
+    assert decontam.decontaminate(df.limit(0), b).count() == 0
+
+
+def test_lower_limit_is_an_error(spark):
+    df = corpus.table(spark, {1: "a b c"})
+    for percent in (79, 101):
+        with pytest.raises(ValueError, match="percent"):
+            jaccard.classes(df, percent)
+        with pytest.raises(ValueError, match="percent"):
+            jaccard.dedup(df, percent)
+
+
 def test_mix(spark):
     docs = corpus.texts(6, 80)
     df = corpus.table(spark, docs)

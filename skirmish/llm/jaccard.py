@@ -217,7 +217,12 @@ def verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+    """(doc_id, n_shingles, component_id) of every row.
+
+    ``percent`` is ``PERCENT`` or more: below it the fixed values of this module would lose links, so that is an error.
+    """
+    if not PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {PERCENT} to 100")
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     sets = cut(texts.mapInArrow(_sets, "doc_id long, n_shingles long, one long, two long, head binary"), "sets")
     full = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")

@@ -2,16 +2,18 @@
 
 Base spans (``KINDS``) follow the given patterns and stay as they are. They and keyed secrets
 (``SEED_KEYS``, ``SEED_SHAPE``) are the seeds; a secret in one token with its key (pwd=ab1) may have any value.
-Candidates are whitespace tokens outside the base spans that look like an identifier (eight characters at
-least, one digit at least), and any token that stands behind the key of a secret (password: hunter2): such a
-value is a seed if it looks like an identifier, and left to its patterns otherwise. Every seed and
-candidate induces lexical patterns: the word before it (L), the word behind it (R), and its own key, the
-part up to the last "=" or ":" or its leading letters (K).
+Candidates are all whitespace tokens with a digit outside the base spans, of any length, and any token that stands
+behind the key of a secret (password: hunter2): such a value is a seed if it has eight characters and a digit, and
+left to its patterns otherwise. Two to ``RUN`` tokens of under eight characters that follow each other, with no
+punctuation between, are one candidate (12 34 56 78); in longer runs every token is one of its own. Every seed and
+candidate induces lexical patterns: the word before it (L), the two words before it (LL), the word behind it (R), and
+its own key, the part up to the last "=" or ":" or its leading letters (K).
 
 Spark scores the bipartite graph for ``ROUNDS`` rounds: a pattern's confidence is the confidence of its
-instances over all occurrences of the pattern in the corpus (for L and R, of the word anywhere), plus
-``SMOOTH``; an instance's confidence is the noisy-or of its patterns, and 1 for seeds. Candidates whose
-confidence reaches ``SURE`` become spans of kind ``id``.
+instances over all occurrences of the pattern in the corpus (for L, LL and R, of the words anywhere), plus
+``SMOOTH``. An occurrence's confidence is the noisy-or of its patterns; an instance's is 1 for seeds, and else that of its
+occurrences on (geometric) average, so that a number which stands in many places is not sure because one of
+them looks like an identifier's. Candidates whose confidence reaches ``SURE`` become spans of kind ``id``.
 
 Word counts are filtered inside the scan while there are at most ``BOUND`` words to count, and by a join
 otherwise. The graph holds seeds, candidates and their words, no other text; a pattern or an instance with a third
@@ -34,12 +36,16 @@ from pyspark.sql import functions as F
 
 from skirmish.sources.staging import cut
 
-from .words import Words, blocks
+from .words import STEP, Words, blocks, mix
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 SMOOTH = 2.0
 SURE = 0.5
+#: Short tokens with digits that may be one identifier.
+RUN = 6
+#: Characters from which on a token with a digit stands for itself.
+LONG = 8
 #: Words beside seeds and candidates up to which the count of words is filtered inside the scan.
 BOUND = 2_000_000
 
@@ -104,14 +110,19 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
 
 
-#: The last two bits of a pattern tell its kind: a word before, a word behind, an own key.
-BEFORE, BEHIND, KEY = 1, 2, 3
+#: The last two bits of a pattern tell its kind: two words before, a word before, a word behind, an own key.
+TWO, BEFORE, BEHIND, KEY = 0, 1, 2, 3
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    """Hashes of single words with ASCII letters in lower case, the last two bits free."""
+    """Hashes of single words with ASCII letters in lower case."""
     data = "\n".join(words).encode()
-    return Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), lower=True).hash.view(np.int64) & ~3
+    return Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), lower=True).hash
+
+
+def _free(hashes: np.ndarray) -> np.ndarray:
+    """Hashes as signed numbers with the last two bits free."""
+    return hashes.view(np.int64) & ~3
 
 
 def _key(token: str) -> str:
@@ -119,44 +130,65 @@ def _key(token: str) -> str:
     return token[:cut_at] if cut_at else re.match(r"[^0-9]*", token)[0]
 
 
-def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool, int, tuple[str, str, str]]]:
-    """(start, end, instance, seed, base kind or -1, word before, word behind and key) of the seeds and candidates."""
+def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool, int, tuple[str, str, str, str]]]:
+    """(start, end, instance, seed, base kind or -1, the two words before, word behind and key) of the seeds and candidates."""
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
     ends = [b for _, b in tokens]
     keys = bool(ANY_KEY.search(text))
     out = []
 
-    def context(a: int, b: int, key: str) -> tuple[str, str, str]:
+    def word(i: int) -> str:
+        return text[slice(*tokens[i])] if 0 <= i < len(tokens) else ""
+
+    def add(a: int, b: int, instance: str, seed: bool, kind: int, key: str) -> None:
         i = bisect_right(ends, a)
-        j = bisect_left(ends, b)
-        return text[slice(*tokens[i - 1])] if i > 0 else "", text[slice(*tokens[j + 1])] if j + 1 < len(tokens) else "", key
+        out.append((a, b, _hash(instance), seed, kind, (word(i - 2), word(i - 1), word(bisect_left(ends, b) + 1), key)))
+
+    def close() -> None:
+        parts = [text[a:b] for a, b in run]
+        if 2 <= len(run) <= RUN:
+            add(run[0][0], run[-1][1], " ".join(parts), False, -1, _key(parts[0]))
+        else:
+            for (a, b), part in zip(run, parts, strict=True):
+                add(a, b, part, bool(SEED_SHAPE.match(part)), -1, _key(part))
+        run.clear()
 
     for a, kind, b in base:
-        out.append((a, b, _hash(text[a:b]), True, kind, context(a, b, "")))
+        add(a, b, text[a:b], True, kind, "")
     taken = 0
-    for i, (a, b) in enumerate(tokens):
+    run: list[tuple[int, int]] = []
+    for i, (first, last) in enumerate(tokens):
+        a, b = first, last
         while b - a and text[a] in "\"'([{<":
             a += 1
         while b - a and text[b - 1] in "\"')]}>.,;:!?#*$%&|":
             b -= 1
         token = text[a:b]
-        if not token:
-            continue
-        looks = len(token) >= 8 and bool(DIGITS.search(token))
-        glued = keys and bool(KEYED.match(token))
-        behind = False
-        if keys and i >= 1 and not glued:
-            last = text[slice(*tokens[i - 1])]
-            behind = bool(KEY_ALONE.match(last)) or (last in ("=", ":") and i >= 2 and text[slice(*tokens[i - 2])].lower() in SEED_KEYS)
-            behind &= token not in ("=", ":")
-        if not (looks or glued or behind):
-            continue
-        while taken < len(base) and base[taken][2] <= a:
-            taken += 1
-        if any(x < b and a < y for x, _, y in base[taken : taken + 8]):
+        digit = bool(DIGITS.search(token))
+        glued = behind = False
+        if keys and token:
+            glued = bool(KEYED.match(token))
+            if i >= 1 and not glued and token not in ("=", ":"):
+                ahead = word(i - 1)
+                behind = bool(KEY_ALONE.match(ahead)) or (ahead in ("=", ":") and i >= 2 and word(i - 2).lower() in SEED_KEYS)
+        wanted = digit or glued or behind
+        if wanted:
+            while taken < len(base) and base[taken][2] <= a:
+                taken += 1
+            wanted = not any(x < b and a < y for x, _, y in base[taken : taken + 8])
+        alone = not wanted or glued or behind or len(token) >= LONG
+        if run and (alone or a > first):
+            close()
+        if not wanted:
             continue
-        keyed = glued or (behind and looks)
-        out.append((a, b, _hash(token), keyed or bool(SEED_SHAPE.match(token)), -1, context(a, b, _key(token))))
+        if alone:
+            seed = glued or (behind and digit and len(token) >= LONG) or bool(SEED_SHAPE.match(token))
+            add(a, b, token, seed, -1, _key(token))
+        else:
+            run.append((a, b))
+            if b < last:
+                close()
+    close()
     return out
 
 
@@ -174,12 +206,21 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append([sum(k == i for _, k, _ in spans) for i in range(4)])
             base.append(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans))
             found.append(nodes(text, spans) if spans or DIGITS.search(text) or ANY_KEY.search(text) else [])
-        around = sorted({w for own in found for n in own for w in n[5][:2] if w})
-        known = dict(zip(around, word_hashes(around).tolist(), strict=True)) if around else {}
+        around = sorted({w for own in found for n in own for w in n[5][:3] if w})
+        hashes = word_hashes(around) if around else np.zeros(0, np.uint64)
+        place = {w: i for i, w in enumerate(around)}
+        known = dict(zip(around, _free(hashes).tolist(), strict=True))
+        twos = sorted({n[5][:2] for own in found for n in own if n[5][0]})
+        one, two = ([place[x[k]] for x in twos] for k in (0, 1))
+        # as Words.grams(2)
+        before_two = dict(zip(twos, _free(mix(hashes[one] + hashes[two] * STEP)).tolist(), strict=True)) if twos else {}
         keys = ("start", "stop", "instance", "seed", "kind", "patterns")
 
-        def patterns(before: str, behind: str, key: str) -> list[int]:
-            parts = ((before and known[before], BEFORE), (behind and known[behind], BEHIND), (key and _hash(key) & ~3, KEY))
+        def patterns(far: str, before: str, behind: str, key: str) -> list[int]:
+            parts = (
+                (far and before_two[far, before], TWO), (before and known[before], BEFORE),
+                (behind and known[behind], BEHIND), (key and _hash(key) & ~3, KEY),
+            )
             return [h | kind for h, kind in parts if h != ""]
 
         found = [[dict(zip(keys, (*n[:5], patterns(*n[5])), strict=True)) for n in own] for own in found]
@@ -190,13 +231,14 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequency(wanted: np.ndarray | None):
-    """Words by hash with their number, summed over a batch; only those of ``wanted`` if given."""
+    """Words and pairs of words by hash with their number, summed over a batch; only those of ``wanted`` if given."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = []
             for _, _, data, offsets in blocks(batch.column("text")):
-                h = Words(data, offsets, lower=True).hash.view(np.int64) & ~3
+                words = Words(data, offsets, lower=True)
+                h = _free(np.concatenate([words.hash, words.grams(2)[1]]))
                 if wanted is not None:
                     at = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
                     h = h[wanted[at] == h] if len(wanted) else h[:0]
@@ -210,8 +252,9 @@ def _frequency(wanted: np.ndarray | None):
 
 def patterns_of(spans: DataFrame, docs: DataFrame, rounds: int = ROUNDS, smooth: float = SMOOTH, bound: int = BOUND) -> DataFrame:
     """(instance, confidence) of all seeds and candidates after the rounds."""
-    flat = spans.select(F.explode("nodes").alias("n")).select("n.instance", "n.seed", F.explode("n.patterns").alias("pattern"))
-    edges = cut(flat.groupBy("instance", "pattern").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "edges")
+    each = spans.select(F.explode("nodes").alias("n")).select("n.*")
+    flat = each.select("instance", F.explode("patterns").alias("pattern"))
+    edges = cut(flat.groupBy("instance", "pattern").agg(F.count(F.lit(1)).alias("n")), "edges")
     used = edges.groupBy("pattern").agg(F.sum("n").alias("own"))
     used = cut(used.withColumn("word", F.col("pattern").bitwiseAND(F.lit(~3))), "patterns")
     asked = used.where(F.col("pattern").bitwiseAND(F.lit(3)) != KEY).select("word").distinct()
@@ -223,14 +266,14 @@ def patterns_of(spans: DataFrame, docs: DataFrame, rounds: int = ROUNDS, smooth:
     often = F.when(F.col("pattern").bitwiseAND(F.lit(3)) != KEY, F.col("times"))
     total = used.join(times, "word", "left").select("pattern", F.greatest("own", F.coalesce(often, F.lit(0))).alias("total"))
     total = cut(total, "patterns")
-    instances = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
+    instances = cut(each.groupBy("instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("places")), "instances")
     score = instances.select("instance", "seed", F.col("seed").cast("double").alias("confidence"))
     for _ in range(rounds):
-        held = edges.drop("seed").join(score.select("instance", "confidence"), "instance")
+        held = edges.join(score.select("instance", "confidence"), "instance")
         strength = held.groupBy("pattern").agg(F.sum(F.col("n") * F.col("confidence")).alias("sum")).join(total, "pattern")
         strength = strength.select("pattern", (F.col("sum") / (F.col("total") + smooth)).alias("weight"))
-        none = edges.join(strength, "pattern").groupBy("instance").agg(F.sum(F.log1p(-F.least("weight", F.lit(0.999)))).alias("none"))
-        score = cut(instances.join(none, "instance").select("instance", "seed", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("none")).alias("confidence")), "instances")
+        none = edges.join(strength, "pattern").groupBy("instance").agg(F.sum(F.col("n") * F.log1p(-F.least("weight", F.lit(0.999)))).alias("none"))
+        score = cut(instances.join(none, "instance").select("instance", "seed", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp(F.col("none") / F.col("places"))).alias("confidence")), "instances")
     return score
 
 

@@ -282,6 +282,25 @@ def test_contexts_find_new_identifiers(spark):
     assert got[100].spans == f"id:{text.index('zz81')}:{text.index('zz81') + 10}" and got[101].spans == ""
 
 
+def test_short_identifiers_and_runs(spark):
+    """Values of under eight characters and of several tokens behind words that known ones share; common numbers stay."""
+    docs = {d: f"his badge no AB-{d}77 pwd=AB-{d}77 was shown" for d in range(10, 40)} | {50: "his badge no XY-1234 was shown", 51: "his badge no 12 34 56 78 was shown"}
+    docs |= {d: f"there were {d % 4} boats in {2000 + d % 7}, and no {d % 4} more" for d in range(100, 200)} | {60: "his badge no 3 was shown", 61: "his badge no 1 2 3 4 5 6 7 8"}
+    got = {d: [docs[d][int(a) : int(b)] for _, a, b in (x.split(":") for x in r.spans.split(",") if x)] for d, r in rows(pii.digest(corpus.table(spark, docs))).items()}
+    assert got[50] == ["XY-1234"] and got[51] == ["12 34 56 78"]
+    assert got[10] == ["pwd=AB-1077"] or got[10] == ["AB-1077", "pwd=AB-1077"]
+    assert got[60] == [] and got[61] == [] and not any(got[d] for d in range(100, 200))
+
+
+def test_candidates_of_a_text():
+    def found(text):
+        return [text[n[0] : n[1]] for n in pii.nodes(text, pii.base_spans(text))]
+
+    assert found("no 12 34, 56 78 (9 10) AB1 abcd1234 5") == ["12 34", "56 78", "9 10", "AB1", "abcd1234", "5"]
+    assert found("1 2 3 4 5 6 7") == list("1234567") and found("at 1.2.3.4 12 é3") == ["1.2.3.4", "12 é3"]
+    assert pii.nodes("a b 12 c", [])[0][5] == ("a", "b", "c", "") and pii.nodes("12", [])[0][5] == ("", "", "", "")
+
+
 def test_keyed_secrets_of_any_value(spark):
     """Values without digits or under eight characters, glued to their key or behind one that other secrets share."""
     docs = {1: "login password=correcthorse and go", 2: "so pwd=ab1, then", 3: "a secret=abcdefghij here", 4: "no password at all", 5: "the token= is empty"}

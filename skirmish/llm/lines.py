@@ -11,7 +11,10 @@ which one must occur unchanged in any line within ``EDITS`` edits, and the place
 known up to the number of edits and the difference of the lengths. Keys are (length, segment
 number, content). Rows of one key are streamed in sorted order with the indexed lines first; a
 62-bit parity signature of character pairs, of which an edit changes four bits at most, discards most
-pairs without emitting them. The rest is verified on the texts by a banded bit-parallel automaton.
+pairs without emitting them. A key that more than ``HOT`` indexed lines share (template lines) is only passed on by the task
+that meets it: its rows are numbered in blocks of ``HOT``, and each pair of blocks is compared as a group of its own,
+so that the work of a key spreads over many tasks of bounded memory. The rest is verified on the texts by a banded
+bit-parallel automaton.
 
 Documents with a null doc_id stay as they are. A null text has no lines. Rows with one doc_id and equal texts are one document;
 different texts under one doc_id are judged in the order of their hashes (``shared_ids``). Lines and texts may have any length:
@@ -39,6 +42,8 @@ LEAST = 20
 NEAR = 30
 #: Indexed lines of a key that are compared with streamed ones at a time.
 TILE = 1 << 14
+#: Indexed lines of a key up to which one task compares them with all its rows; also the rows of a block of a key with more.
+HOT = 1 << 14
 
 
 class Lines:
@@ -165,58 +170,150 @@ def _keys(edits: int, near: int):
     return run
 
 
-def _candidates(edits: int):
-    """Rows sorted by key, index rows first, to pairs of ids with close signatures."""
+def _close(edits: int, id_a: np.ndarray, sign_a: np.ndarray, id_b: np.ndarray, sign_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of two sets of lines whose signatures (above the probe bit) are close."""
+    a, b = [], []
+    sign_a, sign_b = sign_a >> np.uint64(1), sign_b >> np.uint64(1)
+    step = max(1, (1 << 22) // max(1, min(TILE, len(id_a))))
+    for i in range(0, len(id_a), TILE):
+        for j in range(0, len(id_b), step):
+            near = np.bitwise_count(sign_a[i : i + TILE, None] ^ sign_b[None, j : j + step]) <= 4 * edits
+            x, y = np.nonzero(near)
+            a.append(id_a[i : i + TILE][x])
+            b.append(id_b[j : j + step][y])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.uint64),) * 2
 
-    def pairs(id_a, sign_a, id_b, sign_b):
-        a, b = [], []
-        for i in range(0, len(id_a), TILE):
-            step = max(1, (1 << 22) // max(1, min(TILE, len(id_a))))
-            for j in range(0, len(id_b), step):
-                near = np.bitwise_count(sign_a[i : i + TILE, None] ^ sign_b[None, j : j + step]) <= 4 * edits
-                x, y = np.nonzero(near)
-                a.append(id_a[i : i + TILE][x])
-                b.append(id_b[j : j + step][y])
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.uint64),) * 2
 
-    def solve(key, id_, sign):
-        """Pairs of whole groups."""
+def _ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each unequal pair once, the smaller id first."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    both = np.unique(np.stack([low, high], 1)[low != high], axis=0) if len(low) else np.zeros((0, 2), np.uint64)
+    return tuple(both[:, k].copy().view(np.int64) for k in (0, 1))
+
+
+CANDIDATES = "a long, b long, key long, block int"
+
+
+def _candidates(edits: int, hot: int):
+    """Rows sorted by key, index rows first, to pairs of ids with close signatures.
+
+    Rows of a key with more than ``hot`` index rows come out as they are: id, sign, key and number of their block.
+    """
+
+    def found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        a, b = _ordered(a, b)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32())], ["a", "b", "key", "block"])
+
+    def passed(key: np.ndarray, id_: np.ndarray, sign: np.ndarray, first: int) -> pa.RecordBatch:
+        block = (np.arange(first, first + len(key)) // hot).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (id_, sign, key)), pa.array(block)], ["a", "b", "key", "block"])
+
+    def solve(key: np.ndarray, id_: np.ndarray, sign: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole groups."""
+        if not len(key):
+            return
         probe = (sign & np.uint64(1)).astype(bool)
-        sign = sign >> np.uint64(1)
         head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(head, len(key)))
-        n_index = np.add.reduceat(~probe, head)
-        out = []
-        use = (size > 1) & (n_index > 0)
+        n_index = np.add.reduceat((~probe).astype(np.int64), head)
         # groups of one indexed line: all rows meet it
-        single = use & (n_index == 1)
+        single = (size > 1) & (n_index == 1)
         owner, at = ranges(head[single] + 1, head[single] + size[single])
         first = head[single][owner]
-        close = np.bitwise_count(sign[first] ^ sign[at]) <= 4 * edits
-        out.append((id_[first][close], id_[at][close]))
-        for h, n, k in zip(head[use & ~single], size[use & ~single], n_index[use & ~single], strict=True):
-            out.append(pairs(id_[h : h + k], sign[h : h + k], id_[h : h + n], sign[h : h + n]))
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        both = np.unique(np.stack([low, high], 1)[low != high], axis=0) if len(low) else np.zeros((0, 2), np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, k].copy().view(np.int64)) for k in (0, 1)], ["a", "b"])
+        close = np.bitwise_count((sign[first] ^ sign[at]) >> np.uint64(1)) <= 4 * edits
+        out = [(id_[first][close], id_[at][close])]
+        for h, n, k in zip(*(x[n_index > 1] for x in (head, size, n_index)), strict=True):
+            if k > hot:
+                yield passed(key[h : h + n], id_[h : h + n], sign[h : h + n], 0)
+            else:
+                out.append(_close(edits, id_[h : h + k], sign[h : h + k], id_[h : h + n], sign[h : h + n]))
+        yield found(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.uint64)] * 3
+        passing, number = None, 0  # the key whose rows go on unseen, and how many have gone
         for batch in batches:
             new = [np.asarray(batch.column(c)).view(np.uint64) for c in ("key", "id", "sign")]
+            if passing is not None and len(new[0]):
+                same = int(np.searchsorted(new[0] != passing, True))
+                if same:
+                    yield passed(*(x[:same] for x in new), number)
+                    number += same
+                    new = [x[same:] for x in new]
+                if len(new[0]):
+                    passing = None
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
             change = np.flatnonzero(held[0][1:] != held[0][:-1])
             if len(change):
                 done = change[-1] + 1
-                yield solve(*(x[:done] for x in held))
+                yield from solve(*(x[:done] for x in held))
+                held = [x[done:] for x in held]
+            n = len(held[0])
+            if n > hot:  # one unfinished group; its index rows come first
+                index = int(np.searchsorted(held[2] & np.uint64(1), 1))
+                if index > hot:
+                    yield passed(*held, 0)
+                    passing, number = held[0][0], n
+                    held = [x[:0] for x in held]
+                elif index < n:
+                    yield found(*_close(edits, *(x[:index] for x in held[1:]), *(x[index:] for x in held[1:])))
+                    held = [x[:index] for x in held]
+        yield from solve(*held)
+
+    return run
+
+
+def _cells(edits: int):
+    """Rows sorted by cell (key, i, j) and side to pairs of ids with close signatures between the sides."""
+
+    def solve(cell: list[np.ndarray]) -> pa.RecordBatch:
+        side, id_, sign = cell[3], cell[4].view(np.uint64), cell[5].view(np.uint64)
+        head = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in cell[:3]], axis=0)))
+        out = [(np.zeros(0, np.uint64),) * 2]
+        for h, stop in zip(head, np.append(head[1:], len(side)), strict=True):
+            m = h + int(np.searchsorted(side[h:stop], 1))
+            out.append(_close(edits, id_[h:m], sign[h:m], id_[m:stop], sign[m:stop]))
+        a, b = _ordered(*(np.concatenate(x) for x in zip(*out, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            new = [np.asarray(batch.column(c)) for c in ("key", "i", "j", "side", "id", "sign")]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in held[:3]], axis=0))
+            if len(change):
+                done = change[-1] + 1
+                yield solve([x[:done] for x in held])
                 held = [x[done:] for x in held]
-        if len(held[0]):
-            yield solve(*held)
+        if held is not None and len(held[0]):
+            yield solve(held)
 
     return run
 
 
+def _pairs(keys: DataFrame, edits: int, hot: int) -> DataFrame:
+    """(a, b): lines with a key in common and close signatures."""
+    probe = F.col("sign").bitwiseAND(F.lit(1))
+    dealt = keys.repartition("key").sortWithinPartitions("key", probe)
+    found = cut(dealt.mapInArrow(_candidates(edits, hot), CANDIDATES), "met")
+    pairs = found.where("block IS NULL").select("a", "b")
+    rows = found.where("block IS NOT NULL").select("key", "block", F.col("a").alias("id"), F.col("b").alias("sign"))
+    if not rows.isEmpty():
+        index = F.col("sign").bitwiseAND(F.lit(1)) == 0
+        per = rows.groupBy("key").agg(F.max("block").alias("last"), F.max(F.when(index, F.col("block"))).alias("last_index"))
+        rows = rows.join(per, "key")
+        # an index row meets the blocks from its own on, as probe rows lie behind all index rows
+        one = rows.where(index).select("key", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), F.lit(0).alias("side"), "id", "sign")
+        two = rows.select("key", F.explode(F.sequence(F.lit(0), F.least("block", "last_index"))).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "id", "sign")
+        spark = keys.sparkSession
+        # a cell is little data and much work: a stated number of partitions is not merged by size
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        cells = one.unionByName(two).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+        pairs = pairs.unionByName(cells.mapInArrow(_cells(edits), "a long, b long"))
+    return cut(pairs.distinct(), "candidates")
+
+
 def within(a: str, b: str, edits: int) -> bool:
     """Whether two lines are within ``edits`` edits.
 
@@ -286,7 +383,7 @@ def _placed(docs: DataFrame, found: DataFrame | None) -> DataFrame:
     return with_base(texts, found, "doc_id", "text")
 
 
-def near_lines(texts: DataFrame, edits: int = EDITS, least: int = LEAST, near: int = NEAR) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_lines(texts: DataFrame, edits: int = EDITS, least: int = LEAST, near: int = NEAR, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of texts with their bases: all lines of ``least`` code points (doc_id, line, id), the first place of each distinct one, and its close pairs (a, b)."""
     if least <= edits or near <= edits:
         raise ValueError("lines must be longer than the number of edits")
@@ -296,9 +393,7 @@ def near_lines(texts: DataFrame, edits: int = EDITS, least: int = LEAST, near: i
     packed = packing.pack(texts)
     listed = first.where(F.col("size") >= near).groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
     keys = packed.join(listed, "doc_id").select("text", "base", "lines").mapInArrow(_keys(edits, near), "key long, id long, sign long")
-    probe = F.col("sign").bitwiseAND(F.lit(1))
-    dealt = keys.repartition("key").sortWithinPartitions("key", probe)
-    pairs = cut(dealt.mapInArrow(_candidates(edits), "a long, b long").distinct(), "candidates")
+    pairs = _pairs(keys, edits, hot)
     need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(first, "id")
     asked = need.groupBy("doc_id").agg(F.collect_list(F.struct("line", "id")).alias("asked"))
     spelled = cut(packed.join(asked, "doc_id").select("text", "base", "asked").mapInArrow(_texts, "id long, line_text string").dropDuplicates(["id"]), "texts")
@@ -306,9 +401,9 @@ def near_lines(texts: DataFrame, edits: int = EDITS, least: int = LEAST, near: i
     return lines, distinct, cut(both.mapInArrow(_verify(edits), "a long, b long"), "close")
 
 
-def removed_lines(texts: DataFrame, edits: int = EDITS, least: int = LEAST, near: int = NEAR) -> DataFrame:
+def removed_lines(texts: DataFrame, edits: int = EDITS, least: int = LEAST, near: int = NEAR, hot: int = HOT) -> DataFrame:
     """(doc_id, line): the lines that an earlier one makes redundant, by number from the base of their text."""
-    lines, distinct, close = near_lines(texts, edits, least, near)
+    lines, distinct, close = near_lines(texts, edits, least, near, hot)
     copies = lines.join(distinct, ["one", "two"]).where(F.struct(lines.doc_id, lines.line) != F.col("first")).select(lines.doc_id, lines.line)
     where = distinct.select(F.col("one").alias("id"), "first")
     placed = close.join(where.select(F.col("id").alias("a"), F.col("first").alias("at_a")), "a").join(where.select(F.col("id").alias("b"), F.col("first").alias("at_b")), "b")
@@ -353,10 +448,10 @@ def dedup(docs: DataFrame, **how) -> DataFrame:
     return joined.mapInArrow(_drop(docs.columns.index("text")), kept).toDF(*docs.columns)
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, **how) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, removed (line numbers from 0)."""
     found = _bases(docs)
-    gone = removed_lines(_placed(docs, found)).groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("removed"))
+    gone = removed_lines(_placed(docs, found), **how).groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("removed"))
     texts = with_base(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")), found, "doc_id", "text", "_base")
     rows = texts.select("doc_id", "_base", F.coalesce(line_count(F.col("text")), F.lit(0)).cast("long").alias("n_lines")).join(gone, "doc_id", "left")
     removed = F.coalesce(F.filter(_own("removed"), lambda x: x < F.col("n_lines")), F.array().cast("array<int>"))

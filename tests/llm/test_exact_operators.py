@@ -82,8 +82,8 @@ def test_jaccard_keeps_one_of_each_group(spark):
     assert {r.doc_id for r in kept.collect()} == {None} | {d for d in docs if component[d][1] == d}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_lines_within_edits(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 1 << 14), (2, 1 << 14), (1, 2)])
+def test_lines_within_edits(spark, seed, hot):
     import random
 
     rnd = random.Random(seed)
@@ -97,7 +97,7 @@ def test_lines_within_edits(spark, seed):
         return "".join(x)
 
     docs = {d: None if d % 17 == 3 else "\n".join(edited(rnd.choice(base)) for _ in range(rnd.randint(0, 6))) for d in range(90)}
-    got = {r.doc_id: list(r.removed) for r in lines.digest(corpus.table(spark, docs)).collect()}
+    got = {r.doc_id: list(r.removed) for r in lines.digest(corpus.table(spark, docs), hot=hot).collect()}
     assert got == lines.brute(docs)
     out = lines.dedup(corpus.table(spark, docs))
     for r in out.collect():
@@ -107,6 +107,50 @@ def test_lines_within_edits(spark, seed):
         assert r.text == kept
 
 
+def _key_rows(keys, rnd):
+    """Sorted rows (key, id, sign) as the task meets them, and the pairs of ids wanted."""
+    rows, want, next_id = [], set(), 1
+    for key, (n_index, n_probe) in enumerate(keys):
+        own = []
+        for probe in [0] * n_index + [1] * n_probe:
+            own.append((key, next_id, (rnd.getrandbits(5) * 0x111111111111 << 1) | probe))
+            next_id += 1
+        want |= {(x[1], y[1]) for i, x in enumerate(own) for y in own[i + 1 :] if not x[2] & 1 and ((x[2] ^ y[2]) >> 1).bit_count() <= 8}
+        rows += own
+    return rows, want
+
+
+@pytest.mark.parametrize(("hot", "size"), [(4, 3), (4, 50), (7, 1000), (1000, 10)])
+def test_keys_of_many_lines_are_dealt(spark, hot, size):
+    """Keys with few and many index rows over few and many probes, in batches that end anywhere."""
+    import random
+
+    import pyarrow as pa
+
+    rnd = random.Random(hot)
+    rows, want = _key_rows([(3, 0), (0, 9), (1, 30), (20, 15), (2, 60), (40, 0), (4, 4), (9, 1), (25, 70)], rnd)
+    table = [pa.RecordBatch.from_pylist([dict(zip(("key", "id", "sign"), r, strict=True)) for r in rows[i : i + size]]) for i in range(0, len(rows), size)]
+    met = [r for b in lines._candidates(2, hot)(iter(table)) for r in b.to_pylist()]
+    near = {(r["a"], r["b"]) for r in met if r["block"] is None}
+    dealt = {r["key"] for r in met if r["block"] is not None}
+    assert dealt == {k for k, n in enumerate([3, 0, 1, 20, 2, 40, 4, 9, 25]) if n > hot}
+    assert near == {p for p in want if next(r[0] for r in rows if r[1] == p[0]) not in dealt}
+    got = lines._pairs(spark.createDataFrame(rows, "key long, id long, sign long").repartition(3), 2, hot).collect()
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+
+
+def test_a_large_key_in_blocks(spark):
+    """Twelve blocks of one key give the pairs that one task finds."""
+    import random
+
+    rnd = random.Random(3)
+    bases = [rnd.getrandbits(62) for _ in range(400)]
+    rows = [(1, i, (bases[i % 400] ^ 1 << rnd.randrange(62)) << 1 | (i > 4000)) for i in range(6000)]
+    keys = spark.createDataFrame(rows, "key long, id long, sign long").repartition(5)
+    got = [(r.a, r.b) for r in lines._pairs(keys, 2, 500).collect()]
+    assert len(got) > 20_000 and sorted(got) == sorted((r.a, r.b) for r in lines._pairs(keys, 2, 1 << 14).collect())
+
+
 def test_edit_automaton():
     assert lines.within("kitten", "sitten", 1) and not lines.within("kitten", "sitting", 2)
     assert lines.within("kitten", "sitting", 3) and lines.within("", "ab", 2) and not lines.within("", "abc", 2)

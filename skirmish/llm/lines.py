@@ -294,8 +294,10 @@ def _cells(edits: int):
 
 def _pairs(keys: DataFrame, edits: int, hot: int) -> DataFrame:
     """(a, b): lines with a key in common and close signatures."""
-    probe = F.col("sign").bitwiseAND(F.lit(1))
-    dealt = keys.repartition("key").sortWithinPartitions("key", probe)
+    # key and probe bit in one number, which Spark sorts by radix; the key's first bit is given up for it
+    placed = keys.select(F.shiftleft("key", 1).bitwiseOR(F.col("sign").bitwiseAND(F.lit(1))).alias("place"), "id", "sign")
+    key = F.shiftright("place", 1).alias("key")
+    dealt = placed.repartition(F.shiftright("place", 1)).sortWithinPartitions("place").select(key, "id", "sign")
     found = cut(dealt.mapInArrow(_candidates(edits, hot), CANDIDATES), "met")
     pairs = found.where("block IS NULL").select("a", "b")
     rows = found.where("block IS NOT NULL").select("key", "block", F.col("a").alias("id"), F.col("b").alias("sign"))

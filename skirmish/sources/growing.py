@@ -9,6 +9,9 @@ Files are reached through ``pyarrow.fs`` (local, hdfs, s3, gcs). Lines end at ``
 an end. A file that is shorter than what has been read of it was replaced, which is an error. The offset has one
 entry for each file.
 
+Small ranges share a task: a batch has about ``TASKS`` tasks, more only where one would read over 64 MiB, so many short logs do not
+make as many tasks.
+
 Options: ``path`` (a folder), ``glob`` (names, default ``*``), ``splitBytes`` (default 64 MiB), ``startAtEnd`` (``true``: a new stream
 skips what is there).
 """
@@ -31,11 +34,13 @@ FORMAT = "growing_logs"
 SCHEMA = "log_id string, ord long, raw string"
 SPLIT_BYTES = 64 << 20
 READ_BYTES = 1 << 20
+#: Tasks of a batch, unless one range makes one or a task would read over ``SPLIT_BYTES``.
+TASKS = 256
 NEWLINE = 10
 
 
 @dataclass
-class ByteRange(InputPartition):
+class ByteRange:
     """Lines that start in start..stop; ``aligned``: a line starts at ``start``; none reaches beyond ``end``."""
 
     name: str
@@ -45,6 +50,27 @@ class ByteRange(InputPartition):
     aligned: bool
 
 
+@dataclass
+class Share(InputPartition):
+    """The ranges of one task."""
+
+    ranges: list[ByteRange]
+
+
+def dealt(ranges: list[ByteRange], tasks: int = TASKS) -> list[Share]:
+    """``ranges`` in order, put together to about ``tasks`` shares of equal size; a range stays whole."""
+    most = min(SPLIT_BYTES, sum(r.stop - r.start for r in ranges) // tasks)
+    out, room = [], 0
+    for r in ranges:
+        size = r.stop - r.start
+        if not out or size > room:
+            out.append(Share([]))
+            room = most
+        out[-1].ranges.append(r)
+        room -= size
+    return out
+
+
 def open_folder(path: str) -> tuple[arrow_fs.FileSystem, str]:
     fs, folder = arrow_fs.FileSystem.from_uri(path)
     return fs, folder.rstrip("/")
@@ -84,9 +110,13 @@ class Folder:
             out += [ByteRange(name, at, min(at + self.split, stop), stop, at == first) for at in range(first, stop, self.split)]
         return out
 
-    def lines(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
-        """The range's lines, in batches of about ``READ_BYTES``."""
+    def lines(self, part: ByteRange | Share) -> Iterator[pa.RecordBatch]:
+        """The lines of a range, or of a task's ranges, in batches of about ``READ_BYTES``."""
         fs, folder = open_folder(self.path)
+        for one in [part] if isinstance(part, ByteRange) else part.ranges:
+            yield from self._lines(one, fs, folder)
+
+    def _lines(self, part: ByteRange, fs: arrow_fs.FileSystem, folder: str) -> Iterator[pa.RecordBatch]:
         with fs.open_input_file(f"{folder}/{part.name}") as f:
             at, held, skip = (part.start, b"", False) if part.aligned else (part.start - 1, b"", True)
             while at < part.stop:
@@ -119,12 +149,11 @@ class Scan(DataSourceReader):
     def __init__(self, folder: Folder):
         self.folder = folder
 
-    def partitions(self) -> list[ByteRange]:
-        return self.folder.ranges({}, self.folder.sizes()) or [ByteRange("", 0, 0, 0, True)]
+    def partitions(self) -> list[Share]:
+        return dealt(self.folder.ranges({}, self.folder.sizes())) or [Share([])]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        if partition.stop > partition.start:
-            yield from self.folder.lines(partition)
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        yield from self.folder.lines(partition)
 
 
 class Follow(DataSourceStreamReader):
@@ -148,10 +177,10 @@ class Follow(DataSourceStreamReader):
             out[name] = end
         return out
 
-    def partitions(self, start: dict, end: dict) -> list[ByteRange]:
-        return self.folder.ranges(start, end)
+    def partitions(self, start: dict, end: dict) -> list[Share]:
+        return dealt(self.folder.ranges(start, end))
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         yield from self.folder.lines(partition)
 
 

@@ -98,3 +98,21 @@ def test_a_new_stream_can_start_at_the_end(tmp_path):
     assert [x for _, x in read(folder, follow.partitions(start, follow.latestOffset()))] == ["half", "new"]
     with pytest.raises(ValueError, match="path"):
         Folder({})
+
+
+def test_many_short_logs_share_tasks(tmp_path):
+    for i in range(2_000):
+        (tmp_path / f"log{i:04}.txt").write_bytes(b"".join(b"%d %d\n" % (i, n) for n in range(i % 4)))
+    folder = Folder({"path": str(tmp_path), "splitbytes": 1 << 16})
+    parts = Follow(folder, False).partitions({}, folder.sizes())
+    assert len(parts) < 600
+    assert read(folder, parts) == [line for i in range(2_000) for line in whole(b"".join(b"%d %d\n" % (i, n) for n in range(i % 4)))]
+
+
+def test_a_share_stays_bounded_and_a_large_log_is_cut(tmp_path, monkeypatch):
+    monkeypatch.setattr("skirmish.sources.growing.SPLIT_BYTES", 100)
+    (tmp_path / "x.txt").write_bytes(b"0123456\n" * 10_000)
+    folder = Folder({"path": str(tmp_path), "splitbytes": 40})
+    parts = Follow(folder, False).partitions({}, folder.sizes())
+    assert {sum(r.stop - r.start for r in p.ranges) for p in parts} == {80}
+    assert read(folder, parts) == whole(b"0123456\n" * 10_000)

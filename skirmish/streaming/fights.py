@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skirmish.functions import scalars as S
-from skirmish.functions.sliced import SLICE_SECONDS, running
+from skirmish.functions.sliced import SLICE_SECONDS, running, time_slice
 from skirmish.operators import encounters as E
 from skirmish.operators import fights as D
 from skirmish.operators import overrides as V
@@ -111,6 +111,20 @@ def _group_spans(manual_groups: DataFrame | None) -> DataFrame | None:
     )
 
 
+def _outside(fit: DataFrame, spans: DataFrame) -> DataFrame:
+    """The borders that lie in no span: none that begins before a border of its log ends at it or later.
+
+    One running maximum over borders and spans in time order; pairs of them would grow with the square of a log's length.
+    """
+    none = F.lit(None).cast("bigint")
+    both = fit.select("log_id", F.col("border_t").alias("t"), F.lit(False).alias("is_span"), none.alias("last_t")).unionByName(
+        spans.where(F.col("first_t").isNotNull()).select("log_id", F.col("first_t").alias("t"), F.lit(True).alias("is_span"), "last_t")
+    )
+    both = running(both, ["log_id"], time_slice("t"), ["t", "is_span"], largest={"_upto": F.col("last_t")})
+    free = F.col("_upto").isNull() | (F.col("_upto") < F.col("t"))
+    return both.where(~F.col("is_span") & free).select("log_id", F.col("t").alias("border_t"))
+
+
 class FightStream:
     def __init__(
         self,
@@ -317,8 +331,7 @@ class FightStream:
             & (F.col("_fresh_t").isNull() | (F.col("border_t") <= F.col("_fresh_t")))
         )
         if spans is not None:
-            across = (fit["log_id"] == spans["log_id"]) & (spans["first_t"] < fit["border_t"]) & (fit["border_t"] <= spans["last_t"])
-            fit = fit.join(spans, across, "left_anti")
+            fit = _outside(fit, spans)
         border = fit.groupBy("log_id").agg(F.max("border_t").alias("_border_t"))
         placed = grouped.join(settled, "log_id", "left").join(border, "log_id", "left")
         placed = placed.withColumn("_done", F.coalesce(F.col("start_t") < F.col("_border_t"), F.lit(False)))

@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 
 #: ``ord`` is unique inside a log, so a slice holds at most 2**20 rows.
 SLICE_BITS = 20
-#: Slice width for tables with one row per fight, encounter or override.
+#: Slice width for rows by second or microsecond.
 SLICE_SECONDS = 3600
+#: Slice width for tables with one row per fight, encounter or override: about twelve days, so that slices hold many
+#: rows and their summary stays far smaller than the table; a fight a second would fill 2**20 rows.
+SPARSE_SLICE_SECONDS = 1 << 20
 
 
 def ord_slice(ord_col) -> Column:
@@ -31,7 +34,7 @@ def ord_slice(ord_col) -> Column:
 
 def time_slice(seconds) -> Column:
     c = F.col(seconds) if isinstance(seconds, str) else seconds
-    return F.floor(c / SLICE_SECONDS).cast("long")
+    return F.floor(c / SPARSE_SLICE_SECONDS).cast("long")
 
 
 def running(

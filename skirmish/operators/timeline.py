@@ -7,6 +7,7 @@ fight nor its zero buckets meet in one row; ``long_form`` unpacks them.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,24 +32,39 @@ def packed(sparse: DataFrame, spine: DataFrame, keys: Sequence[str], value: str)
     parts = (
         sparse.withColumn("chunk", F.floor(F.col("bucket") / CHUNK).cast("long"))
         .groupBy(*keys, "chunk")
-        .agg(F.map_from_entries(F.collect_list(F.struct("bucket", value))).alias("_m"))
+        .agg(F.collect_list(F.struct("bucket", F.col(value).alias("_a"))).alias("_cells"))
     )
     grid = spine.select(
         *keys,
         "n_buckets",
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_buckets") - 1) / CHUNK))).alias("chunk"),
     )
+    return _filled(grid.join(parts, [*keys, "chunk"], "left"), keys, value)
+
+
+def _filled(parts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Chunks with their ``_cells`` (bucket, amount) as arrays; buckets without a cell count 0.
+
+    Every cell in order brings the zeros behind the cell before it, the end of the list those behind the last one: a
+    chunk costs its buckets once, not a look through all cells for each bucket.
+    """
     first = F.col("chunk") * CHUNK
     last = F.least(F.col("n_buckets"), first + CHUNK) - 1
+    zero = F.lit(0).cast("long")
+    none = F.array().cast("array<struct<bucket:bigint,_a:bigint>>")
+    cells = F.sort_array(F.coalesce("_cells", none))
+    before = F.concat(F.array(F.struct((first - 1).alias("bucket"), zero.alias("_a"))), cells)
 
-    def fill(i: Column) -> Column:
-        return F.coalesce(F.try_element_at("_m", i), F.lit(0).cast("long"))
+    def fill(cell: Column, prev: Column) -> Column:
+        at = prev["bucket"]
+        filled = F.concat(F.array_repeat(zero, (cell["bucket"] - at - 1).cast("int")), F.array(F.coalesce(cell["_a"], zero)))
+        return F.when(cell.isNull(), F.array_repeat(zero, (last - at).cast("int"))).otherwise(filled)
 
-    return grid.join(parts, [*keys, "chunk"], "left").select(
+    return parts.select(
         *keys,
         "chunk",
         first.alias("first_bucket"),
-        F.transform(F.sequence(first, last), fill).alias(value),
+        F.flatten(F.zip_with(cells, before, fill)).alias(value),
     )
 
 
@@ -85,12 +101,29 @@ def packed_timeline(
 
 
 def _packed_by(acts: DataFrame, keys: Sequence[str], width: int, start: str, end: str) -> DataFrame:
-    """Dense damage series per key; only as many zeros as the keys themselves span."""
-    spine = acts.groupBy(*keys).agg(
-        F.first(S.bucket_count(F.col(end) - F.col(start), width)).alias("n_buckets")
+    """Dense damage series per key; only as many zeros as the keys themselves span.
+
+    Misses keep their cells, without an amount, so every key of at most ``CHUNK`` buckets brings its only chunk
+    along; the chunks of longer series, which may hold no cell, are added as rows. No spine is joined.
+    """
+    n = S.bucket_count(F.col(end) - F.col(start), width)
+    hit = F.col("event_type") != "melee_miss"
+    cells = acts.groupBy(*keys, S.bucket_index(F.col("t") - F.col(start), width, n).alias("bucket")).agg(
+        F.sum(F.when(hit, F.col("amount"))).alias("amount"), F.first(n).alias("n_buckets")
     )
-    hits = acts.where(F.col("event_type") != "melee_miss")
-    return packed(bucketed(hits, keys, start, end, width), spine, keys, "amount")
+    cells = cells.withColumn("chunk", F.floor(F.col("bucket") / CHUNK).cast("long"))
+    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_buckets") - 1) / CHUNK).cast("long"))
+    long = acts.select(*keys, n.alias("n_buckets")).where(F.col("n_buckets") > CHUNK).distinct()
+    empty = long.select("*", F.explode(chunks).alias("chunk"))
+    # An actor without a name counts 0 throughout.
+    named = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    cell = F.when(named & F.col("amount").isNotNull(), F.struct("bucket", F.col("amount").alias("_a")))
+    parts = (
+        cells.unionByName(empty, allowMissingColumns=True)
+        .groupBy(*keys, "chunk")
+        .agg(F.first("n_buckets").alias("n_buckets"), F.collect_list(cell).alias("_cells"))
+    )
+    return _filled(parts, keys, "amount")
 
 
 def raid_series(

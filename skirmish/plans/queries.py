@@ -104,7 +104,7 @@ class Workspace:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return cut(sinks.encounter_documents(self.main, WIDTH, self.owners), "documents")
+        return sinks.encounter_documents(self.main, WIDTH, self.owners)
 
     @cached_property
     def session_documents(self) -> DataFrame:

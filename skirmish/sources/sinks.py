@@ -28,6 +28,16 @@ def _together(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _written(parts: dict[str, DataFrame]) -> DataFrame:
+    """The sections as one table, each written by itself.
+
+    In one job adaptive execution shares its tasks out among all sections by bytes, so a section of costly rows gets
+    one task or two. The section's name is no column of the files, so a reader of one section opens no other.
+    """
+    tables = [cut(df.drop("section"), f"doc_{name}").withColumn("section", F.lit(name)) for name, df in parts.items()]
+    return _together([t.select(*[c for c in t.columns if c not in ("section", "payload")], "section", "payload") for t in tables])
+
+
 def read_section(documents: DataFrame, name: str, schema: str) -> DataFrame:
     """The rows of one section again, with the payload's fields as columns."""
     keys = [c for c in documents.columns if c not in ("section", "payload")]
@@ -38,7 +48,7 @@ def read_section(documents: DataFrame, name: str, schema: str) -> DataFrame:
 def encounter_documents(a: Analysis, width: int = 5, pet_owners: DataFrame | None = None) -> DataFrame:
     """All sections of every encounter: the widest report, for all encounters at once.
 
-    What several sections share is written once. Series are packed, 256 buckets a row.
+    What several sections share is written once, and so is every section. Series are packed, 256 buckets a row.
     """
     attackers = cut(stats.attackers(a.acts, ENC), "doc_attackers")
     matrix = cut(stats.damage_matrix(a.acts), "doc_matrix")
@@ -53,32 +63,31 @@ def encounter_documents(a: Analysis, width: int = 5, pet_owners: DataFrame | Non
     members = a.members.join(counts, ["log_id", "fight_id"], "left").fillna(0, ["attacker_count"])
     raw = stats.owner_choices(stats.raw_attackers(a.acts, a.members), pet_owners)
     over = (width, ENC, "enc_start_t", "enc_end_t")
-    return _together(
-        [
-            section(a.encounters, "header"),
-            section(members.drop("start_t", "end_t", "close_ord"), "member"),
-            section(listed.drop("first_seen"), "attacker"),
-            section(stats.special_stats(a.acts, ENC), "special"),
-            section(timeline.packed_timeline(a.acts, *over), "timeline"),
-            section(timeline.packed_raid_series(a.acts, *over), "raid_series"),
-            section(stats.biggest_hits(a.acts, ENC), "biggest_hit"),
-            section(matrix, "damage_pair"),
-            section(stats.directed_breakdown(listed, matrix, stats.canonical_names(a.acts)), "breakdown"),
-            section(timeline.packed_pair_series(a.acts, width), "damage_series"),
-            section(stats.hit_details(a.acts), "hit"),
-            section(sides.healer_sides(stats.healers(a.heals), sided), "healer"),
-            section(stats.heal_pairs(a.heals), "heal_pair"),
-            section(timeline.packed_heal_series(a.heals, width), "heal_series"),
-            section(timeline.packed_heal_series(a.heals, width, ("actor",)), "healer_series"),
-            section(stats.heal_details(a.heals), "heal"),
-            section(stats.biggest_heals(a.heals), "biggest_heal"),
-            section(stats.healed_defenders(stats.defenders(a.acts, names), a.heals), "defender"),
-            section(stats.defender_pairs(a.acts, names).drop("first_seen"), "defender_pair"),
-            section(stats.heals_received(a.heals), "heals_received"),
-            section(timeline.packed_heal_series(a.heals, width, ("target",)), "heals_received_series"),
-            section(raw, "raw_attacker"),
-        ]
-    )
+    sections = {
+        "header": a.encounters,
+        "member": members.drop("start_t", "end_t", "close_ord"),
+        "attacker": listed.drop("first_seen"),
+        "special": stats.special_stats(a.acts, ENC),
+        "timeline": timeline.packed_timeline(a.acts, *over),
+        "raid_series": timeline.packed_raid_series(a.acts, *over),
+        "biggest_hit": stats.biggest_hits(a.acts, ENC),
+        "damage_pair": matrix,
+        "breakdown": stats.directed_breakdown(listed, matrix, stats.canonical_names(a.acts)),
+        "damage_series": timeline.packed_pair_series(a.acts, width),
+        "hit": stats.hit_details(a.acts),
+        "healer": sides.healer_sides(stats.healers(a.heals), sided),
+        "heal_pair": stats.heal_pairs(a.heals),
+        "heal_series": timeline.packed_heal_series(a.heals, width),
+        "healer_series": timeline.packed_heal_series(a.heals, width, ("actor",)),
+        "heal": stats.heal_details(a.heals),
+        "biggest_heal": stats.biggest_heals(a.heals),
+        "defender": stats.healed_defenders(stats.defenders(a.acts, names), a.heals),
+        "defender_pair": stats.defender_pairs(a.acts, names).drop("first_seen"),
+        "heals_received": stats.heals_received(a.heals),
+        "heals_received_series": timeline.packed_heal_series(a.heals, width, ("target",)),
+        "raw_attacker": raw,
+    }
+    return _written({name: section(rows, name) for name, rows in sections.items()})
 
 
 def session_documents(a: Analysis, killed_only: bool = False, chosen: DataFrame | None = None) -> DataFrame:

@@ -25,6 +25,8 @@ OPEN_POLICIES = ("close", "drop", "include")
 FIGHT = ("log_id", "target", "open_ord")
 #: Event type of a row that stands for a fight carried over from an earlier batch of a stream.
 CARRY = "carry"
+#: Columns of an event that detection does not look at; ``tag_fights`` hands them on.
+DETAILS = ("actor", "amount", "verb", "spell", "damage_type", "outcome", "modifiers")
 
 
 def _heal_neighbours(rows: DataFrame, heals: DataFrame, gap_seconds: int) -> tuple[DataFrame, DataFrame]:
@@ -86,15 +88,16 @@ def _chain_broken(prev: Column, row: Column, gap_seconds: int, heals: bool) -> C
 
 
 def tag_fights(
-    events: DataFrame, gap_seconds: int = 15, heals_extend_fights: bool = False
+    events: DataFrame, gap_seconds: int = 15, heals_extend_fights: bool = False, details: tuple[str, ...] = DETAILS
 ) -> tuple[DataFrame, DataFrame | None]:
     """Combat rows with the ``open_ord`` of their fight; late deaths carry a null ``open_ord``.
 
-    The second result holds the heal sessions when heals extend fights.
+    The second result holds the heal sessions when heals extend fights. ``details`` names the columns handed on; all of
+    them go through every shuffle and sort.
     """
     kind = F.col("event_type")
     rows = events.where(kind.isin("melee_hit", "spell_damage", "melee_miss", "death", CARRY))
-    keep = ["actor", "amount", "verb", "spell", "damage_type", "outcome", "modifiers"]
+    keep = list(details)
     rows = rows.select(
         "log_id",
         "target",
@@ -173,8 +176,12 @@ def tag_fights(
     )
 
 
-def fight_bounds(tagged: DataFrame, sessions: DataFrame | None, gap_seconds: int) -> DataFrame:
-    """One row per fight: start, end, close position and close time."""
+def fight_bounds(tagged: DataFrame, sessions: DataFrame | None, gap_seconds: int, with_last: bool = False) -> DataFrame:
+    """One row per fight: start, end, close position and close time; ``with_last`` also place and time of its last row.
+
+    The sums are written before the next fight is looked up, as the rows would be read and summed once for each branch of that.
+    """
+    places = [F.max("ord").alias("last_ord"), F.max_by("t", "ord").alias("last_t")] if with_last else []
     act_ord = F.when(~F.col("is_death"), F.col("ord"))
     heard = []
     if sessions is not None:
@@ -194,10 +201,11 @@ def fight_bounds(tagged: DataFrame, sessions: DataFrame | None, gap_seconds: int
             F.coalesce(F.sum("amount"), F.lit(0)).alias("total_damage"),
             F.count_if(F.col("event_type").isin("melee_hit", "spell_damage")).alias("hits"),
             F.count_if(F.col("event_type") == "melee_miss").alias("misses"),
+            *places,
         )
     )
     fights = running(
-        fights,
+        cut(fights, "fight_sums"),
         ["log_id", "target"],
         ord_slice("open_ord"),
         ["open_ord"],
@@ -233,6 +241,7 @@ def fight_bounds(tagged: DataFrame, sessions: DataFrame | None, gap_seconds: int
         "total_damage",
         "hits",
         "misses",
+        *(["last_ord", "last_t"] if with_last else []),
     )
 
 

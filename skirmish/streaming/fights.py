@@ -50,6 +50,8 @@ MEMBERS = (
     "hits bigint, misses bigint, raid_dps double, fight_key string, encounter_id bigint, manual_name string"
 )
 SETTLED = "log_id string, fights bigint, encounters bigint, border_t bigint"
+#: The columns of an event that the sink looks at; the others are not read.
+TAKEN = ("log_id", "ord", "ts", "event_type", "actor", "target", "amount")
 #: Event type of the rows that keep a stream going while no log is written.
 HEARTBEAT = "heartbeat"
 
@@ -161,7 +163,8 @@ class FightStream:
     def _take_in(self, events: DataFrame, batch_id: int) -> None:
         state, old_state = self.state, self.state.newest(batch_id)
         new_state = Pointer(batch_id, dict(old_state.tables), old_state.note)
-        events = cut(events.where(F.col("event_type").isNull() | (F.col("event_type") != HEARTBEAT)), "stream_batch")
+        events = events.where(F.col("event_type").isNull() | (F.col("event_type") != HEARTBEAT))
+        events = cut(events.select(*TAKEN), "stream_batch")
         ends = self._log_ends(events, old_state, batch_id)
         state.replace(new_state, "ends", ends)
         ends = state.read(new_state, "ends", ENDS)
@@ -178,12 +181,9 @@ class FightStream:
         if self.heals_extend_fights:
             heals = kept_heals.select("log_id", "ord", S.from_epoch("t").alias("ts"), F.lit("heal").alias("event_type"))
             combat = combat.unionByName(heals, allowMissingColumns=True)
-        tagged, sessions = D.tag_fights(combat, self.gap_seconds, self.heals_extend_fights)
+        tagged, sessions = D.tag_fights(combat, self.gap_seconds, self.heals_extend_fights, details=("actor", "amount"))
         tagged = cut(tagged, "stream_tagged")
-        bounds = D.fight_bounds(tagged, sessions, self.gap_seconds)
-        last = tagged.where(F.col("open_ord").isNotNull()).groupBy(*D.FIGHT).agg(
-            F.max("ord").alias("last_ord"), F.max_by("t", "ord").alias("last_t")
-        )
+        bounds = D.fight_bounds(tagged, sessions, self.gap_seconds, with_last=True)
         old = before.select(
             "log_id",
             "target",
@@ -193,7 +193,7 @@ class FightStream:
             *[F.col(c).alias(f"_{c}") for c in ("total_damage", "hits", "misses")],
         )
         # A fight that begins with a carried row goes on under its own key and sums.
-        joined = bounds.join(last, list(D.FIGHT)).withColumn("_at", F.col("open_ord"))
+        joined = bounds.withColumn("_at", F.col("open_ord"))
         joined = joined.join(old, ["log_id", "target", "_at"], "left")
         now = joined.select(
             "log_id",
@@ -310,7 +310,7 @@ class FightStream:
             tail = _completed(state.read(old_state, "tail", BOUNDS).unionByName(closed.select(*columns)), kills)
             settled = state.read(old_state, "settled", SETTLED)
         tail = cut(D.admit(tail, self.min_damage, self.min_duration_seconds), "stream_tail")
-        rows = D.number_fights(tail.withColumn("in_progress", F.lit(False)))
+        rows = cut(D.number_fights(tail.withColumn("in_progress", F.lit(False))), "stream_numbered")
         grouped = cut(E.group_fights(rows, self.encounter_gap_seconds, self.manual_groups), "stream_groups")
         # A group of unclaimed fights starts behind the end of all unclaimed fights before it.
         claimed = F.col("manual_name").isNotNull()
@@ -332,7 +332,7 @@ class FightStream:
         )
         if spans is not None:
             fit = _outside(fit, spans)
-        border = fit.groupBy("log_id").agg(F.max("border_t").alias("_border_t"))
+        border = cut(fit.groupBy("log_id").agg(F.max("border_t").alias("_border_t")), "stream_borders")
         placed = grouped.join(settled, "log_id", "left").join(border, "log_id", "left")
         placed = placed.withColumn("_done", F.coalesce(F.col("start_t") < F.col("_border_t"), F.lit(False)))
         for c, known in (("fight_id", "fights"), ("encounter_id", "encounters")):
@@ -374,6 +374,8 @@ class FightStream:
         With a ``clock`` a beat a second joins the stream, so that batches run, and idle fights close, while no log is written.
         """
         take = self.process_lines if from_lines else self.process
+        if not from_lines:
+            stream = stream.select(*TAKEN)  # a sink's rows reach it whole, so the scan is narrowed here
         if self.clock is not None:
             if from_lines:
                 raise ValueError("a stream with a clock takes events: parse the lines before")
@@ -446,6 +448,7 @@ def replay(events: DataFrame, gap_seconds: int, min_damage: int, parts: int = 4,
     if span.lo is None:
         return sink
     step = (span.hi - span.lo) // parts + 1
+    events = events.select(*TAKEN)
     for i in range(parts):
         part = events.where(
             (F.col("ord") >= span.lo + i * step) & (F.col("ord") < span.lo + (i + 1) * step)

@@ -3,11 +3,15 @@
 import datetime as dt
 
 import pytest
+from helpers import event, frame
 from pyspark.sql import functions as F
 
 from skirmish.functions.sliced import time_slice
+from skirmish.operators import fights as D
 from skirmish.operators import timeline
-from skirmish.sources import sinks, tables
+from skirmish.plans.analysis import Options, detect
+from skirmish.sources import sinks, staging, tables
+from skirmish.streaming import fights as streaming
 from skirmish.streaming.fights import _outside
 
 
@@ -79,3 +83,25 @@ def test_a_section_is_read_from_its_own_files(spark):
     assert read.inputFiles() and all("/doc_hit-" in path for path in read.inputFiles())
     plan = read._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parquet") == 1 and "Union" not in plan
+
+
+def test_a_stream_writes_and_sums_its_rows_once_and_narrow(spark, tmp_path, monkeypatch):
+    """No step carries event columns that the sink does not use, or reads the tagged rows or the numbered fights over and over."""
+    tables_read, columns = {}, {}
+
+    def watched(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        tables_read[name], columns[name] = plan.count("parquet"), set(df.columns)
+        return staging.cut(df, name)
+
+    for module in (D, streaming):
+        monkeypatch.setattr(module, "cut", watched)
+    rows = [event(i, 7 * i, "death" if i % 5 == 4 else "melee_hit", actor="A", target="BC"[i // 9 % 2], amount=i, spell="s") for i in range(30)]
+    sink = streaming.FightStream(spark, str(tmp_path / "t"), 15, encounter_gap_seconds=0, min_damage=0)
+    sink.process(frame(spark, rows), 0)
+    assert all(not names & {"modifiers", "spell", "verb", "damage_type", "outcome", "body"} for names in columns.values())
+    assert tables_read["fight_sums"] == 1 and tables_read["stream_fights"] <= 3
+    assert tables_read["stream_groups"] <= 4
+    want = detect(frame(spark, rows), Options(min_damage=0)).fights
+    view = lambda df: sorted((r.target, r.fight_id, r.start_t, r.end_t, r.fight_complete, r.total_damage) for r in df.collect())
+    assert view(sink.fights(min_damage=0)) == view(want)
